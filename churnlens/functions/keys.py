@@ -86,7 +86,7 @@ def parse_mixed_date(c, formats: Sequence[str] = ("MM/dd/yyyy", "dd/MM/yyyy", "y
     above 12 in the first field falls through to the swapped format."""
     c = _c(c)
     s = F.substring(c, 1, prefix_len) if prefix_len else c
-    parsed = F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    parsed = F.coalesce(*[F.try_to_date(s, f) for f in formats])
     junk = list(junk)
     if junk:
         return F.when(c.isin(junk), F.lit(None).cast("date")).otherwise(parsed)
@@ -95,7 +95,7 @@ def parse_mixed_date(c, formats: Sequence[str] = ("MM/dd/yyyy", "dd/MM/yyyy", "y
 
 def yyyymm_to_date(c) -> Column:
     """``yyyymm`` text month (or int) to the first day of that month."""
-    return F.try_to_date(F.concat(_c(c).cast("string"), F.lit("01")), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.concat(_c(c).cast("string"), F.lit("01")), "yyyyMMdd")
 
 
 def billing_system(c, short_len: int = 8, short_name: str = "CERILLION",

@@ -142,3 +142,58 @@ def churn_counts(table: DataFrame, month: str = "fixed_month", type_col: str = "
     return (table.where(F.col(type_col).isNotNull()).groupBy(month, type_col)
                  .agg(F.count_distinct(account).alias("churners"),
                       F.sum(F.coalesce(F.col(rgus), F.lit(0))).cast("long").alias("rgus_lost")))
+
+
+def _exits(base: DataFrame, account: str = "fixed_account", month: str = "fixed_month") -> DataFrame:
+    return (base.where((F.col("active_bom") == 1) & (F.col("active_eom") == 0))
+                .select(F.col(account).alias("_xa"), F.col(month).alias("_xm"), F.col("b_num_rgus").alias("_xr")))
+
+
+def rejoiner_window(base: DataFrame, params: Params = Params(), periods: int = 1,
+                    account: str = "fixed_account", month: str = "fixed_month") -> DataFrame:
+    """Rejoiners by period p (D53): accounts lost in an earlier period x whose
+    re-entry period x + 1 lies in [p, p + ``periods``], and whose movement in
+    p is 'come back to life'. Each exit is expanded to its ``periods`` + 1
+    target periods (a bounded array, no pairing), then equi-joined."""
+    g = params.grain
+    ex = _exits(base, account, month)
+    targets = F.array(*[g.shift(F.col("_xm"), 1 - k) for k in range(periods + 1)])
+    pop = (ex.select("_xa", "_xm", F.explode(targets).alias("_p")).where(F.col("_p") != F.col("_xm"))
+             .select("_xa", "_p").distinct())
+    j = base.join(pop, (F.col(account) == F.col("_xa")) & (F.col(month) == F.col("_p")), "left")
+    in_pop = F.col("_xa").isNotNull()
+    rej = in_pop & (F.col("main_movement") == L.MM_COMEBACK)
+    return (j.groupBy(month).agg(F.count_distinct(F.when(in_pop, F.col(account))).alias("rejoiner_population"),
+                                 F.count_distinct(F.when(rej, F.col(account))).alias("rejoiners")))
+
+
+def rejoiner_pool(base: DataFrame, params: Params = Params(), periods: int | None = None,
+                  account: str = "fixed_account", month: str = "fixed_month") -> DataFrame:
+    """Potential rejoiners of period p (D54): accounts lost in x with
+    x <= p <= x + ``periods``; one row per (account, p) with the products
+    held at the exit."""
+    g = params.grain
+    n = params.rejoiner_periods if periods is None else periods
+    ex = _exits(base, account, month)
+    targets = F.array(*[g.shift(F.col("_xm"), k) for k in range(n + 1)])
+    return (ex.select("_xa", "_xr", F.explode(targets).alias("_p"))
+              .groupBy(F.col("_xa").alias("account"), F.col("_p").alias("month"))
+              .agg(F.max("_xr").alias("exit_rgus")))
+
+
+def rejoiner_population(pool: DataFrame) -> DataFrame:
+    """Size of the pool and its products per period."""
+    return pool.groupBy("month").agg(F.count(F.lit(1)).alias("pool_accounts"),
+                                     F.sum(F.coalesce("exit_rgus", F.lit(0))).cast("long").alias("pool_rgus"))
+
+
+def effective_rejoiners(pool: DataFrame, base: DataFrame, params: Params = Params(),
+                        account: str = "fixed_account", month: str = "fixed_month") -> DataFrame:
+    """Pool members of p that are in the closing base of p and were not in
+    the closing base of p - 1 (D55)."""
+    g = params.grain
+    closing = base.where(F.col("active_eom") == 1).select(F.col(account).alias("account"), F.col(month).alias("month"))
+    prev = closing.select("account", g.shift(F.col("month"), 1).alias("month"))
+    eff = pool.select("account", "month").join(closing, ["account", "month"], "inner") \
+              .join(prev, ["account", "month"], "left_anti")
+    return eff.groupBy("month").agg(F.count_distinct("account").alias("effective_rejoiners"))

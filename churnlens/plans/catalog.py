@@ -55,3 +55,48 @@ def q_fixed_table(spark, sf):
 def q_churn_counts(spark, sf):
     from churnlens.operators.churn import churn_counts
     return churn_counts(_fixed(spark, sf).table)
+
+
+def _mobile_inputs(spark, sf):
+    ev = T.load(spark, sf, "events")
+    return T.mobile_register(ev), T.mobile_moves(ev)
+
+
+MOBILE_COLS = ["mobile_month", "mobile_account", "mobile_active_bom", "mobile_active_eom", "b_fixed_contract",
+               "e_fixed_contract", "b_mobile_mrc", "e_mobile_mrc", "b_correo", "b_start_date", "e_start_date",
+               "b_mobile_tenure", "e_mobile_tenure", "b_mobile_tenure_segment", "e_mobile_tenure_segment",
+               "fmc_account", "mobile_movement_flag", "mobile_churn_type", "mobile_churn_flag", "mobile_rgu_churn",
+               "mobile_rejoiner_type"]
+
+
+@register("mobile_table")
+def q_mobile_table(spark, sf):
+    from churnlens.operators.mobile import mobile_table
+    reg, moves = _mobile_inputs(spark, sf)
+    return mobile_table(reg, moves, P).select(*MOBILE_COLS)
+
+
+@register("missing_clients")
+def q_missing_clients(spark, sf):
+    from churnlens.operators.mobile import clean_register, missing_clients
+    reg, _ = _mobile_inputs(spark, sf)
+    return missing_clients(clean_register(reg, P), P)
+
+
+@register("rejoiner_window")
+def q_rejoiner_window(spark, sf):
+    from churnlens.operators.churn import rejoiner_window
+    return rejoiner_window(_fixed(spark, sf).base, P, periods=1)
+
+
+@register("rejoiner_population")
+def q_rejoiner_population(spark, sf):
+    from churnlens.operators.churn import rejoiner_pool, rejoiner_population
+    return rejoiner_population(rejoiner_pool(_fixed(spark, sf).base, P))
+
+
+@register("effective_rejoiners")
+def q_effective_rejoiners(spark, sf):
+    from churnlens.operators.churn import effective_rejoiners, rejoiner_pool
+    base = _fixed(spark, sf).base
+    return effective_rejoiners(rejoiner_pool(base, P), base, P)

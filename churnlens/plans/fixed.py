@@ -19,7 +19,7 @@ from churnlens.operators import churn as C
 from churnlens.operators import movement as M
 from churnlens.operators import snapshot as S
 from churnlens.params import Params
-from churnlens.sources.io import population
+from churnlens.sources.io import population, with_checkpoint
 
 
 @dataclass
@@ -30,10 +30,17 @@ class FixedStages:
     table: DataFrame
 
 
-def fixed_stages(snap: DataFrame, params: Params = Params(), apply_population: bool = True) -> FixedStages:
+def fixed_stages(snap: DataFrame, params: Params = Params(), apply_population: bool = True,
+                 materialize: bool = True) -> FixedStages:
+    """``materialize`` checkpoints the repaired daily stage (reliable
+    checkpoint in ``spark.checkpoint.dir``): it is read by five later steps,
+    and the checkpoint keeps its hash partitioning by account, so the period
+    aggregates and the base join reuse it without another shuffle."""
     src = population(snap) if apply_population else snap
     feats = S.snapshot_features(src, params)
     rep = S.repair_overdue(feats, params)
+    if materialize:
+        rep = with_checkpoint(rep)
     base = S.bom_eom_base(S.snapshot_side(rep, "b", params), S.snapshot_side(rep, "e", params))
     base = M.main_movement(base, params)
     base = M.tenure_segments(base, params)
@@ -41,7 +48,7 @@ def fixed_stages(snap: DataFrame, params: Params = Params(), apply_population: b
     vol = C.voluntary_churn(base)
     facts = C.period_facts(rep, params)
     invol = C.involuntary_churn(facts, params)
-    churners = C.merge_churners(vol, invol, C.initial_rgus(src))
+    churners = C.merge_churners(vol, invol, C.initial_rgus(rep))
     table = C.attach_churn(base, churners)
     table = C.churn_tenure(table, params)
     table = C.rejoiners(table, rep, params)

@@ -249,3 +249,150 @@ SELECT fixed_month, fixed_churner_type, count(DISTINCT fixed_account) AS churner
        CAST(sum(coalesce(fixed_rgu_churn, 0)) AS BIGINT) AS rgus_lost
 FROM fixed_table WHERE fixed_churner_type IS NOT NULL GROUP BY fixed_month, fixed_churner_type
 """
+
+# --- mobile register adapter, mobile table ----------------------------------
+EMAIL = ("CASE WHEN user_id % 25 = 0 THEN 'NOTIENE@GMAIL.COM' "
+         "ELSE 'user' || CAST(user_id % 50 AS VARCHAR) || '@mail.test' END")
+LINE = "'8.' || lpad(CAST(user_id AS VARCHAR), 6, '0')"
+PHONE = "'6' || lpad(CAST(user_id AS VARCHAR), 7, '0')"
+
+MOBILE = f"""
+reg_g AS (
+  SELECT user_id, {wk('CAST(ts AS DATE)')} AS fecha_parque, count(*) AS _n, sum(value) AS _amt,
+         max(value) AS _mx, min(CAST(ts AS DATE)) AS _first
+  FROM events WHERE event_type = 'signup' GROUP BY ALL
+),
+reg AS (
+  SELECT fecha_parque, {LINE} AS id_abonado,
+    CASE WHEN _n >= 3 THEN CAST(user_id AS VARCHAR) ELSE '#N/D' END AS contrato,
+    {PHONE} AS num_telefono, {EMAIL} AS nom_email,
+    CASE WHEN _mx >= 300 THEN '#N/D' ELSE replace(CAST(round(_amt, 2) AS VARCHAR), '.', ',') END AS renta,
+    CASE WHEN _mx < 10 THEN 'ARTICULO SIN EQUIPO'
+         ELSE strftime(min(_first) OVER (PARTITION BY user_id), '%m/%d/%Y') END AS fch_activacion,
+    CASE WHEN _amt > 500 THEN 'Empresas - Pymes' ELSE 'Residencial' END AS des_segmento_cliente
+  FROM reg_g
+),
+mclean AS (
+  SELECT CAST(fecha_parque + 7 AS DATE) AS month, replace(id_abonado, '.', '') AS id_abonado,
+    CASE WHEN contrato IN ('#N/D', 'nan', 'NULL', '') THEN NULL ELSE contrato END AS fixed_contract,
+    num_telefono, nom_email,
+    CASE WHEN renta LIKE '%#%' OR renta LIKE '%/%' OR renta LIKE 'NULL' THEN NULL
+         ELSE TRY_CAST(replace(coalesce(renta, '0'), ',', '.') AS DOUBLE) END AS renta,
+    CASE WHEN fch_activacion IN ('#N/D', 'SAMSUNG GALAXY A03 CORE 32GB NEGRO', 'IPHONE 12 PRO MAX GRAFITO 256GB',
+                                 'ARTICULO SIN EQUIPO') THEN NULL
+         ELSE CAST(try_strptime(substr(fch_activacion, 1, 10), '%m/%d/%Y') AS DATE) END AS start_date
+  FROM reg WHERE des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes')
+),
+mb AS (
+  SELECT month AS bm, id_abonado AS bl, fixed_contract AS b_fixed_contract, renta AS b_mobile_mrc,
+         num_telefono AS b_num_telefono, nom_email AS b_correo, start_date AS b_start_date FROM mclean
+),
+me AS (
+  SELECT CAST(month - 7 AS DATE) AS em, id_abonado AS el, fixed_contract AS e_fixed_contract, renta AS e_mobile_mrc,
+         num_telefono AS e_num_telefono, nom_email AS e_correo, start_date AS e_start_date FROM mclean
+),
+mbase0 AS (
+  SELECT coalesce(bm, em) AS mobile_month, coalesce(bl, el) AS mobile_account,
+         CASE WHEN bl IS NOT NULL THEN 1 ELSE 0 END AS mobile_active_bom,
+         CASE WHEN el IS NOT NULL THEN 1 ELSE 0 END AS mobile_active_eom, mb.*, me.*,
+         CAST(sign(date_diff('day', b_start_date, coalesce(bm, em))) * floor(abs(date_diff('day', b_start_date, coalesce(bm, em))) / 7) AS INTEGER) AS b_mobile_tenure,
+         CAST(sign(date_diff('day', e_start_date, coalesce(bm, em))) * floor(abs(date_diff('day', e_start_date, coalesce(bm, em))) / 7) AS INTEGER) AS e_mobile_tenure
+  FROM mb FULL OUTER JOIN me ON bl = el AND bm = em
+),
+mbase AS (
+  SELECT *,
+    CASE WHEN b_mobile_tenure < 6 THEN 'Early Tenure' WHEN b_mobile_tenure IS NOT NULL THEN 'Late Tenure' END AS b_mobile_tenure_segment,
+    CASE WHEN e_mobile_tenure < 6 THEN 'Early Tenure' WHEN e_mobile_tenure IS NOT NULL THEN 'Late Tenure' END AS e_mobile_tenure_segment,
+    coalesce(b_fixed_contract, e_fixed_contract, mobile_account) AS fmc_account,
+    CASE
+      WHEN mobile_active_bom = 1 AND mobile_active_eom = 1 AND b_mobile_mrc = e_mobile_mrc THEN '01.Maintain'
+      WHEN mobile_active_bom = 1 AND mobile_active_eom = 1 AND b_mobile_mrc > e_mobile_mrc THEN '02.Downspin'
+      WHEN mobile_active_bom = 1 AND mobile_active_eom = 1 AND b_mobile_mrc < e_mobile_mrc THEN '03.Upspin'
+      WHEN mobile_active_bom = 1 AND mobile_active_eom = 0 THEN '04.Loss'
+      WHEN mobile_active_bom = 0 AND mobile_active_eom = 1 AND {wk('e_start_date')} <> mobile_month THEN '05.Come Back To Life'
+      WHEN mobile_active_bom = 0 AND mobile_active_eom = 1 AND {wk('e_start_date')} = mobile_month THEN '06.New Customer'
+      WHEN b_mobile_mrc IS NULL OR e_mobile_mrc IS NULL THEN '07.MRC Gap'
+    END AS mobile_movement_flag
+  FROM mbase0
+),
+mv AS (
+  SELECT user_id, {wk('CAST(ts AS DATE)')} AS dt, count(*) AS _n FROM events WHERE event_type = 'error' GROUP BY ALL
+),
+moves AS (
+  SELECT {LINE} AS id_abonado,
+    CASE _n WHEN 1 THEN 'BAJA VOLUNTARIA' WHEN 2 THEN 'BAJA INVOLUNTARIA' WHEN 3 THEN 'BAJA PORTABILIDAD'
+            ELSE 'ALTA/MIGRACION' END AS tipo_baja, dt FROM mv
+),
+reasons AS (
+  SELECT replace(id_abonado, '.', '') AS rl, {wk('dt')} AS rm,
+    max(CASE WHEN tipo_baja IN ('ALTA/MIGRACION', 'BAJA INVOLUNTARIA', 'BAJA PORTABILIDAD') THEN '2. Mobile Involuntary Churner'
+             WHEN tipo_baja = 'BAJA VOLUNTARIA' THEN '1. Mobile Voluntary Churner' END) AS rtype
+  FROM moves GROUP BY ALL
+),
+mt1 AS (
+  SELECT mbase.*, CASE WHEN mobile_active_bom = 1 AND mobile_active_eom = 0 THEN rtype END AS mobile_churn_type
+  FROM mbase LEFT JOIN reasons ON mobile_account = rl AND mobile_month = rm
+),
+mt2 AS (
+  SELECT *, coalesce(mobile_churn_type, '3. Mobile NonChurner') AS mobile_churn_flag,
+         CASE WHEN mobile_churn_type IS NOT NULL THEN 1 ELSE 0 END AS mobile_rgu_churn FROM mt1
+),
+mrej AS (
+  SELECT mobile_account AS ra, CAST(mobile_month + 7 AS DATE) AS rm2,
+    max(CASE mobile_churn_type WHEN '1. Mobile Voluntary Churner' THEN '1. Mobile Voluntary Rejoiner'
+             WHEN '2. Mobile Involuntary Churner' THEN '2. Mobile Involuntary Rejoiner' END) AS mobile_rejoiner_type
+  FROM mt2 WHERE mobile_churn_type IS NOT NULL GROUP BY ALL
+),
+mobile_table AS (
+  SELECT mt2.*, mobile_rejoiner_type FROM mt2 LEFT JOIN mrej ON mobile_account = ra AND mobile_month = rm2
+)
+"""
+
+MOBILE_COLS = ("mobile_month, mobile_account, mobile_active_bom, mobile_active_eom, b_fixed_contract, e_fixed_contract, "
+               "b_mobile_mrc, e_mobile_mrc, b_correo, b_start_date, e_start_date, b_mobile_tenure, e_mobile_tenure, "
+               "b_mobile_tenure_segment, e_mobile_tenure_segment, fmc_account, mobile_movement_flag, "
+               "mobile_churn_type, mobile_churn_flag, mobile_rgu_churn, mobile_rejoiner_type")
+
+SQL["mobile_table"] = with_(MOBILE) + f"SELECT {MOBILE_COLS} FROM mobile_table\n"
+
+SQL["missing_clients"] = with_(MOBILE) + """
+SELECT b.month, count(*) AS missing_clients
+FROM (SELECT DISTINCT fixed_contract AS client, month FROM mclean WHERE fixed_contract IS NOT NULL) b
+WHERE NOT EXISTS (SELECT 1 FROM mclean e WHERE e.fixed_contract = b.client AND CAST(e.month - 7 AS DATE) = b.month)
+GROUP BY b.month
+"""
+
+
+def _targets(offsets) -> str:
+    return " UNION ALL ".join(f"SELECT xa, xm, xr, CAST(xm + {7 * k} AS DATE) AS p FROM ex" for k in offsets)
+
+
+EXITS = """
+ex AS (SELECT fixed_account AS xa, fixed_month AS xm, b_num_rgus AS xr FROM base WHERE active_bom = 1 AND active_eom = 0)
+"""
+
+SQL["rejoiner_window"] = with_(SNAP, FEAT, BASE, EXITS, f"""
+rpop AS (SELECT DISTINCT xa, p FROM ({_targets([1, 0])}) t WHERE p <> xm)
+""") + """
+SELECT fixed_month,
+  count(DISTINCT CASE WHEN xa IS NOT NULL THEN fixed_account END) AS rejoiner_population,
+  count(DISTINCT CASE WHEN xa IS NOT NULL AND main_movement = '04. Come Back to Life' THEN fixed_account END) AS rejoiners
+FROM base LEFT JOIN rpop ON fixed_account = xa AND fixed_month = p GROUP BY fixed_month
+"""
+
+POOL = f"""
+pool AS (SELECT xa AS account, p AS month, max(xr) AS exit_rgus FROM ({_targets([0, 1, 2])}) t GROUP BY ALL)
+"""
+
+SQL["rejoiner_population"] = with_(SNAP, FEAT, BASE, EXITS, POOL) + """
+SELECT month, count(*) AS pool_accounts, CAST(sum(coalesce(exit_rgus, 0)) AS BIGINT) AS pool_rgus FROM pool GROUP BY month
+"""
+
+SQL["effective_rejoiners"] = with_(SNAP, FEAT, BASE, EXITS, POOL, """
+closing AS (SELECT fixed_account AS account, fixed_month AS month FROM base WHERE active_eom = 1)
+""") + """
+SELECT p.month, count(DISTINCT p.account) AS effective_rejoiners
+FROM pool p JOIN closing c ON c.account = p.account AND c.month = p.month
+WHERE NOT EXISTS (SELECT 1 FROM closing q WHERE q.account = p.account AND CAST(q.month + 7 AS DATE) = p.month)
+GROUP BY p.month
+"""

@@ -22,6 +22,9 @@ DEFAULTS = {
     # Broadcast only what the optimizer can prove small (10 MB); every explicit
     # broadcast in the library is behind ``plans.sizing.small_enough``.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # Joins on (account, period) may reuse a partitioning on the account alone
+    # (the repaired daily stage is hash-partitioned by account).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

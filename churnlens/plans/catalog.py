@@ -100,3 +100,50 @@ def q_effective_rejoiners(spark, sf):
     from churnlens.operators.churn import effective_rejoiners, rejoiner_pool
     base = _fixed(spark, sf).base
     return effective_rejoiners(rejoiner_pool(base, P), base, P)
+
+
+FMC_COLS = ["month", "final_account", "fixed_account", "mobile_account", "final_bom_active_flag",
+            "final_eom_active_flag", "b_fmc_status", "e_fmc_status", "contracts_fix", "b_fmc_type", "e_fmc_type",
+            "b_final_tech_flag", "e_final_tech_flag", "b_tenure_final_flag", "e_tenure_final_flag", "b_fmc_segment",
+            "e_fmc_segment", "final_churn_flag", "b_total_mrc", "e_total_mrc", "b_total_rgus", "e_total_rgus",
+            "mrc_change", "total_rgu_churn", "rejoiner_final_flag", "partial_total_churn_flag",
+            "churn_type_final_flag", "waterfall_flag", "b_plan_full", "e_plan_full", "downsell_split",
+            "downspin_split", "b_email", "b_contr"]
+
+
+def _near(spark, sf):
+    from churnlens.operators import convergence as V
+    ev = T.load(spark, sf, "events")
+    return V.email_match(T.mobile_register(ev), V.fixed_emails(T.fixed_snapshot(ev)))
+
+
+def _fmc(spark, sf):
+    from churnlens.operators import convergence as V
+    from churnlens.operators.mobile import mobile_table
+    reg, moves = _mobile_inputs(spark, sf)
+    mob = V.attach_near(mobile_table(reg, moves, P), _near(spark, sf), P)
+    return V.fmc_table(_fixed(spark, sf).table, mob)
+
+
+@register("email_match")
+def q_email_match(spark, sf):
+    return _near(spark, sf).select("near_line", "near_file", "email", "contr")
+
+
+@register("fmc_table")
+def q_fmc_table(spark, sf):
+    t = _fmc(spark, sf)
+    r4 = ["b_total_mrc", "e_total_mrc", "b_total_rgus", "e_total_rgus", "total_rgu_churn"]
+    return t.withColumns({c: F.round(c, 4) for c in r4}).select(*FMC_COLS)
+
+
+@register("fmc_grouped")
+def q_fmc_grouped(spark, sf):
+    from churnlens.operators.convergence import fmc_grouped
+    return fmc_grouped(_fmc(spark, sf), ["month", "e_fmc_segment", "e_fmc_type", "e_final_tech_flag", "waterfall_flag"])
+
+
+@register("fmc_packing")
+def q_fmc_packing(spark, sf):
+    from churnlens.operators.convergence import fmc_packing
+    return fmc_packing(_fmc(spark, sf), P)

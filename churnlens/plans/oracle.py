@@ -396,3 +396,227 @@ FROM pool p JOIN closing c ON c.account = p.account AND c.month = p.month
 WHERE NOT EXISTS (SELECT 1 FROM closing q WHERE q.account = p.account AND CAST(q.month + 7 AS DATE) = p.month)
 GROUP BY p.month
 """
+
+# --- convergence ------------------------------------------------------------
+DUMMIES = ("'NOTIENE@GMAIL.COM', 'NorEPorTA@CABLETICA.COM', 'NorEPorTACorREO@CABLETICA.COM', "
+           "'NorEPorTA.@CABLETICA.COM', 'NOTIENE@CABLETICA.COM', 'NA@GMAIL.COM', 'NOTIENE@NOTIENE.COM', "
+           "'NorEPorTA@LIBERTY.COM', 'NO@GMAIL.COM'")
+
+NEAR = f"""
+fx_email AS (
+  SELECT act_contact_mail_1 AS email, min(act_acct_cd) AS contr FROM snap
+  WHERE act_contact_mail_1 IS NOT NULL AND act_contact_mail_1 NOT IN ({DUMMIES}) GROUP BY ALL
+),
+near AS (
+  SELECT replace(id_abonado, '.', '') AS near_line, fecha_parque AS near_file, email, contr
+  FROM reg JOIN fx_email ON nom_email = email
+  WHERE des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes') AND nom_email NOT IN ({DUMMIES})
+),
+mnear AS (
+  SELECT mobile_table.*, nb.email AS b_email, nb.contr AS b_contr, ne.email AS e_email, ne.contr AS e_contr
+  FROM mobile_table
+  LEFT JOIN near nb ON mobile_account = nb.near_line AND mobile_month = nb.near_file
+  LEFT JOIN near ne ON mobile_account = ne.near_line AND mobile_month = CAST(ne.near_file - 7 AS DATE)
+)
+"""
+
+FMC = """
+fj AS (
+  SELECT f.*, m.*,
+    CASE WHEN fixed_account IS NOT NULL THEN fixed_month ELSE mobile_month END AS month,
+    CASE WHEN fixed_account IS NOT NULL AND mobile_account IS NULL THEN fixed_account
+         WHEN fixed_account IS NULL AND mobile_account IS NOT NULL THEN mobile_account
+         WHEN fixed_account IS NOT NULL AND mobile_account IS NOT NULL THEN fixed_account || mobile_account END AS final_account,
+    CASE WHEN active_bom = 1 OR mobile_active_bom = 1 THEN 1 ELSE 0 END AS final_bom_active_flag,
+    CASE WHEN active_eom = 1 OR mobile_active_eom = 1 THEN 1 ELSE 0 END AS final_eom_active_flag
+  FROM fixed_table f FULL OUTER JOIN mnear m
+    ON right('0000000000' || fixed_account, 10) = right('0000000000' || fmc_account, 10) AND fixed_month = mobile_month
+),
+fs AS (
+  SELECT *,
+    CASE WHEN fixed_account IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY month, fixed_account) END AS contracts_fix,
+    CASE
+      WHEN fixed_account IS NOT NULL AND mobile_account IS NOT NULL AND active_bom = 1 AND mobile_active_bom = 1
+           AND b_fixed_contract IS NOT NULL THEN 'Soft FMC'
+      WHEN (b_email IS NOT NULL AND b_fixed_contract IS NULL AND active_bom = 1) OR (active_bom = 1 AND mobile_active_bom = 1) THEN 'Near FMC'
+      WHEN fixed_account IS NOT NULL AND active_bom = 1 AND coalesce(mobile_active_bom, 0) = 0 THEN 'Fixed Only'
+      WHEN mobile_account IS NOT NULL AND mobile_active_bom = 1 AND coalesce(active_bom, 0) = 0 THEN 'Mobile Only'
+    END AS b_fmc_status,
+    CASE
+      WHEN fixed_account IS NOT NULL AND mobile_account IS NOT NULL AND active_eom = 1 AND mobile_active_eom = 1
+           AND e_fixed_contract IS NOT NULL THEN 'Soft FMC'
+      WHEN (e_email IS NOT NULL AND e_fixed_contract IS NULL AND active_eom = 1) OR (active_eom = 1 AND mobile_active_eom = 1) THEN 'Near FMC'
+      WHEN fixed_account IS NOT NULL AND active_eom = 1 AND coalesce(mobile_active_eom, 0) = 0 THEN 'Fixed Only'
+      WHEN mobile_account IS NOT NULL AND mobile_active_eom = 1 AND coalesce(active_eom, 0) = 0
+           AND mobile_churn_type IS NULL THEN 'Mobile Only'
+    END AS e_fmc_status
+  FROM fj
+),
+ft AS (
+  SELECT *,
+    CASE
+      WHEN b_fmc_status IN ('Fixed Only', 'Soft FMC', 'Near FMC') AND coalesce(mobile_active_bom, 0) = 0 AND b_mix = '1P' THEN 'Fixed 1P'
+      WHEN b_fmc_status IN ('Fixed Only', 'Soft FMC', 'Near FMC') AND coalesce(mobile_active_bom, 0) = 0 AND b_mix = '2P' THEN 'Fixed 2P'
+      WHEN b_fmc_status IN ('Fixed Only', 'Soft FMC', 'Near FMC') AND coalesce(mobile_active_bom, 0) = 0 AND b_mix = '3P' THEN 'Fixed 3P'
+      WHEN b_fmc_status IN ('Soft FMC', 'Near FMC') AND coalesce(active_bom, 0) = 0 THEN 'Mobile Only'
+      WHEN b_fmc_status = 'Mobile Only' THEN b_fmc_status
+      WHEN b_fmc_status IN ('Near FMC', 'Soft FMC') THEN b_fmc_status
+      WHEN final_bom_active_flag = 1 AND b_num_rgus = 0 THEN 'Fixed 0P'
+    END AS b_fmc_type,
+    CASE
+      WHEN e_fmc_status = 'Fixed Only' AND fixed_churner_type IS NOT NULL THEN NULL
+      WHEN e_fmc_status = 'Mobile Only' AND mobile_churn_type IS NOT NULL THEN NULL
+      WHEN e_fmc_status = 'Fixed Only' AND (coalesce(mobile_active_eom, 0) = 0 OR (mobile_active_eom = 1 AND mobile_churn_type IS NOT NULL))
+           AND e_mix = '1P' THEN 'Fixed 1P'
+      WHEN e_fmc_status = 'Fixed Only' AND (coalesce(mobile_active_eom, 0) = 0 OR (mobile_active_eom = 1 AND mobile_churn_type IS NOT NULL))
+           AND e_mix = '2P' THEN 'Fixed 2P'
+      WHEN e_fmc_status = 'Fixed Only' AND (coalesce(mobile_active_eom, 0) = 0 OR (mobile_active_eom = 1 AND mobile_churn_type IS NOT NULL))
+           AND e_mix = '3P' THEN 'Fixed 3P'
+      WHEN (e_fmc_status IN ('Soft FMC', 'Near FMC', 'Mobile Only')
+            AND (coalesce(active_eom, 0) = 0 OR (active_eom = 1 AND fixed_churner_type IS NOT NULL)))
+           OR (e_fmc_status = 'Mobile Only' OR (coalesce(active_eom, 0) = 0 AND mobile_active_eom = 1)) THEN 'Mobile Only'
+      WHEN e_fmc_status IN ('Soft FMC', 'Near FMC') AND fixed_churner_type IS NULL AND mobile_churn_type IS NULL
+           AND active_eom = 1 AND mobile_active_eom = 1 THEN e_fmc_status
+      WHEN final_eom_active_flag = 1 AND e_num_rgus = 0 THEN 'Fixed 0P'
+    END AS e_fmc_type,
+    CASE WHEN mobile_active_bom = 1 THEN 1 ELSE 0 END AS b_mobile_rgus,
+    CASE WHEN mobile_active_eom = 1 THEN 1 ELSE 0 END AS e_mobile_rgus,
+    CASE
+      WHEN b_fmc_status = 'Fixed Only' OR (b_fmc_status IN ('Soft FMC', 'Near FMC') AND active_bom = 1 AND mobile_active_bom = 1) THEN b_tech_flag
+      WHEN b_fmc_status = 'Mobile Only' OR (b_fmc_status IN ('Soft FMC', 'Near FMC', 'Undefined FMC') AND coalesce(active_bom, 0) = 0) THEN 'Wireless'
+    END AS b_final_tech_flag,
+    CASE
+      WHEN (e_fmc_status = 'Fixed Only' AND fixed_churner_type IS NULL)
+        OR (e_fmc_status IN ('Soft FMC', 'Near FMC') AND active_eom = 1 AND mobile_active_eom = 1 AND fixed_churner_type IS NULL) THEN e_tech_flag
+      WHEN e_fmc_status = 'Mobile Only' OR (e_fmc_status IN ('Soft FMC', 'Near FMC') AND coalesce(active_eom, 0) = 0) THEN 'Wireless'
+    END AS e_final_tech_flag,
+    coalesce(b_fixed_tenure_segment, b_mobile_tenure_segment) AS b_tenure_final_flag,
+    CASE WHEN e_fixed_tenure_segment IS NOT NULL AND fixed_churner_type IS NULL THEN e_fixed_tenure_segment
+         WHEN e_mobile_tenure_segment IS NOT NULL AND mobile_churn_type IS NULL THEN e_mobile_tenure_segment END AS e_tenure_final_flag
+  FROM fs
+),
+fg AS (
+  SELECT *,
+    CASE
+      WHEN b_fmc_type IN ('Soft FMC', 'Near FMC') AND b_mix = '1P' THEN 'P2'
+      WHEN b_fmc_type IN ('Soft FMC', 'Near FMC') AND b_mix = '2P' THEN 'P3'
+      WHEN b_fmc_type IN ('Soft FMC', 'Near FMC') AND b_mix = '3P' THEN 'P4'
+      WHEN b_fmc_type IN ('Soft FMC', 'Near FMC') AND b_mix = '0P' THEN 'P0'
+      WHEN b_fmc_type IN ('Fixed 1P', 'Fixed 2P', 'Fixed 3P')
+        OR (b_fmc_type IN ('Soft FMC', 'Near FMC') AND coalesce(mobile_active_bom, 0) = 0 AND active_bom = 1) THEN 'P1_Fixed'
+      WHEN b_fmc_type = 'Mobile Only' OR (b_fmc_type = 'Soft FMC' AND coalesce(active_bom, 0) = 0 AND mobile_active_bom = 1) THEN 'P1_Mobile'
+      WHEN b_fmc_type = 'Fixed 0P'
+        OR (b_fmc_type IN ('Soft FMC', 'Near FMC') AND coalesce(mobile_active_bom, 0) = 0 AND active_bom = 1) THEN 'P0_Fixed'
+    END AS b_fmc_segment,
+    CASE
+      WHEN e_fmc_type IN ('Soft FMC', 'Near FMC', 'Undefined FMC') AND active_eom = 1 AND mobile_active_eom = 1
+           AND fixed_churner_type IS NULL AND mobile_churn_type IS NULL AND e_mix = '1P' THEN 'P2'
+      WHEN e_fmc_type IN ('Soft FMC', 'Near FMC', 'Undefined FMC') AND active_eom = 1 AND mobile_active_eom = 1
+           AND fixed_churner_type IS NULL AND mobile_churn_type IS NULL AND e_mix = '2P' THEN 'P3'
+      WHEN e_fmc_type IN ('Soft FMC', 'Near FMC', 'Undefined FMC') AND active_eom = 1 AND mobile_active_eom = 1
+           AND fixed_churner_type IS NULL AND mobile_churn_type IS NULL AND e_mix = '3P' THEN 'P4'
+      WHEN (e_fmc_type IN ('Fixed 1P', 'Fixed 2P', 'Fixed 3P') OR (e_fmc_type IN ('Soft FMC', 'Near FMC') AND coalesce(mobile_active_eom, 0) = 0))
+           AND active_eom = 1 AND fixed_churner_type IS NULL THEN 'P1_Fixed'
+      WHEN (e_fmc_type = 'Mobile Only' OR (e_fmc_type = 'Soft FMC' AND coalesce(active_eom, 0) = 0))
+           AND mobile_active_eom = 1 AND mobile_churn_type IS NULL THEN 'P1_Mobile'
+      WHEN e_fmc_type = 'Fixed 0P' OR (e_fmc_type IN ('Soft FMC', 'Near FMC') AND coalesce(mobile_active_eom, 0) = 0 AND active_eom = 1) THEN 'P0_Fixed'
+      WHEN e_fmc_type IN ('Soft FMC', 'Near FMC') AND e_mix = '0P' THEN 'P0'
+    END AS e_fmc_segment,
+    CASE
+      WHEN (fixed_churner_type IS NOT NULL AND mobile_churn_type IS NOT NULL)
+        OR (b_fmc_status = 'Fixed Only' AND fixed_churner_type IS NOT NULL)
+        OR (b_fmc_status = 'Mobile Only' AND mobile_churn_type IS NOT NULL)
+        OR (fixed_churner_type IS NULL AND active_bom = 1 AND mobile_active_bom = 1
+            AND coalesce(active_eom, 0) = 0 AND coalesce(mobile_active_eom, 0) = 0) THEN 'Full Churner'
+      WHEN fixed_churner_type IS NOT NULL AND mobile_churn_type IS NULL THEN 'Fixed Churner'
+      WHEN fixed_churner_type IS NULL AND mobile_churn_type IS NOT NULL THEN 'Mobile Churner'
+      WHEN (fixed_churner_type IS NOT NULL AND coalesce(active_bom, 0) = 0)
+        OR (mobile_churn_type IS NOT NULL AND coalesce(mobile_active_bom, 0) = 0) THEN 'Previous churner'
+      ELSE 'Non Churner'
+    END AS final_churn_flag,
+    coalesce(b_bill_amt, 0.0) / contracts_fix + coalesce(b_mobile_mrc, 0.0) AS b_total_mrc,
+    coalesce(e_bill_amt, 0.0) / contracts_fix + coalesce(e_mobile_mrc, 0.0) AS e_total_mrc,
+    (coalesce(b_num_rgus, 0) + b_mobile_rgus) / contracts_fix AS b_total_rgus,
+    (coalesce(e_num_rgus, 0) + e_mobile_rgus) / contracts_fix AS e_total_rgus,
+    coalesce(fixed_rgu_churn, 0) / contracts_fix + coalesce(mobile_rgu_churn, 0) AS total_rgu_churn,
+    CASE
+      WHEN (fixed_rejoiner_type IS NOT NULL AND mobile_rejoiner_type IS NOT NULL)
+        OR ((fixed_rejoiner_type IS NOT NULL OR mobile_rejoiner_type IS NOT NULL) AND e_fmc_type IN ('Soft FMC', 'Near FMC')) THEN 'FMC Rejoiner'
+      WHEN fixed_rejoiner_type IS NOT NULL THEN 'Fixed Rejoiner'
+      WHEN mobile_rejoiner_type IS NOT NULL THEN 'Mobile Rejoiner'
+    END AS rejoiner_final_flag
+  FROM ft
+),
+fw AS (
+  SELECT *, round(e_total_mrc, 0) - round(b_total_mrc, 0) AS mrc_change,
+    CASE WHEN final_churn_flag = 'Full Churner' THEN 'Total Churner'
+         WHEN final_churn_flag IN ('Fixed Churner', 'Mobile Churner') THEN 'Partial Churner'
+         WHEN final_churn_flag = 'Previous churner' THEN 'Previous churner' END AS partial_total_churn_flag,
+    CASE WHEN fixed_churner_type = '1. Fixed Voluntary Churner' THEN 'Voluntary'
+         WHEN mobile_churn_type = '1. Mobile Voluntary Churner' THEN 'Voluntary'
+         WHEN fixed_churner_type = '2. Fixed Involuntary Churner' THEN 'Involuntary'
+         WHEN mobile_churn_type = '2. Mobile Involuntary Churner' THEN 'Involuntary'
+         WHEN main_movement = '03. Downsell' THEN 'Voluntary' END AS churn_type_final_flag,
+    CASE
+      WHEN final_churn_flag <> 'Non Churner' THEN final_churn_flag
+      WHEN b_total_rgus = e_total_rgus AND b_total_mrc = e_total_mrc THEN 'Maintain'
+      WHEN b_total_rgus < e_total_rgus THEN 'Upsell'
+      WHEN b_total_rgus > e_total_rgus THEN 'Downsell'
+      WHEN b_total_rgus = e_total_rgus AND b_total_mrc < e_total_mrc THEN 'Upspin'
+      WHEN b_total_rgus = e_total_rgus AND b_total_mrc > e_total_mrc THEN 'Downspin'
+      WHEN b_fmc_type IN ('Fixed 1P', 'Fixed 2P', 'Fixed 3P', 'Fixed 0P', 'Mobile Only') AND e_fmc_type IN ('Soft FMC', 'Near FMC') THEN 'FMC Packing'
+      WHEN final_bom_active_flag = 0 AND e_fmc_type IN ('Soft FMC', 'Near FMC') THEN 'FMC Gross Add'
+      WHEN fixed_rejoiner_type IS NOT NULL AND mobile_rejoiner_type IS NOT NULL THEN 'FMC Rejoiner'
+      WHEN fixed_rejoiner_type IS NOT NULL THEN 'Fixed Rejoiner'
+      WHEN mobile_rejoiner_type IS NOT NULL THEN 'Mobile Rejoiner'
+      WHEN main_movement IN ('04. Come Back to Life', '05. New Customer')
+           AND mobile_movement_flag IN ('05.Come Back To Life', '06.New Customer') THEN 'FMC Gross Add'
+      WHEN main_movement IN ('04. Come Back to Life', '05. New Customer') THEN 'Fixed Gross Add'
+      WHEN mobile_movement_flag IN ('05.Come Back To Life', '06.New Customer') THEN 'Mobile Gross Add'
+    END AS waterfall_flag,
+    coalesce(b_plan, '') || coalesce(CAST(mobile_active_bom AS VARCHAR), '-') AS b_plan_full,
+    coalesce(e_plan, '') || coalesce(CAST(mobile_active_eom AS VARCHAR), '-') AS e_plan_full
+  FROM fg
+),
+fmc_table AS (
+  SELECT *,
+    CASE WHEN waterfall_flag = 'Downsell' AND main_movement = '03. Downsell' THEN 'Voluntary'
+         WHEN waterfall_flag = 'Downsell' AND final_churn_flag <> 'Non Churner' THEN churn_type_final_flag
+         WHEN waterfall_flag = 'Downsell' AND main_movement = '06. Loss' THEN 'Undefined' END AS downsell_split,
+    CASE WHEN waterfall_flag = 'Downspin' THEN 'Voluntary' END AS downspin_split
+  FROM fw
+)
+"""
+
+FMC_COLS = ("month, final_account, fixed_account, mobile_account, final_bom_active_flag, final_eom_active_flag, "
+            "b_fmc_status, e_fmc_status, contracts_fix, b_fmc_type, e_fmc_type, b_final_tech_flag, e_final_tech_flag, "
+            "b_tenure_final_flag, e_tenure_final_flag, b_fmc_segment, e_fmc_segment, final_churn_flag, "
+            "round(b_total_mrc, 4) AS b_total_mrc, round(e_total_mrc, 4) AS e_total_mrc, "
+            "round(b_total_rgus, 4) AS b_total_rgus, round(e_total_rgus, 4) AS e_total_rgus, mrc_change, "
+            "round(total_rgu_churn, 4) AS total_rgu_churn, rejoiner_final_flag, partial_total_churn_flag, "
+            "churn_type_final_flag, waterfall_flag, b_plan_full, e_plan_full, downsell_split, downspin_split, "
+            "b_email, b_contr")
+
+FMC_ALL = (SNAP, FEAT, BASE, CHURN, MOBILE, NEAR, FMC)
+
+SQL["fmc_table"] = with_(*FMC_ALL) + f"SELECT {FMC_COLS} FROM fmc_table\n"
+
+SQL["email_match"] = with_(SNAP, MOBILE, NEAR) + "SELECT near_line, near_file, email, contr FROM near\n"
+
+SQL["fmc_grouped"] = with_(*FMC_ALL) + """
+SELECT month, e_fmc_segment, e_fmc_type, e_final_tech_flag, waterfall_flag,
+       count(DISTINCT final_account) AS accounts, round(sum(b_total_mrc), 2) AS b_mrc,
+       round(sum(e_total_mrc), 2) AS e_mrc, round(sum(total_rgu_churn), 4) AS rgu_churn
+FROM fmc_table GROUP BY ALL
+"""
+
+SQL["fmc_packing"] = with_(*FMC_ALL, """
+pb AS (SELECT DISTINCT month, coalesce(fixed_account, fmc_account) AS acct FROM fmc_table WHERE b_fmc_type IN ('Soft FMC', 'Near FMC')),
+pe AS (SELECT DISTINCT month, coalesce(fixed_account, fmc_account) AS acct FROM fmc_table WHERE e_fmc_type IN ('Soft FMC', 'Near FMC')),
+pk AS (SELECT month, count(*) AS packing FROM pe WHERE NOT EXISTS (SELECT 1 FROM pb WHERE pb.month = pe.month AND pb.acct = pe.acct) GROUP BY month),
+upk AS (SELECT month, count(*) AS unpacking FROM pb WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pb.month = pe.month AND pb.acct = pe.acct) GROUP BY month)
+""") + """
+SELECT coalesce(pk.month, upk.month) AS month, CAST(coalesce(packing, 0) AS BIGINT) AS packing,
+       CAST(coalesce(unpacking, 0) AS BIGINT) AS unpacking
+FROM pk FULL OUTER JOIN upk ON pk.month = upk.month
+"""

@@ -79,7 +79,7 @@ class Params:
     soft_dx_days: int = 26
     never_paid_days: int = 90
     early_contact_days: int = 21
-    early_ticket_days: int = 49  # 7 weeks
+    early_ticket_weeks: int = 7
     bill_shock_pct: float = 0.05
     outlier_install_days: int = 6
     contact_window_days: int = 60

@@ -147,3 +147,22 @@ def q_fmc_grouped(spark, sf):
 def q_fmc_packing(spark, sf):
     from churnlens.operators.convergence import fmc_packing
     return fmc_packing(_fmc(spark, sf), P)
+
+
+def _driver_inputs(spark, sf):
+    ev = T.load(spark, sf, "events")
+    return T.fixed_snapshot(ev), T.interactions(ev), T.service_orders(ev)
+
+
+@register("driver_summary")
+def q_driver_summary(spark, sf):
+    from churnlens.plans import drivers as DP
+    snap, inter, orders = _driver_inputs(spark, sf)
+    return DP.driver_summary(DP.drivers_master(_fmc(spark, sf), snap, inter, orders, P))
+
+
+@register("contact_tiers")
+def q_contact_tiers(spark, sf):
+    from churnlens.plans import drivers as DP
+    _, inter, _ = _driver_inputs(spark, sf)
+    return DP.contact_summary(DP.contact_master(_fmc(spark, sf), inter, P))

@@ -620,3 +620,193 @@ SELECT coalesce(pk.month, upk.month) AS month, CAST(coalesce(packing, 0) AS BIGI
        CAST(coalesce(unpacking, 0) AS BIGINT) AS unpacking
 FROM pk FULL OUTER JOIN upk ON pk.month = upk.month
 """
+
+# --- drivers ---------------------------------------------------------------
+def _sqlist(vals) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in vals)
+
+
+def _labels():
+    from churnlens import labels as L
+    return L
+
+
+_L = _labels()
+
+INTER = f"""
+inter AS (
+  SELECT CAST(user_id AS VARCHAR) AS account_id, 'RESIDENCIAL' AS account_type, CAST(event_id AS VARCHAR) AS interaction_id,
+    ts AS interaction_start_time,
+    CASE WHEN event_type = 'error' AND value < 50 THEN 'AVERIAS' WHEN event_type = 'error' THEN 'SIN SERVICIO INTERNET'
+         WHEN event_type = 'click' THEN 'FACTURACION/COBROS' WHEN event_type = 'view' THEN 'CONSULTA GENERAL'
+         WHEN event_type = 'purchase' THEN 'VENTANILLA' ELSE 'VENTAS' END AS interaction_purpose_descrip,
+    CASE WHEN value > 300 THEN 'ANULADA' ELSE 'CERRADA' END AS interaction_status
+  FROM events
+),
+dedup AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY account_id, CAST(interaction_start_time AS DATE), interaction_purpose_descrip
+                                 ORDER BY interaction_start_time DESC, interaction_id DESC) AS rn
+    FROM inter WHERE account_type IN ('RESIDENCIAL', 'PROGRAMA HOGARES CONECTADOS')) WHERE rn = 1
+),
+calls AS (
+  SELECT * FROM dedup WHERE interaction_status NOT IN ('ANULADA', 'CANCELADA')
+    AND interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)})
+),
+tickets AS (
+  SELECT * FROM dedup WHERE interaction_status <> 'ANULADA'
+    AND interaction_purpose_descrip IN ({_sqlist(_L.TECH_TICKET_PURPOSES)})
+)
+"""
+
+SORDERS = """
+sorders AS (
+  SELECT event_id AS order_id, CAST(user_id AS VARCHAR) AS account_name,
+    CASE WHEN event_type = 'signup' THEN 'INSTALACION' ELSE 'DESINSTALACION' END AS order_type,
+    CASE WHEN value >= 300 THEN 'CANCELADA' WHEN value >= 250 THEN 'ANULADA' ELSE 'FINALIZADA' END AS order_status,
+    CASE WHEN event_type = 'signup' THEN NULL WHEN value >= 200 THEN 'MOROSIDAD' ELSE 'VOLUNTARIO' END AS order_reason,
+    CAST(ts AS DATE) AS order_start_date,
+    CAST(CAST(ts AS DATE) + CAST(floor(value) AS INTEGER) % 10 AS DATE) AS completed_date,
+    ['TIENDA', 'TELEVENTAS', 'DIGITAL', 'PUERTA A PUERTA'][CAST(floor(value) AS INTEGER) % 4 + 1] AS channel_desc
+  FROM events WHERE event_type = 'signup' OR (event_type = 'error' AND value >= 100)
+)
+"""
+
+DRIVERS = f"""
+starts AS (SELECT act_acct_cd AS account, min(dt) AS first_dna_date, max(act_cust_strt_dt) AS last_start FROM snap GROUP BY ALL),
+f_early AS (
+  SELECT DISTINCT account, {wk('first_dna_date')} AS month FROM calls c JOIN starts s ON s.account = c.account_id
+  WHERE date_diff('day', last_start, CAST(interaction_start_time AS DATE)) <= 3
+),
+f_tech AS (
+  SELECT DISTINCT account, {wk('first_dna_date')} AS month FROM tickets c JOIN starts s ON s.account = c.account_id
+  WHERE floor(date_diff('day', last_start, CAST(interaction_start_time AS DATE)) / 7) <= 1
+     OR date_diff('day', last_start, CAST(interaction_start_time AS DATE)) < 0
+),
+f_long AS (
+  SELECT DISTINCT account_name AS account, {wk('completed_date')} AS month FROM sorders
+  WHERE order_type = 'INSTALACION' AND order_status = 'FINALIZADA' AND date_diff('day', order_start_date, completed_date) >= 6
+),
+act_snap AS (SELECT * FROM snap WHERE act_cust_typ IN ('RESIDENCIAL', 'PROGRAMA HOGARES CONECTADOS') AND act_acct_stat = 'ACTIVO'),
+f_sales AS (
+  SELECT DISTINCT i.act_acct_cd AS account, CASE WHEN inst >= {wk('f')} THEN inst ELSE {wk('f')} END AS month
+  FROM (SELECT DISTINCT act_acct_cd, {wk('act_acct_inst_dt')} AS inst FROM act_snap) i
+  JOIN (SELECT act_acct_cd, min(dt) AS f FROM act_snap GROUP BY ALL) m ON i.act_acct_cd = m.act_acct_cd
+),
+rep2 AS (
+  SELECT *, CASE
+      WHEN (fi_outst_age - pm > 2 AND fi_outst_age - nm > 2) OR (fi_outst_age - pm < -2 AND fi_outst_age - nm < -2) THEN pm + 1
+      WHEN fi_outst_age IS NULL AND nm = pm + 2 THEN pm + 1
+      ELSE fi_outst_age END AS mfix
+  FROM (SELECT *, lag(fi_outst_age) OVER (PARTITION BY act_acct_cd ORDER BY dt) AS pm,
+               lead(fi_outst_age) OVER (PARTITION BY act_acct_cd ORDER BY dt) AS nm FROM snap)
+),
+risk AS (
+  SELECT r.act_acct_cd AS account, {wk('act_cust_strt_dt')} AS month, max(mfix) AS od
+  FROM rep2 r JOIN (SELECT act_acct_cd, min(bill_dt_m0) AS fb FROM rep2 GROUP BY ALL) b ON r.act_acct_cd = b.act_acct_cd
+  WHERE {wk('oldest_unpaid_bill_dt')} = {wk('fb')}
+  GROUP BY ALL
+),
+f_claim AS (
+  SELECT DISTINCT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month FROM dedup
+  WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA'
+    AND interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)})
+),
+fd AS (SELECT act_acct_cd AS account, dt AS month, oldest_unpaid_bill_dt AS o, bill_dt_m0 FROM snap WHERE dt = {wk('dt')}),
+f_mount AS (
+  SELECT DISTINCT b.account, b.month FROM fd b JOIN fd a
+    ON a.account = b.account AND CAST(a.month + 7 AS DATE) = b.month AND a.o = b.o
+  WHERE b.bill_dt_m0 IS NOT NULL
+),
+dflags AS (
+  SELECT account, month,
+    max(CASE WHEN f = 'monthsale' THEN 1 ELSE 0 END) AS monthsale, max(CASE WHEN f = 'soft_dx' THEN 1 ELSE 0 END) AS soft_dx,
+    max(CASE WHEN f = 'never_paid' THEN 1 ELSE 0 END) AS never_paid, max(CASE WHEN f = 'long_install' THEN 1 ELSE 0 END) AS long_install,
+    max(CASE WHEN f = 'early_issue' THEN 1 ELSE 0 END) AS early_issue, max(CASE WHEN f = 'tech_call' THEN 1 ELSE 0 END) AS tech_call,
+    max(CASE WHEN f = 'bill_claim' THEN 1 ELSE 0 END) AS bill_claim, max(CASE WHEN f = 'mounting_bill' THEN 1 ELSE 0 END) AS mounting_bill
+  FROM (
+    SELECT account, month, 'monthsale' AS f FROM f_sales
+    UNION ALL SELECT account, month, 'soft_dx' FROM risk WHERE od >= 2
+    UNION ALL SELECT account, month, 'never_paid' FROM risk WHERE od >= 4
+    UNION ALL SELECT account, month, 'long_install' FROM f_long
+    UNION ALL SELECT account, month, 'early_issue' FROM f_early
+    UNION ALL SELECT account, month, 'tech_call' FROM f_tech
+    UNION ALL SELECT account, month, 'bill_claim' FROM f_claim
+    UNION ALL SELECT account, month, 'mounting_bill' FROM f_mount) u
+  GROUP BY ALL
+),
+dmaster AS (
+  SELECT t.*,
+    CASE WHEN monthsale = 1 THEN fixed_account END AS monthsale_flag, CASE WHEN soft_dx = 1 THEN fixed_account END AS soft_dx_flag,
+    CASE WHEN never_paid = 1 THEN fixed_account END AS never_paid_flag, CASE WHEN long_install = 1 THEN fixed_account END AS long_install_flag,
+    CASE WHEN early_issue = 1 THEN fixed_account END AS early_issue_flag, CASE WHEN tech_call = 1 THEN fixed_account END AS tech_call_flag,
+    CASE WHEN bill_claim = 1 THEN fixed_account END AS bill_claim_flag, CASE WHEN mounting_bill = 1 THEN fixed_account END AS mounting_bill_flag,
+    CASE WHEN b_plan_full = e_plan_full THEN fixed_account END AS no_plan_change_flag,
+    CASE WHEN abs(mrc_change) > b_total_mrc * 0.05 AND b_plan = e_plan AND b_plan_full = e_plan_full THEN fixed_account END AS increase_flag
+  FROM fmc_table t LEFT JOIN dflags d ON t.fixed_account = d.account AND t.month = d.month
+)
+"""
+
+_DFLAGS = ["monthsale_flag", "soft_dx_flag", "never_paid_flag", "long_install_flag", "early_issue_flag",
+           "tech_call_flag", "bill_claim_flag", "mounting_bill_flag", "increase_flag", "no_plan_change_flag"]
+
+SQL["driver_summary"] = with_(*FMC_ALL, INTER, SORDERS, DRIVERS, f"""
+per_acct AS (
+  SELECT month, fixed_account, {", ".join(f"max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END) AS {c}" for c in _DFLAGS)}
+  FROM dmaster WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception')
+    AND fixed_account IS NOT NULL GROUP BY ALL
+)""") + f"""
+SELECT month, count(*) AS activebase, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _DFLAGS)}
+FROM per_acct GROUP BY month
+"""
+
+CONTACTS = f"""
+cw_all AS (SELECT DISTINCT account_id AS account, interaction_id, CAST(interaction_start_time AS DATE) AS d FROM dedup),
+cw_last AS (SELECT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month,
+                   max(CAST(interaction_start_time AS DATE)) AS last_d FROM calls GROUP BY ALL),
+call_n AS (SELECT l.account, l.month, count(DISTINCT interaction_id) AS n FROM cw_last l JOIN cw_all a
+           ON a.account = l.account AND a.d BETWEEN CAST(l.last_d - 7 AS DATE) AND l.last_d GROUP BY ALL),
+tk_all AS (SELECT DISTINCT account_id AS account, interaction_id, CAST(interaction_start_time AS DATE) AS d FROM tickets),
+tk_last AS (SELECT account, {wk('d')} AS month, max(d) AS last_d FROM tk_all GROUP BY ALL),
+tk_n AS (SELECT l.account, l.month, count(DISTINCT interaction_id) AS n FROM tk_last l JOIN tk_all a
+         ON a.account = l.account AND a.d BETWEEN CAST(l.last_d - 7 AS DATE) AND l.last_d GROUP BY ALL),
+failed AS (SELECT DISTINCT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month FROM dedup
+           WHERE interaction_status IN ('CANCELADA', 'ANULADA')),
+dens AS (SELECT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month,
+                count(DISTINCT interaction_id) AS num_tech_tickets FROM dedup
+         WHERE interaction_purpose_descrip IN ({_sqlist(_L.TECH_TICKET_PURPOSES)}) GROUP BY ALL),
+cflags AS (
+  SELECT account, month,
+    max(CASE WHEN f = 'one_call' THEN 1 ELSE 0 END) AS one_call, max(CASE WHEN f = 'two_call' THEN 1 ELSE 0 END) AS two_call,
+    max(CASE WHEN f = 'multiple_call' THEN 1 ELSE 0 END) AS multiple_call,
+    max(CASE WHEN f = 'one_ticket' THEN 1 ELSE 0 END) AS one_ticket, max(CASE WHEN f = 'two_ticket' THEN 1 ELSE 0 END) AS two_ticket,
+    max(CASE WHEN f = 'multiple_ticket' THEN 1 ELSE 0 END) AS multiple_ticket,
+    max(CASE WHEN f = 'failed_visit' THEN 1 ELSE 0 END) AS failed_visit
+  FROM (
+    SELECT account, month, CASE WHEN n = 1 THEN 'one_call' WHEN n = 2 THEN 'two_call' ELSE 'multiple_call' END AS f FROM call_n
+    UNION ALL SELECT account, month, CASE WHEN n = 1 THEN 'one_ticket' WHEN n = 2 THEN 'two_ticket' ELSE 'multiple_ticket' END FROM tk_n
+    UNION ALL SELECT account, month, 'failed_visit' FROM failed) u
+  GROUP BY ALL
+),
+cmaster AS (
+  SELECT t.*, {", ".join(f"CASE WHEN {c} = 1 THEN fixed_account END AS {c}_flag" for c in
+                          ["one_call", "two_call", "multiple_call", "one_ticket", "two_ticket", "multiple_ticket", "failed_visit"])},
+         dens.num_tech_tickets
+  FROM fmc_table t LEFT JOIN cflags c ON t.fixed_account = c.account AND t.month = c.month
+  LEFT JOIN dens ON t.final_account = dens.account AND t.month = dens.month
+)
+"""
+
+_CFLAGS = ["one_call_flag", "two_call_flag", "multiple_call_flag", "one_ticket_flag", "two_ticket_flag",
+           "multiple_ticket_flag", "failed_visit_flag"]
+
+SQL["contact_tiers"] = with_(*FMC_ALL, INTER, CONTACTS, f"""
+per_acct AS (
+  SELECT month, fixed_account, {", ".join(f"max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END) AS {c}" for c in _CFLAGS)}
+  FROM cmaster WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception')
+    AND fixed_account IS NOT NULL GROUP BY ALL
+),
+s AS (SELECT month, count(*) AS activebase, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _CFLAGS)} FROM per_acct GROUP BY month),
+d AS (SELECT month, CAST(sum(num_tech_tickets) AS BIGINT) AS ticket_density FROM cmaster
+      WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception') GROUP BY month)
+""") + "SELECT s.*, d.ticket_density FROM s LEFT JOIN d ON s.month = d.month\n"

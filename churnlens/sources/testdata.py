@@ -31,7 +31,7 @@ WEEK = Grain("week")
 TEST_PARAMS = Params(
     grain=WEEK, invol_days=4, bom_max_overdue=4, eom_max_overdue=4,
     tenure_early=6, tenure_mid=12, soft_dx_days=2, never_paid_days=4,
-    early_contact_days=3, early_ticket_days=7, outlier_install_days=6,
+    early_contact_days=3, early_ticket_weeks=1, outlier_install_days=6,
     contact_window_days=7, ftr_days=2, rejoiner_periods=2, young_account_days=7,
 )
 

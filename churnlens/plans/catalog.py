@@ -166,3 +166,62 @@ def q_contact_tiers(spark, sf):
     from churnlens.plans import drivers as DP
     _, inter, _ = _driver_inputs(spark, sf)
     return DP.contact_summary(DP.contact_master(_fmc(spark, sf), inter, P))
+
+
+FUNNEL_STAGES = (("overdue", 2, None, "fi_outst_age_final", 0), ("soft_dx", 3, None, "fi_outst_age_final", 0),
+                 ("hard_dx", 4, None, "fi_outst_age_final", 1))
+FUNNEL_BANDS = (("day_one", 1, 2, "fi_outst_age_final", 0), ("soft_dx_band", 3, 3, "fi_outst_age_final", 0),
+                ("backlog", 4, 5, "fi_outst_age", 0), ("hard_dx_band", 6, 7, "fi_outst_age", 1))
+
+
+@register("overdue_from_payment")
+def q_overdue_from_payment(spark, sf):
+    from churnlens.operators.billing import overdue_from_payment
+    return overdue_from_payment(_snap(spark, sf), P).select(
+        "act_acct_cd", "dt", "oldest_unpaid_bill_final", "fi_outst_age_final")
+
+
+@register("debt_funnel")
+def q_debt_funnel(spark, sf):
+    from churnlens.operators.billing import debt_funnel, overdue_from_payment
+    return debt_funnel(overdue_from_payment(_snap(spark, sf), P), P, FUNNEL_STAGES)
+
+
+@register("debt_funnel_bands")
+def q_debt_funnel_bands(spark, sf):
+    from churnlens.operators.billing import debt_funnel, overdue_from_payment
+    return debt_funnel(overdue_from_payment(_snap(spark, sf), P), P, FUNNEL_BANDS)
+
+
+@register("retention_funnel")
+def q_retention_funnel(spark, sf):
+    from churnlens.operators.billing import retention_funnel
+    return retention_funnel(T.retention_requests(T.load(spark, sf, "events")), _fixed(spark, sf).base, P)
+
+
+def _bills(spark, sf):
+    return T.bills(T.load(spark, sf, "orders")), T.bill_moves(T.load(spark, sf, "lineitem"))
+
+
+MONTHLY = T.TEST_PARAMS.with_(grain=__import__("churnlens.params", fromlist=["Grain"]).Grain("month"))
+
+
+@register("bill_payments")
+def q_bill_payments(spark, sf):
+    from churnlens.operators.billing import bill_payments
+    b, m = _bills(spark, sf)
+    return bill_payments(b, m, MONTHLY)
+
+
+@register("oldest_unpaid_bill")
+def q_oldest_unpaid_bill(spark, sf):
+    from churnlens.operators.billing import bill_payments, oldest_unpaid
+    b, m = _bills(spark, sf)
+    return oldest_unpaid(bill_payments(b, m, MONTHLY), b, m, MONTHLY)
+
+
+@register("payment_reconciliation")
+def q_payment_reconciliation(spark, sf):
+    from churnlens.operators.billing import reconcile
+    b, m = _bills(spark, sf)
+    return reconcile(b, m)

@@ -810,3 +810,93 @@ s AS (SELECT month, count(*) AS activebase, {", ".join(f"CAST(sum({c}) AS BIGINT
 d AS (SELECT month, CAST(sum(num_tech_tickets) AS BIGINT) AS ticket_density FROM cmaster
       WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception') GROUP BY month)
 """) + "SELECT s.*, d.ticket_density FROM s LEFT JOIN d ON s.month = d.month\n"
+
+# --- billing ----------------------------------------------------------------
+OFP = f"""
+fin AS (
+  SELECT *, date_diff('day', oldest_unpaid_bill_final, dt) AS fi_outst_age_final FROM (
+    SELECT snap.*, CASE WHEN {wk('lst_pymt_dt')} = {wk('dt')} THEN NULL
+                        ELSE CAST({wk('lst_pymt_dt')} + 7 AS DATE) END AS oldest_unpaid_bill_final FROM snap)
+)
+"""
+
+SQL["overdue_from_payment"] = with_(SNAP, OFP) + \
+    "SELECT act_acct_cd, dt, oldest_unpaid_bill_final, fi_outst_age_final FROM fin\n"
+
+
+def _funnel_sql(stages) -> str:
+    ctes = [f"""cohort AS (SELECT DISTINCT act_acct_cd AS account, {wk('dt')} AS month FROM fin
+                WHERE {wk('bill_dt_m0')} = {wk('dt')} AND (fi_outst_age_final = 0 OR fi_outst_age_final IS NULL))"""]
+    joins, sel = [], []
+    for name, lo, hi, col, back in stages:
+        cond = f"{col} >= {lo}" if hi is None else f"{col} BETWEEN {lo} AND {hi}"
+        ctes.append(f"s_{name} AS (SELECT DISTINCT act_acct_cd AS account, CAST({wk('dt')} - {7 * back} AS DATE) AS month "
+                    f"FROM fin WHERE {cond})")
+        joins.append(f"LEFT JOIN s_{name} ON s_{name}.account = c.account AND s_{name}.month = c.month")
+        sel.append(f"count(s_{name}.account) AS {name}")
+    return with_(SNAP, OFP, *ctes) + f"SELECT c.month, count(*) AS billed, {', '.join(sel)} FROM cohort c " \
+        + " ".join(joins) + " GROUP BY c.month\n"
+
+
+FUNNEL_STAGES = (("overdue", 2, None, "fi_outst_age_final", 0), ("soft_dx", 3, None, "fi_outst_age_final", 0),
+                 ("hard_dx", 4, None, "fi_outst_age_final", 1))
+FUNNEL_BANDS = (("day_one", 1, 2, "fi_outst_age_final", 0), ("soft_dx_band", 3, 3, "fi_outst_age_final", 0),
+                ("backlog", 4, 5, "fi_outst_age", 0), ("hard_dx_band", 6, 7, "fi_outst_age", 1))
+
+SQL["debt_funnel"] = _funnel_sql(FUNNEL_STAGES)
+SQL["debt_funnel_bands"] = _funnel_sql(FUNNEL_BANDS)
+
+SQL["retention_funnel"] = with_(SNAP, FEAT, BASE, f"""
+req AS (SELECT CAST(user_id AS VARCHAR) AS contrato, CAST(ts AS DATE) AS request_date,
+               CASE WHEN value >= 100 THEN 'CONTACTADO' ELSE 'NO CONTACTADO' END AS contactabilidad,
+               CASE WHEN value >= 200 THEN 'RETENIDO' ELSE 'NO RETENIDO' END AS solucion
+        FROM events WHERE event_type = 'error'),
+rper AS (SELECT contrato AS account, {wk('request_date')} AS month,
+                max(CASE WHEN contactabilidad = 'CONTACTADO' THEN 1 ELSE 0 END) AS loc,
+                max(CASE WHEN solucion = 'RETENIDO' THEN 1 ELSE 0 END) AS ret FROM req GROUP BY ALL),
+rj AS (SELECT rper.*, coalesce(b_num_rgus, 0) AS rgus FROM rper LEFT JOIN base ON fixed_account = account AND fixed_month = month)
+""") + """
+SELECT month, count(*) AS requests, CAST(sum(loc) AS BIGINT) AS located, CAST(sum(ret) AS BIGINT) AS retained,
+       CAST(sum(rgus) AS BIGINT) AS request_rgus, CAST(sum(rgus * loc) AS BIGINT) AS located_rgus,
+       CAST(sum(rgus * ret) AS BIGINT) AS retained_rgus
+FROM rj GROUP BY month
+"""
+
+BILLS = """
+bills AS (SELECT CAST(o_custkey AS VARCHAR) AS contrato, CAST(o_orderkey AS VARCHAR) AS factura,
+                 CAST(o_orderdate AS DATE) AS fecha_fact, round(o_totalprice, 2) AS monto_fact FROM orders),
+moves AS (SELECT CAST(l_orderkey AS VARCHAR) AS fact_aplica, CAST(l_shipdate AS DATE) AS fecha_mov,
+                 CAST(round(CAST(l_extendedprice AS DECIMAL(9, 2)) * (1 - CAST(l_discount AS DECIMAL(3, 2)))
+                       * (1 + CAST(l_tax AS DECIMAL(3, 2))), 2) AS DOUBLE) AS monto_mov FROM lineitem),
+pay AS (SELECT fact_aplica AS factura, min(fecha_mov) AS first_payment FROM moves GROUP BY ALL),
+bp AS (
+  SELECT contrato, month, factura AS first_bill, fecha_fact AS bill_date, first_payment FROM (
+    SELECT b.*, p.first_payment AS first_payment, CAST(date_trunc('month', fecha_fact) AS DATE) AS month,
+           row_number() OVER (PARTITION BY b.contrato, date_trunc('month', b.fecha_fact) ORDER BY b.fecha_fact, b.factura) AS rn
+    FROM bills b LEFT JOIN pay p ON b.factura = p.factura) WHERE rn = 1
+)
+"""
+
+SQL["bill_payments"] = with_(BILLS) + "SELECT contrato, month, first_bill, bill_date, first_payment FROM bp\n"
+
+SQL["oldest_unpaid_bill"] = with_(BILLS, """
+prev AS (SELECT contrato AS pc, CAST(month + INTERVAL 1 MONTH AS DATE) AS pm, bill_date AS prev_bill,
+                first_payment AS prev_paid FROM bp),
+never AS (SELECT contrato AS nc, min(fecha_fact) AS never_paid_bill FROM bills
+          WHERE factura NOT IN (SELECT fact_aplica FROM moves) GROUP BY ALL),
+ou AS (SELECT bp.*, prev_bill, prev_paid, never_paid_bill,
+              CAST(month + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS period_end
+       FROM bp LEFT JOIN prev ON contrato = pc AND month = pm LEFT JOIN never ON contrato = nc),
+ou2 AS (SELECT *, CASE
+    WHEN prev_bill IS NOT NULL AND (prev_paid IS NULL OR prev_paid > period_end) THEN prev_bill
+    WHEN bill_date <= period_end AND (first_payment IS NULL OR first_payment > period_end) THEN bill_date
+    WHEN never_paid_bill <= period_end THEN never_paid_bill END AS oldest_unpaid_bill FROM ou)
+""") + """
+SELECT contrato, month, period_end, oldest_unpaid_bill, date_diff('day', oldest_unpaid_bill, period_end) AS overdue_days FROM ou2
+"""
+
+SQL["payment_reconciliation"] = with_(BILLS) + """
+SELECT b.factura, b.monto_fact AS billed, p.paid, round(b.monto_fact - p.paid, 2) AS difference
+FROM bills b JOIN (SELECT fact_aplica AS factura, round(sum(monto_mov), 2) AS paid FROM moves GROUP BY ALL) p
+  ON b.factura = p.factura
+"""

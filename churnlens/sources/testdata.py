@@ -194,5 +194,20 @@ def bill_moves(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_orderkey").cast("string").alias("fact_aplica"),
         F.to_date("l_shipdate").alias("fecha_mov"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 2).alias("monto_mov"),
+        # exact decimal arithmetic, so the 2-decimal rounding has no binary ties
+        F.round(F.col("l_extendedprice").cast("decimal(9,2)") * (1 - F.col("l_discount").cast("decimal(3,2)"))
+                * (1 + F.col("l_tax").cast("decimal(3,2)")), 2).cast("double").alias("monto_mov"),
+    )
+
+
+def retention_requests(events: DataFrame) -> DataFrame:
+    """Disconnection requests from ``error`` events; large values were
+    located (contacted), larger ones retained."""
+    e = events.where(F.col("event_type") == "error")
+    v = F.col("value")
+    return e.select(
+        F.col("user_id").cast("string").alias("contrato"),
+        F.to_date("ts").alias("request_date"),
+        F.when(v >= 100, "CONTACTADO").otherwise("NO CONTACTADO").alias("contactabilidad"),
+        F.when(v >= 200, "RETENIDO").otherwise("NO RETENIDO").alias("solucion"),
     )

@@ -225,3 +225,65 @@ def q_payment_reconciliation(spark, sf):
     from churnlens.operators.billing import reconcile
     b, m = _bills(spark, sf)
     return reconcile(b, m)
+
+
+@register("all_null_accounts")
+def q_all_null_accounts(spark, sf):
+    from churnlens.operators.quality import all_null_accounts
+    return all_null_accounts(_snap(spark, sf), P)
+
+
+@register("intermittent_products")
+def q_intermittent_products(spark, sf):
+    from churnlens.operators.quality import intermittent
+    return intermittent(_snap(spark, sf), P)
+
+
+@register("overdue_histogram")
+def q_overdue_histogram(spark, sf):
+    from churnlens.operators.quality import overdue_histogram
+    return overdue_histogram(S.repair_overdue(population(_snap(spark, sf)), P), P)
+
+
+def _dedup(spark, sf):
+    from churnlens.operators.drivers import dedupe_interactions
+    return dedupe_interactions(T.interactions(T.load(spark, sf, "events")))
+
+
+@register("first_time_resolution")
+def q_first_time_resolution(spark, sf):
+    from churnlens.operators import drivers as D
+    from churnlens.operators.kpi import first_time_resolution
+    d = _dedup(spark, sf)
+    return first_time_resolution(D.calls(d), D.billing_calls(d), P)
+
+
+def _kpi_rows(spark, sf):
+    from churnlens.operators import drivers as D
+    from churnlens.operators import kpi as K
+    d = _dedup(spark, sf)
+    fx = _fixed(spark, sf)
+    rgus = K.rgus_per_period(fx.base)
+    p1 = K.per_thousand(K.count_per_period(D.tech_tickets(d), P, "tickets"), rgus, "tickets", "rgus",
+                        "tech_tickets_per_1k_rgu", "TEST")
+    p2 = K.per_thousand(K.count_per_period(D.calls(d), P, "calls"), rgus, "calls", "rgus",
+                        "care_calls_per_1k_rgu", "TEST")
+    p3 = K.ratio_kpi(K.calls_per_variation(D.billing_claims(d, P), fx.table), "callers", "variations",
+                     "billing_calls_per_bill_variation", "TEST")
+    p4 = K.ratio_kpi(K.first_time_resolution(D.calls(d), D.billing_calls(d), P), "resolved", "billing_calls",
+                     "first_time_resolution", "TEST")
+    p5 = K.shift_kpi(p4, 1, P)
+    months = p1.select("month").unionByName(p4.select("month")).distinct()
+    p6 = K.kpi_placeholders(months, ["nps_detractors", "digital_payment_share"], "TEST")
+    return K.kpi_long_table([p1, p2, p3, p4, p5, p6])
+
+
+@register("kpi_table")
+def q_kpi_table(spark, sf):
+    return _kpi_rows(spark, sf)
+
+
+@register("kpi_overall")
+def q_kpi_overall(spark, sf):
+    from churnlens.operators.kpi import kpi_overall
+    return kpi_overall(_kpi_rows(spark, sf))

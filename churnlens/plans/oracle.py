@@ -900,3 +900,79 @@ SELECT b.factura, b.monto_fact AS billed, p.paid, round(b.monto_fact - p.paid, 2
 FROM bills b JOIN (SELECT fact_aplica AS factura, round(sum(monto_mov), 2) AS paid FROM moves GROUP BY ALL) p
   ON b.factura = p.factura
 """
+
+# --- quality ----------------------------------------------------------------
+SQL["all_null_accounts"] = with_(SNAP) + f"""
+SELECT month, account, days FROM (
+  SELECT act_acct_cd AS account, {wk('dt')} AS month, count(*) AS days,
+         sum(CASE WHEN coalesce(fi_vo_mrc_amt, 0.0) + coalesce(fi_tv_mrc_amt, 0.0) + coalesce(fi_bb_mrc_amt, 0.0) = 0
+                  THEN 1 ELSE 0 END) AS null_days
+  FROM snap GROUP BY ALL) WHERE days = null_days
+"""
+
+SQL["intermittent_products"] = with_(SNAP) + f"""
+SELECT month, count(*) AS intermittent_accounts FROM (
+  SELECT act_acct_cd, {wk('dt')} AS month,
+    max(CASE WHEN coalesce(pd_vo_prod_nm, '') <> '' OR coalesce(pd_tv_prod_nm, '') <> '' OR coalesce(pd_bb_prod_nm, '') <> ''
+             THEN 1 ELSE 0 END) AS w,
+    min(CASE WHEN coalesce(pd_vo_prod_nm, '') <> '' OR coalesce(pd_tv_prod_nm, '') <> '' OR coalesce(pd_bb_prod_nm, '') <> ''
+             THEN 1 ELSE 0 END) AS wo
+  FROM snap GROUP BY ALL) WHERE w = 1 AND wo = 0 GROUP BY month
+"""
+
+SQL["overdue_histogram"] = with_(SNAP, FEAT) + """
+SELECT month, mora_fix, count(DISTINCT act_acct_cd) AS accounts FROM rep GROUP BY ALL
+"""
+
+# --- KPIs -------------------------------------------------------------------
+FTR = """
+fdays AS (
+  SELECT account, day, max(b) AS is_billing FROM (
+    SELECT account_id AS account, CAST(interaction_start_time AS DATE) AS day, 0 AS b FROM calls
+    UNION ALL
+    SELECT account_id, CAST(interaction_start_time AS DATE), 1 FROM dedup
+    WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA' AND interaction_purpose_descrip IN (""" + \
+    _sqlist(_L.BILLING_PURPOSES) + f""")) GROUP BY ALL
+),
+ftr AS (
+  SELECT {wk('day')} AS month, CAST(sum(CASE WHEN nx IS NULL OR date_diff('day', day, nx) > 2 THEN 1 ELSE 0 END) AS BIGINT) AS resolved,
+         count(*) AS billing_calls
+  FROM (SELECT *, lead(day) OVER (PARTITION BY account ORDER BY day) AS nx FROM fdays) WHERE is_billing = 1 GROUP BY ALL
+)
+"""
+
+SQL["first_time_resolution"] = with_(INTER, FTR) + "SELECT month, resolved, billing_calls FROM ftr\n"
+
+KPI = f"""
+rg AS (SELECT fixed_month AS month, CAST(sum(coalesce(e_num_rgus, 0)) AS BIGINT) AS rgus FROM base WHERE active_eom = 1 GROUP BY ALL),
+tk AS (SELECT {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS tickets FROM tickets GROUP BY ALL),
+cl AS (SELECT {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS calls FROM calls GROUP BY ALL),
+bcl AS (SELECT DISTINCT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month FROM dedup
+        WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA' AND interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)})),
+var AS (SELECT DISTINCT fixed_account AS account, fixed_month AS month FROM fixed_table WHERE spin_movement <> '3. No Spin'),
+cpv AS (SELECT var.month, count(bcl.account) AS callers, count(*) AS variations FROM var
+        LEFT JOIN bcl ON var.account = bcl.account AND var.month = bcl.month GROUP BY ALL),
+p1 AS (SELECT tk.month, 'TEST' AS market, 'tech_tickets_per_1k_rgu' AS kpi_name, round(tickets * 1000.0 / NULLIF(rgus, 0), 4) AS measure,
+              CAST(tickets AS DOUBLE) AS numerator, CAST(rgus AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM tk JOIN rg ON tk.month = rg.month),
+p2 AS (SELECT cl.month, 'TEST', 'care_calls_per_1k_rgu', round(calls * 1000.0 / NULLIF(rgus, 0), 4),
+              CAST(calls AS DOUBLE), CAST(rgus AS DOUBLE), 'M-0' FROM cl JOIN rg ON cl.month = rg.month),
+p3 AS (SELECT month, 'TEST', 'billing_calls_per_bill_variation', round(CAST(callers AS DOUBLE) / NULLIF(variations, 0), 4),
+              CAST(callers AS DOUBLE), CAST(variations AS DOUBLE), 'M-0' FROM cpv),
+p4 AS (SELECT month, 'TEST' AS market, 'first_time_resolution' AS kpi_name, round(CAST(resolved AS DOUBLE) / NULLIF(billing_calls, 0), 4) AS measure,
+              CAST(resolved AS DOUBLE) AS numerator, CAST(billing_calls AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM ftr),
+p5 AS (SELECT CAST(month + 7 AS DATE), market, kpi_name, measure, numerator, denominator, 'M-1' FROM p4),
+months AS (SELECT month FROM p1 UNION SELECT month FROM p4),
+p6 AS (SELECT month, 'TEST', n, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'M-0'
+       FROM months, (SELECT unnest(['nps_detractors', 'digital_payment_share']) AS n)),
+kpi_rows AS (SELECT * FROM p1 UNION SELECT * FROM p2 UNION SELECT * FROM p3 UNION SELECT * FROM p4
+             UNION SELECT * FROM p5 UNION SELECT * FROM p6)
+"""
+
+SQL["kpi_table"] = with_(SNAP, FEAT, BASE, CHURN, INTER, FTR, KPI) + "SELECT * FROM kpi_rows\n"
+
+SQL["kpi_overall"] = with_(SNAP, FEAT, BASE, CHURN, INTER, FTR, KPI) + """
+SELECT month, CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month_num, kpi_name,
+  round(CASE WHEN count(numerator) = 0 AND count(denominator) = 0 THEN sum(measure)
+             WHEN count(numerator) > 0 AND count(denominator) > 0 THEN sum(numerator) / NULLIF(sum(denominator), 0) END, 4) AS overall
+FROM kpi_rows GROUP BY month, kpi_name
+"""

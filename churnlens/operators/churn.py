@@ -197,3 +197,44 @@ def effective_rejoiners(pool: DataFrame, base: DataFrame, params: Params = Param
     eff = pool.select("account", "month").join(closing, ["account", "month"], "inner") \
               .join(prev, ["account", "month"], "left_anti")
     return eff.groupBy("month").agg(F.count_distinct("account").alias("effective_rejoiners"))
+
+
+def _uninstalls(orders: DataFrame, exclude_status=()) -> DataFrame:
+    """Uninstall orders with a status. The reference's filter
+    ``status <> 'CANCELADA' OR status <> 'ANULADA'`` keeps every non-null
+    status; ``exclude_status`` applies the intended exclusion instead."""
+    u = orders.where((F.col("order_type") == L.ORDER_UNINSTALL) & F.col("order_status").isNotNull())
+    if exclude_status:
+        u = u.where(~F.col("order_status").isin(list(exclude_status)))
+    return u
+
+
+def _order_type(reason) -> "F.Column":
+    return F.when(reason == L.ORDER_REASON_INVOL, F.lit(L.FIXED_INVOL)).otherwise(F.lit(L.FIXED_VOL))
+
+
+def churn_by_order(orders: DataFrame, snap: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,
+                   exclude_status=()) -> DataFrame:
+    """Churn from the account's last uninstall order (D35): reason
+    ``MOROSIDAD`` is involuntary, others voluntary; it counts only when the
+    account's last snapshot is at most ``churn_order_periods`` periods after
+    the order. Both sides are reduced to one row per account first."""
+    g = params.grain
+    u = _uninstalls(orders, exclude_status)
+    last = u.groupBy(F.col("account_name").alias("account")).agg(
+        F.max_by(F.struct(F.col("order_start_date").alias("d"), F.col("order_reason").alias("r")),
+                 F.struct("order_start_date", "order_id")).alias("_o"))
+    ls = snap.groupBy(F.col(key).alias("account")).agg(F.max(day).alias("last_snapshot"))
+    j = last.join(ls, "account", "inner").where(
+        g.periods_between(F.col("_o.d"), F.col("last_snapshot")) <= params.churn_order_periods)
+    return j.select("account", g.trunc(F.col("_o.d")).alias("churn_month"), _order_type(F.col("_o.r")).alias("churn_type"))
+
+
+def churn_by_first_order(orders: DataFrame, params: Params = Params(), exclude_status=()) -> DataFrame:
+    """Type of the account's first uninstall order."""
+    g = params.grain
+    first = _uninstalls(orders, exclude_status).groupBy(F.col("account_name").alias("account")).agg(
+        F.min_by(F.struct(F.col("order_start_date").alias("d"), F.col("order_reason").alias("r")),
+                 F.struct("order_start_date", "order_id")).alias("_o"))
+    return first.select("account", g.trunc(F.col("_o.d")).alias("first_order_month"),
+                        _order_type(F.col("_o.r")).alias("churn_type"))

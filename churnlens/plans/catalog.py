@@ -287,3 +287,27 @@ def q_kpi_table(spark, sf):
 def q_kpi_overall(spark, sf):
     from churnlens.operators.kpi import kpi_overall
     return kpi_overall(_kpi_rows(spark, sf))
+
+
+@register("churn_by_order")
+def q_churn_by_order(spark, sf):
+    from churnlens.operators.churn import churn_by_order
+    snap, _, orders = _driver_inputs(spark, sf)
+    return churn_by_order(orders, snap, P)
+
+
+@register("churn_by_first_order")
+def q_churn_by_first_order(spark, sf):
+    from churnlens.operators.churn import churn_by_first_order
+    _, _, orders = _driver_inputs(spark, sf)
+    return churn_by_first_order(orders, P)
+
+
+@register("gross_adds")
+def q_gross_adds(spark, sf):
+    return M.gross_adds(_snap(spark, sf), P)
+
+
+@register("user_base_by_mix")
+def q_user_base_by_mix(spark, sf):
+    return M.user_base(_fixed(spark, sf).table)

@@ -976,3 +976,40 @@ SELECT month, CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER
              WHEN count(numerator) > 0 AND count(denominator) > 0 THEN sum(numerator) / NULLIF(sum(denominator), 0) END, 4) AS overall
 FROM kpi_rows GROUP BY month, kpi_name
 """
+
+# --- churn by service orders, gross adds, user base -------------------------
+UNINST = """
+u AS (SELECT * FROM sorders WHERE order_type = 'DESINSTALACION' AND order_status IS NOT NULL)
+"""
+
+SQL["churn_by_order"] = with_(SNAP, SORDERS, UNINST, """
+lo AS (SELECT account_name, order_start_date AS d, order_reason AS r FROM (
+         SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY order_start_date DESC, order_id DESC) AS rn FROM u)
+       WHERE rn = 1),
+ls AS (SELECT act_acct_cd, max(dt) AS last_snapshot FROM snap GROUP BY ALL)
+""") + f"""
+SELECT account_name AS account, {wk('d')} AS churn_month,
+       CASE WHEN r = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' ELSE '1. Fixed Voluntary Churner' END AS churn_type
+FROM lo JOIN ls ON act_acct_cd = account_name
+WHERE floor(date_diff('day', {wk('d')}, {wk('last_snapshot')}) / 7) <= 1
+"""
+
+SQL["churn_by_first_order"] = with_(SORDERS, UNINST) + f"""
+SELECT account_name AS account, {wk('order_start_date')} AS first_order_month,
+       CASE WHEN order_reason = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' ELSE '1. Fixed Voluntary Churner' END AS churn_type
+FROM (SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY order_start_date, order_id) AS rn FROM u) WHERE rn = 1
+"""
+
+SQL["gross_adds"] = with_(SNAP, f"""
+fst AS (SELECT act_acct_cd, min(act_cust_strt_dt) AS fs, min(dt) AS f FROM snap GROUP BY ALL),
+ga AS (SELECT act_acct_cd, {wk('f')} AS month FROM fst WHERE {wk('fs')} = {wk('f')}),
+rev AS (SELECT act_acct_cd, {wk('dt')} AS month, sum(fi_bill_amt_m0) AS rev FROM snap GROUP BY ALL)
+""") + """
+SELECT ga.month, count(DISTINCT ga.act_acct_cd) AS gross_adds, round(sum(rev), 2) AS gross_add_revenue
+FROM ga JOIN rev ON ga.act_acct_cd = rev.act_acct_cd AND ga.month = rev.month GROUP BY ga.month
+"""
+
+SQL["user_base_by_mix"] = with_(SNAP, FEAT, BASE, CHURN) + """
+SELECT fixed_month, e_mix, e_fixed_tenure_segment, e_tech_flag, count(DISTINCT fixed_account) AS users
+FROM fixed_table WHERE active_eom = 1 GROUP BY ALL
+"""

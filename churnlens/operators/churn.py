@@ -238,3 +238,24 @@ def churn_by_first_order(orders: DataFrame, params: Params = Params(), exclude_s
                  F.struct("order_start_date", "order_id")).alias("_o"))
     return first.select("account", g.trunc(F.col("_o.d")).alias("first_order_month"),
                         _order_type(F.col("_o.r")).alias("churn_type"))
+
+
+def churn_by_order_type(base: DataFrame, orders: DataFrame, params: Params = Params(),
+                        vol_label: str = "V_DISCO", invol_label: str = "NON PAY") -> DataFrame:
+    """Attach the period's disconnection orders to the base (D40): an
+    involuntary reason is ``NON PAY``, any other ``V_DISCO``; with both in
+    one period the involuntary wins."""
+    g = params.grain
+    u = _uninstalls(orders)
+    t = F.when(F.col("order_reason") == L.ORDER_REASON_INVOL, F.lit(invol_label)).otherwise(F.lit(vol_label))
+    per = (u.groupBy(F.col("account_name").alias("_oa"), g.trunc(F.col("order_start_date")).alias("_om"))
+            .agg(F.max(F.when(t == invol_label, 1).otherwise(0)).alias("_inv")))
+    j = base.join(per, (F.col("fixed_account") == F.col("_oa")) & (F.col("fixed_month") == F.col("_om")), "left")
+    return j.withColumn("order_churn_type", F.when(F.col("_inv") == 1, F.lit(invol_label))
+                        .when(F.col("_inv") == 0, F.lit(vol_label))).drop("_oa", "_om", "_inv")
+
+
+def voluntary_counts(orders: DataFrame) -> DataFrame:
+    """Voluntary disconnection lines by day."""
+    u = _uninstalls(orders).where(F.col("order_reason") != L.ORDER_REASON_INVOL)
+    return u.groupBy(F.col("order_start_date").alias("day")).agg(F.count(F.lit(1)).alias("voluntary_lines"))

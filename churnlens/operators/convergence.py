@@ -319,3 +319,30 @@ def fmc_packing(df: DataFrame, params: Params = Params()) -> DataFrame:
     return packing.join(unpacking, "month", "full").select(
         "month", F.coalesce("packing", F.lit(0)).cast("long").alias("packing"),
         F.coalesce("unpacking", F.lit(0)).cast("long").alias("unpacking"))
+
+
+def phone_match(fixed: DataFrame, mobile: DataFrame, phone_cols=("act_contact_phone_1", "act_contact_phone_2",
+                                                                  "act_contact_phone_3"),
+                key: str = "act_acct_cd", mobile_phone: str = "num_telefono") -> DataFrame:
+    """Best of several contact phones that exists in the mobile base.
+
+    The phones are unpivoted with their priority (``stack``), joined once to
+    the distinct mobile phones and reduced per account with ``min_by`` on the
+    priority: one join instead of a union of one join per phone column."""
+    cols = [c for c in phone_cols if c in fixed.columns]
+    pairs = ", ".join(f"{i}, {c}" for i, c in enumerate(cols, 1))
+    long = fixed.selectExpr(key, f"stack({len(cols)}, {pairs}) AS (priority, phone)").where(F.col("phone").isNotNull())
+    mob = mobile.select(F.col(mobile_phone).alias("phone")).where(F.col("phone").isNotNull()).distinct()
+    return (long.join(mob, "phone", "inner").groupBy(key)
+                .agg(F.min_by("phone", "priority").alias("matched_phone"), F.min("priority").alias("phone_priority")))
+
+
+def household_match(fixed: DataFrame, mobile: DataFrame, household: str = "household_id", day: str = "dt",
+                    key: str = "act_acct_cd", line: str = "mobile_account") -> DataFrame:
+    """Real FMC (D62): a fixed account and a mobile line of the same household
+    on the same day, kept when both bases have the pair. Each side is reduced
+    to one row per (household, day) — the smallest account/line — so a large
+    household yields one pair, not all combinations."""
+    f = fixed.groupBy(household, day).agg(F.min(key).alias("fmc_fixed"))
+    m = mobile.groupBy(household, day).agg(F.min(line).alias("fmc_mobile"))
+    return f.join(m, [household, day], "inner")

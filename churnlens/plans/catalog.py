@@ -311,3 +311,19 @@ def q_gross_adds(spark, sf):
 @register("user_base_by_mix")
 def q_user_base_by_mix(spark, sf):
     return M.user_base(_fixed(spark, sf).table)
+
+
+@register("churn_by_order_type")
+def q_churn_by_order_type(spark, sf):
+    from churnlens.operators.churn import churn_by_order_type
+    _, _, orders = _driver_inputs(spark, sf)
+    b = churn_by_order_type(_fixed(spark, sf).base, orders, P)
+    return (b.where(F.col("order_churn_type").isNotNull())
+             .groupBy("fixed_month", "order_churn_type", "active_eom").agg(F.count(F.lit(1)).alias("accounts")))
+
+
+@register("voluntary_counts")
+def q_voluntary_counts(spark, sf):
+    from churnlens.operators.churn import voluntary_counts
+    _, _, orders = _driver_inputs(spark, sf)
+    return voluntary_counts(orders)

@@ -1013,3 +1013,16 @@ SQL["user_base_by_mix"] = with_(SNAP, FEAT, BASE, CHURN) + """
 SELECT fixed_month, e_mix, e_fixed_tenure_segment, e_tech_flag, count(DISTINCT fixed_account) AS users
 FROM fixed_table WHERE active_eom = 1 GROUP BY ALL
 """
+
+SQL["churn_by_order_type"] = with_(SNAP, FEAT, BASE, SORDERS, UNINST, f"""
+per AS (SELECT account_name AS oa, {wk('order_start_date')} AS om,
+               max(CASE WHEN order_reason = 'MOROSIDAD' THEN 1 ELSE 0 END) AS inv FROM u GROUP BY ALL)
+""") + """
+SELECT fixed_month, CASE WHEN inv = 1 THEN 'NON PAY' ELSE 'V_DISCO' END AS order_churn_type, active_eom,
+       count(*) AS accounts
+FROM base JOIN per ON fixed_account = oa AND fixed_month = om GROUP BY ALL
+"""
+
+SQL["voluntary_counts"] = with_(SORDERS, UNINST) + """
+SELECT order_start_date AS day, count(*) AS voluntary_lines FROM u WHERE order_reason <> 'MOROSIDAD' GROUP BY ALL
+"""

@@ -98,3 +98,43 @@ def test_not_in_with_null_keys_is_anti_join(spark):
     b.createOrReplaceTempView("b_t")
     assert spark.sql("SELECT * FROM a_t WHERE k NOT IN (SELECT k FROM b_t)").count() == 0
     assert [r.k for r in a.join(b.where("k IS NOT NULL"), "k", "left_anti").collect()] == ["2"]
+
+
+def test_phone_match_prefers_first_phone(spark):
+    from churnlens.operators.convergence import phone_match
+    fx = spark.createDataFrame([("A", "1", "2", "3"), ("B", None, "5", "3"), ("C", "9", None, None)],
+                               "act_acct_cd string, act_contact_phone_1 string, act_contact_phone_2 string, "
+                               "act_contact_phone_3 string")
+    mob = spark.createDataFrame([("2",), ("3",), ("3",)], "num_telefono string")
+    got = {r.act_acct_cd: (r.matched_phone, r.phone_priority) for r in phone_match(fx, mob).collect()}
+    assert got == {"A": ("2", 2), "B": ("3", 3)}
+
+
+def test_household_match_one_pair_per_household(spark):
+    from churnlens.operators.convergence import household_match
+    f = spark.createDataFrame([("H", D0, "F2"), ("H", D0, "F1"), ("G", D0, "F3")],
+                              "household_id string, dt date, act_acct_cd string")
+    m = spark.createDataFrame([("H", D0, "M1"), ("H", D0, "M0")], "household_id string, dt date, mobile_account string")
+    got = [(r.fmc_fixed, r.fmc_mobile) for r in household_match(f, m).collect()]
+    assert got == [("F1", "M0")]
+
+
+def test_union_history_and_backfill(spark):
+    from churnlens.sources.io import backfill_product, union_history
+    a = spark.createDataFrame([("1", 2021)], "contrato string, anio int")
+    b = spark.createDataFrame([("2", 2022, "x")], "cto string, year int, extra string")
+    u = union_history([(a, {"contrato": "account", "anio": "year"}, F.col("year") >= 2021),
+                       (b, {"cto": "account", "year": "year", "extra": "extra"}, None)])
+    assert sorted((r.account, r.year, r.extra) for r in u.collect()) == [("1", 2021, None), ("2", 2022, "x")]
+    snap = spark.createDataFrame([("A", dt.date(2022, 1, 5), "VO1"), ("A", dt.date(2022, 2, 5), None),
+                                  ("A", dt.date(2021, 12, 5), None)], "act_acct_cd string, dt date, pd_vo_prod_nm string")
+    got = {r.dt: r.pd_vo_prod_nm for r in backfill_product(snap, "pd_vo_prod_nm", "2022-01-01", "2022-01-01").collect()}
+    assert got == {dt.date(2022, 1, 5): "VO1", dt.date(2022, 2, 5): "VO1", dt.date(2021, 12, 5): None}
+
+
+def test_active_by_mrc_keeps_young_or_paying(spark):
+    snap = spark.createDataFrame([("A", dt.date(2022, 1, 5), 0.0, dt.date(2020, 1, 1)),
+                                  ("B", dt.date(2022, 1, 5), 0.0, dt.date(2022, 1, 1)),
+                                  ("C", dt.date(2022, 1, 5), 10.0, dt.date(2020, 1, 1))],
+                                 "act_acct_cd string, dt date, fi_bill_amt_m0 double, act_cust_strt_dt date")
+    assert sorted(r.act_acct_cd for r in S.active_by_mrc(snap).collect()) == ["B", "C"]

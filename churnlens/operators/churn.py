@@ -259,3 +259,43 @@ def voluntary_counts(orders: DataFrame) -> DataFrame:
     """Voluntary disconnection lines by day."""
     u = _uninstalls(orders).where(F.col("order_reason") != L.ORDER_REASON_INVOL)
     return u.groupBy(F.col("order_start_date").alias("day")).agg(F.count(F.lit(1)).alias("voluntary_lines"))
+
+
+def match_churn_order(crm: DataFrame, orders: DataFrame, params: Params = Params(), periods: int = 3,
+                      account: str = "account", churn_date: str = "churn_date") -> DataFrame:
+    """CRM churn date matched to the latest uninstall order at most
+    ``periods`` periods before it (D37). The CRM side has few churn dates per
+    account, so the equi-join on the account with a range residual stays
+    small; ``max_by`` keeps the latest order per churn."""
+    g = params.grain
+    u = _uninstalls(orders).select(F.col("account_name").alias(account), "order_id", "order_start_date", "order_reason")
+    j = crm.select(account, churn_date).join(u, account, "inner").where(
+        (F.col("order_start_date") <= F.col(churn_date))
+        & (F.col("order_start_date") >= g.shift(F.col(churn_date).cast("date"), -periods)))
+    return j.groupBy(account, churn_date).agg(
+        F.max_by(F.struct("order_id", "order_start_date", "order_reason"),
+                 F.struct("order_start_date", "order_id")).alias("_o")
+    ).select(account, churn_date, F.col("_o.order_id").alias("order_id"),
+             F.col("_o.order_start_date").alias("order_date"), _order_type(F.col("_o.order_reason")).alias("churn_type"))
+
+
+def voluntary_by_lines(cancels: DataFrame, snap: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,
+                       cancel_key: str = "src_account_id", cancel_day: str = "cancel_date") -> DataFrame:
+    """Voluntary churners by reconciling cancelled lines (D38): the lines
+    cancelled on the account's last cancel date equal the products on its
+    last snapshot; an overdue age at or above ``invol_days`` on that record
+    makes it a mixed churner. Both sides are reduced to one row per account
+    with aggregates before the join."""
+    last_day = cancels.groupBy(F.col(cancel_key).alias("account")).agg(F.max(cancel_day).alias("last_cancel"))
+    lines = (cancels.select(F.col(cancel_key).alias("account"), F.col(cancel_day).alias("last_cancel"))
+                    .join(last_day, ["account", "last_cancel"], "inner")
+                    .groupBy("account", "last_cancel").agg(F.count(F.lit(1)).alias("cancelled_lines")))
+    nprod = (F.col("pd_vo_prod_nm").isNotNull().cast("int") + F.col("pd_tv_prod_nm").isNotNull().cast("int")
+             + F.col("pd_bb_prod_nm").isNotNull().cast("int"))
+    last = snap.groupBy(F.col(key).alias("account")).agg(
+        F.max_by(F.struct(nprod.alias("n"), F.col("fi_outst_age").alias("age"), F.col(day).alias("d")),
+                 F.col(day)).alias("_l"))
+    j = lines.join(last, "account", "inner").where(F.col("cancelled_lines") == F.col("_l.n"))
+    return j.select("account", "last_cancel", "cancelled_lines", F.col("_l.d").alias("last_record"),
+                    F.when(F.col("_l.age") >= params.invol_days, F.lit("2.Fixed Mixed Churner"))
+                     .otherwise(F.lit("1.Fixed Voluntary Churner")).alias("churn_type"))

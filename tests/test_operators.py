@@ -138,3 +138,44 @@ def test_active_by_mrc_keeps_young_or_paying(spark):
                                   ("C", dt.date(2022, 1, 5), 10.0, dt.date(2020, 1, 1))],
                                  "act_acct_cd string, dt date, fi_bill_amt_m0 double, act_cust_strt_dt date")
     assert sorted(r.act_acct_cd for r in S.active_by_mrc(snap).collect()) == ["B", "C"]
+
+
+def _orders(spark, rows):
+    return spark.createDataFrame(rows, "order_id long, account_name string, order_type string, order_status string, "
+                                       "order_reason string, order_start_date date")
+
+
+def test_match_churn_order_latest_within_window(spark):
+    orders = _orders(spark, [(1, "A", "DESINSTALACION", "FINALIZADA", "MOROSIDAD", dt.date(2022, 1, 10)),
+                             (2, "A", "DESINSTALACION", "FINALIZADA", "VOLUNTARIO", dt.date(2022, 3, 1)),
+                             (3, "A", "DESINSTALACION", "FINALIZADA", "VOLUNTARIO", dt.date(2022, 6, 1)),
+                             (4, "B", "DESINSTALACION", "FINALIZADA", "VOLUNTARIO", dt.date(2021, 1, 1))])
+    crm = spark.createDataFrame([("A", dt.date(2022, 4, 15)), ("B", dt.date(2022, 4, 15))],
+                                "account string, churn_date date")
+    got = [(r.account, r.order_id, r.churn_type) for r in C.match_churn_order(crm, orders).collect()]
+    assert got == [("A", 2, L.FIXED_VOL)]
+
+
+def test_churn_by_order_last_order_and_window(spark):
+    orders = _orders(spark, [(1, "A", "DESINSTALACION", "FINALIZADA", "VOLUNTARIO", dt.date(2022, 1, 10)),
+                             (2, "A", "DESINSTALACION", "ANULADA", "MOROSIDAD", dt.date(2022, 2, 10)),
+                             (3, "B", "DESINSTALACION", "FINALIZADA", "VOLUNTARIO", dt.date(2022, 1, 10)),
+                             (4, "C", "INSTALACION", "FINALIZADA", None, dt.date(2022, 1, 10))])
+    snap = spark.createDataFrame([("A", dt.date(2022, 3, 1)), ("B", dt.date(2022, 6, 1))], "act_acct_cd string, dt date")
+    got = {r.account: r.churn_type for r in C.churn_by_order(orders, snap).collect()}
+    # any non-null status counts by default; B's last snapshot is too late
+    assert got == {"A": L.FIXED_INVOL}
+    got2 = {r.account: r.churn_type for r in C.churn_by_order(orders, snap, exclude_status=L.ORDER_CANCELLED).collect()}
+    assert got2 == {}
+
+
+def test_voluntary_by_lines(spark):
+    cancels = spark.createDataFrame([("A", dt.date(2022, 1, 5)), ("A", dt.date(2022, 1, 5)),
+                                     ("B", dt.date(2022, 1, 5)), ("B", dt.date(2022, 1, 1))],
+                                    "src_account_id string, cancel_date date")
+    snap = spark.createDataFrame([("A", dt.date(2022, 1, 4), "v", "t", None, 95),
+                                  ("B", dt.date(2022, 1, 4), "v", "t", None, 10)],
+                                 "act_acct_cd string, dt date, pd_vo_prod_nm string, pd_tv_prod_nm string, "
+                                 "pd_bb_prod_nm string, fi_outst_age int")
+    got = {r.account: r.churn_type for r in C.voluntary_by_lines(cancels, snap).collect()}
+    assert got == {"A": "2.Fixed Mixed Churner"}

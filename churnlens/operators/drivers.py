@@ -256,10 +256,20 @@ def driver_summary(master: DataFrame, flag_cols, account: str = "fixed_account",
                                   *[F.sum(c).cast("long").alias(c) for c in flag_cols])
 
 
-def flag_rate(summary: DataFrame, flag: str, base: str, digits: int = 4) -> DataFrame:
-    """Flagged accounts over the base per period."""
-    return summary.select("month", F.round(F.try_divide(F.col(flag).cast("double"), F.col(base).cast("double")),
-                                           digits).alias(f"{flag}_rate"))
+def flag_rate(summary: DataFrame, flags, base: str, digits: int = 4) -> DataFrame:
+    """Flagged accounts over the base (new installations) per period."""
+    flags = [flags] if isinstance(flags, str) else list(flags)
+    return summary.select("month", *[
+        F.round(F.try_divide(F.col(f).cast("double"), F.col(base).cast("double")), digits).alias(f"{f}_rate")
+        for f in flags])
+
+
+def caller_tiers_by_month(events: DataFrame, params: Params = Params()) -> DataFrame:
+    """Accounts with 1, 2 and 3+ contacts in each calendar period."""
+    t = tiers(contacts_in_month(events, params), "call")
+    return t.groupBy("month").agg(F.sum("one_call").cast("long").alias("one_call"),
+                                  F.sum("two_call").cast("long").alias("two_calls"),
+                                  F.sum("multiple_call").cast("long").alias("multiple_calls"))
 
 
 def _col(c) -> Column:

@@ -327,3 +327,25 @@ def q_voluntary_counts(spark, sf):
     from churnlens.operators.churn import voluntary_counts
     _, _, orders = _driver_inputs(spark, sf)
     return voluntary_counts(orders)
+
+
+@register("sales_channel")
+def q_sales_channel(spark, sf):
+    from churnlens.operators.drivers import sales_channel
+    _, _, orders = _driver_inputs(spark, sf)
+    return sales_channel(orders, P)
+
+
+RATE_FLAGS = ["early_issue_flag", "tech_call_flag", "soft_dx_flag", "never_paid_flag", "long_install_flag"]
+
+
+@register("driver_percentages")
+def q_driver_percentages(spark, sf):
+    from churnlens.operators.drivers import flag_rate
+    return flag_rate(q_driver_summary(spark, sf), RATE_FLAGS, "monthsale_flag")
+
+
+@register("callers_by_month")
+def q_callers_by_month(spark, sf):
+    from churnlens.operators import drivers as D
+    return D.caller_tiers_by_month(D.calls(_dedup(spark, sf)), P)

@@ -1026,3 +1026,28 @@ FROM base JOIN per ON fixed_account = oa AND fixed_month = om GROUP BY ALL
 SQL["voluntary_counts"] = with_(SORDERS, UNINST) + """
 SELECT order_start_date AS day, count(*) AS voluntary_lines FROM u WHERE order_reason <> 'MOROSIDAD' GROUP BY ALL
 """
+
+# --- sales channel, driver percentages, callers by month --------------------
+SQL["sales_channel"] = with_(SORDERS, """
+inst AS (SELECT * FROM sorders WHERE order_type = 'INSTALACION' AND order_status = 'FINALIZADA'),
+fc AS (SELECT account_name AS account, channel_desc AS sales_channel FROM (
+         SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY order_start_date, order_id) AS rn FROM inst)
+       WHERE rn = 1)
+""") + f"""
+SELECT DISTINCT i.account_name AS account, {wk('i.order_start_date')} AS month, fc.sales_channel
+FROM inst i JOIN fc ON fc.account = i.account_name
+"""
+
+_RATES = ["early_issue_flag", "tech_call_flag", "soft_dx_flag", "never_paid_flag", "long_install_flag"]
+
+SQL["driver_percentages"] = "SELECT month, " + ", ".join(
+    f"round(CAST({f} AS DOUBLE) / NULLIF(monthsale_flag, 0), 4) AS {f}_rate" for f in _RATES) + \
+    " FROM (" + SQL["driver_summary"] + ") ds\n"
+
+SQL["callers_by_month"] = with_(INTER) + f"""
+SELECT month, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS one_call,
+       CAST(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS two_calls,
+       CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS multiple_calls
+FROM (SELECT account_id, {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS n
+      FROM calls GROUP BY ALL) GROUP BY month
+"""

@@ -349,3 +349,36 @@ def q_driver_percentages(spark, sf):
 def q_callers_by_month(spark, sf):
     from churnlens.operators import drivers as D
     return D.caller_tiers_by_month(D.calls(_dedup(spark, sf)), P)
+
+
+@register("ticket_history")
+def q_ticket_history(spark, sf):
+    from churnlens import labels as L
+    from churnlens.sources.io import union_history
+    ev = T.load(spark, sf, "events")
+    tk = (T.interactions(ev).where(F.col("interaction_purpose_descrip").isin(list(L.TECH_TICKET_PURPOSES)))
+            .withColumn("fuente", F.lit("TICKETS")).withColumn("fecha", F.to_date("interaction_start_time")))
+    so = (T.service_orders(ev).withColumn("fuente", F.lit("ORDENES"))
+            .withColumn("order_id", F.col("order_id").cast("string")))
+    return union_history([
+        (tk, {"account_id": "contrato", "interaction_id": "tiquete", "fecha": "fecha_apertura",
+              "interaction_status": "estado", "interaction_purpose_descrip": "clase", "fuente": "fuente"},
+         F.year("fecha_apertura") == 2024),
+        (so, {"account_name": "contrato", "order_id": "tiquete", "order_start_date": "fecha_apertura",
+              "order_status": "estado", "order_type": "clase", "fuente": "fuente"},
+         F.year("fecha_apertura") == 2024),
+    ])
+
+
+@register("backfill_product")
+def q_backfill_product(spark, sf):
+    from churnlens.sources.io import backfill_product
+    out = backfill_product(_snap(spark, sf), "pd_vo_prod_nm", "2024-01-01", "2024-01-15", grain=P.grain)
+    return out.select("act_acct_cd", "dt", "pd_vo_prod_nm")
+
+
+@register("active_by_mrc")
+def q_active_by_mrc(spark, sf):
+    kept = S.active_by_mrc(_snap(spark, sf), P, mrc="fi_vo_mrc_amt")
+    return kept.groupBy("month").agg(F.count(F.lit(1)).alias("rows_kept"),
+                                     F.count_distinct("act_acct_cd").alias("accounts"))

@@ -1051,3 +1051,31 @@ SELECT month, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS one_call
 FROM (SELECT account_id, {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS n
       FROM calls GROUP BY ALL) GROUP BY month
 """
+
+# --- history ingest, backfill, activity by charge -----------------------------
+SQL["ticket_history"] = with_(INTER, SORDERS) + f"""
+SELECT account_id AS contrato, interaction_id AS tiquete, CAST(interaction_start_time AS DATE) AS fecha_apertura,
+       interaction_status AS estado, interaction_purpose_descrip AS clase, 'TICKETS' AS fuente
+FROM inter WHERE interaction_purpose_descrip IN ({_sqlist(_L.TECH_TICKET_PURPOSES)})
+  AND year(CAST(interaction_start_time AS DATE)) = 2024
+UNION ALL
+SELECT account_name, CAST(order_id AS VARCHAR), order_start_date, order_status, order_type, 'ORDENES'
+FROM sorders WHERE year(order_start_date) = 2024
+"""
+
+SQL["backfill_product"] = with_(SNAP, f"""
+ref AS (SELECT act_acct_cd AS ra, pd_vo_prod_nm AS rp FROM (
+          SELECT *, row_number() OVER (PARTITION BY act_acct_cd ORDER BY dt DESC) AS rn FROM snap
+          WHERE {wk('dt')} = DATE '2024-01-01' AND pd_vo_prod_nm IS NOT NULL) WHERE rn = 1)
+""") + """
+SELECT act_acct_cd, dt, CASE WHEN dt >= DATE '2024-01-15' THEN coalesce(pd_vo_prod_nm, rp) ELSE pd_vo_prod_nm END AS pd_vo_prod_nm
+FROM snap LEFT JOIN ref ON ra = act_acct_cd
+"""
+
+SQL["active_by_mrc"] = with_(SNAP, f"""
+am AS (SELECT act_acct_cd AS aa, {wk('dt')} AS am_month, avg(fi_vo_mrc_amt) AS a FROM snap WHERE fi_vo_mrc_amt <> 0 GROUP BY ALL)
+""") + f"""
+SELECT {wk('dt')} AS month, count(*) AS rows_kept, count(DISTINCT act_acct_cd) AS accounts
+FROM snap LEFT JOIN am ON aa = act_acct_cd AND am_month = {wk('dt')}
+WHERE a IS NOT NULL OR date_diff('day', act_cust_strt_dt, dt) <= 7 GROUP BY ALL
+"""

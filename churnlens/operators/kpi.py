@@ -112,3 +112,40 @@ def kpi_overall(rows: DataFrame) -> DataFrame:
     val = F.when(both_null, F.col("_m")).when(both, F.try_divide(F.col("_n"), F.col("_d")))
     return agg.select("month", F.year("month").alias("year"), F.month("month").alias("month_num"), "kpi_name",
                       F.round(val, 4).alias("overall"))
+
+
+def service_delivery(weekly: DataFrame, params: Params = Params(), network: str = "OVERALL") -> DataFrame:
+    """Installations, weighted mean times, repairs and first-time-right
+    shares per period from weekly rows (D113): sums per week first, then per
+    period, with the week's count as the weight of its mean time."""
+    g = params.grain
+    wk = (weekly.where(F.col("network") == network)
+                .groupBy(g.trunc(F.col("end_week_date").cast("date")).alias("month"), "network", "end_week_date")
+                .agg(F.sum("assisted_installations").alias("i"), F.sum("mtti").alias("t_i"),
+                     F.sum("truck_rolls").alias("r"), F.sum("mttr").alias("t_r"), F.sum("scr").alias("scr"),
+                     F.sum("i_elf_28days").alias("ie"), F.sum("r_elf_28days").alias("re")))
+    wk = wk.withColumns({"inst_mtti": F.col("i") * F.col("t_i"), "rep_mttr": F.col("r") * F.col("t_r"),
+                         "ftr_i": (100 - F.col("ie")) * F.col("i"), "ftr_r": (100 - F.col("re")) * F.col("r")})
+    return wk.groupBy("month").agg(
+        F.sum("i").cast("long").alias("install"),
+        F.round(F.try_divide(F.sum("inst_mtti"), F.sum("i").cast("double")), 2).alias("mtti"),
+        F.sum("r").cast("long").alias("repairs"),
+        F.round(F.try_divide(F.sum("rep_mttr"), F.sum("r").cast("double")), 2).alias("mttr"),
+        F.round(F.sum("scr"), 2).alias("repairs_1k_rgu"),
+        F.round(F.try_divide(F.sum("ftr_i"), F.sum("i").cast("double")) / 100, 4).alias("ftr_install"),
+        F.round(F.try_divide(F.sum("ftr_r"), F.sum("r").cast("double")) / 100, 4).alias("ftr_repair"))
+
+
+def digital_share(payments: DataFrame, params: Params = Params(), market: str = "TEST",
+                  account_type: str = "B2C") -> DataFrame:
+    """Distinct digital payment documents over all documents per period (D114)."""
+    g = params.grain
+    p = payments.where(F.col("account_type") == account_type)
+    agg = p.groupBy(g.trunc(F.col("dt").cast("date")).alias("month")).agg(
+        F.count_distinct(F.when(F.col("digital_nondigital") == "Digital", F.col("payment_doc_id"))).alias("digital"),
+        F.count_distinct("payment_doc_id").alias("pymt_cnt"))
+    return agg.select("month", F.lit(market).alias("market"), F.lit("digital_payment_share").alias("kpi_name"),
+                      F.round(F.try_divide(F.col("digital").cast("double"), F.col("pymt_cnt").cast("double")), 2)
+                       .alias("measure"),
+                      F.col("digital").cast("double").alias("numerator"),
+                      F.col("pymt_cnt").cast("double").alias("denominator"), F.lit("M-0").alias("kpi_delay"))

@@ -382,3 +382,16 @@ def q_active_by_mrc(spark, sf):
     kept = S.active_by_mrc(_snap(spark, sf), P, mrc="fi_vo_mrc_amt")
     return kept.groupBy("month").agg(F.count(F.lit(1)).alias("rows_kept"),
                                      F.count_distinct("act_acct_cd").alias("accounts"))
+
+
+@register("service_delivery")
+def q_service_delivery(spark, sf):
+    from churnlens.operators.kpi import service_delivery
+    _, _, orders = _driver_inputs(spark, sf)
+    return service_delivery(T.service_delivery_weekly(orders), P.with_(grain=MONTHLY.grain))
+
+
+@register("digital_payment_share")
+def q_digital_payment_share(spark, sf):
+    from churnlens.operators.kpi import digital_share
+    return digital_share(T.payments(T.load(spark, sf, "lineitem")), MONTHLY)

@@ -1079,3 +1079,50 @@ SELECT {wk('dt')} AS month, count(*) AS rows_kept, count(DISTINCT act_acct_cd) A
 FROM snap LEFT JOIN am ON aa = act_acct_cd AND am_month = {wk('dt')}
 WHERE a IS NOT NULL OR date_diff('day', act_cust_strt_dt, dt) <= 7 GROUP BY ALL
 """
+
+# --- service delivery, digital payments --------------------------------------
+SDW = """
+sdw0 AS (
+  SELECT CAST(date_trunc('week', order_start_date) AS DATE) + 6 AS end_week_date,
+    count(DISTINCT account_name) AS total_subscribers,
+    count(CASE WHEN order_type = 'INSTALACION' AND order_status = 'FINALIZADA' THEN 1 END) AS assisted_installations,
+    avg(CASE WHEN order_type = 'INSTALACION' AND order_status = 'FINALIZADA' THEN date_diff('day', order_start_date, completed_date) END) AS mtti,
+    count(CASE WHEN order_type = 'DESINSTALACION' THEN 1 END) AS truck_rolls,
+    avg(CASE WHEN order_type = 'DESINSTALACION' THEN date_diff('day', order_start_date, completed_date) END) AS mttr,
+    count(CASE WHEN order_type = 'INSTALACION' AND order_status <> 'FINALIZADA' THEN 1 END) * 100.0
+      / count(CASE WHEN order_type = 'INSTALACION' THEN 1 END) AS i_elf_28days,
+    count(CASE WHEN order_type = 'DESINSTALACION' AND order_status <> 'FINALIZADA' THEN 1 END) * 100.0
+      / count(CASE WHEN order_type = 'DESINSTALACION' THEN 1 END) AS r_elf_28days
+  FROM sorders GROUP BY ALL
+),
+sdw AS (
+  SELECT *, truck_rolls * 1000.0 / total_subscribers AS scr, 'OVERALL' AS network FROM sdw0
+  UNION ALL
+  SELECT * REPLACE (assisted_installations * 2 AS assisted_installations), truck_rolls * 1000.0 / total_subscribers, 'HFC' FROM sdw0
+),
+sdwk AS (
+  SELECT CAST(date_trunc('month', end_week_date) AS DATE) AS month, network, end_week_date,
+    sum(assisted_installations) AS i, sum(mtti) AS t_i, sum(truck_rolls) AS r, sum(mttr) AS t_r, sum(scr) AS scr,
+    sum(i_elf_28days) AS ie, sum(r_elf_28days) AS re
+  FROM sdw WHERE network = 'OVERALL' GROUP BY ALL
+)
+"""
+
+SQL["service_delivery"] = with_(SORDERS, SDW) + """
+SELECT month, CAST(sum(i) AS BIGINT) AS install, round(sum(i * t_i) / NULLIF(CAST(sum(i) AS DOUBLE), 0), 2) AS mtti,
+       CAST(sum(r) AS BIGINT) AS repairs, round(sum(r * t_r) / NULLIF(CAST(sum(r) AS DOUBLE), 0), 2) AS mttr,
+       round(sum(scr), 2) AS repairs_1k_rgu,
+       round(sum((100 - ie) * i) / NULLIF(CAST(sum(i) AS DOUBLE), 0) / 100, 4) AS ftr_install,
+       round(sum((100 - re) * r) / NULLIF(CAST(sum(r) AS DOUBLE), 0) / 100, 4) AS ftr_repair
+FROM sdwk GROUP BY month
+"""
+
+SQL["digital_payment_share"] = """
+SELECT month, 'TEST' AS market, 'digital_payment_share' AS kpi_name,
+       round(CAST(digital AS DOUBLE) / NULLIF(pymt_cnt, 0), 2) AS measure, CAST(digital AS DOUBLE) AS numerator,
+       CAST(pymt_cnt AS DOUBLE) AS denominator, 'M-0' AS kpi_delay
+FROM (SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS month,
+             count(DISTINCT CASE WHEN l_returnflag = 'N' THEN CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END) AS digital,
+             count(DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)) AS pymt_cnt
+      FROM lineitem GROUP BY ALL)
+"""

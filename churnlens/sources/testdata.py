@@ -211,3 +211,36 @@ def retention_requests(events: DataFrame) -> DataFrame:
         F.when(v >= 100, "CONTACTADO").otherwise("NO CONTACTADO").alias("contactabilidad"),
         F.when(v >= 200, "RETENIDO").otherwise("NO RETENIDO").alias("solucion"),
     )
+
+
+def service_delivery_weekly(orders: DataFrame) -> DataFrame:
+    """Weekly service-delivery rows from the service orders: installations,
+    mean time to install, truck rolls, mean time to repair, repairs per
+    thousand subscribers and early-life-failure percentages; one OVERALL row
+    and one per-network row per week."""
+    d = F.datediff("completed_date", "order_start_date")
+    inst = F.col("order_type") == "INSTALACION"
+    unin = F.col("order_type") == "DESINSTALACION"
+    done = F.col("order_status") == "FINALIZADA"
+    w = (orders.groupBy(F.date_add(F.trunc("order_start_date", "week"), 6).alias("end_week_date"))
+               .agg(F.count_distinct("account_name").alias("total_subscribers"),
+                    F.count(F.when(inst & done, 1)).alias("assisted_installations"),
+                    F.avg(F.when(inst & done, d)).alias("mtti"),
+                    F.count(F.when(unin, 1)).alias("truck_rolls"),
+                    F.avg(F.when(unin, d)).alias("mttr"),
+                    (F.count(F.when(inst & ~done, 1)) * 100.0 / F.count(F.when(inst, 1))).alias("i_elf_28days"),
+                    (F.count(F.when(unin & ~done, 1)) * 100.0 / F.count(F.when(unin, 1))).alias("r_elf_28days")))
+    w = w.withColumn("scr", F.col("truck_rolls") * 1000.0 / F.col("total_subscribers"))
+    overall = w.withColumn("network", F.lit("OVERALL"))
+    hfc = w.withColumn("network", F.lit("HFC")).withColumn("assisted_installations", F.col("assisted_installations") * 2)
+    return overall.unionByName(hfc)
+
+
+def payments(lineitem: DataFrame) -> DataFrame:
+    """Payment documents: one per shipped line; returned-flag N is digital."""
+    return lineitem.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("payment_doc_id"),
+        F.when(F.col("l_returnflag") == "N", "Digital").otherwise("No Digital").alias("digital_nondigital"),
+        F.lit("B2C").alias("account_type"),
+        F.to_date("l_shipdate").alias("dt"),
+    )

@@ -395,3 +395,37 @@ def q_service_delivery(spark, sf):
 def q_digital_payment_share(spark, sf):
     from churnlens.operators.kpi import digital_share
     return digital_share(T.payments(T.load(spark, sf, "lineitem")), MONTHLY)
+
+
+@register("churn_order_matching")
+def q_churn_order_matching(spark, sf):
+    from churnlens.operators.churn import match_churn_order
+    ev = T.load(spark, sf, "events")
+    return match_churn_order(T.crm_churn_dates(ev), T.service_orders(ev), P, periods=3)
+
+
+@register("voluntary_by_lines")
+def q_voluntary_by_lines(spark, sf):
+    from churnlens.operators.churn import voluntary_by_lines
+    snap, _, orders = _driver_inputs(spark, sf)
+    return voluntary_by_lines(T.voluntary_cancels(orders), snap, P)
+
+
+@register("phone_match")
+def q_phone_match(spark, sf):
+    from churnlens.operators.convergence import phone_match
+    snap = _snap(spark, sf)
+    reg, _ = _mobile_inputs(spark, sf)
+    return phone_match(T.fixed_contacts(snap), reg)
+
+
+@register("household_match")
+def q_household_match(spark, sf):
+    from churnlens.operators.convergence import household_match
+    snap = _snap(spark, sf)
+    reg, _ = _mobile_inputs(spark, sf)
+    fx = T.with_household(snap.where(F.col("dt") == F.trunc("dt", "week")), "act_acct_cd")
+    mob = T.with_household(reg.select(F.col("fecha_parque").alias("dt"),
+                                      F.replace("id_abonado", F.lit("."), F.lit("")).alias("mobile_account")),
+                           "mobile_account", line_prefix=True)
+    return household_match(fx, mob)

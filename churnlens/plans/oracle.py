@@ -1126,3 +1126,53 @@ FROM (SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS mont
              count(DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)) AS pymt_cnt
       FROM lineitem GROUP BY ALL)
 """
+
+# --- CRM matching, cancelled lines, phones, households ------------------------
+SQL["churn_order_matching"] = with_(SORDERS, UNINST, """
+crm AS (SELECT CAST(user_id AS VARCHAR) AS account, max(CAST(ts AS DATE)) AS churn_date FROM events
+        WHERE event_type = 'error' AND value >= 150 GROUP BY ALL),
+cj AS (SELECT crm.account, churn_date, order_id, order_start_date, order_reason,
+              row_number() OVER (PARTITION BY crm.account, churn_date ORDER BY order_start_date DESC, order_id DESC) AS rn
+       FROM crm JOIN u ON u.account_name = crm.account
+       WHERE order_start_date <= churn_date AND order_start_date >= CAST(churn_date - 21 AS DATE))
+""") + """
+SELECT account, churn_date, order_id, order_start_date AS order_date,
+       CASE WHEN order_reason = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' ELSE '1. Fixed Voluntary Churner' END AS churn_type
+FROM cj WHERE rn = 1
+"""
+
+SQL["voluntary_by_lines"] = with_(SNAP, SORDERS, """
+canc AS (SELECT account_name AS account, order_start_date AS cancel_date FROM sorders
+         WHERE order_type = 'DESINSTALACION' AND order_reason = 'VOLUNTARIO'),
+lc AS (SELECT c.account, c.cancel_date AS last_cancel, count(*) AS cancelled_lines FROM canc c
+       JOIN (SELECT account, max(cancel_date) AS m FROM canc GROUP BY ALL) x ON x.account = c.account AND x.m = c.cancel_date
+       GROUP BY ALL),
+lr AS (SELECT act_acct_cd, dt AS last_record, fi_outst_age AS age,
+              (CASE WHEN pd_vo_prod_nm IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN pd_tv_prod_nm IS NOT NULL THEN 1 ELSE 0 END)
+              + (CASE WHEN pd_bb_prod_nm IS NOT NULL THEN 1 ELSE 0 END) AS n
+       FROM (SELECT *, row_number() OVER (PARTITION BY act_acct_cd ORDER BY dt DESC) AS rn FROM snap) WHERE rn = 1)
+""") + """
+SELECT account, last_cancel, cancelled_lines, last_record,
+       CASE WHEN age >= 4 THEN '2.Fixed Mixed Churner' ELSE '1.Fixed Voluntary Churner' END AS churn_type
+FROM lc JOIN lr ON act_acct_cd = account WHERE cancelled_lines = n
+"""
+
+SQL["phone_match"] = with_(SNAP, MOBILE, """
+fc AS (SELECT act_acct_cd, min(act_contact_phone_1) AS own FROM snap GROUP BY ALL),
+ph AS (
+  SELECT act_acct_cd, 1 AS priority, CASE WHEN CAST(act_acct_cd AS BIGINT) % 2 = 0 THEN own ELSE '7000000' END AS phone FROM fc
+  UNION ALL SELECT act_acct_cd, 2, '6' || lpad(CAST(CAST(act_acct_cd AS BIGINT) + 1 AS VARCHAR), 7, '0') FROM fc
+  UNION ALL SELECT act_acct_cd, 3, own FROM fc
+),
+mp AS (SELECT DISTINCT num_telefono AS phone FROM reg WHERE num_telefono IS NOT NULL)
+""") + """
+SELECT act_acct_cd, arg_min(ph.phone, priority) AS matched_phone, min(priority) AS phone_priority
+FROM ph JOIN mp ON ph.phone = mp.phone WHERE ph.phone IS NOT NULL GROUP BY act_acct_cd
+"""
+
+SQL["household_match"] = with_(SNAP, MOBILE, f"""
+hf AS (SELECT CAST(CAST(act_acct_cd AS BIGINT) // 4 AS BIGINT) AS household_id, dt, min(act_acct_cd) AS fmc_fixed
+       FROM snap WHERE dt = {wk('dt')} GROUP BY ALL),
+hm AS (SELECT CAST(CAST(regexp_replace(replace(id_abonado, '.', ''), '^8', '') AS BIGINT) // 4 AS BIGINT) AS household_id,
+              fecha_parque AS dt, min(replace(id_abonado, '.', '')) AS fmc_mobile FROM reg GROUP BY ALL)
+""") + "SELECT hf.household_id, hf.dt, fmc_fixed, fmc_mobile FROM hf JOIN hm ON hf.household_id = hm.household_id AND hf.dt = hm.dt\n"

@@ -244,3 +244,36 @@ def payments(lineitem: DataFrame) -> DataFrame:
         F.lit("B2C").alias("account_type"),
         F.to_date("l_shipdate").alias("dt"),
     )
+
+
+def crm_churn_dates(events: DataFrame) -> DataFrame:
+    """CRM churn date per account: the last large ``error`` event."""
+    e = events.where((F.col("event_type") == "error") & (F.col("value") >= 150))
+    return e.groupBy(F.col("user_id").cast("string").alias("account")).agg(F.max(F.to_date("ts")).alias("churn_date"))
+
+
+def voluntary_cancels(orders: DataFrame) -> DataFrame:
+    """Cancelled lines: voluntary uninstall orders, one line each."""
+    c = orders.where((F.col("order_type") == "DESINSTALACION") & (F.col("order_reason") == "VOLUNTARIO"))
+    return c.select(F.col("account_name").alias("src_account_id"), F.col("order_start_date").alias("cancel_date"),
+                    F.lit("FIXED").alias("lob"))
+
+
+def fixed_contacts(snap: DataFrame) -> DataFrame:
+    """Three contact phones per account: the first is a stale number for odd
+    accounts, the second a neighbour's, the third the account's own."""
+    uid = F.col("act_acct_cd").cast("long")
+    own = F.col("act_contact_phone_1")
+    return snap.select("act_acct_cd").distinct().join(
+        snap.groupBy("act_acct_cd").agg(F.min("act_contact_phone_1").alias("act_contact_phone_1")), "act_acct_cd") \
+        .select("act_acct_cd",
+                F.when(uid % 2 == 0, own).otherwise(F.lit("7000000")).alias("act_contact_phone_1"),
+                F.concat(F.lit("6"), F.lpad((uid + 1).cast("string"), 7, "0")).alias("act_contact_phone_2"),
+                own.alias("act_contact_phone_3"))
+
+
+def with_household(df: DataFrame, key: str, line_prefix: bool = False) -> DataFrame:
+    """Household of an account or line: four consecutive users share one
+    (``line_prefix`` strips the leading 8 of a mobile line id)."""
+    digits = F.regexp_replace(F.col(key).cast("string"), "^8", "") if line_prefix else F.col(key)
+    return df.withColumn("household_id", (digits.cast("long") / 4).cast("long"))

@@ -299,3 +299,30 @@ def voluntary_by_lines(cancels: DataFrame, snap: DataFrame, params: Params = Par
     return j.select("account", "last_cancel", "cancelled_lines", F.col("_l.d").alias("last_record"),
                     F.when(F.col("_l.age") >= params.invol_days, F.lit("2.Fixed Mixed Churner"))
                      .otherwise(F.lit("1.Fixed Voluntary Churner")).alias("churn_type"))
+
+
+def churn_by_crm(snap: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,
+                 churn_col: str = "cst_chrn_dt", bb_days: int = 60, other_days: int | None = None,
+                 early_days: int = 180) -> DataFrame:
+    """Churners by the CRM churn date (D39), one ``groupBy`` per account.
+
+    An account is a churner when its last churn date falls in the period of
+    its last snapshot; involuntary when some record with a broadband product
+    is ``bb_days`` or more overdue, or one with TV/voice ``other_days`` or
+    more, on or before the last churn date; tenure early when the highest
+    customer age is at most ``early_days``."""
+    g = params.grain
+    od = params.invol_days if other_days is None else other_days
+    age = F.col("fi_outst_age")
+    invol_row = ((age >= bb_days) & F.col("pd_bb_prod_nm").isNotNull()) | (
+        (age >= od) & (F.col("pd_tv_prod_nm").isNotNull() | F.col("pd_vo_prod_nm").isNotNull()))
+    per = snap.groupBy(F.col(key).alias("account")).agg(
+        F.max(churn_col).alias("last_churn"), F.min(churn_col).alias("first_churn"), F.max(day).alias("_last_snap"),
+        F.min(F.when(invol_row, F.col(churn_col))).alias("_invol_churn"), F.max("c_cust_age").alias("_max_age"))
+    real = per.where((g.trunc(F.col("last_churn").cast("date")) == g.trunc(F.col("_last_snap").cast("date")))
+                     & (F.col("first_churn") <= F.col("last_churn")))
+    invol = F.col("_invol_churn").isNotNull() & (F.col("_invol_churn") <= F.col("last_churn"))
+    return real.select("account", g.trunc(F.col("last_churn").cast("date")).alias("churn_month"),
+                       F.when(invol, F.lit("Involuntary")).otherwise(F.lit("Voluntary")).alias("churn_type"),
+                       F.when(F.col("_max_age") <= early_days, F.lit("Early Tenure"))
+                        .when(F.col("_max_age").isNotNull(), F.lit("Long Tenure")).alias("tenure"))

@@ -346,3 +346,41 @@ def household_match(fixed: DataFrame, mobile: DataFrame, household: str = "house
     f = fixed.groupBy(household, day).agg(F.min(key).alias("fmc_fixed"))
     m = mobile.groupBy(household, day).agg(F.min(line).alias("fmc_mobile"))
     return f.join(m, [household, day], "inner")
+
+
+def fmc_list_periods(fmc_list: DataFrame, params: Params = Params(), business_unit: str | None = None,
+                     account_type: str = "Residential") -> DataFrame:
+    """Accounts an external FMC list marks convergent, per period (D75): a
+    list file of period f marks period f + 1, and a later file (f + 1) adds
+    the accounts whose FMC start lies in f (the ones the earlier file
+    missed)."""
+    g = params.grain
+    ok = (F.col("account_type") == account_type) & F.col("service_type").isNotNull() \
+        & (F.col("service_type") != "Service Not Found")
+    if business_unit:
+        ok = ok & (F.col("business_unit") == business_unit)
+    lst = fmc_list.where(ok).select(F.col("account_no").alias("account"), F.col("dt").cast("date").alias("f"),
+                                    F.try_to_date(F.col("fmc_start_date"), "MM/dd/yyyy").alias("s"))
+    nxt = lst.select("account", g.shift(F.col("f"), 1).alias("month"))
+    missed = lst.where(g.trunc(F.col("s")) == g.shift(F.col("f"), -1)).select("account", g.trunc(F.col("s")).alias("month"))
+    return nxt.unionByName(missed).distinct()
+
+
+def patch_fmc(df: DataFrame, listed: DataFrame) -> DataFrame:
+    """Override FMC types and segments of listed accounts."""
+    l = listed.select(F.col("account").alias("_la"), F.col("month").alias("_lm"), F.lit(1).alias("_listed"))
+    j = df.join(l, (F.col("final_account") == F.col("_la")) & (F.col("month") == F.col("_lm")), "left")
+    on = F.col("_listed") == 1
+    seg_b = [(on & F.col("b_mix").isNull(), L.SEG_P1_MOBILE)] + \
+        [(on & (F.col("b_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
+    seg_e = [(on & F.col("e_mix").isNull() & _is1("mobile_active_eom"), L.SEG_P1_MOBILE)] + \
+        [(on & (F.col("e_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
+    return j.withColumns({
+        "fmc_listed": F.coalesce(F.col("_listed"), F.lit(0)),
+        "b_fmc_type_final": case_when([(on & F.col("b_mix").isNull(), L.FMC_MOBILE_ONLY), (on, "Soft/Hard FMC")],
+                                      F.col("b_fmc_type")),
+        "e_fmc_type_final": case_when([(on & F.col("e_mix").isNull() & _is1("mobile_active_eom"), L.FMC_MOBILE_ONLY),
+                                       (on & _is1("active_eom"), "Soft/Hard FMC")], F.col("e_fmc_type")),
+        "b_fmc_segment_final": case_when(seg_b, F.col("b_fmc_segment")),
+        "e_fmc_segment_final": case_when(seg_e, F.col("e_fmc_segment")),
+    }).drop("_la", "_lm", "_listed")

@@ -429,3 +429,18 @@ def q_household_match(spark, sf):
                                       F.replace("id_abonado", F.lit("."), F.lit("")).alias("mobile_account")),
                            "mobile_account", line_prefix=True)
     return household_match(fx, mob)
+
+
+@register("churn_by_crm")
+def q_churn_by_crm(spark, sf):
+    from churnlens.operators.churn import churn_by_crm
+    return churn_by_crm(_snap(spark, sf), P, bb_days=2, other_days=4, early_days=7)
+
+
+@register("fmc_patch")
+def q_fmc_patch(spark, sf):
+    from churnlens.operators.convergence import fmc_list_periods, patch_fmc
+    listed = fmc_list_periods(T.fmc_list(T.load(spark, sf, "events")), P)
+    return patch_fmc(_fmc(spark, sf), listed).select(
+        "month", "final_account", "fmc_listed", "b_fmc_type_final", "e_fmc_type_final",
+        "b_fmc_segment_final", "e_fmc_segment_final")

@@ -32,7 +32,8 @@ snap_g AS (
          sum(CASE WHEN event_type = 'click' THEN value END) AS _bb_amt,
          sum(value) AS _bill,
          count(CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 1 END) AS _n_srv,
-         count(CASE WHEN event_type = 'signup' THEN 1 END) AS _n_sign
+         count(CASE WHEN event_type = 'signup' THEN 1 END) AS _n_sign,
+         max(CASE WHEN event_type = 'error' THEN value END) AS _err
   FROM events GROUP BY user_id, CAST(ts AS DATE)
 ),
 snap_w AS (
@@ -40,7 +41,9 @@ snap_w AS (
     max(CASE WHEN _vo_amt IS NOT NULL THEN dt END) OVER (PARTITION BY user_id ORDER BY dt
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _last_pay,
     coalesce(max(CASE WHEN _n_sign > 0 THEN dt END) OVER (PARTITION BY user_id ORDER BY dt
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(dt) OVER (PARTITION BY user_id)) AS _start
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(dt) OVER (PARTITION BY user_id)) AS _start,
+    max(CASE WHEN _err >= 150 THEN dt END) OVER (PARTITION BY user_id ORDER BY dt
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _churn
   FROM snap_g
 ),
 snap AS (
@@ -59,7 +62,7 @@ snap AS (
     CASE WHEN _vo_amt IS NOT NULL THEN dt ELSE _last_pay END AS lst_pymt_dt,
     {wk('dt')} AS bill_dt_m0,
     CAST(date_diff('day', _start, dt) AS INTEGER) AS c_cust_age,
-    _start AS act_cust_strt_dt, _start AS act_acct_inst_dt,
+    _start AS act_cust_strt_dt, _start AS act_acct_inst_dt, _churn AS cst_chrn_dt,
     CASE WHEN user_id % 25 = 0 THEN 'NOTIENE@GMAIL.COM'
          ELSE 'user' || CAST(user_id % 50 AS VARCHAR) || '@mail.test' END AS act_contact_mail_1,
     '6' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS act_contact_phone_1
@@ -1176,3 +1179,52 @@ hf AS (SELECT CAST(CAST(act_acct_cd AS BIGINT) // 4 AS BIGINT) AS household_id,
 hm AS (SELECT CAST(CAST(regexp_replace(replace(id_abonado, '.', ''), '^8', '') AS BIGINT) // 4 AS BIGINT) AS household_id,
               fecha_parque AS dt, min(replace(id_abonado, '.', '')) AS fmc_mobile FROM reg GROUP BY ALL)
 """) + "SELECT hf.household_id, hf.dt, fmc_fixed, fmc_mobile FROM hf JOIN hm ON hf.household_id = hm.household_id AND hf.dt = hm.dt\n"
+
+# --- churn by CRM date, FMC list patch ----------------------------------------
+SQL["churn_by_crm"] = with_(SNAP, """
+per AS (SELECT act_acct_cd AS account, max(cst_chrn_dt) AS last_churn, min(cst_chrn_dt) AS first_churn, max(dt) AS ls,
+               min(CASE WHEN (fi_outst_age >= 2 AND pd_bb_prod_nm IS NOT NULL)
+                          OR (fi_outst_age >= 4 AND (pd_tv_prod_nm IS NOT NULL OR pd_vo_prod_nm IS NOT NULL))
+                        THEN cst_chrn_dt END) AS ic, max(c_cust_age) AS ma
+        FROM snap GROUP BY ALL)
+""") + f"""
+SELECT account, {wk('last_churn')} AS churn_month,
+       CASE WHEN ic IS NOT NULL AND ic <= last_churn THEN 'Involuntary' ELSE 'Voluntary' END AS churn_type,
+       CASE WHEN ma <= 7 THEN 'Early Tenure' WHEN ma IS NOT NULL THEN 'Long Tenure' END AS tenure
+FROM per WHERE {wk('last_churn')} = {wk('ls')} AND first_churn <= last_churn
+"""
+
+SQL["fmc_patch"] = with_(*FMC_ALL, f"""
+fl0 AS (
+  SELECT user_id, {wk('CAST(ts AS DATE)')} AS dt,
+         min(CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) END) AS s0,
+         min(CASE WHEN event_type = 'purchase' THEN CAST(ts AS DATE) END) AS p0,
+         count(CASE WHEN event_type = 'signup' THEN 1 END) AS n
+  FROM events GROUP BY ALL
+),
+fl AS (
+  SELECT CAST(user_id AS VARCHAR) AS account, dt AS f, CAST(greatest(s0, p0) AS DATE) AS s,
+         CASE WHEN n >= 3 THEN 'FMC' ELSE 'Service Not Found' END AS service_type
+  FROM fl0 WHERE s0 IS NOT NULL AND p0 IS NOT NULL
+),
+listed AS (
+  SELECT DISTINCT account, month FROM (
+    SELECT account, CAST(f + 7 AS DATE) AS month FROM fl WHERE service_type <> 'Service Not Found'
+    UNION ALL
+    SELECT account, {wk('s')} FROM fl WHERE service_type <> 'Service Not Found' AND {wk('s')} = CAST(f - 7 AS DATE))
+)
+""") + """
+SELECT t.month, final_account, CASE WHEN l.account IS NOT NULL THEN 1 ELSE 0 END AS fmc_listed,
+  CASE WHEN l.account IS NOT NULL AND b_mix IS NULL THEN 'Mobile Only' WHEN l.account IS NOT NULL THEN 'Soft/Hard FMC'
+       ELSE b_fmc_type END AS b_fmc_type_final,
+  CASE WHEN l.account IS NOT NULL AND e_mix IS NULL AND coalesce(mobile_active_eom, 0) = 1 THEN 'Mobile Only'
+       WHEN l.account IS NOT NULL AND coalesce(active_eom, 0) = 1 THEN 'Soft/Hard FMC' ELSE e_fmc_type END AS e_fmc_type_final,
+  CASE WHEN l.account IS NOT NULL AND b_mix IS NULL THEN 'P1_Mobile' WHEN l.account IS NOT NULL AND b_mix = '1P' THEN 'P2'
+       WHEN l.account IS NOT NULL AND b_mix = '2P' THEN 'P3' WHEN l.account IS NOT NULL AND b_mix = '3P' THEN 'P4'
+       ELSE b_fmc_segment END AS b_fmc_segment_final,
+  CASE WHEN l.account IS NOT NULL AND e_mix IS NULL AND coalesce(mobile_active_eom, 0) = 1 THEN 'P1_Mobile'
+       WHEN l.account IS NOT NULL AND e_mix = '1P' THEN 'P2'
+       WHEN l.account IS NOT NULL AND e_mix = '2P' THEN 'P3' WHEN l.account IS NOT NULL AND e_mix = '3P' THEN 'P4'
+       ELSE e_fmc_segment END AS e_fmc_segment_final
+FROM fmc_table t LEFT JOIN listed l ON l.account = t.final_account AND l.month = t.month
+"""

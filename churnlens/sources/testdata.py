@@ -68,7 +68,8 @@ def fixed_snapshot(events: DataFrame) -> DataFrame:
               F.sum(F.when(t == "click", v)).alias("_bb_amt"),
               F.sum(v).alias("_bill"),
               F.count(F.when(t.isin("purchase", "view", "click"), 1)).alias("_n_srv"),
-              F.count(F.when(t == "signup", 1)).alias("_n_sign")))
+              F.count(F.when(t == "signup", 1)).alias("_n_sign"),
+              F.max(F.when(t == "error", v)).alias("_err")))
     w = Window.partitionBy("user_id").orderBy("dt")
     g = g.withColumns({
         "_last_pay": F.max(F.when(F.col("_vo_amt").isNotNull(), F.col("dt")))
@@ -76,6 +77,7 @@ def fixed_snapshot(events: DataFrame) -> DataFrame:
         "_start": F.coalesce(
             F.max(F.when(F.col("_n_sign") > 0, F.col("dt"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             F.min("dt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
+        "_churn": F.max(F.when(F.col("_err") >= 150, F.col("dt"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
     })
     uid = F.col("user_id")
     age = F.when(F.col("_vo_amt").isNull(), F.datediff("dt", "_last_pay"))
@@ -104,6 +106,7 @@ def fixed_snapshot(events: DataFrame) -> DataFrame:
         F.datediff("dt", "_start").alias("c_cust_age"),
         F.col("_start").alias("act_cust_strt_dt"),
         F.col("_start").alias("act_acct_inst_dt"),
+        F.col("_churn").alias("cst_chrn_dt"),
         _email(uid).alias("act_contact_mail_1"),
         _phone(uid).alias("act_contact_phone_1"),
     )
@@ -277,3 +280,22 @@ def with_household(df: DataFrame, key: str, line_prefix: bool = False) -> DataFr
     (``line_prefix`` strips the leading 8 of a mobile line id)."""
     digits = F.regexp_replace(F.col(key).cast("string"), "^8", "") if line_prefix else F.col(key)
     return df.withColumn("household_id", (digits.cast("long") / 4).cast("long"))
+
+
+def fmc_list(events: DataFrame) -> DataFrame:
+    """External FMC list files, one per week: users with both a signup and a
+    purchase in the week, with the first such day as the FMC start."""
+    t = F.col("event_type")
+    g = (events.groupBy(F.col("user_id"), F.trunc(F.to_date("ts"), "week").alias("dt"))
+               .agg(F.min(F.when(t == "signup", F.to_date("ts"))).alias("_s"),
+                    F.min(F.when(t == "purchase", F.to_date("ts"))).alias("_p"),
+                    F.count(F.when(t == "signup", 1)).alias("_n")))
+    g = g.where(F.col("_s").isNotNull() & F.col("_p").isNotNull())
+    return g.select(
+        F.col("user_id").cast("string").alias("account_no"),
+        F.col("dt"),
+        F.date_format(F.greatest("_s", "_p"), "MM/dd/yyyy").alias("fmc_start_date"),
+        F.lit("Jamaica").alias("business_unit"),
+        F.lit("Residential").alias("account_type"),
+        F.when(F.col("_n") >= 3, "FMC").otherwise("Service Not Found").alias("service_type"),
+    )

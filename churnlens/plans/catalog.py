@@ -444,3 +444,30 @@ def q_fmc_patch(spark, sf):
     return patch_fmc(_fmc(spark, sf), listed).select(
         "month", "final_account", "fmc_listed", "b_fmc_type_final", "e_fmc_type_final",
         "b_fmc_segment_final", "e_fmc_segment_final")
+
+
+@register("scalar_functions")
+def q_scalar_functions(spark, sf):
+    """The scalar and window building blocks of section 2A on the snapshot:
+    first non-null value so far (R71), last value with the default frame
+    (R72), e-mail user part (R95), NaN-safe amount (R103), integer date key
+    (R105), padded key (R91), days to month end (R114), month differences in
+    both dialects (R112), absolute change (R117)."""
+    from pyspark.sql import Window
+    from churnlens.functions import keys as K
+    s = _snap(spark, sf)
+    w = Window.partitionBy("act_acct_cd").orderBy("dt")
+    return s.select(
+        "act_acct_cd", "dt",
+        F.first("pd_vo_prod_nm", ignorenulls=True).over(w).alias("first_vo_name"),
+        F.last("pd_tv_prod_nm").over(w).alias("tv_last_default_frame"),
+        F.split_part("act_contact_mail_1", F.lit("@"), F.lit(1)).alias("email_user"),
+        F.when(F.isnan("fi_bill_amt_m0"), F.lit(0.0)).otherwise(F.col("fi_bill_amt_m0")).alias("bill_nan_safe"),
+        F.date_format("dt", "yyyyMMdd").cast("int").alias("date_key"),
+        K.pad_key("act_acct_cd").alias("padded_key"),
+        F.datediff(F.last_day("dt"), F.col("dt")).alias("days_to_month_end"),
+        K.months_crossed("act_cust_strt_dt", F.add_months("dt", 1)).alias("months_crossed"),
+        # from the first of the month: end-of-month rules differ between engines
+        K.months_full(F.trunc("act_cust_strt_dt", "MM"), F.add_months("dt", 1)).alias("months_full"),
+        F.abs(F.col("fi_vo_mrc_amt") - F.col("fi_tv_mrc_amt")).alias("abs_change"),
+    )

@@ -1228,3 +1228,18 @@ SELECT t.month, final_account, CASE WHEN l.account IS NOT NULL THEN 1 ELSE 0 END
        ELSE e_fmc_segment END AS e_fmc_segment_final
 FROM fmc_table t LEFT JOIN listed l ON l.account = t.final_account AND l.month = t.month
 """
+
+SQL["scalar_functions"] = with_(SNAP) + """
+SELECT act_acct_cd, dt,
+  first_value(pd_vo_prod_nm IGNORE NULLS) OVER (PARTITION BY act_acct_cd ORDER BY dt) AS first_vo_name,
+  last_value(pd_tv_prod_nm) OVER (PARTITION BY act_acct_cd ORDER BY dt) AS tv_last_default_frame,
+  split_part(act_contact_mail_1, '@', 1) AS email_user,
+  CASE WHEN isnan(fi_bill_amt_m0) THEN 0.0 ELSE fi_bill_amt_m0 END AS bill_nan_safe,
+  CAST(strftime(dt, '%Y%m%d') AS INTEGER) AS date_key,
+  right('0000000000' || act_acct_cd, 10) AS padded_key,
+  CAST(date_diff('day', dt, last_day(dt)) AS INTEGER) AS days_to_month_end,
+  CAST((year(dt + INTERVAL 1 MONTH) - year(act_cust_strt_dt)) * 12 + month(dt + INTERVAL 1 MONTH) - month(act_cust_strt_dt) AS INTEGER) AS months_crossed,
+  CAST(datesub('month', CAST(date_trunc('month', act_cust_strt_dt) AS DATE), CAST(dt + INTERVAL 1 MONTH AS DATE)) AS INTEGER) AS months_full,
+  abs(fi_vo_mrc_amt - fi_tv_mrc_amt) AS abs_change
+FROM snap
+"""

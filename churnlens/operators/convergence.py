@@ -384,3 +384,53 @@ def patch_fmc(df: DataFrame, listed: DataFrame) -> DataFrame:
         "b_fmc_segment_final": case_when(seg_b, F.col("b_fmc_segment")),
         "e_fmc_segment_final": case_when(seg_e, F.col("e_fmc_segment")),
     }).drop("_la", "_lm", "_listed")
+
+
+GA_OR_REJOINER = "Fixed Gross Add or Mobile Gross Add/ Rejoiner"
+
+
+def waterfall_bigquery(df: DataFrame) -> DataFrame:
+    """Waterfall in the BigQuery order (T28): both periods active first,
+    upsell/downsell only with an unchanged mobile state, then maintain,
+    gross adds, spins, rejoiners, churn and gap labels. Movement codes are
+    this library's (new customer = ``05. New Customer``; a mobile gross add
+    or rejoiner = mobile new or come back)."""
+    both = (F.col("final_bom_active_flag") == 1) & (F.col("final_eom_active_flag") == 1)
+    gained = (F.col("final_bom_active_flag") == 0) & (F.col("final_eom_active_flag") == 1)
+    lost = (F.col("final_bom_active_flag") == 1) & (F.col("final_eom_active_flag") == 0)
+    mb, me = F.col("mobile_active_bom"), F.col("mobile_active_eom")
+    same_mobile = (mb == me) | (mb.isNull() & me.isNull())
+    b, e = F.col("b_num_rgus"), F.col("e_num_rgus")
+    bm, em = F.col("b_total_mrc"), F.col("e_total_mrc")
+    new_fixed = F.col("main_movement") == L.MM_NEW
+    mob_ga = _in("mobile_movement_flag", L.MOB_NEW, L.MOB_COMEBACK)
+    fcf = F.col("final_churn_flag")
+    ab, ae = F.col("active_bom"), F.col("active_eom")
+    mobile_both_or_none = ((mb == 1) & (me == 1)) | (mb.isNull() & me.isNull())
+    rules = [
+        (both & (b < e) & same_mobile, "Upsell"),
+        (both & (b > e) & same_mobile, "Downsell"),
+        (both & (b == e) & (bm == em), "Maintain"),
+        (gained & ((new_fixed & mob_ga) | (new_fixed & F.col("mobile_movement_flag").isNull())
+                   | (F.col("main_movement").isNull() & mob_ga)), GA_OR_REJOINER),
+        (both & (b == e) & (bm > em), "Downspin"),
+        (both & (b == e) & (bm < em), "Upspin"),
+        (F.col("rejoiner_final_flag").isNotNull(), F.col("rejoiner_final_flag")),
+        (both & ab.isNull() & ae.isNull() & (mb == 1) & (me == 1), "Maintain"),
+        (both & (fcf == L.CHURN_FIXED) & mobile_both_or_none, L.CHURN_FIXED),
+        (lost & (fcf == L.CHURN_FIXED) & mobile_both_or_none, L.CHURN_FIXED),
+        (both & (ab == 0) & (ae == 1) & (mb == 1) & (me == 0), GA_OR_REJOINER),
+        (both & (fcf == L.CHURN_FIXED) & (mb == 0) & (me == 1), "Fixed to Mobile Customer Gap"),
+        (fcf == L.CHURN_FULL, L.CHURN_FULL),
+        (fcf == L.CHURN_MOBILE, L.CHURN_MOBILE),
+        (both & (ab == 1) & (ae == 0) & (fcf == L.CHURN_NONE), "Churn Gap"),
+        (both & (mb == 0) & (me == 1) & (ab == 1) & (ae == 1), "Mobile Gross Adds"),
+        (both & (ab == 1) & (ae == 1) & (mb == 1) & (me == 0), L.CHURN_MOBILE),
+        (gained & (F.col("e_fmc_segment") == L.SEG_P1_FIXED) & F.col("rejoiner_final_flag").isNull(), GA_OR_REJOINER),
+        (both & (ab == 0) & (ae == 1) & (mb == 1) & (me == 1), "FMC Packing"),
+        ((F.col("b_fmc_status") == "Undefined FMC") | (F.col("e_fmc_status") == "Undefined FMC"), "Gap Undefined FMC"),
+        (fcf == "Customer Gap", "Customer Gap"),
+        (gained & (ab == 0) & (ae == 1) & (mb == 0) & (me == 1), "FMC Gross Add"),
+        (gained & (ab == 0) & (ae == 1) & F.col("fixed_churner_type").isNotNull(), "Customer Gap"),
+    ]
+    return df.withColumn("waterfall_bq", case_when(rules))

@@ -471,3 +471,9 @@ def q_scalar_functions(spark, sf):
         K.months_full(F.trunc("act_cust_strt_dt", "MM"), F.add_months("dt", 1)).alias("months_full"),
         F.abs(F.col("fi_vo_mrc_amt") - F.col("fi_tv_mrc_amt")).alias("abs_change"),
     )
+
+
+@register("waterfall_bigquery")
+def q_waterfall_bigquery(spark, sf):
+    from churnlens.operators.convergence import waterfall_bigquery
+    return waterfall_bigquery(_fmc(spark, sf)).select("month", "final_account", "waterfall_flag", "waterfall_bq")

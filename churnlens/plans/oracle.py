@@ -1243,3 +1243,50 @@ SELECT act_acct_cd, dt,
   abs(fi_vo_mrc_amt - fi_tv_mrc_amt) AS abs_change
 FROM snap
 """
+
+SQL["waterfall_bigquery"] = with_(*FMC_ALL) + """
+SELECT month, final_account, waterfall_flag, CASE
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_num_rgus < e_num_rgus
+       AND (mobile_active_bom = mobile_active_eom OR (mobile_active_bom IS NULL AND mobile_active_eom IS NULL)) THEN 'Upsell'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_num_rgus > e_num_rgus
+       AND (mobile_active_bom = mobile_active_eom OR (mobile_active_bom IS NULL AND mobile_active_eom IS NULL)) THEN 'Downsell'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_num_rgus = e_num_rgus AND b_total_mrc = e_total_mrc THEN 'Maintain'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1
+       AND ((main_movement = '05. New Customer' AND mobile_movement_flag IN ('06.New Customer', '05.Come Back To Life'))
+            OR (main_movement = '05. New Customer' AND mobile_movement_flag IS NULL)
+            OR (main_movement IS NULL AND mobile_movement_flag IN ('06.New Customer', '05.Come Back To Life')))
+    THEN 'Fixed Gross Add or Mobile Gross Add/ Rejoiner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_num_rgus = e_num_rgus AND b_total_mrc > e_total_mrc THEN 'Downspin'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_num_rgus = e_num_rgus AND b_total_mrc < e_total_mrc THEN 'Upspin'
+  WHEN rejoiner_final_flag IS NOT NULL THEN rejoiner_final_flag
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND active_bom IS NULL AND active_eom IS NULL
+       AND mobile_active_bom = 1 AND mobile_active_eom = 1 THEN 'Maintain'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND final_churn_flag = 'Fixed Churner'
+       AND ((mobile_active_bom = 1 AND mobile_active_eom = 1) OR (mobile_active_bom IS NULL AND mobile_active_eom IS NULL)) THEN 'Fixed Churner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 0 AND final_churn_flag = 'Fixed Churner'
+       AND ((mobile_active_bom = 1 AND mobile_active_eom = 1) OR (mobile_active_bom IS NULL AND mobile_active_eom IS NULL)) THEN 'Fixed Churner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND active_bom = 0 AND active_eom = 1
+       AND mobile_active_bom = 1 AND mobile_active_eom = 0 THEN 'Fixed Gross Add or Mobile Gross Add/ Rejoiner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND final_churn_flag = 'Fixed Churner'
+       AND mobile_active_bom = 0 AND mobile_active_eom = 1 THEN 'Fixed to Mobile Customer Gap'
+  WHEN final_churn_flag = 'Full Churner' THEN 'Full Churner'
+  WHEN final_churn_flag = 'Mobile Churner' THEN 'Mobile Churner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND active_bom = 1 AND active_eom = 0
+       AND final_churn_flag = 'Non Churner' THEN 'Churn Gap'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND mobile_active_bom = 0 AND mobile_active_eom = 1
+       AND active_bom = 1 AND active_eom = 1 THEN 'Mobile Gross Adds'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND active_bom = 1 AND active_eom = 1
+       AND mobile_active_bom = 1 AND mobile_active_eom = 0 THEN 'Mobile Churner'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1 AND e_fmc_segment = 'P1_Fixed'
+       AND rejoiner_final_flag IS NULL THEN 'Fixed Gross Add or Mobile Gross Add/ Rejoiner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND active_bom = 0 AND active_eom = 1
+       AND mobile_active_bom = 1 AND mobile_active_eom = 1 THEN 'FMC Packing'
+  WHEN b_fmc_status = 'Undefined FMC' OR e_fmc_status = 'Undefined FMC' THEN 'Gap Undefined FMC'
+  WHEN final_churn_flag = 'Customer Gap' THEN 'Customer Gap'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1 AND active_bom = 0 AND active_eom = 1
+       AND mobile_active_bom = 0 AND mobile_active_eom = 1 THEN 'FMC Gross Add'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1 AND active_bom = 0 AND active_eom = 1
+       AND fixed_churner_type IS NOT NULL THEN 'Customer Gap'
+END AS waterfall_bq
+FROM fmc_table
+"""

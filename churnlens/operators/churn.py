@@ -104,25 +104,14 @@ def rejoiners(table: DataFrame, repaired: DataFrame, params: Params = Params(),
               day: str = DAY) -> DataFrame:
     """Churners of period p that are active again in p + 1 (overdue within
     the limit, or nothing overdue and a payment in that period); the type
-    follows the churn type (D52)."""
+    follows the churn type (D52). ``repaired`` holds daily rows with
+    ``mora_fix`` and ``month``; ``rejoiners_from_summary`` reads the same
+    activity from the period summary."""
     g = params.grain
-    exits = (table.where(F.col("fixed_churner_type").isNotNull())
-                  .select(F.col("fixed_account").alias("exit_account"),
-                          g.shift(F.col("fixed_month"), 1).alias("rejoiner_month"),
-                          F.col("fixed_churner_type").alias("_ctype")).distinct())
     active = (repaired.where((F.col("mora_fix") <= params.invol_days)
                              | (F.col("mora_fix").isNull() & (g.trunc(F.col("lst_pymt_dt").cast("date")) == F.col("month"))))
                       .select(F.col(key).alias("exit_account"), F.col("month").alias("rejoiner_month")).distinct())
-    rj = (exits.join(active, ["exit_account", "rejoiner_month"], "inner")
-               .select("exit_account", "rejoiner_month",
-                       case_when([(F.col("_ctype") == L.FIXED_VOL, L.FIXED_VOL_REJ),
-                                  (F.col("_ctype") == L.FIXED_INVOL, L.FIXED_INVOL_REJ)]).alias("fixed_rejoiner_type")))
-    # one row per (account, period): a type per rejoiner, involuntary first
-    rj = rj.groupBy("exit_account", "rejoiner_month").agg(F.max("fixed_rejoiner_type").alias("fixed_rejoiner_type"))
-    j = table.join(rj, (F.col("fixed_month") == F.col("rejoiner_month")) & (F.col("fixed_account") == F.col("exit_account")),
-                   "left")
-    return j.withColumn("fixed_rejoiner", F.when(F.col("fixed_rejoiner_type").isNotNull(), F.col("fixed_account"))) \
-            .drop("exit_account", "rejoiner_month")
+    return _attach_rejoiners(table, active, params)
 
 
 def fixed_rgu_churn(df: DataFrame) -> DataFrame:
@@ -326,3 +315,48 @@ def churn_by_crm(snap: DataFrame, params: Params = Params(), key: str = KEY, day
                        F.when(invol, F.lit("Involuntary")).otherwise(F.lit("Voluntary")).alias("churn_type"),
                        F.when(F.col("_max_age") <= early_days, F.lit("Early Tenure"))
                         .when(F.col("_max_age").isNotNull(), F.lit("Long Tenure")).alias("tenure"))
+
+
+def facts_from_summary(summary: DataFrame, key: str = KEY) -> DataFrame:
+    """The involuntary-churn facts of ``period_facts`` read from the period
+    summary (``snapshot.period_summary``)."""
+    return summary.select(
+        F.col(key), F.col("month"), F.col("any_below"),
+        F.col("last.fix").alias("last_mora_fix"), F.col("last.raw").alias("last_overdue"),
+        F.col("last.d").alias("last_record"), F.col("invol_rgu_churn"),
+        F.datediff(F.col("last.d"), F.col("max_inst").cast("date")).alias("churn_tenure_days"))
+
+
+def initial_rgus_from_summary(summary: DataFrame, key: str = KEY) -> DataFrame:
+    """Products on the account's first record (D31) from the period summary:
+    the first period's first-record products, one small aggregate."""
+    f = F.min_by(F.col("first_products"), F.col("first_record"))
+    return (summary.groupBy(key).agg(f.alias("_f"))
+                   .select(F.col(key),
+                           (F.col("_f.vo").isNotNull().cast("int") + F.col("_f.bb").isNotNull().cast("int")
+                            + F.col("_f.tv").isNotNull().cast("int")).alias("max_rgus_count")))
+
+
+def rejoiners_from_summary(table: DataFrame, summary: DataFrame, params: Params = Params(),
+                           key: str = KEY) -> DataFrame:
+    """``rejoiners`` with the active periods taken from the period summary."""
+    active = summary.where(F.col("active") == 1).select(F.col(key).alias("exit_account"),
+                                                        F.col("month").alias("rejoiner_month"))
+    return _attach_rejoiners(table, active, params)
+
+
+def _attach_rejoiners(table: DataFrame, active: DataFrame, params: Params) -> DataFrame:
+    g = params.grain
+    exits = (table.where(F.col("fixed_churner_type").isNotNull())
+                  .select(F.col("fixed_account").alias("exit_account"),
+                          g.shift(F.col("fixed_month"), 1).alias("rejoiner_month"),
+                          F.col("fixed_churner_type").alias("_ctype")).distinct())
+    rj = (exits.join(active, ["exit_account", "rejoiner_month"], "inner")
+               .select("exit_account", "rejoiner_month",
+                       case_when([(F.col("_ctype") == L.FIXED_VOL, L.FIXED_VOL_REJ),
+                                  (F.col("_ctype") == L.FIXED_INVOL, L.FIXED_INVOL_REJ)]).alias("fixed_rejoiner_type")))
+    rj = rj.groupBy("exit_account", "rejoiner_month").agg(F.max("fixed_rejoiner_type").alias("fixed_rejoiner_type"))
+    j = table.join(rj, (F.col("fixed_month") == F.col("rejoiner_month")) & (F.col("fixed_account") == F.col("exit_account")),
+                   "left")
+    return j.withColumn("fixed_rejoiner", F.when(F.col("fixed_rejoiner_type").isNotNull(), F.col("fixed_account"))) \
+            .drop("exit_account", "rejoiner_month")

@@ -148,3 +148,59 @@ def active_by_mrc(df: DataFrame, params: Params = Params(), key: str = KEY, day:
     j = per.join(avg, [key, "month"], "left")
     young = F.datediff(F.col(day).cast("date"), F.col(start).cast("date")) <= params.young_account_days
     return j.where(F.col("avg_mrc").isNotNull() | young)
+
+
+def period_summary(rep: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY) -> DataFrame:
+    """One row per (account, period) from the repaired daily rows: the
+    first-day snapshot (a struct of the opening/closing columns and its
+    repaired age), whether some record is below the involuntary limit, the
+    repaired and raw age on the last record, the products seen, the last
+    install, the products on the first record and whether the account is
+    active for a rejoin (overdue within the limit, or nothing overdue and a
+    payment in the period).
+
+    This is the only aggregate over the daily data. It runs on the hash
+    partitioning by account that the repair window already produced (no
+    further shuffle), and everything after it works at the period grain, so
+    only this summary - not the daily stage - needs to be materialised."""
+    g = params.grain
+    d = F.col(day).cast("date")
+    lim = params.invol_days
+    first_day = F.struct(d.alias("date"), F.col("mora_fix").alias("mora_fix"),
+                         *[F.col(src).alias(dst) for src, dst in _SIDE_COLS])
+    last = F.struct(F.col("mora_fix").alias("fix"), F.col("fi_outst_age").alias("raw"), d.alias("d"))
+    first_products = F.struct(F.col("pd_vo_prod_nm").alias("vo"), F.col("pd_bb_prod_nm").alias("bb"),
+                              F.col("pd_tv_prod_nm").alias("tv"))
+    mf = F.col("mora_fix")
+    active = (mf <= lim) | (mf.isNull() & (g.trunc(F.col("lst_pymt_dt").cast("date")) == F.col("month")))
+    return rep.groupBy(key, "month").agg(
+        F.max_by(first_day, F.when(d == g.trunc(d), d)).alias("first_day"),
+        F.max((mf < lim).cast("int")).alias("any_below"),
+        F.max_by(last, d).alias("last"),
+        (F.max(F.col("pd_vo_prod_nm").isNotNull().cast("int")) + F.max(F.col("pd_bb_prod_nm").isNotNull().cast("int"))
+         + F.max(F.col("pd_tv_prod_nm").isNotNull().cast("int"))).alias("invol_rgu_churn"),
+        F.max("max_inst").alias("max_inst"),
+        F.min_by(first_products, d).alias("first_products"),
+        F.min(d).alias("first_record"),
+        F.max(active.cast("int")).alias("active"),
+    )
+
+
+def summary_side(summary: DataFrame, side: str, params: Params = Params(), key: str = KEY) -> DataFrame:
+    """Opening (``b``) or closing (``e``) snapshot from the period summary:
+    the first-day row of period p opens p and closes p - 1 (D14, D15), with
+    the same overdue limits as ``snapshot_side``."""
+    g = params.grain
+    fd = summary.where(F.col("first_day").isNotNull())
+    age = F.col("first_day.mora_fix")
+    if side == "b":
+        lim, month = params.bom_max_overdue, F.col("month")
+        keep = None if lim is None else (age <= lim) | age.isNull()
+    else:
+        lim, month = params.eom_max_overdue, g.shift(F.col("month"), -1)
+        keep = None if lim is None else (age < lim) | age.isNull()
+    if keep is not None:
+        fd = fd.where(keep)
+    cols = [month.alias("month"), F.col(key).alias(f"account_{side}"), F.col("first_day.date").alias(f"{side}_date")]
+    cols += [F.col(f"first_day.{dst}").alias(f"{side}_{dst}") for _, dst in _SIDE_COLS]
+    return fd.select(*cols)

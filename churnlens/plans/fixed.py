@@ -26,35 +26,39 @@ from churnlens.sources.io import population, with_checkpoint
 class FixedStages:
     features: DataFrame
     repaired: DataFrame
+    summary: DataFrame
     base: DataFrame
     table: DataFrame
 
 
 def fixed_stages(snap: DataFrame, params: Params = Params(), apply_population: bool = True,
                  materialize: bool = True) -> FixedStages:
-    """``materialize`` checkpoints the repaired daily stage (reliable
-    checkpoint in ``spark.checkpoint.dir``): it is read by five later steps,
-    and the checkpoint keeps its hash partitioning by account, so the period
-    aggregates and the base join reuse it without another shuffle."""
+    """The daily data is read once, shuffled once by account, and reduced to
+    one row per (account, period) right after the repair window
+    (``period_summary``). ``materialize`` checkpoints that summary (reliable
+    checkpoint in ``spark.checkpoint.dir``): the base, churn facts, initial
+    products and rejoiners all read it, and the checkpoint keeps its hash
+    partitioning by account, so their joins need no further shuffle of it."""
     src = population(snap) if apply_population else snap
     feats = S.snapshot_features(src, params)
     rep = S.repair_overdue(feats, params)
+    summary = S.period_summary(rep, params)
     if materialize:
-        rep = with_checkpoint(rep)
-    base = S.bom_eom_base(S.snapshot_side(rep, "b", params), S.snapshot_side(rep, "e", params))
+        summary = with_checkpoint(summary)
+    base = S.bom_eom_base(S.summary_side(summary, "b", params), S.summary_side(summary, "e", params))
     base = M.main_movement(base, params)
     base = M.tenure_segments(base, params)
     base = M.spin_movement(base)
     vol = C.voluntary_churn(base)
-    facts = C.period_facts(rep, params)
+    facts = C.facts_from_summary(summary)
     invol = C.involuntary_churn(facts, params)
-    churners = C.merge_churners(vol, invol, C.initial_rgus(rep))
+    churners = C.merge_churners(vol, invol, C.initial_rgus_from_summary(summary))
     table = C.attach_churn(base, churners)
     table = C.churn_tenure(table, params)
-    table = C.rejoiners(table, rep, params)
+    table = C.rejoiners_from_summary(table, summary, params)
     table = C.fixed_rgu_churn(table)
     table = M.with_plans(table)
-    return FixedStages(feats, rep, base, table)
+    return FixedStages(feats, rep, summary, base, table)
 
 
 def fixed_table(snap: DataFrame, params: Params = Params()) -> DataFrame:

@@ -58,8 +58,11 @@ def _line_id(uid):
 
 def fixed_snapshot(events: DataFrame) -> DataFrame:
     t, v = F.col("event_type"), F.col("value")
-    g = (events.select("user_id", F.to_date("ts").alias("dt"), "event_type", "value")
-         .groupBy("user_id", "dt")
+    # keyed by the string account from the start, so the adapter's window and
+    # the library's account windows share one hash partitioning
+    g = (events.select(F.col("user_id").cast("string").alias("act_acct_cd"), "user_id", F.to_date("ts").alias("dt"),
+                       "event_type", "value")
+         .groupBy("act_acct_cd", "dt")
          .agg(F.max(F.when(t == "purchase", v)).alias("_vo"),
               F.sum(F.when(t == "purchase", v)).alias("_vo_amt"),
               F.max(F.when(t == "view", v)).alias("_tv"),
@@ -69,8 +72,9 @@ def fixed_snapshot(events: DataFrame) -> DataFrame:
               F.sum(v).alias("_bill"),
               F.count(F.when(t.isin("purchase", "view", "click"), 1)).alias("_n_srv"),
               F.count(F.when(t == "signup", 1)).alias("_n_sign"),
-              F.max(F.when(t == "error", v)).alias("_err")))
-    w = Window.partitionBy("user_id").orderBy("dt")
+              F.max(F.when(t == "error", v)).alias("_err"),
+              F.max("user_id").alias("user_id")))
+    w = Window.partitionBy("act_acct_cd").orderBy("dt")
     g = g.withColumns({
         "_last_pay": F.max(F.when(F.col("_vo_amt").isNotNull(), F.col("dt")))
                       .over(w.rowsBetween(Window.unboundedPreceding, -1)),
@@ -86,7 +90,7 @@ def fixed_snapshot(events: DataFrame) -> DataFrame:
         return F.when(F.col(c).isNull(), F.lit(None).cast("string")).when(F.col(c) >= 50, F.lit(hi)).otherwise(F.lit(lo))
 
     return g.select(
-        uid.cast("string").alias("act_acct_cd"),
+        F.col("act_acct_cd"),
         F.col("dt"),
         F.lit("RESIDENCIAL").alias("act_cust_typ"),
         F.when(F.col("_n_srv") > 0, "ACTIVO").when(F.col("_n_sign") > 0, "SUSPENDIDO")

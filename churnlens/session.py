@@ -19,9 +19,13 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what the optimizer can prove small (10 MB); every explicit
-    # broadcast in the library is behind ``plans.sizing.small_enough``.
+    # Broadcast only sides whose size is checked below 10 MB: statically by
+    # the optimizer's estimate (file sizes propagated without row reduction,
+    # an upper bound), or at run time by AQE on a finished shuffle stage.
+    # Explicit broadcasts of catalogues go through ``plans.sizing``. (A
+    # runtime-only policy, static threshold -1, measured 45 % slower at sf0.1.)
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # Joins on (account, period) may reuse a partitioning on the account alone
     # (the repaired daily stage is hash-partitioned by account).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",

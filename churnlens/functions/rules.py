@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import lit
 from churnlens.functions.keys import present
 
 __all__ = [
@@ -28,7 +29,7 @@ def case_when(rules: Sequence[tuple[Column, object]], default=None) -> Column:
         return F.lit(default)
     expr = None
     for pred, val in rules:
-        v = val if isinstance(val, Column) else F.lit(val)
+        v = val if isinstance(val, Column) else (lit(val) if val is not None else F.lit(None))
         expr = F.when(pred, v) if expr is None else expr.when(pred, v)
     if default is not None:
         expr = expr.otherwise(default if isinstance(default, Column) else F.lit(default))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens.functions.rules import case_when
 from churnlens.params import Params
 
@@ -17,11 +18,11 @@ def overdue_from_payment(snap: DataFrame, params: Params = Params(), key: str =
     """Oldest unpaid bill = the period after the last payment, NULL when the
     last payment is in the current period; age in days (D100)."""
     g = params.grain
-    d = F.col(day).cast("date")
-    adj = g.trunc(g.shift(F.col(paid).cast("date"), 1))
-    oldest = F.when(g.trunc(F.col(paid).cast("date")) == g.trunc(d), F.lit(None).cast("date")).otherwise(adj)
+    d = col(day).cast("date")
+    adj = g.trunc(g.shift(col(paid).cast("date"), 1))
+    oldest = F.when(g.trunc(col(paid).cast("date")) == g.trunc(d), F.lit(None).cast("date")).otherwise(adj)
     return snap.withColumn("oldest_unpaid_bill_final", oldest) \
-               .withColumn("fi_outst_age_final", F.datediff(d, F.col("oldest_unpaid_bill_final")))
+               .withColumn("fi_outst_age_final", F.datediff(d, col("oldest_unpaid_bill_final")))
 
 
 def debt_funnel(snap: DataFrame, params: Params = Params(),
@@ -36,38 +37,38 @@ def debt_funnel(snap: DataFrame, params: Params = Params(),
     accounts whose age falls in [lo, hi] in the period ``periods back`` after
     the cohort. All sets are (account, period) keys joined one-to-one."""
     g = params.grain
-    d = F.col(day).cast("date")
+    d = col(day).cast("date")
     p = g.trunc(d)
-    age = F.col("fi_outst_age_final")
-    cohort = (snap.where((g.trunc(F.col("bill_dt_m0").cast("date")) == p) & ((age == 0) | age.isNull()))
-                  .select(F.col(key).alias("account"), p.alias("month")).distinct())
+    age = col("fi_outst_age_final")
+    cohort = (snap.where((g.trunc(col("bill_dt_m0").cast("date")) == p) & ((age == 0) | age.isNull()))
+                  .select(col(key).alias("account"), p.alias("month")).distinct())
     out = cohort
-    for name, lo, hi, col, back in stages:
-        a = F.col(col)
+    for name, lo, hi, age_col, back in stages:
+        a = col(age_col)
         cond = (a >= lo) if hi is None else a.between(lo, hi)
-        s = (snap.where(cond).select(F.col(key).alias("account"), g.shift(p, -back).alias("month")).distinct()
+        s = (snap.where(cond).select(col(key).alias("account"), g.shift(p, -back).alias("month")).distinct()
                  .withColumn(name, F.lit(1)))
         out = out.join(s, ["account", "month"], "left")
     return out.groupBy("month").agg(F.count(F.lit(1)).alias("billed"),
-                                    *[F.count(F.col(s[0])).alias(s[0]) for s in stages])
+                                    *[F.count(col(s[0])).alias(s[0]) for s in stages])
 
 
 def retention_funnel(requests: DataFrame, master: DataFrame, params: Params = Params()) -> DataFrame:
     """Disconnection requests -> located -> retained, in accounts and opening
     products (D103)."""
     g = params.grain
-    r = requests.select(F.col("contrato").alias("account"), g.trunc(F.col("request_date").cast("date")).alias("month"),
-                        (F.col("contactabilidad") == "CONTACTADO").cast("int").alias("_loc"),
-                        (F.col("solucion") == "RETENIDO").cast("int").alias("_ret"))
+    r = requests.select(col("contrato").alias("account"), g.trunc(col("request_date").cast("date")).alias("month"),
+                        (col("contactabilidad") == "CONTACTADO").cast("int").alias("_loc"),
+                        (col("solucion") == "RETENIDO").cast("int").alias("_ret"))
     per = r.groupBy("account", "month").agg(F.max("_loc").alias("_loc"), F.max("_ret").alias("_ret"))
-    m = master.select(F.col("fixed_account").alias("account"), F.col("fixed_month").alias("month"),
-                      F.coalesce(F.col("b_num_rgus"), F.lit(0)).alias("_rgus"))
+    m = master.select(col("fixed_account").alias("account"), col("fixed_month").alias("month"),
+                      F.coalesce(col("b_num_rgus"), F.lit(0)).alias("_rgus"))
     j = per.join(m, ["account", "month"], "left").withColumn("_rgus", F.coalesce("_rgus", F.lit(0)))
     return j.groupBy("month").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("_loc").cast("long").alias("located"),
         F.sum("_ret").cast("long").alias("retained"), F.sum("_rgus").cast("long").alias("request_rgus"),
-        F.sum(F.col("_rgus") * F.col("_loc")).cast("long").alias("located_rgus"),
-        F.sum(F.col("_rgus") * F.col("_ret")).cast("long").alias("retained_rgus"))
+        F.sum(col("_rgus") * col("_loc")).cast("long").alias("located_rgus"),
+        F.sum(col("_rgus") * col("_ret")).cast("long").alias("retained_rgus"))
 
 
 def bill_payments(bills: DataFrame, moves: DataFrame, params: Params = Params()) -> DataFrame:
@@ -75,12 +76,12 @@ def bill_payments(bills: DataFrame, moves: DataFrame, params: Params = Params())
     Payments are reduced per bill first (partial aggregation), then joined
     one-to-one to the bills."""
     g = params.grain
-    pay = moves.groupBy(F.col("fact_aplica").alias("factura")).agg(F.min("fecha_mov").alias("first_payment"))
-    b = bills.join(pay, "factura", "left").withColumn("month", g.trunc(F.col("fecha_fact")))
+    pay = moves.groupBy(col("fact_aplica").alias("factura")).agg(F.min("fecha_mov").alias("first_payment"))
+    b = bills.join(pay, "factura", "left").withColumn("month", g.trunc(col("fecha_fact")))
     first = F.min_by(F.struct("fecha_fact", "factura", "first_payment"), F.struct("fecha_fact", "factura"))
     return (b.groupBy("contrato", "month").agg(first.alias("_f"))
-             .select("contrato", "month", F.col("_f.factura").alias("first_bill"),
-                     F.col("_f.fecha_fact").alias("bill_date"), F.col("_f.first_payment").alias("first_payment")))
+             .select("contrato", "month", col("_f.factura").alias("first_bill"),
+                     col("_f.fecha_fact").alias("bill_date"), col("_f.first_payment").alias("first_payment")))
 
 
 def oldest_unpaid(first_bills: DataFrame, bills: DataFrame, moves: DataFrame, params: Params = Params()) -> DataFrame:
@@ -91,20 +92,20 @@ def oldest_unpaid(first_bills: DataFrame, bills: DataFrame, moves: DataFrame, pa
     never paid. First match wins: previous unpaid at the period end, current
     unpaid at the period end, oldest never-paid bill issued by then."""
     g = params.grain
-    end = F.date_sub(g.shift(F.col("month"), 1), 1)
-    prev = first_bills.select(F.col("contrato").alias("_pc"), g.shift(F.col("month"), 1).alias("_pm"),
-                              F.col("bill_date").alias("prev_bill"), F.col("first_payment").alias("prev_paid"))
-    paid_bills = moves.select(F.col("fact_aplica").alias("factura")).distinct()
-    never = (bills.join(paid_bills, "factura", "left_anti").groupBy(F.col("contrato").alias("_nc"))
+    end = F.date_sub(g.shift(col("month"), 1), 1)
+    prev = first_bills.select(col("contrato").alias("_pc"), g.shift(col("month"), 1).alias("_pm"),
+                              col("bill_date").alias("prev_bill"), col("first_payment").alias("prev_paid"))
+    paid_bills = moves.select(col("fact_aplica").alias("factura")).distinct()
+    never = (bills.join(paid_bills, "factura", "left_anti").groupBy(col("contrato").alias("_nc"))
                   .agg(F.min("fecha_fact").alias("never_paid_bill")))
-    j = (first_bills.join(prev, (F.col("contrato") == F.col("_pc")) & (F.col("month") == F.col("_pm")), "left")
-                    .join(never, F.col("contrato") == F.col("_nc"), "left")
+    j = (first_bills.join(prev, (col("contrato") == col("_pc")) & (col("month") == col("_pm")), "left")
+                    .join(never, col("contrato") == col("_nc"), "left")
                     .withColumn("period_end", end))
-    pe = F.col("period_end")
+    pe = col("period_end")
     oldest = case_when([
-        (F.col("prev_bill").isNotNull() & (F.col("prev_paid").isNull() | (F.col("prev_paid") > pe)), F.col("prev_bill")),
-        ((F.col("bill_date") <= pe) & (F.col("first_payment").isNull() | (F.col("first_payment") > pe)), F.col("bill_date")),
-        (F.col("never_paid_bill") <= pe, F.col("never_paid_bill")),
+        (col("prev_bill").isNotNull() & (col("prev_paid").isNull() | (col("prev_paid") > pe)), col("prev_bill")),
+        ((col("bill_date") <= pe) & (col("first_payment").isNull() | (col("first_payment") > pe)), col("bill_date")),
+        (col("never_paid_bill") <= pe, col("never_paid_bill")),
     ])
     return j.select("contrato", "month", "period_end", oldest.alias("oldest_unpaid_bill"),
                     F.datediff(pe, oldest).alias("overdue_days"))
@@ -112,6 +113,6 @@ def oldest_unpaid(first_bills: DataFrame, bills: DataFrame, moves: DataFrame, pa
 
 def reconcile(bills: DataFrame, moves: DataFrame) -> DataFrame:
     """Billed amount against the sum of payment movements per invoice (D106)."""
-    pay = moves.groupBy(F.col("fact_aplica").alias("factura")).agg(F.round(F.sum("monto_mov"), 2).alias("paid"))
-    j = bills.select("factura", F.col("monto_fact").alias("billed")).join(pay, "factura", "inner")
-    return j.withColumn("difference", F.round(F.col("billed") - F.col("paid"), 2))
+    pay = moves.groupBy(col("fact_aplica").alias("factura")).agg(F.round(F.sum("monto_mov"), 2).alias("paid"))
+    j = bills.select("factura", col("monto_fact").alias("billed")).join(pay, "factura", "inner")
+    return j.withColumn("difference", F.round(col("billed") - col("paid"), 2))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens import labels as L
 from churnlens.functions.rules import case_when, tenure_segment
 from churnlens.params import Params
@@ -22,19 +23,19 @@ DAY = "dt"
 
 def voluntary_churn(base: DataFrame) -> DataFrame:
     """Accounts active at opening and absent at closing."""
-    return (base.where((F.col("active_bom") == 1) & ((F.col("active_eom") == 0) | F.col("active_eom").isNull()))
+    return (base.where((col("active_bom") == 1) & ((col("active_eom") == 0) | col("active_eom").isNull()))
                 .select("fixed_month", "fixed_account", F.lit(L.FIXED_VOL).alias("vol_churner")))
 
 
 def initial_rgus(snap: DataFrame, key: str = KEY, day: str = DAY) -> DataFrame:
     """Number of products on the account's first record (D31); an aggregate
     (``min_by``) instead of a window, so it combines map-side."""
-    first = F.min_by(F.struct("pd_vo_prod_nm", "pd_bb_prod_nm", "pd_tv_prod_nm"), F.col(day))
+    first = F.min_by(F.struct("pd_vo_prod_nm", "pd_bb_prod_nm", "pd_tv_prod_nm"), col(day))
     return (snap.groupBy(key).agg(first.alias("_f"))
-                .select(F.col(key),
-                        (F.col("_f.pd_vo_prod_nm").isNotNull().cast("int")
-                         + F.col("_f.pd_bb_prod_nm").isNotNull().cast("int")
-                         + F.col("_f.pd_tv_prod_nm").isNotNull().cast("int")).alias("max_rgus_count")))
+                .select(col(key),
+                        (col("_f.pd_vo_prod_nm").isNotNull().cast("int")
+                         + col("_f.pd_bb_prod_nm").isNotNull().cast("int")
+                         + col("_f.pd_tv_prod_nm").isNotNull().cast("int")).alias("max_rgus_count")))
 
 
 def period_facts(repaired: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY) -> DataFrame:
@@ -44,21 +45,21 @@ def period_facts(repaired: DataFrame, params: Params = Params(), key: str = KEY,
     last record. Input: ``repair_overdue`` output with ``month`` and
     ``max_inst`` (``snapshot_features``)."""
     lim = params.invol_days
-    last = F.max_by(F.struct(F.col("mora_fix").alias("fix"), F.col("fi_outst_age").alias("raw"),
-                             F.col(day).alias("d")), F.col(day))
+    last = F.max_by(F.struct(col("mora_fix").alias("fix"), col("fi_outst_age").alias("raw"),
+                             col(day).alias("d")), col(day))
     return (repaired.groupBy(key, "month").agg(
-        F.max((F.col("mora_fix") < lim).cast("int")).alias("any_below"),
+        F.max((col("mora_fix") < lim).cast("int")).alias("any_below"),
         last.alias("_last"),
-        F.max(F.col("pd_vo_prod_nm").isNotNull().cast("int")).alias("_vo"),
-        F.max(F.col("pd_bb_prod_nm").isNotNull().cast("int")).alias("_bb"),
-        F.max(F.col("pd_tv_prod_nm").isNotNull().cast("int")).alias("_tv"),
+        F.max(col("pd_vo_prod_nm").isNotNull().cast("int")).alias("_vo"),
+        F.max(col("pd_bb_prod_nm").isNotNull().cast("int")).alias("_bb"),
+        F.max(col("pd_tv_prod_nm").isNotNull().cast("int")).alias("_tv"),
         F.max("max_inst").alias("_max_inst"),
     ).select(
-        F.col(key), F.col("month"), F.col("any_below"),
-        F.col("_last.fix").alias("last_mora_fix"), F.col("_last.raw").alias("last_overdue"),
-        F.col("_last.d").alias("last_record"),
-        (F.col("_vo") + F.col("_bb") + F.col("_tv")).alias("invol_rgu_churn"),
-        F.datediff(F.col("_last.d"), F.col("_max_inst").cast("date")).alias("churn_tenure_days"),
+        col(key), col("month"), col("any_below"),
+        col("_last.fix").alias("last_mora_fix"), col("_last.raw").alias("last_overdue"),
+        col("_last.d").alias("last_record"),
+        (col("_vo") + col("_bb") + col("_tv")).alias("invol_rgu_churn"),
+        F.datediff(col("_last.d"), col("_max_inst").cast("date")).alias("churn_tenure_days"),
     ))
 
 
@@ -66,8 +67,8 @@ def involuntary_churn(facts: DataFrame, params: Params = Params(), key: str = KE
     """Below the limit at some point of the period and at or above it on the
     last record, both repaired and raw (D32, D33)."""
     lim = params.invol_days
-    return (facts.where((F.col("any_below") == 1) & (F.col("last_mora_fix") >= lim) & (F.col("last_overdue") >= lim))
-                 .select(F.col("month"), F.col(key).alias("churn_account"), F.lit(L.FIXED_INVOL).alias("invol_churner"),
+    return (facts.where((col("any_below") == 1) & (col("last_mora_fix") >= lim) & (col("last_overdue") >= lim))
+                 .select(col("month"), col(key).alias("churn_account"), F.lit(L.FIXED_INVOL).alias("invol_churner"),
                          "invol_rgu_churn", "churn_tenure_days"))
 
 
@@ -76,7 +77,7 @@ def merge_churners(vol: DataFrame, invol: DataFrame, max_rgus: DataFrame, key: s
     v = (vol.join(max_rgus.withColumnRenamed(key, "fixed_account"), "fixed_account", "left")
             .withColumnRenamed("fixed_month", "_vm").withColumnRenamed("fixed_account", "_va"))
     i = invol.withColumnRenamed("month", "_im").withColumnRenamed("churn_account", "_ia")
-    j = v.join(i, (F.col("_vm") == F.col("_im")) & (F.col("_va") == F.col("_ia")), "full")
+    j = v.join(i, (col("_vm") == col("_im")) & (col("_va") == col("_ia")), "full")
     return j.select(
         F.coalesce("_im", "_vm").alias("churn_month"),
         F.coalesce("_ia", "_va").alias("churn_account"),
@@ -88,10 +89,10 @@ def merge_churners(vol: DataFrame, invol: DataFrame, max_rgus: DataFrame, key: s
 def attach_churn(base: DataFrame, churners: DataFrame) -> DataFrame:
     """Left join churners to the base; an account active at closing is no churner."""
     c = churners.withColumnRenamed("fixed_churner_type", "_type")
-    j = base.join(c, (F.col("fixed_month") == F.col("churn_month")) & (F.col("fixed_account") == F.col("churn_account")),
+    j = base.join(c, (col("fixed_month") == col("churn_month")) & (col("fixed_account") == col("churn_account")),
                   "left")
-    return j.withColumn("fixed_churner_type", F.when(F.col("active_eom") == 1, F.lit(None).cast("string"))
-                        .otherwise(F.col("_type"))).drop("_type", "churn_month", "churn_account")
+    return j.withColumn("fixed_churner_type", F.when(col("active_eom") == 1, F.lit(None).cast("string"))
+                        .otherwise(col("_type"))).drop("_type", "churn_month", "churn_account")
 
 
 def churn_tenure(df: DataFrame, params: Params = Params()) -> DataFrame:
@@ -108,34 +109,34 @@ def rejoiners(table: DataFrame, repaired: DataFrame, params: Params = Params(),
     ``mora_fix`` and ``month``; ``rejoiners_from_summary`` reads the same
     activity from the period summary."""
     g = params.grain
-    active = (repaired.where((F.col("mora_fix") <= params.invol_days)
-                             | (F.col("mora_fix").isNull() & (g.trunc(F.col("lst_pymt_dt").cast("date")) == F.col("month"))))
-                      .select(F.col(key).alias("exit_account"), F.col("month").alias("rejoiner_month")).distinct())
+    active = (repaired.where((col("mora_fix") <= params.invol_days)
+                             | (col("mora_fix").isNull() & (g.trunc(col("lst_pymt_dt").cast("date")) == col("month"))))
+                      .select(col(key).alias("exit_account"), col("month").alias("rejoiner_month")).distinct())
     return _attach_rejoiners(table, active, params)
 
 
 def fixed_rgu_churn(df: DataFrame) -> DataFrame:
     """Products lost: involuntary -> products of the period, voluntary ->
     products on the first record, downsell -> the difference (D42)."""
-    t = F.col("fixed_churner_type")
+    t = col("fixed_churner_type")
     return df.withColumn("fixed_rgu_churn", case_when([
-        (t == L.FIXED_INVOL, F.col("invol_rgu_churn")),
-        (t == L.FIXED_VOL, F.col("max_rgus_count")),
-        (F.col("main_movement") == L.MM_DOWNSELL, F.col("b_num_rgus") - F.col("e_num_rgus")),
+        (t == L.FIXED_INVOL, col("invol_rgu_churn")),
+        (t == L.FIXED_VOL, col("max_rgus_count")),
+        (col("main_movement") == L.MM_DOWNSELL, col("b_num_rgus") - col("e_num_rgus")),
     ], F.lit(0)))
 
 
 def churn_counts(table: DataFrame, month: str = "fixed_month", type_col: str = "fixed_churner_type",
                  account: str = "fixed_account", rgus: str = "fixed_rgu_churn") -> DataFrame:
     """Churners by period and type, with the sum of lost products (D124)."""
-    return (table.where(F.col(type_col).isNotNull()).groupBy(month, type_col)
+    return (table.where(col(type_col).isNotNull()).groupBy(month, type_col)
                  .agg(F.count_distinct(account).alias("churners"),
-                      F.sum(F.coalesce(F.col(rgus), F.lit(0))).cast("long").alias("rgus_lost")))
+                      F.sum(F.coalesce(col(rgus), F.lit(0))).cast("long").alias("rgus_lost")))
 
 
 def _exits(base: DataFrame, account: str = "fixed_account", month: str = "fixed_month") -> DataFrame:
-    return (base.where((F.col("active_bom") == 1) & (F.col("active_eom") == 0))
-                .select(F.col(account).alias("_xa"), F.col(month).alias("_xm"), F.col("b_num_rgus").alias("_xr")))
+    return (base.where((col("active_bom") == 1) & (col("active_eom") == 0))
+                .select(col(account).alias("_xa"), col(month).alias("_xm"), col("b_num_rgus").alias("_xr")))
 
 
 def rejoiner_window(base: DataFrame, params: Params = Params(), periods: int = 1,
@@ -146,14 +147,14 @@ def rejoiner_window(base: DataFrame, params: Params = Params(), periods: int = 1
     target periods (a bounded array, no pairing), then equi-joined."""
     g = params.grain
     ex = _exits(base, account, month)
-    targets = F.array(*[g.shift(F.col("_xm"), 1 - k) for k in range(periods + 1)])
-    pop = (ex.select("_xa", "_xm", F.explode(targets).alias("_p")).where(F.col("_p") != F.col("_xm"))
+    targets = F.array(*[g.shift(col("_xm"), 1 - k) for k in range(periods + 1)])
+    pop = (ex.select("_xa", "_xm", F.explode(targets).alias("_p")).where(col("_p") != col("_xm"))
              .select("_xa", "_p").distinct())
-    j = base.join(pop, (F.col(account) == F.col("_xa")) & (F.col(month) == F.col("_p")), "left")
-    in_pop = F.col("_xa").isNotNull()
-    rej = in_pop & (F.col("main_movement") == L.MM_COMEBACK)
-    return (j.groupBy(month).agg(F.count_distinct(F.when(in_pop, F.col(account))).alias("rejoiner_population"),
-                                 F.count_distinct(F.when(rej, F.col(account))).alias("rejoiners")))
+    j = base.join(pop, (col(account) == col("_xa")) & (col(month) == col("_p")), "left")
+    in_pop = col("_xa").isNotNull()
+    rej = in_pop & (col("main_movement") == L.MM_COMEBACK)
+    return (j.groupBy(month).agg(F.count_distinct(F.when(in_pop, col(account))).alias("rejoiner_population"),
+                                 F.count_distinct(F.when(rej, col(account))).alias("rejoiners")))
 
 
 def rejoiner_pool(base: DataFrame, params: Params = Params(), periods: int | None = None,
@@ -164,9 +165,9 @@ def rejoiner_pool(base: DataFrame, params: Params = Params(), periods: int | Non
     g = params.grain
     n = params.rejoiner_periods if periods is None else periods
     ex = _exits(base, account, month)
-    targets = F.array(*[g.shift(F.col("_xm"), k) for k in range(n + 1)])
+    targets = F.array(*[g.shift(col("_xm"), k) for k in range(n + 1)])
     return (ex.select("_xa", "_xr", F.explode(targets).alias("_p"))
-              .groupBy(F.col("_xa").alias("account"), F.col("_p").alias("month"))
+              .groupBy(col("_xa").alias("account"), col("_p").alias("month"))
               .agg(F.max("_xr").alias("exit_rgus")))
 
 
@@ -181,8 +182,8 @@ def effective_rejoiners(pool: DataFrame, base: DataFrame, params: Params = Param
     """Pool members of p that are in the closing base of p and were not in
     the closing base of p - 1 (D55)."""
     g = params.grain
-    closing = base.where(F.col("active_eom") == 1).select(F.col(account).alias("account"), F.col(month).alias("month"))
-    prev = closing.select("account", g.shift(F.col("month"), 1).alias("month"))
+    closing = base.where(col("active_eom") == 1).select(col(account).alias("account"), col(month).alias("month"))
+    prev = closing.select("account", g.shift(col("month"), 1).alias("month"))
     eff = pool.select("account", "month").join(closing, ["account", "month"], "inner") \
               .join(prev, ["account", "month"], "left_anti")
     return eff.groupBy("month").agg(F.count_distinct("account").alias("effective_rejoiners"))
@@ -192,9 +193,9 @@ def _uninstalls(orders: DataFrame, exclude_status=()) -> DataFrame:
     """Uninstall orders with a status. The reference's filter
     ``status <> 'CANCELADA' OR status <> 'ANULADA'`` keeps every non-null
     status; ``exclude_status`` applies the intended exclusion instead."""
-    u = orders.where((F.col("order_type") == L.ORDER_UNINSTALL) & F.col("order_status").isNotNull())
+    u = orders.where((col("order_type") == L.ORDER_UNINSTALL) & col("order_status").isNotNull())
     if exclude_status:
-        u = u.where(~F.col("order_status").isin(list(exclude_status)))
+        u = u.where(~col("order_status").isin(list(exclude_status)))
     return u
 
 
@@ -210,23 +211,23 @@ def churn_by_order(orders: DataFrame, snap: DataFrame, params: Params = Params()
     the order. Both sides are reduced to one row per account first."""
     g = params.grain
     u = _uninstalls(orders, exclude_status)
-    last = u.groupBy(F.col("account_name").alias("account")).agg(
-        F.max_by(F.struct(F.col("order_start_date").alias("d"), F.col("order_reason").alias("r")),
+    last = u.groupBy(col("account_name").alias("account")).agg(
+        F.max_by(F.struct(col("order_start_date").alias("d"), col("order_reason").alias("r")),
                  F.struct("order_start_date", "order_id")).alias("_o"))
-    ls = snap.groupBy(F.col(key).alias("account")).agg(F.max(day).alias("last_snapshot"))
+    ls = snap.groupBy(col(key).alias("account")).agg(F.max(day).alias("last_snapshot"))
     j = last.join(ls, "account", "inner").where(
-        g.periods_between(F.col("_o.d"), F.col("last_snapshot")) <= params.churn_order_periods)
-    return j.select("account", g.trunc(F.col("_o.d")).alias("churn_month"), _order_type(F.col("_o.r")).alias("churn_type"))
+        g.periods_between(col("_o.d"), col("last_snapshot")) <= params.churn_order_periods)
+    return j.select("account", g.trunc(col("_o.d")).alias("churn_month"), _order_type(col("_o.r")).alias("churn_type"))
 
 
 def churn_by_first_order(orders: DataFrame, params: Params = Params(), exclude_status=()) -> DataFrame:
     """Type of the account's first uninstall order."""
     g = params.grain
-    first = _uninstalls(orders, exclude_status).groupBy(F.col("account_name").alias("account")).agg(
-        F.min_by(F.struct(F.col("order_start_date").alias("d"), F.col("order_reason").alias("r")),
+    first = _uninstalls(orders, exclude_status).groupBy(col("account_name").alias("account")).agg(
+        F.min_by(F.struct(col("order_start_date").alias("d"), col("order_reason").alias("r")),
                  F.struct("order_start_date", "order_id")).alias("_o"))
-    return first.select("account", g.trunc(F.col("_o.d")).alias("first_order_month"),
-                        _order_type(F.col("_o.r")).alias("churn_type"))
+    return first.select("account", g.trunc(col("_o.d")).alias("first_order_month"),
+                        _order_type(col("_o.r")).alias("churn_type"))
 
 
 def churn_by_order_type(base: DataFrame, orders: DataFrame, params: Params = Params(),
@@ -236,18 +237,18 @@ def churn_by_order_type(base: DataFrame, orders: DataFrame, params: Params = Par
     one period the involuntary wins."""
     g = params.grain
     u = _uninstalls(orders)
-    t = F.when(F.col("order_reason") == L.ORDER_REASON_INVOL, F.lit(invol_label)).otherwise(F.lit(vol_label))
-    per = (u.groupBy(F.col("account_name").alias("_oa"), g.trunc(F.col("order_start_date")).alias("_om"))
+    t = F.when(col("order_reason") == L.ORDER_REASON_INVOL, F.lit(invol_label)).otherwise(F.lit(vol_label))
+    per = (u.groupBy(col("account_name").alias("_oa"), g.trunc(col("order_start_date")).alias("_om"))
             .agg(F.max(F.when(t == invol_label, 1).otherwise(0)).alias("_inv")))
-    j = base.join(per, (F.col("fixed_account") == F.col("_oa")) & (F.col("fixed_month") == F.col("_om")), "left")
-    return j.withColumn("order_churn_type", F.when(F.col("_inv") == 1, F.lit(invol_label))
-                        .when(F.col("_inv") == 0, F.lit(vol_label))).drop("_oa", "_om", "_inv")
+    j = base.join(per, (col("fixed_account") == col("_oa")) & (col("fixed_month") == col("_om")), "left")
+    return j.withColumn("order_churn_type", F.when(col("_inv") == 1, F.lit(invol_label))
+                        .when(col("_inv") == 0, F.lit(vol_label))).drop("_oa", "_om", "_inv")
 
 
 def voluntary_counts(orders: DataFrame) -> DataFrame:
     """Voluntary disconnection lines by day."""
-    u = _uninstalls(orders).where(F.col("order_reason") != L.ORDER_REASON_INVOL)
-    return u.groupBy(F.col("order_start_date").alias("day")).agg(F.count(F.lit(1)).alias("voluntary_lines"))
+    u = _uninstalls(orders).where(col("order_reason") != L.ORDER_REASON_INVOL)
+    return u.groupBy(col("order_start_date").alias("day")).agg(F.count(F.lit(1)).alias("voluntary_lines"))
 
 
 def match_churn_order(crm: DataFrame, orders: DataFrame, params: Params = Params(), periods: int = 3,
@@ -257,15 +258,15 @@ def match_churn_order(crm: DataFrame, orders: DataFrame, params: Params = Params
     account, so the equi-join on the account with a range residual stays
     small; ``max_by`` keeps the latest order per churn."""
     g = params.grain
-    u = _uninstalls(orders).select(F.col("account_name").alias(account), "order_id", "order_start_date", "order_reason")
+    u = _uninstalls(orders).select(col("account_name").alias(account), "order_id", "order_start_date", "order_reason")
     j = crm.select(account, churn_date).join(u, account, "inner").where(
-        (F.col("order_start_date") <= F.col(churn_date))
-        & (F.col("order_start_date") >= g.shift(F.col(churn_date).cast("date"), -periods)))
+        (col("order_start_date") <= col(churn_date))
+        & (col("order_start_date") >= g.shift(col(churn_date).cast("date"), -periods)))
     return j.groupBy(account, churn_date).agg(
         F.max_by(F.struct("order_id", "order_start_date", "order_reason"),
                  F.struct("order_start_date", "order_id")).alias("_o")
-    ).select(account, churn_date, F.col("_o.order_id").alias("order_id"),
-             F.col("_o.order_start_date").alias("order_date"), _order_type(F.col("_o.order_reason")).alias("churn_type"))
+    ).select(account, churn_date, col("_o.order_id").alias("order_id"),
+             col("_o.order_start_date").alias("order_date"), _order_type(col("_o.order_reason")).alias("churn_type"))
 
 
 def voluntary_by_lines(cancels: DataFrame, snap: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,
@@ -275,18 +276,18 @@ def voluntary_by_lines(cancels: DataFrame, snap: DataFrame, params: Params = Par
     last snapshot; an overdue age at or above ``invol_days`` on that record
     makes it a mixed churner. Both sides are reduced to one row per account
     with aggregates before the join."""
-    last_day = cancels.groupBy(F.col(cancel_key).alias("account")).agg(F.max(cancel_day).alias("last_cancel"))
-    lines = (cancels.select(F.col(cancel_key).alias("account"), F.col(cancel_day).alias("last_cancel"))
+    last_day = cancels.groupBy(col(cancel_key).alias("account")).agg(F.max(cancel_day).alias("last_cancel"))
+    lines = (cancels.select(col(cancel_key).alias("account"), col(cancel_day).alias("last_cancel"))
                     .join(last_day, ["account", "last_cancel"], "inner")
                     .groupBy("account", "last_cancel").agg(F.count(F.lit(1)).alias("cancelled_lines")))
-    nprod = (F.col("pd_vo_prod_nm").isNotNull().cast("int") + F.col("pd_tv_prod_nm").isNotNull().cast("int")
-             + F.col("pd_bb_prod_nm").isNotNull().cast("int"))
-    last = snap.groupBy(F.col(key).alias("account")).agg(
-        F.max_by(F.struct(nprod.alias("n"), F.col("fi_outst_age").alias("age"), F.col(day).alias("d")),
-                 F.col(day)).alias("_l"))
-    j = lines.join(last, "account", "inner").where(F.col("cancelled_lines") == F.col("_l.n"))
-    return j.select("account", "last_cancel", "cancelled_lines", F.col("_l.d").alias("last_record"),
-                    F.when(F.col("_l.age") >= params.invol_days, F.lit("2.Fixed Mixed Churner"))
+    nprod = (col("pd_vo_prod_nm").isNotNull().cast("int") + col("pd_tv_prod_nm").isNotNull().cast("int")
+             + col("pd_bb_prod_nm").isNotNull().cast("int"))
+    last = snap.groupBy(col(key).alias("account")).agg(
+        F.max_by(F.struct(nprod.alias("n"), col("fi_outst_age").alias("age"), col(day).alias("d")),
+                 col(day)).alias("_l"))
+    j = lines.join(last, "account", "inner").where(col("cancelled_lines") == col("_l.n"))
+    return j.select("account", "last_cancel", "cancelled_lines", col("_l.d").alias("last_record"),
+                    F.when(col("_l.age") >= params.invol_days, F.lit("2.Fixed Mixed Churner"))
                      .otherwise(F.lit("1.Fixed Voluntary Churner")).alias("churn_type"))
 
 
@@ -302,61 +303,61 @@ def churn_by_crm(snap: DataFrame, params: Params = Params(), key: str = KEY, day
     customer age is at most ``early_days``."""
     g = params.grain
     od = params.invol_days if other_days is None else other_days
-    age = F.col("fi_outst_age")
-    invol_row = ((age >= bb_days) & F.col("pd_bb_prod_nm").isNotNull()) | (
-        (age >= od) & (F.col("pd_tv_prod_nm").isNotNull() | F.col("pd_vo_prod_nm").isNotNull()))
-    per = snap.groupBy(F.col(key).alias("account")).agg(
+    age = col("fi_outst_age")
+    invol_row = ((age >= bb_days) & col("pd_bb_prod_nm").isNotNull()) | (
+        (age >= od) & (col("pd_tv_prod_nm").isNotNull() | col("pd_vo_prod_nm").isNotNull()))
+    per = snap.groupBy(col(key).alias("account")).agg(
         F.max(churn_col).alias("last_churn"), F.min(churn_col).alias("first_churn"), F.max(day).alias("_last_snap"),
-        F.min(F.when(invol_row, F.col(churn_col))).alias("_invol_churn"), F.max("c_cust_age").alias("_max_age"))
-    real = per.where((g.trunc(F.col("last_churn").cast("date")) == g.trunc(F.col("_last_snap").cast("date")))
-                     & (F.col("first_churn") <= F.col("last_churn")))
-    invol = F.col("_invol_churn").isNotNull() & (F.col("_invol_churn") <= F.col("last_churn"))
-    return real.select("account", g.trunc(F.col("last_churn").cast("date")).alias("churn_month"),
+        F.min(F.when(invol_row, col(churn_col))).alias("_invol_churn"), F.max("c_cust_age").alias("_max_age"))
+    real = per.where((g.trunc(col("last_churn").cast("date")) == g.trunc(col("_last_snap").cast("date")))
+                     & (col("first_churn") <= col("last_churn")))
+    invol = col("_invol_churn").isNotNull() & (col("_invol_churn") <= col("last_churn"))
+    return real.select("account", g.trunc(col("last_churn").cast("date")).alias("churn_month"),
                        F.when(invol, F.lit("Involuntary")).otherwise(F.lit("Voluntary")).alias("churn_type"),
-                       F.when(F.col("_max_age") <= early_days, F.lit("Early Tenure"))
-                        .when(F.col("_max_age").isNotNull(), F.lit("Long Tenure")).alias("tenure"))
+                       F.when(col("_max_age") <= early_days, F.lit("Early Tenure"))
+                        .when(col("_max_age").isNotNull(), F.lit("Long Tenure")).alias("tenure"))
 
 
 def facts_from_summary(summary: DataFrame, key: str = KEY) -> DataFrame:
     """The involuntary-churn facts of ``period_facts`` read from the period
     summary (``snapshot.period_summary``)."""
     return summary.select(
-        F.col(key), F.col("month"), F.col("any_below"),
-        F.col("last.fix").alias("last_mora_fix"), F.col("last.raw").alias("last_overdue"),
-        F.col("last.d").alias("last_record"), F.col("invol_rgu_churn"),
-        F.datediff(F.col("last.d"), F.col("max_inst").cast("date")).alias("churn_tenure_days"))
+        col(key), col("month"), col("any_below"),
+        col("last.fix").alias("last_mora_fix"), col("last.raw").alias("last_overdue"),
+        col("last.d").alias("last_record"), col("invol_rgu_churn"),
+        F.datediff(col("last.d"), col("max_inst").cast("date")).alias("churn_tenure_days"))
 
 
 def initial_rgus_from_summary(summary: DataFrame, key: str = KEY) -> DataFrame:
     """Products on the account's first record (D31) from the period summary:
     the first period's first-record products, one small aggregate."""
-    f = F.min_by(F.col("first_products"), F.col("first_record"))
+    f = F.min_by(col("first_products"), col("first_record"))
     return (summary.groupBy(key).agg(f.alias("_f"))
-                   .select(F.col(key),
-                           (F.col("_f.vo").isNotNull().cast("int") + F.col("_f.bb").isNotNull().cast("int")
-                            + F.col("_f.tv").isNotNull().cast("int")).alias("max_rgus_count")))
+                   .select(col(key),
+                           (col("_f.vo").isNotNull().cast("int") + col("_f.bb").isNotNull().cast("int")
+                            + col("_f.tv").isNotNull().cast("int")).alias("max_rgus_count")))
 
 
 def rejoiners_from_summary(table: DataFrame, summary: DataFrame, params: Params = Params(),
                            key: str = KEY) -> DataFrame:
     """``rejoiners`` with the active periods taken from the period summary."""
-    active = summary.where(F.col("active") == 1).select(F.col(key).alias("exit_account"),
-                                                        F.col("month").alias("rejoiner_month"))
+    active = summary.where(col("active") == 1).select(col(key).alias("exit_account"),
+                                                        col("month").alias("rejoiner_month"))
     return _attach_rejoiners(table, active, params)
 
 
 def _attach_rejoiners(table: DataFrame, active: DataFrame, params: Params) -> DataFrame:
     g = params.grain
-    exits = (table.where(F.col("fixed_churner_type").isNotNull())
-                  .select(F.col("fixed_account").alias("exit_account"),
-                          g.shift(F.col("fixed_month"), 1).alias("rejoiner_month"),
-                          F.col("fixed_churner_type").alias("_ctype")).distinct())
+    exits = (table.where(col("fixed_churner_type").isNotNull())
+                  .select(col("fixed_account").alias("exit_account"),
+                          g.shift(col("fixed_month"), 1).alias("rejoiner_month"),
+                          col("fixed_churner_type").alias("_ctype")).distinct())
     rj = (exits.join(active, ["exit_account", "rejoiner_month"], "inner")
                .select("exit_account", "rejoiner_month",
-                       case_when([(F.col("_ctype") == L.FIXED_VOL, L.FIXED_VOL_REJ),
-                                  (F.col("_ctype") == L.FIXED_INVOL, L.FIXED_INVOL_REJ)]).alias("fixed_rejoiner_type")))
+                       case_when([(col("_ctype") == L.FIXED_VOL, L.FIXED_VOL_REJ),
+                                  (col("_ctype") == L.FIXED_INVOL, L.FIXED_INVOL_REJ)]).alias("fixed_rejoiner_type")))
     rj = rj.groupBy("exit_account", "rejoiner_month").agg(F.max("fixed_rejoiner_type").alias("fixed_rejoiner_type"))
-    j = table.join(rj, (F.col("fixed_month") == F.col("rejoiner_month")) & (F.col("fixed_account") == F.col("exit_account")),
+    j = table.join(rj, (col("fixed_month") == col("rejoiner_month")) & (col("fixed_account") == col("exit_account")),
                    "left")
-    return j.withColumn("fixed_rejoiner", F.when(F.col("fixed_rejoiner_type").isNotNull(), F.col("fixed_account"))) \
+    return j.withColumn("fixed_rejoiner", F.when(col("fixed_rejoiner_type").isNotNull(), col("fixed_account"))) \
             .drop("exit_account", "rejoiner_month")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import labels as L
+from churnlens.functions.cache import col, lit, memo
 from churnlens.functions.keys import DUMMY_EMAILS, pad_key, strip_dots
 from churnlens.functions.rules import case_when
 from churnlens.params import Params
@@ -24,15 +25,15 @@ from churnlens.params import Params
 
 def _is1(c: str) -> Column:
     """Null-safe ``c = 1`` (a missing side counts as not active)."""
-    return F.coalesce(F.col(c), F.lit(0)) == 1
+    return memo(("is1", c), lambda: F.coalesce(col(c), lit(0)) == 1)
 
 
 def _not1(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0)) == 0
+    return memo(("not1", c), lambda: F.coalesce(col(c), lit(0)) == 0)
 
 
 def _in(c: str, *vals) -> Column:
-    return F.col(c).isin(list(vals))
+    return memo(("in", c, vals), lambda: col(c).isin(list(vals)))
 
 
 def fixed_emails(snap: DataFrame, email: str = "act_contact_mail_1", key: str = "act_acct_cd",
@@ -41,17 +42,17 @@ def fixed_emails(snap: DataFrame, email: str = "act_contact_mail_1", key: str =
     account that carries it. Reducing the fixed side to one row per e-mail
     first keeps the match linear: a mobile line meets at most one row, even
     when thousands of accounts share an address (D60)."""
-    return (snap.where(F.col(email).isNotNull() & ~F.col(email).isin(list(dummies)))
-                .groupBy(F.col(email).alias("email")).agg(F.min(key).alias("contr")))
+    return (snap.where(col(email).isNotNull() & ~col(email).isin(list(dummies)))
+                .groupBy(col(email).alias("email")).agg(F.min(key).alias("contr")))
 
 
 def email_match(register: DataFrame, fixed: DataFrame, dummies=DUMMY_EMAILS,
                 business=L.BUSINESS_SEGMENTS) -> DataFrame:
     """Near-FMC candidates: register lines whose e-mail is also a fixed
     account's e-mail; one row per (line, register file) (D60)."""
-    r = (register.where(~F.col("des_segmento_cliente").isin(list(business)) & ~F.col("nom_email").isin(list(dummies)))
-                 .select(strip_dots("id_abonado").alias("near_line"), F.col("fecha_parque").cast("date").alias("near_file"),
-                         F.col("nom_email").alias("email")))
+    r = (register.where(~col("des_segmento_cliente").isin(list(business)) & ~col("nom_email").isin(list(dummies)))
+                 .select(strip_dots("id_abonado").alias("near_line"), col("fecha_parque").cast("date").alias("near_file"),
+                         col("nom_email").alias("email")))
     return r.join(fixed, "email", "inner")
 
 
@@ -59,12 +60,12 @@ def attach_near(mobile: DataFrame, near: DataFrame, params: Params = Params()) -
     """E-mail match of the opening file (same period) and of the closing file
     (next period) for each mobile row (D60, D61)."""
     g = params.grain
-    b = near.select(F.col("near_line").alias("_bl"), F.col("near_file").alias("_bf"),
-                    F.col("email").alias("b_email"), F.col("contr").alias("b_contr"))
-    e = near.select(F.col("near_line").alias("_el"), g.shift(F.col("near_file"), -1).alias("_ef"),
-                    F.col("email").alias("e_email"), F.col("contr").alias("e_contr"))
-    m = mobile.join(b, (F.col("mobile_account") == F.col("_bl")) & (F.col("mobile_month") == F.col("_bf")), "left")
-    m = m.join(e, (F.col("mobile_account") == F.col("_el")) & (F.col("mobile_month") == F.col("_ef")), "left")
+    b = near.select(col("near_line").alias("_bl"), col("near_file").alias("_bf"),
+                    col("email").alias("b_email"), col("contr").alias("b_contr"))
+    e = near.select(col("near_line").alias("_el"), g.shift(col("near_file"), -1).alias("_ef"),
+                    col("email").alias("e_email"), col("contr").alias("e_contr"))
+    m = mobile.join(b, (col("mobile_account") == col("_bl")) & (col("mobile_month") == col("_bf")), "left")
+    m = m.join(e, (col("mobile_account") == col("_el")) & (col("mobile_month") == col("_ef")), "left")
     return m.drop("_bl", "_bf", "_el", "_ef")
 
 
@@ -73,11 +74,11 @@ def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
     combined account, active flags and the fixed fan-out (D64, D65)."""
     f = fixed.withColumn("_fk", pad_key("fixed_account", width))
     m = mobile.withColumn("_mk", pad_key("fmc_account", width))
-    j = f.join(m, (F.col("_fk") == F.col("_mk")) & (F.col("fixed_month") == F.col("mobile_month")), "full")
-    fa, ma = F.col("fixed_account").isNotNull(), F.col("mobile_account").isNotNull()
+    j = f.join(m, (col("_fk") == col("_mk")) & (col("fixed_month") == col("mobile_month")), "full")
+    fa, ma = col("fixed_account").isNotNull(), col("mobile_account").isNotNull()
     j = j.drop("_fk", "_mk").withColumns({
-        "month": F.when(fa, F.col("fixed_month")).otherwise(F.col("mobile_month")),
-        "final_account": case_when([(fa & ~ma, F.col("fixed_account")), (~fa & ma, F.col("mobile_account")),
+        "month": F.when(fa, col("fixed_month")).otherwise(col("mobile_month")),
+        "final_account": case_when([(fa & ~ma, col("fixed_account")), (~fa & ma, col("mobile_account")),
                                     (fa & ma, F.concat("fixed_account", "mobile_account"))]),
         "final_bom_active_flag": (_is1("active_bom") | _is1("mobile_active_bom")).cast("int"),
         "final_eom_active_flag": (_is1("active_eom") | _is1("mobile_active_eom")).cast("int"),
@@ -88,15 +89,15 @@ def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
 
 def fmc_status(df: DataFrame, parity: bool = False) -> DataFrame:
     """Soft / near FMC, fixed only, mobile only at opening and closing."""
-    fa, ma = F.col("fixed_account").isNotNull(), F.col("mobile_account").isNotNull()
-    not_churned = (F.col("mobile_churn_type").isNull() | (F.col("mobile_churn_type") != "1. Mobile Churner")) \
-        if parity else F.col("mobile_churn_type").isNull()
+    fa, ma = col("fixed_account").isNotNull(), col("mobile_account").isNotNull()
+    not_churned = (col("mobile_churn_type").isNull() | (col("mobile_churn_type") != "1. Mobile Churner")) \
+        if parity else col("mobile_churn_type").isNull()
     out = {}
     for s, a, ma_flag, extra in (("b", "active_bom", "mobile_active_bom", F.lit(True)),
                                  ("e", "active_eom", "mobile_active_eom", not_churned)):
         out[f"{s}_fmc_status"] = case_when([
-            (fa & ma & _is1(a) & _is1(ma_flag) & F.col(f"{s}_fixed_contract").isNotNull(), L.FMC_SOFT),
-            ((F.col(f"{s}_email").isNotNull() & F.col(f"{s}_fixed_contract").isNull() & _is1(a))
+            (fa & ma & _is1(a) & _is1(ma_flag) & col(f"{s}_fixed_contract").isNotNull(), L.FMC_SOFT),
+            ((col(f"{s}_email").isNotNull() & col(f"{s}_fixed_contract").isNull() & _is1(a))
              | (_is1(a) & _is1(ma_flag)), L.FMC_NEAR),
             (fa & _is1(a) & _not1(ma_flag), L.FMC_FIXED_ONLY),
             (ma & _is1(ma_flag) & _not1(a) & extra, L.FMC_MOBILE_ONLY),
@@ -107,30 +108,30 @@ def fmc_status(df: DataFrame, parity: bool = False) -> DataFrame:
 def fmc_type(df: DataFrame, parity: bool = False) -> DataFrame:
     """Fixed nP / mobile only / soft or near FMC / fixed 0P."""
     bs, es = "b_fmc_status", "e_fmc_status"
-    fct, mct = F.col("fixed_churner_type"), F.col("mobile_churn_type")
+    fct, mct = col("fixed_churner_type"), col("mobile_churn_type")
     mob_churned = (mct == "1. Mobile Churner") if parity else mct.isNotNull()
     mob_alive = (mct != "1. Mobile Churner") if parity else mct.isNull()
     b_rules = [(_in(bs, L.FMC_FIXED_ONLY, L.FMC_SOFT, L.FMC_NEAR) & _not1("mobile_active_bom")
-                & (F.col("b_mix") == mix), lab) for mix, lab in L.FMC_TYPE_FIXED.items()]
+                & (col("b_mix") == mix), lab) for mix, lab in L.FMC_TYPE_FIXED.items()]
     b_rules += [
         (_in(bs, L.FMC_SOFT, L.FMC_NEAR) & _not1("active_bom"), L.FMC_MOBILE_ONLY),
-        (F.col(bs) == L.FMC_MOBILE_ONLY, F.col(bs)),
-        (_in(bs, L.FMC_NEAR, L.FMC_SOFT), F.col(bs)),
-        (_is1("final_bom_active_flag") & (F.col("b_num_rgus") == 0), L.FMC_TYPE_FIXED_0P),
+        (col(bs) == L.FMC_MOBILE_ONLY, col(bs)),
+        (_in(bs, L.FMC_NEAR, L.FMC_SOFT), col(bs)),
+        (_is1("final_bom_active_flag") & (col("b_num_rgus") == 0), L.FMC_TYPE_FIXED_0P),
     ]
     e_fixed_ok = _not1("mobile_active_eom") | (_is1("mobile_active_eom") & mct.isNotNull())
     e_rules = [
-        ((F.col(es) == L.FMC_FIXED_ONLY) & fct.isNotNull(), F.lit(None).cast("string")),
-        ((F.col(es) == L.FMC_MOBILE_ONLY) & mob_churned, F.lit(None).cast("string")),
+        ((col(es) == L.FMC_FIXED_ONLY) & fct.isNotNull(), F.lit(None).cast("string")),
+        ((col(es) == L.FMC_MOBILE_ONLY) & mob_churned, F.lit(None).cast("string")),
     ]
-    e_rules += [((F.col(es) == L.FMC_FIXED_ONLY) & e_fixed_ok & (F.col("e_mix") == mix), lab)
+    e_rules += [((col(es) == L.FMC_FIXED_ONLY) & e_fixed_ok & (col("e_mix") == mix), lab)
                 for mix, lab in L.FMC_TYPE_FIXED.items()]
     e_rules += [
         ((_in(es, L.FMC_SOFT, L.FMC_NEAR, L.FMC_MOBILE_ONLY) & (_not1("active_eom") | (_is1("active_eom") & fct.isNotNull())))
-         | ((F.col(es) == L.FMC_MOBILE_ONLY) | (_not1("active_eom") & _is1("mobile_active_eom"))), L.FMC_MOBILE_ONLY),
+         | ((col(es) == L.FMC_MOBILE_ONLY) | (_not1("active_eom") & _is1("mobile_active_eom"))), L.FMC_MOBILE_ONLY),
         (_in(es, L.FMC_SOFT, L.FMC_NEAR) & fct.isNull() & mob_alive & _is1("active_eom") & _is1("mobile_active_eom"),
-         F.col(es)),
-        (_is1("final_eom_active_flag") & (F.col("e_num_rgus") == 0), L.FMC_TYPE_FIXED_0P),
+         col(es)),
+        (_is1("final_eom_active_flag") & (col("e_num_rgus") == 0), L.FMC_TYPE_FIXED_0P),
     ]
     return df.withColumns({"b_fmc_type": case_when(b_rules), "e_fmc_type": case_when(e_rules),
                            "b_mobile_rgus": _is1("mobile_active_bom").cast("int"),
@@ -139,85 +140,85 @@ def fmc_type(df: DataFrame, parity: bool = False) -> DataFrame:
 
 def final_tech_and_tenure(df: DataFrame) -> DataFrame:
     """Wireless or the fixed technology; tenure from fixed, else mobile."""
-    fct, mct = F.col("fixed_churner_type"), F.col("mobile_churn_type")
+    fct, mct = col("fixed_churner_type"), col("mobile_churn_type")
     soft_near = (L.FMC_SOFT, L.FMC_NEAR)
     return df.withColumns({
         "b_final_tech_flag": case_when([
-            ((F.col("b_fmc_status") == L.FMC_FIXED_ONLY)
-             | (_in("b_fmc_status", *soft_near) & _is1("active_bom") & _is1("mobile_active_bom")), F.col("b_tech_flag")),
-            ((F.col("b_fmc_status") == L.FMC_MOBILE_ONLY)
+            ((col("b_fmc_status") == L.FMC_FIXED_ONLY)
+             | (_in("b_fmc_status", *soft_near) & _is1("active_bom") & _is1("mobile_active_bom")), col("b_tech_flag")),
+            ((col("b_fmc_status") == L.FMC_MOBILE_ONLY)
              | (_in("b_fmc_status", *soft_near, "Undefined FMC") & _not1("active_bom")), L.WIRELESS),
         ]),
         "e_final_tech_flag": case_when([
-            (((F.col("e_fmc_status") == L.FMC_FIXED_ONLY) & fct.isNull())
+            (((col("e_fmc_status") == L.FMC_FIXED_ONLY) & fct.isNull())
              | (_in("e_fmc_status", *soft_near) & _is1("active_eom") & _is1("mobile_active_eom") & fct.isNull()),
-             F.col("e_tech_flag")),
-            ((F.col("e_fmc_status") == L.FMC_MOBILE_ONLY)
+             col("e_tech_flag")),
+            ((col("e_fmc_status") == L.FMC_MOBILE_ONLY)
              | (_in("e_fmc_status", *soft_near) & _not1("active_eom")), L.WIRELESS),
         ]),
         "b_tenure_final_flag": F.coalesce("b_fixed_tenure_segment", "b_mobile_tenure_segment"),
         "e_tenure_final_flag": case_when([
-            (F.col("e_fixed_tenure_segment").isNotNull() & fct.isNull(), F.col("e_fixed_tenure_segment")),
-            (F.col("e_mobile_tenure_segment").isNotNull() & mct.isNull(), F.col("e_mobile_tenure_segment")),
+            (col("e_fixed_tenure_segment").isNotNull() & fct.isNull(), col("e_fixed_tenure_segment")),
+            (col("e_mobile_tenure_segment").isNotNull() & mct.isNull(), col("e_mobile_tenure_segment")),
         ]),
     })
 
 
 def fmc_segment(df: DataFrame) -> DataFrame:
     """P1_Fixed, P1_Mobile, P2, P3, P4, P0, P0_Fixed."""
-    fct, mct = F.col("fixed_churner_type"), F.col("mobile_churn_type")
+    fct, mct = col("fixed_churner_type"), col("mobile_churn_type")
     sn = (L.FMC_SOFT, L.FMC_NEAR)
     fixed_types = tuple(L.FMC_TYPE_FIXED.values())
-    b = [(_in("b_fmc_type", *sn) & (F.col("b_mix") == mix), seg) for mix, seg in L.SEG_BY_MIX.items()]
+    b = [(_in("b_fmc_type", *sn) & (col("b_mix") == mix), seg) for mix, seg in L.SEG_BY_MIX.items()]
     b += [
         (_in("b_fmc_type", *fixed_types) | (_in("b_fmc_type", *sn) & _not1("mobile_active_bom") & _is1("active_bom")),
          L.SEG_P1_FIXED),
-        ((F.col("b_fmc_type") == L.FMC_MOBILE_ONLY)
-         | ((F.col("b_fmc_type") == L.FMC_SOFT) & _not1("active_bom") & _is1("mobile_active_bom")), L.SEG_P1_MOBILE),
-        ((F.col("b_fmc_type") == L.FMC_TYPE_FIXED_0P)
+        ((col("b_fmc_type") == L.FMC_MOBILE_ONLY)
+         | ((col("b_fmc_type") == L.FMC_SOFT) & _not1("active_bom") & _is1("mobile_active_bom")), L.SEG_P1_MOBILE),
+        ((col("b_fmc_type") == L.FMC_TYPE_FIXED_0P)
          | (_in("b_fmc_type", *sn) & _not1("mobile_active_bom") & _is1("active_bom")), L.SEG_P0_FIXED),
     ]
     both = _is1("active_eom") & _is1("mobile_active_eom") & fct.isNull() & mct.isNull()
-    e = [(_in("e_fmc_type", *sn, "Undefined FMC") & both & (F.col("e_mix") == mix), L.SEG_BY_MIX[mix])
+    e = [(_in("e_fmc_type", *sn, "Undefined FMC") & both & (col("e_mix") == mix), L.SEG_BY_MIX[mix])
          for mix in ("1P", "2P", "3P")]
     e += [
         ((_in("e_fmc_type", *fixed_types) | (_in("e_fmc_type", *sn) & _not1("mobile_active_eom")))
          & _is1("active_eom") & fct.isNull(), L.SEG_P1_FIXED),
-        (((F.col("e_fmc_type") == L.FMC_MOBILE_ONLY) | ((F.col("e_fmc_type") == L.FMC_SOFT) & _not1("active_eom")))
+        (((col("e_fmc_type") == L.FMC_MOBILE_ONLY) | ((col("e_fmc_type") == L.FMC_SOFT) & _not1("active_eom")))
          & _is1("mobile_active_eom") & mct.isNull(), L.SEG_P1_MOBILE),
-        ((F.col("e_fmc_type") == L.FMC_TYPE_FIXED_0P)
+        ((col("e_fmc_type") == L.FMC_TYPE_FIXED_0P)
          | (_in("e_fmc_type", *sn) & _not1("mobile_active_eom") & _is1("active_eom")), L.SEG_P0_FIXED),
-        (_in("e_fmc_type", *sn) & (F.col("e_mix") == "0P"), L.SEG_BY_MIX["0P"]),
+        (_in("e_fmc_type", *sn) & (col("e_mix") == "0P"), L.SEG_BY_MIX["0P"]),
     ]
     return df.withColumns({"b_fmc_segment": case_when(b), "e_fmc_segment": case_when(e)})
 
 
 def final_churn(df: DataFrame) -> DataFrame:
     """Full / fixed / mobile / previous / non churner (D71) and totals."""
-    fct, mct = F.col("fixed_churner_type"), F.col("mobile_churn_type")
-    n = F.col("contracts_fix")
+    fct, mct = col("fixed_churner_type"), col("mobile_churn_type")
+    n = col("contracts_fix")
     return df.withColumns({
         "final_churn_flag": case_when([
-            ((fct.isNotNull() & mct.isNotNull()) | ((F.col("b_fmc_status") == L.FMC_FIXED_ONLY) & fct.isNotNull())
-             | ((F.col("b_fmc_status") == L.FMC_MOBILE_ONLY) & mct.isNotNull())
+            ((fct.isNotNull() & mct.isNotNull()) | ((col("b_fmc_status") == L.FMC_FIXED_ONLY) & fct.isNotNull())
+             | ((col("b_fmc_status") == L.FMC_MOBILE_ONLY) & mct.isNotNull())
              | (fct.isNull() & _is1("active_bom") & _is1("mobile_active_bom") & _not1("active_eom")
                 & _not1("mobile_active_eom")), L.CHURN_FULL),
             (fct.isNotNull() & mct.isNull(), L.CHURN_FIXED),
             (fct.isNull() & mct.isNotNull(), L.CHURN_MOBILE),
             ((fct.isNotNull() & _not1("active_bom")) | (mct.isNotNull() & _not1("mobile_active_bom")), L.CHURN_PREVIOUS),
         ], L.CHURN_NONE),
-        "b_total_mrc": F.coalesce(F.col("b_bill_amt"), F.lit(0.0)) / n + F.coalesce(F.col("b_mobile_mrc"), F.lit(0.0)),
-        "e_total_mrc": F.coalesce(F.col("e_bill_amt"), F.lit(0.0)) / n + F.coalesce(F.col("e_mobile_mrc"), F.lit(0.0)),
-        "b_total_rgus": (F.coalesce(F.col("b_num_rgus"), F.lit(0)) + F.col("b_mobile_rgus")) / n,
-        "e_total_rgus": (F.coalesce(F.col("e_num_rgus"), F.lit(0)) + F.col("e_mobile_rgus")) / n,
-        "total_rgu_churn": F.coalesce(F.col("fixed_rgu_churn"), F.lit(0)) / n
-                           + F.coalesce(F.col("mobile_rgu_churn"), F.lit(0)),
+        "b_total_mrc": F.coalesce(col("b_bill_amt"), F.lit(0.0)) / n + F.coalesce(col("b_mobile_mrc"), F.lit(0.0)),
+        "e_total_mrc": F.coalesce(col("e_bill_amt"), F.lit(0.0)) / n + F.coalesce(col("e_mobile_mrc"), F.lit(0.0)),
+        "b_total_rgus": (F.coalesce(col("b_num_rgus"), F.lit(0)) + col("b_mobile_rgus")) / n,
+        "e_total_rgus": (F.coalesce(col("e_num_rgus"), F.lit(0)) + col("e_mobile_rgus")) / n,
+        "total_rgu_churn": F.coalesce(col("fixed_rgu_churn"), F.lit(0)) / n
+                           + F.coalesce(col("mobile_rgu_churn"), F.lit(0)),
     }).withColumn("mrc_change", F.round("e_total_mrc", 0) - F.round("b_total_mrc", 0))
 
 
 def final_rejoiner(df: DataFrame) -> DataFrame:
     """Fixed, mobile or FMC rejoiner."""
-    fr, mr = F.col("fixed_rejoiner_type"), F.col("mobile_rejoiner_type")
+    fr, mr = col("fixed_rejoiner_type"), col("mobile_rejoiner_type")
     return df.withColumn("rejoiner_final_flag", case_when([
         ((fr.isNotNull() & mr.isNotNull()) | ((fr.isNotNull() | mr.isNotNull()) & _in("e_fmc_type", L.FMC_SOFT, L.FMC_NEAR)),
          L.REJ_FMC),
@@ -229,11 +230,11 @@ def final_rejoiner(df: DataFrame) -> DataFrame:
 def waterfall(df: DataFrame) -> DataFrame:
     """Total/partial churn, churn type and one movement label per row from
     opening to closing (D71 tail, D73, Presto order: churn label first)."""
-    fcf = F.col("final_churn_flag")
-    fct, mct = F.col("fixed_churner_type"), F.col("mobile_churn_type")
-    fr, mr = F.col("fixed_rejoiner_type"), F.col("mobile_rejoiner_type")
-    br, er = F.col("b_total_rgus"), F.col("e_total_rgus")
-    bm, em = F.col("b_total_mrc"), F.col("e_total_mrc")
+    fcf = col("final_churn_flag")
+    fct, mct = col("fixed_churner_type"), col("mobile_churn_type")
+    fr, mr = col("fixed_rejoiner_type"), col("mobile_rejoiner_type")
+    br, er = col("b_total_rgus"), col("e_total_rgus")
+    bm, em = col("b_total_mrc"), col("e_total_mrc")
     sn = (L.FMC_SOFT, L.FMC_NEAR)
     mm_gain = _in("main_movement", L.MM_COMEBACK, L.MM_NEW)
     mob_gain = _in("mobile_movement_flag", L.MOB_COMEBACK, L.MOB_NEW)
@@ -246,7 +247,7 @@ def waterfall(df: DataFrame) -> DataFrame:
         "churn_type_final_flag": case_when([
             (fct == L.FIXED_VOL, "Voluntary"), (mct == L.MOBILE_VOL, "Voluntary"),
             (fct == L.FIXED_INVOL, "Involuntary"), (mct == L.MOBILE_INVOL, "Involuntary"),
-            (F.col("main_movement") == L.MM_DOWNSELL, "Voluntary"),
+            (col("main_movement") == L.MM_DOWNSELL, "Voluntary"),
         ]),
         "waterfall_flag": case_when([
             (fcf != L.CHURN_NONE, fcf),
@@ -257,7 +258,7 @@ def waterfall(df: DataFrame) -> DataFrame:
             ((br == er) & (bm > em), "Downspin"),
             (_in("b_fmc_type", *L.FMC_TYPE_FIXED.values(), L.FMC_TYPE_FIXED_0P, L.FMC_MOBILE_ONLY)
              & _in("e_fmc_type", *sn), "FMC Packing"),
-            ((F.col("final_bom_active_flag") == 0) & _in("e_fmc_type", *sn), "FMC Gross Add"),
+            ((col("final_bom_active_flag") == 0) & _in("e_fmc_type", *sn), "FMC Gross Add"),
             (fr.isNotNull() & mr.isNotNull(), L.REJ_FMC),
             (fr.isNotNull(), L.REJ_FIXED),
             (mr.isNotNull(), L.REJ_MOBILE),
@@ -265,22 +266,22 @@ def waterfall(df: DataFrame) -> DataFrame:
             (mm_gain, "Fixed Gross Add"),
             (mob_gain, "Mobile Gross Add"),
         ]),
-        "b_plan_full": F.concat(F.coalesce(F.col("b_plan"), F.lit("")),
-                                F.coalesce(F.col("mobile_active_bom").cast("string"), F.lit("-"))),
-        "e_plan_full": F.concat(F.coalesce(F.col("e_plan"), F.lit("")),
-                                F.coalesce(F.col("mobile_active_eom").cast("string"), F.lit("-"))),
+        "b_plan_full": F.concat(F.coalesce(col("b_plan"), F.lit("")),
+                                F.coalesce(col("mobile_active_bom").cast("string"), F.lit("-"))),
+        "e_plan_full": F.concat(F.coalesce(col("e_plan"), F.lit("")),
+                                F.coalesce(col("mobile_active_eom").cast("string"), F.lit("-"))),
     })
 
 
 def movement_split(df: DataFrame) -> DataFrame:
     """Voluntary / churn type / undefined split of downsells, voluntary
     downspins (D74)."""
-    wf = F.col("waterfall_flag")
+    wf = col("waterfall_flag")
     return df.withColumns({
         "downsell_split": case_when([
-            ((wf == "Downsell") & (F.col("main_movement") == L.MM_DOWNSELL), "Voluntary"),
-            ((wf == "Downsell") & (F.col("final_churn_flag") != L.CHURN_NONE), F.col("churn_type_final_flag")),
-            ((wf == "Downsell") & (F.col("main_movement") == L.MM_LOSS), "Undefined"),
+            ((wf == "Downsell") & (col("main_movement") == L.MM_DOWNSELL), "Voluntary"),
+            ((wf == "Downsell") & (col("final_churn_flag") != L.CHURN_NONE), col("churn_type_final_flag")),
+            ((wf == "Downsell") & (col("main_movement") == L.MM_LOSS), "Undefined"),
         ]),
         "downspin_split": F.when(wf == "Downspin", F.lit("Voluntary")),
     })
@@ -311,9 +312,9 @@ def fmc_packing(df: DataFrame, params: Params = Params()) -> DataFrame:
     reverse (unpacking), counted per period (D77): two anti-joins of the
     per-period sets of convergent accounts."""
     sn = (L.FMC_SOFT, L.FMC_NEAR)
-    key = F.coalesce(F.col("fixed_account"), F.col("fmc_account"))
-    b = df.where(_in("b_fmc_type", *sn)).select(F.col("month"), key.alias("acct")).distinct()
-    e = df.where(_in("e_fmc_type", *sn)).select(F.col("month"), key.alias("acct")).distinct()
+    key = F.coalesce(col("fixed_account"), col("fmc_account"))
+    b = df.where(_in("b_fmc_type", *sn)).select(col("month"), key.alias("acct")).distinct()
+    e = df.where(_in("e_fmc_type", *sn)).select(col("month"), key.alias("acct")).distinct()
     packing = e.join(b, ["month", "acct"], "left_anti").groupBy("month").agg(F.count(F.lit(1)).alias("packing"))
     unpacking = b.join(e, ["month", "acct"], "left_anti").groupBy("month").agg(F.count(F.lit(1)).alias("unpacking"))
     return packing.join(unpacking, "month", "full").select(
@@ -331,8 +332,8 @@ def phone_match(fixed: DataFrame, mobile: DataFrame, phone_cols=("act_contact_ph
     priority: one join instead of a union of one join per phone column."""
     cols = [c for c in phone_cols if c in fixed.columns]
     pairs = ", ".join(f"{i}, {c}" for i, c in enumerate(cols, 1))
-    long = fixed.selectExpr(key, f"stack({len(cols)}, {pairs}) AS (priority, phone)").where(F.col("phone").isNotNull())
-    mob = mobile.select(F.col(mobile_phone).alias("phone")).where(F.col("phone").isNotNull()).distinct()
+    long = fixed.selectExpr(key, f"stack({len(cols)}, {pairs}) AS (priority, phone)").where(col("phone").isNotNull())
+    mob = mobile.select(col(mobile_phone).alias("phone")).where(col("phone").isNotNull()).distinct()
     return (long.join(mob, "phone", "inner").groupBy(key)
                 .agg(F.min_by("phone", "priority").alias("matched_phone"), F.min("priority").alias("phone_priority")))
 
@@ -355,34 +356,34 @@ def fmc_list_periods(fmc_list: DataFrame, params: Params = Params(), business_un
     the accounts whose FMC start lies in f (the ones the earlier file
     missed)."""
     g = params.grain
-    ok = (F.col("account_type") == account_type) & F.col("service_type").isNotNull() \
-        & (F.col("service_type") != "Service Not Found")
+    ok = (col("account_type") == account_type) & col("service_type").isNotNull() \
+        & (col("service_type") != "Service Not Found")
     if business_unit:
-        ok = ok & (F.col("business_unit") == business_unit)
-    lst = fmc_list.where(ok).select(F.col("account_no").alias("account"), F.col("dt").cast("date").alias("f"),
-                                    F.try_to_date(F.col("fmc_start_date"), "MM/dd/yyyy").alias("s"))
-    nxt = lst.select("account", g.shift(F.col("f"), 1).alias("month"))
-    missed = lst.where(g.trunc(F.col("s")) == g.shift(F.col("f"), -1)).select("account", g.trunc(F.col("s")).alias("month"))
+        ok = ok & (col("business_unit") == business_unit)
+    lst = fmc_list.where(ok).select(col("account_no").alias("account"), col("dt").cast("date").alias("f"),
+                                    F.try_to_date(col("fmc_start_date"), "MM/dd/yyyy").alias("s"))
+    nxt = lst.select("account", g.shift(col("f"), 1).alias("month"))
+    missed = lst.where(g.trunc(col("s")) == g.shift(col("f"), -1)).select("account", g.trunc(col("s")).alias("month"))
     return nxt.unionByName(missed).distinct()
 
 
 def patch_fmc(df: DataFrame, listed: DataFrame) -> DataFrame:
     """Override FMC types and segments of listed accounts."""
-    l = listed.select(F.col("account").alias("_la"), F.col("month").alias("_lm"), F.lit(1).alias("_listed"))
-    j = df.join(l, (F.col("final_account") == F.col("_la")) & (F.col("month") == F.col("_lm")), "left")
-    on = F.col("_listed") == 1
-    seg_b = [(on & F.col("b_mix").isNull(), L.SEG_P1_MOBILE)] + \
-        [(on & (F.col("b_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
-    seg_e = [(on & F.col("e_mix").isNull() & _is1("mobile_active_eom"), L.SEG_P1_MOBILE)] + \
-        [(on & (F.col("e_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
+    l = listed.select(col("account").alias("_la"), col("month").alias("_lm"), F.lit(1).alias("_listed"))
+    j = df.join(l, (col("final_account") == col("_la")) & (col("month") == col("_lm")), "left")
+    on = col("_listed") == 1
+    seg_b = [(on & col("b_mix").isNull(), L.SEG_P1_MOBILE)] + \
+        [(on & (col("b_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
+    seg_e = [(on & col("e_mix").isNull() & _is1("mobile_active_eom"), L.SEG_P1_MOBILE)] + \
+        [(on & (col("e_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
     return j.withColumns({
-        "fmc_listed": F.coalesce(F.col("_listed"), F.lit(0)),
-        "b_fmc_type_final": case_when([(on & F.col("b_mix").isNull(), L.FMC_MOBILE_ONLY), (on, "Soft/Hard FMC")],
-                                      F.col("b_fmc_type")),
-        "e_fmc_type_final": case_when([(on & F.col("e_mix").isNull() & _is1("mobile_active_eom"), L.FMC_MOBILE_ONLY),
-                                       (on & _is1("active_eom"), "Soft/Hard FMC")], F.col("e_fmc_type")),
-        "b_fmc_segment_final": case_when(seg_b, F.col("b_fmc_segment")),
-        "e_fmc_segment_final": case_when(seg_e, F.col("e_fmc_segment")),
+        "fmc_listed": F.coalesce(col("_listed"), F.lit(0)),
+        "b_fmc_type_final": case_when([(on & col("b_mix").isNull(), L.FMC_MOBILE_ONLY), (on, "Soft/Hard FMC")],
+                                      col("b_fmc_type")),
+        "e_fmc_type_final": case_when([(on & col("e_mix").isNull() & _is1("mobile_active_eom"), L.FMC_MOBILE_ONLY),
+                                       (on & _is1("active_eom"), "Soft/Hard FMC")], col("e_fmc_type")),
+        "b_fmc_segment_final": case_when(seg_b, col("b_fmc_segment")),
+        "e_fmc_segment_final": case_when(seg_e, col("e_fmc_segment")),
     }).drop("_la", "_lm", "_listed")
 
 
@@ -395,27 +396,27 @@ def waterfall_bigquery(df: DataFrame) -> DataFrame:
     gross adds, spins, rejoiners, churn and gap labels. Movement codes are
     this library's (new customer = ``05. New Customer``; a mobile gross add
     or rejoiner = mobile new or come back)."""
-    both = (F.col("final_bom_active_flag") == 1) & (F.col("final_eom_active_flag") == 1)
-    gained = (F.col("final_bom_active_flag") == 0) & (F.col("final_eom_active_flag") == 1)
-    lost = (F.col("final_bom_active_flag") == 1) & (F.col("final_eom_active_flag") == 0)
-    mb, me = F.col("mobile_active_bom"), F.col("mobile_active_eom")
+    both = (col("final_bom_active_flag") == 1) & (col("final_eom_active_flag") == 1)
+    gained = (col("final_bom_active_flag") == 0) & (col("final_eom_active_flag") == 1)
+    lost = (col("final_bom_active_flag") == 1) & (col("final_eom_active_flag") == 0)
+    mb, me = col("mobile_active_bom"), col("mobile_active_eom")
     same_mobile = (mb == me) | (mb.isNull() & me.isNull())
-    b, e = F.col("b_num_rgus"), F.col("e_num_rgus")
-    bm, em = F.col("b_total_mrc"), F.col("e_total_mrc")
-    new_fixed = F.col("main_movement") == L.MM_NEW
+    b, e = col("b_num_rgus"), col("e_num_rgus")
+    bm, em = col("b_total_mrc"), col("e_total_mrc")
+    new_fixed = col("main_movement") == L.MM_NEW
     mob_ga = _in("mobile_movement_flag", L.MOB_NEW, L.MOB_COMEBACK)
-    fcf = F.col("final_churn_flag")
-    ab, ae = F.col("active_bom"), F.col("active_eom")
+    fcf = col("final_churn_flag")
+    ab, ae = col("active_bom"), col("active_eom")
     mobile_both_or_none = ((mb == 1) & (me == 1)) | (mb.isNull() & me.isNull())
     rules = [
         (both & (b < e) & same_mobile, "Upsell"),
         (both & (b > e) & same_mobile, "Downsell"),
         (both & (b == e) & (bm == em), "Maintain"),
-        (gained & ((new_fixed & mob_ga) | (new_fixed & F.col("mobile_movement_flag").isNull())
-                   | (F.col("main_movement").isNull() & mob_ga)), GA_OR_REJOINER),
+        (gained & ((new_fixed & mob_ga) | (new_fixed & col("mobile_movement_flag").isNull())
+                   | (col("main_movement").isNull() & mob_ga)), GA_OR_REJOINER),
         (both & (b == e) & (bm > em), "Downspin"),
         (both & (b == e) & (bm < em), "Upspin"),
-        (F.col("rejoiner_final_flag").isNotNull(), F.col("rejoiner_final_flag")),
+        (col("rejoiner_final_flag").isNotNull(), col("rejoiner_final_flag")),
         (both & ab.isNull() & ae.isNull() & (mb == 1) & (me == 1), "Maintain"),
         (both & (fcf == L.CHURN_FIXED) & mobile_both_or_none, L.CHURN_FIXED),
         (lost & (fcf == L.CHURN_FIXED) & mobile_both_or_none, L.CHURN_FIXED),
@@ -426,11 +427,11 @@ def waterfall_bigquery(df: DataFrame) -> DataFrame:
         (both & (ab == 1) & (ae == 0) & (fcf == L.CHURN_NONE), "Churn Gap"),
         (both & (mb == 0) & (me == 1) & (ab == 1) & (ae == 1), "Mobile Gross Adds"),
         (both & (ab == 1) & (ae == 1) & (mb == 1) & (me == 0), L.CHURN_MOBILE),
-        (gained & (F.col("e_fmc_segment") == L.SEG_P1_FIXED) & F.col("rejoiner_final_flag").isNull(), GA_OR_REJOINER),
+        (gained & (col("e_fmc_segment") == L.SEG_P1_FIXED) & col("rejoiner_final_flag").isNull(), GA_OR_REJOINER),
         (both & (ab == 0) & (ae == 1) & (mb == 1) & (me == 1), "FMC Packing"),
-        ((F.col("b_fmc_status") == "Undefined FMC") | (F.col("e_fmc_status") == "Undefined FMC"), "Gap Undefined FMC"),
+        ((col("b_fmc_status") == "Undefined FMC") | (col("e_fmc_status") == "Undefined FMC"), "Gap Undefined FMC"),
         (fcf == "Customer Gap", "Customer Gap"),
         (gained & (ab == 0) & (ae == 1) & (mb == 0) & (me == 1), "FMC Gross Add"),
-        (gained & (ab == 0) & (ae == 1) & F.col("fixed_churner_type").isNotNull(), "Customer Gap"),
+        (gained & (ab == 0) & (ae == 1) & col("fixed_churner_type").isNotNull(), "Customer Gap"),
     ]
     return df.withColumn("waterfall_bq", case_when(rules))

@@ -17,6 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens import labels as L
 from churnlens.functions.keys import days_between
 from churnlens.params import Params
@@ -27,25 +28,25 @@ from churnlens.sources.io import dedupe_latest
 
 def dedupe_interactions(inter: DataFrame, types=L.RESIDENTIAL_TYPES) -> DataFrame:
     """Residential interactions, latest per account, day and purpose."""
-    i = inter.where(F.col("account_type").isin(list(types)))
+    i = inter.where(col("account_type").isin(list(types)))
     return dedupe_latest(i, ["account_id", F.to_date("interaction_start_time"), "interaction_purpose_descrip"],
-                         F.col("interaction_start_time"), tie_break=["interaction_id"])
+                         col("interaction_start_time"), tie_break=["interaction_id"])
 
 
 def calls(dedup: DataFrame) -> DataFrame:
     """Customer calls: not voided, not a counter/sales purpose."""
-    return dedup.where((F.col("interaction_status") != "ANULADA") & (F.col("interaction_status") != "CANCELADA")
-                       & ~F.col("interaction_purpose_descrip").isin(list(L.NON_CALL_PURPOSES)))
+    return dedup.where((col("interaction_status") != "ANULADA") & (col("interaction_status") != "CANCELADA")
+                       & ~col("interaction_purpose_descrip").isin(list(L.NON_CALL_PURPOSES)))
 
 
 def tech_tickets(dedup: DataFrame) -> DataFrame:
-    return dedup.where((F.col("interaction_status") != "ANULADA")
-                       & F.col("interaction_purpose_descrip").isin(list(L.TECH_TICKET_PURPOSES)))
+    return dedup.where((col("interaction_status") != "ANULADA")
+                       & col("interaction_purpose_descrip").isin(list(L.TECH_TICKET_PURPOSES)))
 
 
 def billing_calls(dedup: DataFrame) -> DataFrame:
-    return dedup.where(F.col("account_id").isNotNull() & (F.col("interaction_status") != "ANULADA")
-                       & F.col("interaction_purpose_descrip").isin(list(L.BILLING_PURPOSES)))
+    return dedup.where(col("account_id").isNotNull() & (col("interaction_status") != "ANULADA")
+                       & col("interaction_purpose_descrip").isin(list(L.BILLING_PURPOSES)))
 
 
 # ------------------------------------------------------------ new customers --
@@ -53,7 +54,7 @@ def billing_calls(dedup: DataFrame) -> DataFrame:
 
 def account_starts(snap: DataFrame, key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
     """Per account: first snapshot day and the latest start date seen."""
-    return snap.groupBy(F.col(key).alias("account")).agg(
+    return snap.groupBy(col(key).alias("account")).agg(
         F.min(day).alias("first_dna_date"), F.max("act_cust_strt_dt").alias("last_start"))
 
 
@@ -69,10 +70,10 @@ def early_contact(events: DataFrame, starts: DataFrame, days: int, params: Param
     is then a number of weeks)."""
     g = params.grain
     t = F.to_date("interaction_start_time")
-    j = events.select(F.col("account_id").alias("account"), t.alias("_t")).join(starts, "account", "inner")
+    j = events.select(col("account_id").alias("account"), t.alias("_t")).join(starts, "account", "inner")
     d = days_between("last_start", "_t")
     ok = (F.floor(d / 7) <= days) | (d < 0) if unit == "week" else (d <= days)
-    return j.where(ok).select("account", g.trunc(F.col("first_dna_date")).alias("month")).distinct()
+    return j.where(ok).select("account", g.trunc(col("first_dna_date")).alias("month")).distinct()
 
 
 def first_bill_risk(repaired: DataFrame, params: Params = Params(), key: str = "act_acct_cd") -> DataFrame:
@@ -82,48 +83,48 @@ def first_bill_risk(repaired: DataFrame, params: Params = Params(), key: str = "
     g = params.grain
     first_bill = repaired.groupBy(key).agg(F.min("bill_dt_m0").alias("_fb"))
     j = repaired.join(first_bill, key, "inner").where(
-        g.trunc(F.col("oldest_unpaid_bill_dt")) == g.trunc(F.col("_fb")))
-    m = j.groupBy(F.col(key).alias("account"), g.trunc(F.col("act_cust_strt_dt")).alias("month")) \
+        g.trunc(col("oldest_unpaid_bill_dt")) == g.trunc(col("_fb")))
+    m = j.groupBy(col(key).alias("account"), g.trunc(col("act_cust_strt_dt")).alias("month")) \
          .agg(F.max("mora_fix").alias("outstanding_days"))
     return m.select("account", "month",
-                    (F.col("outstanding_days") >= params.soft_dx_days).cast("int").alias("soft_dx"),
-                    (F.col("outstanding_days") >= params.never_paid_days).cast("int").alias("never_paid"))
+                    (col("outstanding_days") >= params.soft_dx_days).cast("int").alias("soft_dx"),
+                    (col("outstanding_days") >= params.never_paid_days).cast("int").alias("never_paid"))
 
 
 def sales(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
     """Sale period per account (D80): the install period, or the period of
     the first active snapshot when the install is earlier."""
     g = params.grain
-    act = snap.where(F.col("act_cust_typ").isin(list(L.RESIDENTIAL_TYPES)) & (F.col("act_acct_stat") == "ACTIVO"))
+    act = snap.where(col("act_cust_typ").isin(list(L.RESIDENTIAL_TYPES)) & (col("act_acct_stat") == "ACTIVO"))
     first = act.groupBy(key).agg(F.min(day).alias("_first"))
-    inst = act.select(key, g.trunc(F.col("act_acct_inst_dt")).alias("_inst")).distinct()
+    inst = act.select(key, g.trunc(col("act_acct_inst_dt")).alias("_inst")).distinct()
     j = inst.join(first, key, "inner")
-    fm = g.trunc(F.col("_first"))
-    return j.select(F.col(key).alias("account"),
-                    F.when(F.col("_inst") >= fm, F.col("_inst")).otherwise(fm).alias("month")).distinct()
+    fm = g.trunc(col("_first"))
+    return j.select(col(key).alias("account"),
+                    F.when(col("_inst") >= fm, col("_inst")).otherwise(fm).alias("month")).distinct()
 
 
 def long_installs(orders: DataFrame, params: Params = Params()) -> DataFrame:
     """Finished installations that took ``outlier_install_days`` or more
     days, keyed by the completion period (D87)."""
     g = params.grain
-    o = orders.where((F.col("order_type") == L.ORDER_INSTALL) & (F.col("order_status") == L.ORDER_DONE)
+    o = orders.where((col("order_type") == L.ORDER_INSTALL) & (col("order_status") == L.ORDER_DONE)
                      & (days_between("order_start_date", "completed_date") >= params.outlier_install_days))
-    return o.select(F.col("account_name").alias("account"), g.trunc(F.col("completed_date")).alias("month")).distinct()
+    return o.select(col("account_name").alias("account"), g.trunc(col("completed_date")).alias("month")).distinct()
 
 
 def mounting_bills(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
     """Same oldest unpaid bill on the first snapshot of two successive
     periods, with a current bill in the later one (D88)."""
     g = params.grain
-    d = F.col(day).cast("date")
-    fd = snap.where(d == g.trunc(d)).select(F.col(key).alias("account"), g.trunc(d).alias("month"),
+    d = col(day).cast("date")
+    fd = snap.where(d == g.trunc(d)).select(col(key).alias("account"), g.trunc(d).alias("month"),
                                            "oldest_unpaid_bill_dt", "bill_dt_m0")
-    a = fd.select(F.col("account").alias("_a"), g.shift(F.col("month"), 1).alias("_m"),
-                  F.col("oldest_unpaid_bill_dt").alias("_o"))
-    j = fd.where(F.col("bill_dt_m0").isNotNull()).join(
-        a, (F.col("account") == F.col("_a")) & (F.col("month") == F.col("_m"))
-        & (F.col("oldest_unpaid_bill_dt") == F.col("_o")), "inner")
+    a = fd.select(col("account").alias("_a"), g.shift(col("month"), 1).alias("_m"),
+                  col("oldest_unpaid_bill_dt").alias("_o"))
+    j = fd.where(col("bill_dt_m0").isNotNull()).join(
+        a, (col("account") == col("_a")) & (col("month") == col("_m"))
+        & (col("oldest_unpaid_bill_dt") == col("_o")), "inner")
     return j.select("account", "month").distinct()
 
 
@@ -132,10 +133,10 @@ def sales_channel(orders: DataFrame, params: Params = Params(), mapping: DataFra
     every installation period of the account (D89); ``mapping`` (channel ->
     group) is a small catalogue joined by broadcast."""
     g = params.grain
-    o = orders.where((F.col("order_type") == L.ORDER_INSTALL) & (F.col("order_status") == L.ORDER_DONE))
-    first = o.groupBy(F.col("account_name").alias("account")).agg(
+    o = orders.where((col("order_type") == L.ORDER_INSTALL) & (col("order_status") == L.ORDER_DONE))
+    first = o.groupBy(col("account_name").alias("account")).agg(
         F.min_by("channel_desc", F.struct("order_start_date", "order_id")).alias("sales_channel"))
-    per = o.select(F.col("account_name").alias("account"), g.trunc(F.col("order_start_date")).alias("month")).distinct()
+    per = o.select(col("account_name").alias("account"), g.trunc(col("order_start_date")).alias("month")).distinct()
     out = per.join(first, "account", "inner")
     if mapping is not None:
         from churnlens.plans.sizing import broadcast_if_small
@@ -147,23 +148,23 @@ def billing_claims(dedup: DataFrame, params: Params = Params()) -> DataFrame:
     """Accounts with billing calls per period and their number."""
     g = params.grain
     c = billing_calls(dedup)
-    return (c.groupBy(F.col("account_id").alias("account"), g.trunc(F.to_date("interaction_start_time")).alias("month"))
+    return (c.groupBy(col("account_id").alias("account"), g.trunc(F.to_date("interaction_start_time")).alias("month"))
              .agg(F.count_distinct("interaction_id").alias("num_calls")))
 
 
 def failed_visits(dedup: DataFrame, params: Params = Params()) -> DataFrame:
     """Cancelled or annulled visits by period."""
     g = params.grain
-    return (dedup.where(F.col("interaction_status").isin(list(L.VOID_STATUSES)))
-                 .select(F.col("account_id").alias("account"),
+    return (dedup.where(col("interaction_status").isin(list(L.VOID_STATUSES)))
+                 .select(col("account_id").alias("account"),
                          g.trunc(F.to_date("interaction_start_time")).alias("month")).distinct())
 
 
 def ticket_density(dedup: DataFrame, params: Params = Params()) -> DataFrame:
     """Technical tickets per account and period."""
     g = params.grain
-    t = dedup.where(F.col("interaction_purpose_descrip").isin(list(L.TECH_TICKET_PURPOSES)))
-    return (t.groupBy(F.col("account_id").alias("account"), g.trunc(F.to_date("interaction_start_time")).alias("month"))
+    t = dedup.where(col("interaction_purpose_descrip").isin(list(L.TECH_TICKET_PURPOSES)))
+    return (t.groupBy(col("account_id").alias("account"), g.trunc(F.to_date("interaction_start_time")).alias("month"))
              .agg(F.count_distinct("interaction_id").alias("num_tech_tickets")))
 
 
@@ -184,30 +185,30 @@ def contacts_in_window(all_events: DataFrame, anchor_events: DataFrame, params:
     g = params.grain
     n = params.contact_window_days if days is None else days
     day_num = F.datediff(F.to_date("interaction_start_time"), F.lit("1970-01-01").cast("date"))
-    contacts = (all_events.select(F.col("account_id").alias("account"), "interaction_id", day_num.alias("_d"))
+    contacts = (all_events.select(col("account_id").alias("account"), "interaction_id", day_num.alias("_d"))
                           .dropDuplicates(["account", "interaction_id", "_d"])
                           .select("account", "_d", F.lit(1).alias("_is_c"), F.lit(None).cast("date").alias("_m")))
-    last = (anchor_events.groupBy(F.col("account_id").alias("account"),
+    last = (anchor_events.groupBy(col("account_id").alias("account"),
                                   g.trunc(F.to_date("interaction_start_time")).alias("_m"))
                          .agg(F.max(day_num).alias("_d"))
                          .select("account", "_d", F.lit(0).alias("_is_c"), "_m"))
     u = contacts.unionByName(last)
     w = Window.partitionBy("account").orderBy("_d").rangeBetween(-n, 0)
-    return (u.withColumn("contacts", F.sum("_is_c").over(w)).where(F.col("_is_c") == 0)
-             .select("account", F.col("_m").alias("month"), F.col("contacts").cast("long").alias("contacts")))
+    return (u.withColumn("contacts", F.sum("_is_c").over(w)).where(col("_is_c") == 0)
+             .select("account", col("_m").alias("month"), col("contacts").cast("long").alias("contacts")))
 
 
 def contacts_in_month(events: DataFrame, params: Params = Params()) -> DataFrame:
     """Distinct contacts per account and calendar period."""
     g = params.grain
-    return (events.groupBy(F.col("account_id").alias("account"),
+    return (events.groupBy(col("account_id").alias("account"),
                            g.trunc(F.to_date("interaction_start_time")).alias("month"))
                   .agg(F.count_distinct("interaction_id").cast("long").alias("contacts")))
 
 
 def tiers(counts: DataFrame, prefix: str) -> DataFrame:
     """1, 2, 3+ tiers as 0/1 columns."""
-    c = F.col("contacts")
+    c = col("contacts")
     return counts.select("account", "month", (c == 1).cast("int").alias(f"one_{prefix}"),
                          (c == 2).cast("int").alias(f"two_{prefix}"), (c >= 3).cast("int").alias(f"multiple_{prefix}"))
 
@@ -220,28 +221,28 @@ def keyed_flags(sets: Mapping[str, DataFrame]) -> DataFrame:
     column per set."""
     u = None
     for name, df in sets.items():
-        d = df.select(F.col("account").cast("string").alias("account"), F.col("month").cast("date").alias("month"),
+        d = df.select(col("account").cast("string").alias("account"), col("month").cast("date").alias("month"),
                       F.lit(name).alias("_flag"))
         u = d if u is None else u.unionByName(d)
     return u.groupBy("account", "month").agg(
-        *[F.max((F.col("_flag") == n).cast("int")).alias(n) for n in sets])
+        *[F.max((col("_flag") == n).cast("int")).alias(n) for n in sets])
 
 
 def enrich(master: DataFrame, flags: DataFrame, account: str = "fixed_account", month: str = "month") -> DataFrame:
     """One left join of all flags; each flag holds the account key or NULL."""
     names = [c for c in flags.columns if c not in ("account", "month")]
     f = flags.withColumnRenamed("account", "_fa").withColumnRenamed("month", "_fm")
-    j = master.join(f, (F.col(account) == F.col("_fa")) & (F.col(month) == F.col("_fm")), "left")
-    return j.withColumns({f"{n}_flag": F.when(F.col(n) == 1, F.col(account)) for n in names}).drop("_fa", "_fm", *names)
+    j = master.join(f, (col(account) == col("_fa")) & (col(month) == col("_fm")), "left")
+    return j.withColumns({f"{n}_flag": F.when(col(n) == 1, col(account)) for n in names}).drop("_fa", "_fm", *names)
 
 
 def bill_shock_flags(master: DataFrame, params: Params = Params(), account: str = "fixed_account") -> DataFrame:
     """Plan unchanged and an MRC change above ``bill_shock_pct``."""
-    no_change = F.col("b_plan_full") == F.col("e_plan_full")
-    shock = (F.abs(F.col("mrc_change")) > F.col("b_total_mrc") * params.bill_shock_pct) \
-        & (F.col("b_plan") == F.col("e_plan")) & no_change
-    return master.withColumns({"no_plan_change_flag": F.when(no_change, F.col(account)),
-                               "increase_flag": F.when(shock, F.col(account))})
+    no_change = col("b_plan_full") == col("e_plan_full")
+    shock = (F.abs(col("mrc_change")) > col("b_total_mrc") * params.bill_shock_pct) \
+        & (col("b_plan") == col("e_plan")) & no_change
+    return master.withColumns({"no_plan_change_flag": F.when(no_change, col(account)),
+                               "increase_flag": F.when(shock, col(account))})
 
 
 EXCLUDED_CHURN = ("Fixed Churner", "Customer Gap", "Full Churner", "Churn Exception")
@@ -250,8 +251,8 @@ EXCLUDED_CHURN = ("Fixed Churner", "Customer Gap", "Full Churner", "Churn Except
 def driver_summary(master: DataFrame, flag_cols, account: str = "fixed_account", month: str = "month") -> DataFrame:
     """Distinct accounts per flag and period, churners excluded (D90, D97):
     one row per (period, account) first, then sums."""
-    m = master.where(~F.col("final_churn_flag").isin(list(EXCLUDED_CHURN)) & F.col(account).isNotNull())
-    per = m.groupBy(month, account).agg(*[F.max(F.col(c).isNotNull().cast("int")).alias(c) for c in flag_cols])
+    m = master.where(~col("final_churn_flag").isin(list(EXCLUDED_CHURN)) & col(account).isNotNull())
+    per = m.groupBy(month, account).agg(*[F.max(col(c).isNotNull().cast("int")).alias(c) for c in flag_cols])
     return per.groupBy(month).agg(F.count(F.lit(1)).alias("activebase"),
                                   *[F.sum(c).cast("long").alias(c) for c in flag_cols])
 
@@ -260,7 +261,7 @@ def flag_rate(summary: DataFrame, flags, base: str, digits: int = 4) -> DataFram
     """Flagged accounts over the base (new installations) per period."""
     flags = [flags] if isinstance(flags, str) else list(flags)
     return summary.select("month", *[
-        F.round(F.try_divide(F.col(f).cast("double"), F.col(base).cast("double")), digits).alias(f"{f}_rate")
+        F.round(F.try_divide(col(f).cast("double"), col(base).cast("double")), digits).alias(f"{f}_rate")
         for f in flags])
 
 
@@ -273,4 +274,4 @@ def caller_tiers_by_month(events: DataFrame, params: Params = Params()) -> DataF
 
 
 def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return col(c) if isinstance(c, str) else c

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens.params import Params
 
 KPI_COLS = ["month", "market", "kpi_name", "measure", "numerator", "denominator", "kpi_delay"]
@@ -23,7 +24,7 @@ def count_per_period(events: DataFrame, params: Params = Params(), name: str = "
 
 
 def rgus_per_period(base: DataFrame) -> DataFrame:
-    return (base.where(F.col("active_eom") == 1).groupBy(F.col("fixed_month").alias("month"))
+    return (base.where(col("active_eom") == 1).groupBy(col("fixed_month").alias("month"))
                 .agg(F.sum(F.coalesce("e_num_rgus", F.lit(0))).cast("long").alias("rgus")))
 
 
@@ -32,28 +33,28 @@ def per_thousand(num: DataFrame, den: DataFrame, num_col: str, den_col: str, kpi
     """Contacts per 1,000 products (D110)."""
     j = num.join(den, "month", "inner")
     return j.select("month", F.lit(market).alias("market"), F.lit(kpi).alias("kpi_name"),
-                    F.round(F.try_divide(F.col(num_col) * factor, F.col(den_col).cast("double")), digits).alias("measure"),
-                    F.col(num_col).cast("double").alias("numerator"), F.col(den_col).cast("double").alias("denominator"),
+                    F.round(F.try_divide(col(num_col) * factor, col(den_col).cast("double")), digits).alias("measure"),
+                    col(num_col).cast("double").alias("numerator"), col(den_col).cast("double").alias("denominator"),
                     F.lit("M-0").alias("kpi_delay"))
 
 
 def ratio_kpi(df: DataFrame, num_col: str, den_col: str, kpi: str, market: str, digits: int = 4) -> DataFrame:
     """Monthly sums, then the ratio (D115)."""
     return df.select("month", F.lit(market).alias("market"), F.lit(kpi).alias("kpi_name"),
-                     F.round(F.try_divide(F.col(num_col).cast("double"), F.col(den_col).cast("double")), digits)
+                     F.round(F.try_divide(col(num_col).cast("double"), col(den_col).cast("double")), digits)
                       .alias("measure"),
-                     F.col(num_col).cast("double").alias("numerator"), F.col(den_col).cast("double").alias("denominator"),
+                     col(num_col).cast("double").alias("numerator"), col(den_col).cast("double").alias("denominator"),
                      F.lit("M-0").alias("kpi_delay"))
 
 
 def calls_per_variation(billing_calls: DataFrame, table: DataFrame) -> DataFrame:
     """Accounts with a bill variation (a spin) and, among them, those that
     made billing calls in the period (D111)."""
-    var = (table.where(F.col("spin_movement") != "3. No Spin")
-                .select(F.col("fixed_account").alias("account"), F.col("fixed_month").alias("month")).distinct())
+    var = (table.where(col("spin_movement") != "3. No Spin")
+                .select(col("fixed_account").alias("account"), col("fixed_month").alias("month")).distinct())
     calls = billing_calls.select("account", "month").distinct().withColumn("_c", F.lit(1))
     j = var.join(calls, ["account", "month"], "left")
-    return j.groupBy("month").agg(F.count(F.col("_c")).alias("callers"), F.count(F.lit(1)).alias("variations"))
+    return j.groupBy("month").agg(F.count(col("_c")).alias("callers"), F.count(F.lit(1)).alias("variations"))
 
 
 def first_time_resolution(all_calls: DataFrame, billing: DataFrame, params: Params = Params(),
@@ -64,21 +65,21 @@ def first_time_resolution(all_calls: DataFrame, billing: DataFrame, params: Para
     g = params.grain
     n = params.ftr_days if days is None else days
     d = F.to_date("interaction_start_time")
-    days_all = all_calls.select(F.col("account_id").alias("account"), d.alias("day"), F.lit(0).alias("_b"))
-    days_bill = billing.select(F.col("account_id").alias("account"), d.alias("day"), F.lit(1).alias("_b"))
+    days_all = all_calls.select(col("account_id").alias("account"), d.alias("day"), F.lit(0).alias("_b"))
+    days_bill = billing.select(col("account_id").alias("account"), d.alias("day"), F.lit(1).alias("_b"))
     u = days_all.unionByName(days_bill).groupBy("account", "day").agg(F.max("_b").alias("is_billing"))
     w = Window.partitionBy("account").orderBy("day")
     u = u.withColumn("_next", F.lead("day").over(w))
-    b = u.where(F.col("is_billing") == 1).withColumn(
-        "resolved", (F.col("_next").isNull() | (F.datediff("_next", "day") > n)).cast("int"))
-    return (b.groupBy(g.trunc(F.col("day")).alias("month"))
+    b = u.where(col("is_billing") == 1).withColumn(
+        "resolved", (col("_next").isNull() | (F.datediff("_next", "day") > n)).cast("int"))
+    return (b.groupBy(g.trunc(col("day")).alias("month"))
              .agg(F.sum("resolved").cast("long").alias("resolved"), F.count(F.lit(1)).alias("billing_calls")))
 
 
 def shift_kpi(rows: DataFrame, periods: int, params: Params = Params()) -> DataFrame:
     """Report a KPI ``periods`` later (D118)."""
     g = params.grain
-    return rows.withColumns({"month": g.shift(F.col("month"), periods), "kpi_delay": F.lit(f"M-{periods}")})
+    return rows.withColumns({"month": g.shift(col("month"), periods), "kpi_delay": F.lit(f"M-{periods}")})
 
 
 def kpi_placeholders(months: DataFrame, names: Sequence[str], market: str) -> DataFrame:
@@ -107,9 +108,9 @@ def kpi_overall(rows: DataFrame) -> DataFrame:
     agg = rows.groupBy("month", "kpi_name").agg(
         F.sum("measure").alias("_m"), F.sum("numerator").alias("_n"), F.sum("denominator").alias("_d"),
         F.count("numerator").alias("_cn"), F.count("denominator").alias("_cd"))
-    both_null = (F.col("_cn") == 0) & (F.col("_cd") == 0)
-    both = (F.col("_cn") > 0) & (F.col("_cd") > 0)
-    val = F.when(both_null, F.col("_m")).when(both, F.try_divide(F.col("_n"), F.col("_d")))
+    both_null = (col("_cn") == 0) & (col("_cd") == 0)
+    both = (col("_cn") > 0) & (col("_cd") > 0)
+    val = F.when(both_null, col("_m")).when(both, F.try_divide(col("_n"), col("_d")))
     return agg.select("month", F.year("month").alias("year"), F.month("month").alias("month_num"), "kpi_name",
                       F.round(val, 4).alias("overall"))
 
@@ -119,13 +120,13 @@ def service_delivery(weekly: DataFrame, params: Params = Params(), network: str
     shares per period from weekly rows (D113): sums per week first, then per
     period, with the week's count as the weight of its mean time."""
     g = params.grain
-    wk = (weekly.where(F.col("network") == network)
-                .groupBy(g.trunc(F.col("end_week_date").cast("date")).alias("month"), "network", "end_week_date")
+    wk = (weekly.where(col("network") == network)
+                .groupBy(g.trunc(col("end_week_date").cast("date")).alias("month"), "network", "end_week_date")
                 .agg(F.sum("assisted_installations").alias("i"), F.sum("mtti").alias("t_i"),
                      F.sum("truck_rolls").alias("r"), F.sum("mttr").alias("t_r"), F.sum("scr").alias("scr"),
                      F.sum("i_elf_28days").alias("ie"), F.sum("r_elf_28days").alias("re")))
-    wk = wk.withColumns({"inst_mtti": F.col("i") * F.col("t_i"), "rep_mttr": F.col("r") * F.col("t_r"),
-                         "ftr_i": (100 - F.col("ie")) * F.col("i"), "ftr_r": (100 - F.col("re")) * F.col("r")})
+    wk = wk.withColumns({"inst_mtti": col("i") * col("t_i"), "rep_mttr": col("r") * col("t_r"),
+                         "ftr_i": (100 - col("ie")) * col("i"), "ftr_r": (100 - col("re")) * col("r")})
     return wk.groupBy("month").agg(
         F.sum("i").cast("long").alias("install"),
         F.round(F.try_divide(F.sum("inst_mtti"), F.sum("i").cast("double")), 2).alias("mtti"),
@@ -140,12 +141,12 @@ def digital_share(payments: DataFrame, params: Params = Params(), market: str =
                   account_type: str = "B2C") -> DataFrame:
     """Distinct digital payment documents over all documents per period (D114)."""
     g = params.grain
-    p = payments.where(F.col("account_type") == account_type)
-    agg = p.groupBy(g.trunc(F.col("dt").cast("date")).alias("month")).agg(
-        F.count_distinct(F.when(F.col("digital_nondigital") == "Digital", F.col("payment_doc_id"))).alias("digital"),
+    p = payments.where(col("account_type") == account_type)
+    agg = p.groupBy(g.trunc(col("dt").cast("date")).alias("month")).agg(
+        F.count_distinct(F.when(col("digital_nondigital") == "Digital", col("payment_doc_id"))).alias("digital"),
         F.count_distinct("payment_doc_id").alias("pymt_cnt"))
     return agg.select("month", F.lit(market).alias("market"), F.lit("digital_payment_share").alias("kpi_name"),
-                      F.round(F.try_divide(F.col("digital").cast("double"), F.col("pymt_cnt").cast("double")), 2)
+                      F.round(F.try_divide(col("digital").cast("double"), col("pymt_cnt").cast("double")), 2)
                        .alias("measure"),
-                      F.col("digital").cast("double").alias("numerator"),
-                      F.col("pymt_cnt").cast("double").alias("denominator"), F.lit("M-0").alias("kpi_delay"))
+                      col("digital").cast("double").alias("numerator"),
+                      col("pymt_cnt").cast("double").alias("denominator"), F.lit("M-0").alias("kpi_delay"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens import labels as L
 from churnlens.functions.keys import blank_to_null, comma_decimal, parse_mixed_date, strip_dots
 from churnlens.functions.rules import case_when, tenure_segment
@@ -20,11 +21,11 @@ def clean_register(reg: DataFrame, params: Params = Params(), file_shift: int =
     marker amounts and junk activation dates become NULL; business segments
     are dropped."""
     g = params.grain
-    return (reg.where(~F.col("des_segmento_cliente").isin(list(L.BUSINESS_SEGMENTS)))
-               .select(g.trunc(g.shift(F.col("fecha_parque").cast("date"), file_shift)).alias("month"),
+    return (reg.where(~col("des_segmento_cliente").isin(list(L.BUSINESS_SEGMENTS)))
+               .select(g.trunc(g.shift(col("fecha_parque").cast("date"), file_shift)).alias("month"),
                        strip_dots("id_abonado").alias("id_abonado"),
                        blank_to_null("contrato").alias("fixed_contract"),
-                       F.col("num_telefono"), F.col("nom_email"),
+                       col("num_telefono"), col("nom_email"),
                        comma_decimal("renta").alias("renta"),
                        parse_mixed_date("fch_activacion", date_formats, junk=L.ACTIVATION_JUNK).alias("start_date")))
 
@@ -35,16 +36,16 @@ def mobile_base(clean: DataFrame, params: Params = Params()) -> DataFrame:
     cols = ["fixed_contract", "renta", "num_telefono", "nom_email", "start_date"]
     names = {"fixed_contract": "fixed_contract", "renta": "mobile_mrc", "num_telefono": "num_telefono",
              "nom_email": "correo", "start_date": "start_date"}
-    b = clean.select(F.col("month").alias("_bm"), F.col("id_abonado").alias("_bl"),
-                     *[F.col(c).alias(f"b_{names[c]}") for c in cols])
-    e = clean.select(g.shift(F.col("month"), -1).alias("_em"), F.col("id_abonado").alias("_el"),
-                     *[F.col(c).alias(f"e_{names[c]}") for c in cols])
-    j = b.join(e, (F.col("_bl") == F.col("_el")) & (F.col("_bm") == F.col("_em")), "full")
+    b = clean.select(col("month").alias("_bm"), col("id_abonado").alias("_bl"),
+                     *[col(c).alias(f"b_{names[c]}") for c in cols])
+    e = clean.select(g.shift(col("month"), -1).alias("_em"), col("id_abonado").alias("_el"),
+                     *[col(c).alias(f"e_{names[c]}") for c in cols])
+    j = b.join(e, (col("_bl") == col("_el")) & (col("_bm") == col("_em")), "full")
     out = j.select(F.coalesce("_bm", "_em").alias("mobile_month"), F.coalesce("_bl", "_el").alias("mobile_account"),
-                   F.col("_bl").isNotNull().cast("int").alias("mobile_active_bom"),
-                   F.col("_el").isNotNull().cast("int").alias("mobile_active_eom"),
-                   *[F.col(f"{s}_{names[c]}") for s in ("b", "e") for c in cols])
-    m = F.col("mobile_month")
+                   col("_bl").isNotNull().cast("int").alias("mobile_active_bom"),
+                   col("_el").isNotNull().cast("int").alias("mobile_active_eom"),
+                   *[col(f"{s}_{names[c]}") for s in ("b", "e") for c in cols])
+    m = col("mobile_month")
     out = out.withColumns({
         "b_mobile_tenure": full_periods(g, "b_start_date", m),
         "e_mobile_tenure": full_periods(g, "e_start_date", m),
@@ -62,33 +63,33 @@ def churn_reasons(moves: DataFrame, params: Params = Params(), key: str = "id_ab
     """One churn type per (line, period) from the movement file; four reasons
     map to two types, involuntary wins when a line has both (D50)."""
     g = params.grain
-    t = case_when([(F.col(reason) == r, lab) for r, lab in L.MOBILE_CHURN_REASONS])
-    return (moves.select(strip_dots(key).alias("_ml"), g.trunc(F.col(day).cast("date")).alias("_mm"), t.alias("_t"))
-                 .where(F.col("_t").isNotNull())
+    t = case_when([(col(reason) == r, lab) for r, lab in L.MOBILE_CHURN_REASONS])
+    return (moves.select(strip_dots(key).alias("_ml"), g.trunc(col(day).cast("date")).alias("_mm"), t.alias("_t"))
+                 .where(col("_t").isNotNull())
                  .groupBy("_ml", "_mm").agg(F.max("_t").alias("mobile_churn_type")))
 
 
 def mobile_churn(base: DataFrame, reasons: DataFrame) -> DataFrame:
     """Lost lines (active at opening, absent at closing) with their reason;
     every row gets ``mobile_churn_flag`` and ``mobile_rgu_churn`` (D50)."""
-    lost = (F.col("mobile_active_bom") == 1) & (F.col("mobile_active_eom") == 0)
-    j = base.join(reasons, (F.col("mobile_account") == F.col("_ml")) & (F.col("mobile_month") == F.col("_mm")), "left")
-    j = j.withColumn("mobile_churn_type", F.when(lost, F.col("mobile_churn_type")))
+    lost = (col("mobile_active_bom") == 1) & (col("mobile_active_eom") == 0)
+    j = base.join(reasons, (col("mobile_account") == col("_ml")) & (col("mobile_month") == col("_mm")), "left")
+    j = j.withColumn("mobile_churn_type", F.when(lost, col("mobile_churn_type")))
     return j.drop("_ml", "_mm").withColumns({
-        "mobile_churn_flag": F.coalesce(F.col("mobile_churn_type"), F.lit(L.MOBILE_NONCHURNER)),
-        "mobile_rgu_churn": F.col("mobile_churn_type").isNotNull().cast("int"),
+        "mobile_churn_flag": F.coalesce(col("mobile_churn_type"), F.lit(L.MOBILE_NONCHURNER)),
+        "mobile_rgu_churn": col("mobile_churn_type").isNotNull().cast("int"),
     })
 
 
 def mobile_rejoiners(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Lines that churned in p and have a row in p + 1 (D52, mobile form)."""
     g = params.grain
-    ex = (df.where(F.col("mobile_churn_type").isNotNull())
-            .select(F.col("mobile_account").alias("_ra"), g.shift(F.col("mobile_month"), 1).alias("_rm"),
-                    case_when([(F.col("mobile_churn_type") == L.MOBILE_VOL, L.MOBILE_VOL_REJ),
-                               (F.col("mobile_churn_type") == L.MOBILE_INVOL, L.MOBILE_INVOL_REJ)]).alias("_rt"))
+    ex = (df.where(col("mobile_churn_type").isNotNull())
+            .select(col("mobile_account").alias("_ra"), g.shift(col("mobile_month"), 1).alias("_rm"),
+                    case_when([(col("mobile_churn_type") == L.MOBILE_VOL, L.MOBILE_VOL_REJ),
+                               (col("mobile_churn_type") == L.MOBILE_INVOL, L.MOBILE_INVOL_REJ)]).alias("_rt"))
             .groupBy("_ra", "_rm").agg(F.max("_rt").alias("mobile_rejoiner_type")))
-    j = df.join(ex, (F.col("mobile_account") == F.col("_ra")) & (F.col("mobile_month") == F.col("_rm")), "left")
+    j = df.join(ex, (col("mobile_account") == col("_ra")) & (col("mobile_month") == col("_rm")), "left")
     return j.drop("_ra", "_rm")
 
 
@@ -101,8 +102,8 @@ def missing_clients(clean: DataFrame, params: Params = Params(), key: str = "fix
     """Clients of the opening file that are missing from the closing file,
     counted per period (D51): anti-join of (client, period) sets."""
     g = params.grain
-    b = clean.where(F.col(key).isNotNull()).select(F.col(key).alias("client"), F.col("month")).distinct()
-    e = (clean.where(F.col(key).isNotNull())
-              .select(F.col(key).alias("client"), g.shift(F.col("month"), -1).alias("month")).distinct())
+    b = clean.where(col(key).isNotNull()).select(col(key).alias("client"), col("month")).distinct()
+    e = (clean.where(col(key).isNotNull())
+              .select(col(key).alias("client"), g.shift(col("month"), -1).alias("month")).distinct())
     return (b.join(e, ["client", "month"], "left_anti").groupBy("month")
              .agg(F.count(F.lit(1)).alias("missing_clients")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens import labels as L
 from churnlens.functions.rules import case_when, plan_signature, tenure_segment
 from churnlens.params import Grain, Params
@@ -13,7 +14,7 @@ from churnlens.params import Grain, Params
 
 def full_periods(grain: Grain, start, end):
     """Whole periods elapsed (Presto ``date_diff`` on the period unit)."""
-    s, e = F.col(start) if isinstance(start, str) else start, F.col(end) if isinstance(end, str) else end
+    s, e = col(start) if isinstance(start, str) else start, col(end) if isinstance(end, str) else end
     if grain.unit == "week":
         d = F.datediff(e.cast("date"), s.cast("date"))
         return (F.signum(d) * F.floor(F.abs(d) / 7)).cast("int")
@@ -34,24 +35,24 @@ def main_movement(base: DataFrame, params: Params = Params(), variant: str = "pr
     differs, new when equal, then loss.
     """
     g = params.grain
-    b, e = F.col("b_num_rgus"), F.col("e_num_rgus")
-    m = F.col("fixed_month")
+    b, e = col("b_num_rgus"), col("e_num_rgus")
+    m = col("fixed_month")
     diff = e - b
-    start_p = g.trunc(F.col("e_act_cust_strt_dt").cast("date"))
+    start_p = g.trunc(col("e_act_cust_strt_dt").cast("date"))
     newcomer = b.isNull() & (e > 0)
     rules = [(diff == 0, L.MM_SAME), (diff > 0, L.MM_UPSELL), (diff < 0, L.MM_DOWNSELL)]
     if variant == "presto":
         rules += [
             (newcomer & (start_p != m) & (full_periods(g, "e_max_inst", m) <= 1), L.MM_COMEBACK),
             (newcomer & (full_periods(g, "e_act_cust_strt_dt", m) <= 1), L.MM_NEW),
-            ((F.col("active_bom") == 1) & (F.col("active_eom") == 0), L.MM_LOSS),
+            ((col("active_bom") == 1) & (col("active_eom") == 0), L.MM_LOSS),
             (newcomer & (start_p != m), L.MM_MISSING),
         ]
     else:
         rules += [
             (newcomer & (start_p != m), L.MM_COMEBACK),
             (newcomer & (start_p == m), L.MM_NEW),
-            ((F.col("active_bom") == 1) & (F.col("active_eom") == 0), L.MM_LOSS),
+            ((col("active_bom") == 1) & (col("active_eom") == 0), L.MM_LOSS),
         ]
     return base.withColumns({"main_movement": case_when(rules), "dif_total_rgu": diff})
 
@@ -59,8 +60,8 @@ def main_movement(base: DataFrame, params: Params = Params(), variant: str = "pr
 def spin_movement(df: DataFrame, parity: bool = False) -> DataFrame:
     """Bill up or down with the same products (D21). ``parity`` reproduces
     the Presto test against the uncoded label, which never matches."""
-    same = F.col("main_movement") == F.lit("Same RGUs" if parity else L.MM_SAME)
-    d = F.col("e_bill_amt") - F.col("b_bill_amt")
+    same = col("main_movement") == F.lit("Same RGUs" if parity else L.MM_SAME)
+    d = col("e_bill_amt") - col("b_bill_amt")
     return df.withColumn("spin_movement", case_when([(same & (d > 0), L.SPIN_UP), (same & (d < 0), L.SPIN_DOWN)],
                                                     L.SPIN_NONE))
 
@@ -77,7 +78,7 @@ def gain_movement(df: DataFrame) -> DataFrame:
     """Change per product between opening and closing."""
     out = {}
     for p in ("vo", "tv", "bb"):
-        out[f"dif_rgu_{p}"] = F.coalesce(F.col(f"e_rgu_{p}"), F.lit(0)) - F.coalesce(F.col(f"b_rgu_{p}"), F.lit(0))
+        out[f"dif_rgu_{p}"] = F.coalesce(col(f"e_rgu_{p}"), F.lit(0)) - F.coalesce(col(f"b_rgu_{p}"), F.lit(0))
     return df.withColumns(out)
 
 
@@ -106,11 +107,11 @@ def gross_adds(snap: DataFrame, params: Params = Params(), key: str = "act_acct_
     """Accounts whose first start date lies in the period they first appear
     in, with their revenue in that period (D25)."""
     g = params.grain
-    per = snap.withColumn("month", g.trunc(F.col(day)))
+    per = snap.withColumn("month", g.trunc(col(day)))
     first = per.groupBy(key).agg(F.min(start).alias("first_start"), F.min(day).alias("first_seen"))
     rev = per.groupBy(key, "month").agg(F.sum(revenue).alias("rev"))
-    ga = (first.where(g.trunc(F.col("first_start")) == g.trunc(F.col("first_seen")))
-               .withColumn("month", g.trunc(F.col("first_seen"))))
+    ga = (first.where(g.trunc(col("first_start")) == g.trunc(col("first_seen")))
+               .withColumn("month", g.trunc(col("first_seen"))))
     j = ga.join(rev, [key, "month"], "inner")
     return (j.groupBy("month").agg(F.count_distinct(key).alias("gross_adds"),
                                    F.round(F.sum("rev"), 2).alias("gross_add_revenue")))
@@ -118,7 +119,7 @@ def gross_adds(snap: DataFrame, params: Params = Params(), key: str = "act_acct_
 
 def user_base(base: DataFrame, by=("fixed_month", "e_mix", "e_fixed_tenure_segment", "e_tech_flag")) -> DataFrame:
     """Closing users by bundle size, tenure and technology."""
-    return (base.where(F.col("active_eom") == 1).groupBy(*by)
+    return (base.where(col("active_eom") == 1).groupBy(*by)
             .agg(F.count_distinct("fixed_account").alias("users")))
 
 
@@ -126,15 +127,15 @@ def mobile_movement(df: DataFrame, params: Params = Params(), variant: str = "bi
     """Mobile line movement (D22): maintain / down-spin / up-spin when active
     at both ends, loss, come back or new (``bigquery`` only), MRC gap."""
     g = params.grain
-    b, e = F.col("b_mobile_mrc"), F.col("e_mobile_mrc")
-    ab, ae = F.col("mobile_active_bom"), F.col("mobile_active_eom")
+    b, e = col("b_mobile_mrc"), col("e_mobile_mrc")
+    ab, ae = col("mobile_active_bom"), col("mobile_active_eom")
     both = (ab == 1) & (ae == 1)
     rules = [(both & (b == e), L.MOB_MAINTAIN), (both & (b > e), L.MOB_DOWNSPIN),
              (both & (b < e), L.MOB_UPSPIN), ((ab == 1) & (ae == 0), L.MOB_LOSS)]
     if variant == "bigquery":
         newly = ((ab == 0) | ab.isNull()) & (ae == 1)
-        sp = g.trunc(F.col("e_start_date"))
-        rules += [(newly & (sp != F.col("mobile_month")), L.MOB_COMEBACK),
-                  (newly & (sp == F.col("mobile_month")), L.MOB_NEW)]
+        sp = g.trunc(col("e_start_date"))
+        rules += [(newly & (sp != col("mobile_month")), L.MOB_COMEBACK),
+                  (newly & (sp == col("mobile_month")), L.MOB_NEW)]
     rules.append((b.isNull() | e.isNull(), L.MOB_GAP))
     return df.withColumn("mobile_movement_flag", case_when(rules))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens.functions.keys import present
 from churnlens.params import Params
 
@@ -13,10 +14,10 @@ def all_null_accounts(snap: DataFrame, params: Params = Params(), key: str = "ac
                       mrc_cols=("fi_vo_mrc_amt", "fi_tv_mrc_amt", "fi_bb_mrc_amt")) -> DataFrame:
     """Accounts whose charge is NULL or 0 on every snapshot of the period (D120)."""
     g = params.grain
-    mrc = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in mrc_cols), F.lit(0.0))
-    per = snap.groupBy(F.col(key).alias("account"), g.trunc(F.col(day)).alias("month")).agg(
+    mrc = sum((F.coalesce(col(c), F.lit(0.0)) for c in mrc_cols), F.lit(0.0))
+    per = snap.groupBy(col(key).alias("account"), g.trunc(col(day)).alias("month")).agg(
         F.count(F.lit(1)).alias("days"), F.sum((mrc == 0).cast("int")).alias("null_days"))
-    return per.where(F.col("days") == F.col("null_days")).select("month", "account", "days")
+    return per.where(col("days") == col("null_days")).select("month", "account", "days")
 
 
 def intermittent(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
@@ -24,9 +25,9 @@ def intermittent(snap: DataFrame, params: Params = Params(), key: str = "act_acc
     the same period, counted per period (D121)."""
     g = params.grain
     has = (present("pd_vo_prod_nm") | present("pd_tv_prod_nm") | present("pd_bb_prod_nm")).cast("int")
-    per = snap.groupBy(F.col(key).alias("account"), g.trunc(F.col(day)).alias("month")).agg(
+    per = snap.groupBy(col(key).alias("account"), g.trunc(col(day)).alias("month")).agg(
         F.max(has).alias("_with"), F.min(has).alias("_without_is_0"))
-    return (per.where((F.col("_with") == 1) & (F.col("_without_is_0") == 0)).groupBy("month")
+    return (per.where((col("_with") == 1) & (col("_without_is_0") == 0)).groupBy("month")
                .agg(F.count(F.lit(1)).alias("intermittent_accounts")))
 
 
@@ -34,10 +35,10 @@ def overdue_histogram(repaired: DataFrame, params: Params = Params(), key: str =
                       day: str = "dt") -> DataFrame:
     """Accounts by period and repaired overdue age (D122)."""
     g = params.grain
-    return (repaired.groupBy(g.trunc(F.col(day)).alias("month"), F.col("mora_fix"))
+    return (repaired.groupBy(g.trunc(col(day)).alias("month"), col("mora_fix"))
                     .agg(F.count_distinct(key).alias("accounts")))
 
 
 def account_history(snap: DataFrame, account: str, key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
     """All snapshots of one account in day order (D123)."""
-    return snap.where(F.col(key) == account).orderBy(day)
+    return snap.where(col(key) == account).orderBy(day)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.cache import col
 from churnlens.functions.keys import days_between, present
 from churnlens.functions.rules import bundle_name, bundle_size, case_when, technology_flag
 from churnlens.params import Params
@@ -24,7 +25,7 @@ def snapshot_features(df: DataFrame, params: Params = Params(), key: str = KEY,
     rounded charges, days since the oldest unpaid bill, first and last
     install, technology and the period's last overdue age (D10-D12)."""
     g = params.grain
-    d = F.col(day).cast("date")
+    d = col(day).cast("date")
     w_acct = Window.partitionBy(key).orderBy(d)
     w_period = Window.partitionBy(key, "month").orderBy(d).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -38,14 +39,14 @@ def snapshot_features(df: DataFrame, params: Params = Params(), key: str = KEY,
         "mrc_vo": F.round("fi_vo_mrc_amt", 0),
         "mrc_bb": F.round("fi_bb_mrc_amt", 0),
         "mrc_tv": F.round("fi_tv_mrc_amt", 0),
-        "avg_mrc": F.round(F.col("fi_vo_mrc_amt") + F.col("fi_bb_mrc_amt") + F.col("fi_tv_mrc_amt"), 0),
+        "avg_mrc": F.round(col("fi_vo_mrc_amt") + col("fi_bb_mrc_amt") + col("fi_tv_mrc_amt"), 0),
         "bill": F.round("fi_bill_amt_m0", 0),
         "mora": days_between("oldest_unpaid_bill_dt", d),
         "min_inst": F.first("act_acct_inst_dt").over(w_acct),
         "max_inst": F.max("act_acct_inst_dt").over(Window.partitionBy(key)),
     })
     out = out.withColumns({
-        "num_rgus": F.col("rgu_vo") + F.col("rgu_tv") + F.col("rgu_bb"),
+        "num_rgus": col("rgu_vo") + col("rgu_tv") + col("rgu_bb"),
         "bundle_name": bundle_name("rgu_vo", "rgu_tv", "rgu_bb"),
         "last_overdue": F.last("fi_outst_age").over(w_period),
     })
@@ -62,10 +63,10 @@ def repair_overdue(df: DataFrame, params: Params = Params(), key: str = KEY, day
     neighbour values gives NULL. Neighbours are the previous and next
     snapshot of the account (``lag``/``lead`` over one sorted partition).
     """
-    w = Window.partitionBy(key).orderBy(F.col(day))
-    a, gap = F.col(age), params.spike_gap
+    w = Window.partitionBy(key).orderBy(col(day))
+    a, gap = col(age), params.spike_gap
     out = df.withColumns({"prev_mora": F.lag(a).over(w), "next_mora": F.lead(a).over(w)})
-    p, n = F.col("prev_mora"), F.col("next_mora")
+    p, n = col("prev_mora"), col("next_mora")
     spike = ((a - p > gap) & (a - n > gap)) | ((a - p < -gap) & (a - n < -gap))
     rules = [(spike, p + 1), (a.isNull() & (n == p + 2), p + 1)]
     if isolated_null:
@@ -93,11 +94,11 @@ def snapshot_side(df: DataFrame, side: str, params: Params = Params(), key: str
     closing ``< eom_max_overdue`` (NULL passes; ``None`` disables).
     """
     g = params.grain
-    d = F.col(day).cast("date")
+    d = col(day).cast("date")
     sel = d == g.trunc(d)
     for x in extra_days:
         sel = sel | (d == F.lit(x).cast("date"))
-    age = F.col("mora_fix") if use_repaired else F.col("fi_outst_age")
+    age = col("mora_fix") if use_repaired else col("fi_outst_age")
     if side == "b":
         lim = params.bom_max_overdue
         keep = None if lim is None else (age <= lim) | age.isNull()
@@ -108,8 +109,8 @@ def snapshot_side(df: DataFrame, side: str, params: Params = Params(), key: str
         month = g.shift(g.trunc(d), -1)
     if keep is not None:
         sel = sel & keep
-    cols = [month.alias("month"), F.col(key).alias(f"account_{side}"), d.alias(f"{side}_date")]
-    cols += [F.col(src).alias(f"{side}_{dst}") for src, dst in _SIDE_COLS]
+    cols = [month.alias("month"), col(key).alias(f"account_{side}"), d.alias(f"{side}_date")]
+    cols += [col(src).alias(f"{side}_{dst}") for src, dst in _SIDE_COLS]
     return df.where(sel).select(*cols)
 
 
@@ -118,12 +119,12 @@ def bom_eom_base(bom: DataFrame, eom: DataFrame) -> DataFrame:
     ``active_bom`` / ``active_eom`` (D17)."""
     b = bom.withColumnRenamed("month", "_bm")
     e = eom.withColumnRenamed("month", "_em")
-    j = b.join(e, (F.col("account_b") == F.col("account_e")) & (F.col("_bm") == F.col("_em")), "full")
+    j = b.join(e, (col("account_b") == col("account_e")) & (col("_bm") == col("_em")), "full")
     base = j.select(
         F.coalesce("_bm", "_em").alias("fixed_month"),
         F.coalesce("account_b", "account_e").alias("fixed_account"),
-        F.when(F.col("account_b").isNotNull(), 1).otherwise(0).alias("active_bom"),
-        F.when(F.col("account_e").isNotNull(), 1).otherwise(0).alias("active_eom"),
+        F.when(col("account_b").isNotNull(), 1).otherwise(0).alias("active_bom"),
+        F.when(col("account_e").isNotNull(), 1).otherwise(0).alias("active_eom"),
         *[c for c in bom.columns if c.startswith("b_")],
         *[c for c in eom.columns if c.startswith("e_")],
     )
@@ -143,11 +144,11 @@ def active_by_mrc(df: DataFrame, params: Params = Params(), key: str = KEY, day:
     """Mean non-zero charge per account and period; keep rows of accounts
     with such a mean, or younger than ``young_account_days`` (D16)."""
     g = params.grain
-    per = df.withColumn("month", g.trunc(F.col(day)))
-    avg = (per.where(F.col(mrc) != 0).groupBy(key, "month").agg(F.avg(mrc).alias("avg_mrc")))
+    per = df.withColumn("month", g.trunc(col(day)))
+    avg = (per.where(col(mrc) != 0).groupBy(key, "month").agg(F.avg(mrc).alias("avg_mrc")))
     j = per.join(avg, [key, "month"], "left")
-    young = F.datediff(F.col(day).cast("date"), F.col(start).cast("date")) <= params.young_account_days
-    return j.where(F.col("avg_mrc").isNotNull() | young)
+    young = F.datediff(col(day).cast("date"), col(start).cast("date")) <= params.young_account_days
+    return j.where(col("avg_mrc").isNotNull() | young)
 
 
 def period_summary(rep: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY) -> DataFrame:
@@ -164,21 +165,21 @@ def period_summary(rep: DataFrame, params: Params = Params(), key: str = KEY, da
     further shuffle), and everything after it works at the period grain, so
     only this summary - not the daily stage - needs to be materialised."""
     g = params.grain
-    d = F.col(day).cast("date")
+    d = col(day).cast("date")
     lim = params.invol_days
-    first_day = F.struct(d.alias("date"), F.col("mora_fix").alias("mora_fix"),
-                         *[F.col(src).alias(dst) for src, dst in _SIDE_COLS])
-    last = F.struct(F.col("mora_fix").alias("fix"), F.col("fi_outst_age").alias("raw"), d.alias("d"))
-    first_products = F.struct(F.col("pd_vo_prod_nm").alias("vo"), F.col("pd_bb_prod_nm").alias("bb"),
-                              F.col("pd_tv_prod_nm").alias("tv"))
-    mf = F.col("mora_fix")
-    active = (mf <= lim) | (mf.isNull() & (g.trunc(F.col("lst_pymt_dt").cast("date")) == F.col("month")))
+    first_day = F.struct(d.alias("date"), col("mora_fix").alias("mora_fix"),
+                         *[col(src).alias(dst) for src, dst in _SIDE_COLS])
+    last = F.struct(col("mora_fix").alias("fix"), col("fi_outst_age").alias("raw"), d.alias("d"))
+    first_products = F.struct(col("pd_vo_prod_nm").alias("vo"), col("pd_bb_prod_nm").alias("bb"),
+                              col("pd_tv_prod_nm").alias("tv"))
+    mf = col("mora_fix")
+    active = (mf <= lim) | (mf.isNull() & (g.trunc(col("lst_pymt_dt").cast("date")) == col("month")))
     return rep.groupBy(key, "month").agg(
         F.max_by(first_day, F.when(d == g.trunc(d), d)).alias("first_day"),
         F.max((mf < lim).cast("int")).alias("any_below"),
         F.max_by(last, d).alias("last"),
-        (F.max(F.col("pd_vo_prod_nm").isNotNull().cast("int")) + F.max(F.col("pd_bb_prod_nm").isNotNull().cast("int"))
-         + F.max(F.col("pd_tv_prod_nm").isNotNull().cast("int"))).alias("invol_rgu_churn"),
+        (F.max(col("pd_vo_prod_nm").isNotNull().cast("int")) + F.max(col("pd_bb_prod_nm").isNotNull().cast("int"))
+         + F.max(col("pd_tv_prod_nm").isNotNull().cast("int"))).alias("invol_rgu_churn"),
         F.max("max_inst").alias("max_inst"),
         F.min_by(first_products, d).alias("first_products"),
         F.min(d).alias("first_record"),
@@ -191,16 +192,16 @@ def summary_side(summary: DataFrame, side: str, params: Params = Params(), key:
     the first-day row of period p opens p and closes p - 1 (D14, D15), with
     the same overdue limits as ``snapshot_side``."""
     g = params.grain
-    fd = summary.where(F.col("first_day").isNotNull())
-    age = F.col("first_day.mora_fix")
+    fd = summary.where(col("first_day").isNotNull())
+    age = col("first_day.mora_fix")
     if side == "b":
-        lim, month = params.bom_max_overdue, F.col("month")
+        lim, month = params.bom_max_overdue, col("month")
         keep = None if lim is None else (age <= lim) | age.isNull()
     else:
-        lim, month = params.eom_max_overdue, g.shift(F.col("month"), -1)
+        lim, month = params.eom_max_overdue, g.shift(col("month"), -1)
         keep = None if lim is None else (age < lim) | age.isNull()
     if keep is not None:
         fd = fd.where(keep)
-    cols = [month.alias("month"), F.col(key).alias(f"account_{side}"), F.col("first_day.date").alias(f"{side}_date")]
-    cols += [F.col(f"first_day.{dst}").alias(f"{side}_{dst}") for _, dst in _SIDE_COLS]
+    cols = [month.alias("month"), col(key).alias(f"account_{side}"), col("first_day.date").alias(f"{side}_date")]
+    cols += [col(f"first_day.{dst}").alias(f"{side}_{dst}") for _, dst in _SIDE_COLS]
     return fd.select(*cols)

@@ -42,7 +42,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         if master:
             b = b.master(master)
         b = (b.config("spark.ui.enabled", "false")
-              .config("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEM", "16g")))
+              .config("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEM", "16g"))
+              # PySpark records the Python call site of every Column and
+              # DataFrame call for error messages; on plans with hundreds of
+              # rule expressions that dominates plan construction time.
+              .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
         if shuffle_partitions:
             b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         spark = b.getOrCreate()

@@ -179,3 +179,34 @@ def test_voluntary_by_lines(spark):
                                  "pd_bb_prod_nm string, fi_outst_age int")
     got = {r.account: r.churn_type for r in C.voluntary_by_lines(cancels, snap).collect()}
     assert got == {"A": "2.Fixed Mixed Churner"}
+
+
+def test_account_history_and_gain_movement(spark):
+    from churnlens.operators.movement import gain_movement
+    from churnlens.operators.quality import account_history
+    snap = spark.createDataFrame([("A", dt.date(2022, 1, 2)), ("B", D0), ("A", D0)], "act_acct_cd string, dt date")
+    assert [r.dt for r in account_history(snap, "A").collect()] == [D0, dt.date(2022, 1, 2)]
+    base = spark.createDataFrame([(1, 0, None, 1, 1, 1)], "b_rgu_vo int, b_rgu_tv int, b_rgu_bb int, "
+                                                          "e_rgu_vo int, e_rgu_tv int, e_rgu_bb int")
+    r = gain_movement(base).first()
+    assert (r.dif_rgu_vo, r.dif_rgu_tv, r.dif_rgu_bb) == (0, 1, 1)
+
+
+def test_period_summary_first_day_and_last_record(spark):
+    p = Params(invol_days=90)
+    rows = [("A", dt.date(2022, 1, 1), 10, 10, "v", None, None), ("A", dt.date(2022, 1, 20), 95, 95, None, "t", None),
+            ("A", dt.date(2022, 2, 3), None, None, None, None, "b")]
+    df = spark.createDataFrame(rows, "act_acct_cd string, dt date, mora_fix int, fi_outst_age int, "
+                                     "pd_vo_prod_nm string, pd_tv_prod_nm string, pd_bb_prod_nm string")
+    for c in ["act_contact_phone_1", "mix", "tech_flag", "bundle_name"]:
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    for c in ["rgu_vo", "rgu_tv", "rgu_bb", "c_cust_age", "num_rgus", "mora"]:
+        df = df.withColumn(c, F.lit(0))
+    for c in ["min_inst", "max_inst", "act_cust_strt_dt", "lst_pymt_dt"]:
+        df = df.withColumn(c, F.lit(D0))
+    df = df.withColumn("avg_mrc", F.lit(0.0)).withColumn("bill", F.lit(0.0)).withColumn("month", F.trunc("dt", "MM"))
+    s = {r.month: r for r in S.period_summary(df, p).collect()}
+    jan, feb = s[dt.date(2022, 1, 1)], s[dt.date(2022, 2, 1)]
+    assert jan.first_day.date == D0 and jan.last.fix == 95 and jan.any_below == 1 and jan.invol_rgu_churn == 2
+    assert feb.first_day is None  # no snapshot on the 1st of February
+    assert jan.first_products.vo == "v"

@@ -13,7 +13,7 @@ Rules follow the intent of the Presto scripts: tests against the label
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import labels as L
@@ -71,10 +71,23 @@ def attach_near(mobile: DataFrame, near: DataFrame, params: Params = Params()) -
 
 def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
     """Full outer join on the padded contract and the period, with month,
-    combined account, active flags and the fixed fan-out (D64, D65)."""
+    combined account, active flags and the fixed fan-out (D64, D65).
+
+    The fixed side is unique per (account, period), the mobile side is not: a
+    contract may hold many lines, and a hot contract could hold a large share
+    of them. AQE cannot split skewed partitions of a full outer join, so it
+    is written as the union of ``mobile LEFT JOIN fixed`` (skewed mobile
+    partitions can be split, the fixed row is replicated) and ``fixed LEFT
+    ANTI JOIN distinct mobile keys`` (the mobile side reduced to one row per
+    key first). The fan-out count is a partial aggregate joined back, not a
+    window over the hot key."""
     f = fixed.withColumn("_fk", pad_key("fixed_account", width))
     m = mobile.withColumn("_mk", pad_key("fmc_account", width))
-    j = f.join(m, (col("_fk") == col("_mk")) & (col("fixed_month") == col("mobile_month")), "full")
+    cond = (col("_fk") == col("_mk")) & (col("fixed_month") == col("mobile_month"))
+    matched = m.join(f, cond, "left")
+    mkeys = m.select(col("_mk"), col("mobile_month")).distinct()
+    only_fixed = f.join(mkeys, cond, "left_anti")
+    j = matched.unionByName(only_fixed, allowMissingColumns=True)
     fa, ma = col("fixed_account").isNotNull(), col("mobile_account").isNotNull()
     j = j.drop("_fk", "_mk").withColumns({
         "month": F.when(fa, col("fixed_month")).otherwise(col("mobile_month")),
@@ -83,8 +96,10 @@ def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
         "final_bom_active_flag": (_is1("active_bom") | _is1("mobile_active_bom")).cast("int"),
         "final_eom_active_flag": (_is1("active_eom") | _is1("mobile_active_eom")).cast("int"),
     })
-    w = Window.partitionBy("month", "fixed_account")
-    return j.withColumn("contracts_fix", F.when(fa, F.count(F.lit(1)).over(w)).otherwise(F.lit(1)))
+    counts = (j.where(fa).groupBy(col("month").alias("_cm"), col("fixed_account").alias("_ca"))
+                .agg(F.count(F.lit(1)).alias("_n")))
+    j = j.join(counts, (col("month") == col("_cm")) & (col("fixed_account") == col("_ca")), "left")
+    return j.withColumn("contracts_fix", F.coalesce(col("_n"), F.lit(1).cast("long"))).drop("_cm", "_ca", "_n")
 
 
 def fmc_status(df: DataFrame, parity: bool = False) -> DataFrame:

@@ -176,24 +176,28 @@ def contacts_in_window(all_events: DataFrame, anchor_events: DataFrame, params:
     """Number of distinct contacts in the ``days`` days up to the last anchor
     contact of each (account, period) (D92, D94).
 
-    Instead of joining every contact to every month of its account, probe
-    rows (the last anchor day of each period) are unioned with the contact
-    rows and one window per account, ordered by day with a
-    ``rangeBetween(-days, 0)`` frame, counts the contacts around each probe.
-    One sort per account, linear in the number of contacts.
+    Probe rows (the last anchor day of each period) are unioned with the
+    contact rows and a window ordered by day with a ``rangeBetween(-days, 0)``
+    frame counts the contacts around each probe. The window is partitioned by
+    (account, period), not by account alone: each contact is copied into the
+    few periods whose windows can reach it (its own period up to the period
+    of day + ``days``), so a hot account's history is split by period and no
+    task holds a whole account. Linear in contacts, no pairing.
     """
     g = params.grain
     n = params.contact_window_days if days is None else days
-    day_num = F.datediff(F.to_date("interaction_start_time"), F.lit("1970-01-01").cast("date"))
-    contacts = (all_events.select(col("account_id").alias("account"), "interaction_id", day_num.alias("_d"))
-                          .dropDuplicates(["account", "interaction_id", "_d"])
-                          .select("account", "_d", F.lit(1).alias("_is_c"), F.lit(None).cast("date").alias("_m")))
-    last = (anchor_events.groupBy(col("account_id").alias("account"),
-                                  g.trunc(F.to_date("interaction_start_time")).alias("_m"))
-                         .agg(F.max(day_num).alias("_d"))
-                         .select("account", "_d", F.lit(0).alias("_is_c"), "_m"))
+    day = F.to_date("interaction_start_time")
+    epoch = F.lit("1970-01-01").cast("date")
+    contacts = (all_events.select(col("account_id").alias("account"), "interaction_id", day.alias("_day"))
+                          .dropDuplicates(["account", "interaction_id", "_day"])
+                          .select("account", F.datediff("_day", epoch).alias("_d"),
+                                  F.explode(g.periods_covering(col("_day"), F.date_add("_day", n))).alias("_m"),
+                                  F.lit(1).alias("_is_c")))
+    last = (anchor_events.groupBy(col("account_id").alias("account"), g.trunc(day).alias("_m"))
+                         .agg(F.max(F.datediff(day, epoch)).alias("_d"))
+                         .select("account", "_d", "_m", F.lit(0).alias("_is_c")))
     u = contacts.unionByName(last)
-    w = Window.partitionBy("account").orderBy("_d").rangeBetween(-n, 0)
+    w = Window.partitionBy("account", "_m").orderBy("_d").rangeBetween(-n, 0)
     return (u.withColumn("contacts", F.sum("_is_c").over(w)).where(col("_is_c") == 0)
              .select("account", col("_m").alias("month"), col("contacts").cast("long").alias("contacts")))
 

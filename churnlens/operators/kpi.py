@@ -60,19 +60,27 @@ def calls_per_variation(billing_calls: DataFrame, table: DataFrame) -> DataFrame
 def first_time_resolution(all_calls: DataFrame, billing: DataFrame, params: Params = Params(),
                           days: int | None = None) -> DataFrame:
     """Billing calls (one per account and day) with no other call of the
-    account in the next ``days`` days, per period (D112). ``lead`` over the
-    account's distinct call days replaces the range self-join."""
+    account in the next ``days`` days, per period (D112).
+
+    ``lead`` over the account's distinct call days replaces the range
+    self-join. The window is partitioned by (account, period): each call day
+    is also copied into the periods whose billing calls it can follow within
+    ``days`` (from the period of day - ``days`` to its own), so a hot
+    account is split by period while every billing call still sees its next
+    call when that one is close enough to matter."""
     g = params.grain
     n = params.ftr_days if days is None else days
     d = F.to_date("interaction_start_time")
     days_all = all_calls.select(col("account_id").alias("account"), d.alias("day"), F.lit(0).alias("_b"))
     days_bill = billing.select(col("account_id").alias("account"), d.alias("day"), F.lit(1).alias("_b"))
     u = days_all.unionByName(days_bill).groupBy("account", "day").agg(F.max("_b").alias("is_billing"))
-    w = Window.partitionBy("account").orderBy("day")
+    u = u.select("account", "day", "is_billing",
+                 F.explode(g.periods_covering(F.date_sub("day", n), col("day"))).alias("_p"))
+    w = Window.partitionBy("account", "_p").orderBy("day")
     u = u.withColumn("_next", F.lead("day").over(w))
-    b = u.where(col("is_billing") == 1).withColumn(
+    b = u.where((col("is_billing") == 1) & (col("_p") == g.trunc(col("day")))).withColumn(
         "resolved", (col("_next").isNull() | (F.datediff("_next", "day") > n)).cast("int"))
-    return (b.groupBy(g.trunc(col("day")).alias("month"))
+    return (b.groupBy(col("_p").alias("month"))
              .agg(F.sum("resolved").cast("long").alias("resolved"), F.count(F.lit(1)).alias("billing_calls")))
 
 

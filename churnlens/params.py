@@ -47,6 +47,12 @@ class Grain:
             return F.date_add(c, 7 * n)
         raise ValueError(self.unit)
 
+    def periods_covering(self, start: Column, end: Column) -> Column:
+        """Array of the period starts from ``start``'s period to ``end``'s."""
+        step = {"month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR",
+                "week": "INTERVAL 7 DAYS"}[self.unit]
+        return F.sequence(self.trunc(start), self.trunc(end), F.expr(step))
+
     def periods_between(self, start: Column, end: Column) -> Column:
         """Number of period boundaries crossed from ``start`` to ``end``."""
         s, e = self.trunc(start), self.trunc(end)

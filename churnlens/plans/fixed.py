@@ -31,14 +31,25 @@ class FixedStages:
     table: DataFrame
 
 
+def clean_keys(snap: DataFrame, key: str = "act_acct_cd", dedupe: bool = False) -> DataFrame:
+    """Drop rows without an account key (they can join nothing, and a NULL or
+    blank key would gather into one window partition). ``dedupe`` removes
+    exact copies (the reference's ``SELECT DISTINCT``); the partial aggregate
+    collapses copies inside each task before the shuffle, so a group of
+    copies holding a large share of the rows never reaches one task whole."""
+    out = snap.where(F.col(key).isNotNull() & (F.trim(F.col(key)) != ""))
+    return out.dropDuplicates() if dedupe else out
+
+
 def fixed_stages(snap: DataFrame, params: Params = Params(), apply_population: bool = True,
-                 materialize: bool = True) -> FixedStages:
+                 materialize: bool = True, dedupe: bool = False) -> FixedStages:
     """The daily data is read once, shuffled once by account, and reduced to
     one row per (account, period) right after the repair window
     (``period_summary``). ``materialize`` checkpoints that summary (reliable
     checkpoint in ``spark.checkpoint.dir``): the base, churn facts, initial
     products and rejoiners all read it, and the checkpoint keeps its hash
     partitioning by account, so their joins need no further shuffle of it."""
+    snap = clean_keys(snap, dedupe=dedupe)
     src = population(snap) if apply_population else snap
     feats = S.snapshot_features(src, params)
     rep = S.repair_overdue(feats, params)

@@ -210,3 +210,15 @@ def test_period_summary_first_day_and_last_record(spark):
     assert jan.first_day.date == D0 and jan.last.fix == 95 and jan.any_below == 1 and jan.invol_rgu_churn == 2
     assert feb.first_day is None  # no snapshot on the 1st of February
     assert jan.first_products.vo == "v"
+
+
+def test_first_time_resolution_across_period_boundary(spark):
+    from churnlens.operators.kpi import first_time_resolution
+    p = Params(ftr_days=14)
+    calls = spark.createDataFrame([("A", "1", dt.datetime(2022, 1, 31)), ("A", "2", dt.datetime(2022, 2, 2)),
+                                   ("B", "3", dt.datetime(2022, 1, 10)), ("B", "4", dt.datetime(2022, 1, 30))],
+                                  "account_id string, interaction_id string, interaction_start_time timestamp")
+    billing = calls.where("interaction_id IN ('1', '3')")
+    got = {r.month: (r.resolved, r.billing_calls) for r in first_time_resolution(calls, billing, p).collect()}
+    # A's call of 31 Jan is followed 2 days later (in February): not resolved; B's next call is 20 days later
+    assert got == {dt.date(2022, 1, 1): (1, 2)}

@@ -72,6 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS, object store) "
+                           "so checkpoints survive the loss of an executor")
     local = tempfile.mkdtemp(prefix="churnlens-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

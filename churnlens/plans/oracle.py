@@ -85,7 +85,7 @@ feat1 AS (
          THEN 'FTTH' ELSE 'HFC' END AS tech_flag,
     round(fi_vo_mrc_amt + fi_bb_mrc_amt + fi_tv_mrc_amt, 0) AS avg_mrc,
     round(fi_bill_amt_m0, 0) AS bill,
-    date_diff('day', oldest_unpaid_bill_dt, dt) AS mora,
+    CAST(date_diff('day', oldest_unpaid_bill_dt, dt) AS INTEGER) AS mora,
     first_value(act_acct_inst_dt) OVER (PARTITION BY act_acct_cd ORDER BY dt) AS min_inst,
     max(act_acct_inst_dt) OVER (PARTITION BY act_acct_cd) AS max_inst,
     last_value(fi_outst_age) OVER (PARTITION BY act_acct_cd, {wk('dt')} ORDER BY dt
@@ -177,7 +177,7 @@ facts AS (
 ),
 invol AS (
   SELECT f.month AS i_month, f.act_acct_cd AS i_acct, '2. Fixed Involuntary Churner' AS invol_churner,
-         f.invol_rgu_churn, date_diff('day', f.max_inst, l.last_record) AS churn_tenure_days
+         f.invol_rgu_churn, CAST(date_diff('day', f.max_inst, l.last_record) AS INTEGER) AS churn_tenure_days
   FROM facts f JOIN last_rec l ON f.act_acct_cd = l.act_acct_cd AND f.month = l.month
   WHERE f.any_below = 1 AND l.last_mora_fix >= 4 AND l.last_raw >= 4
 ),
@@ -817,7 +817,7 @@ d AS (SELECT month, CAST(sum(num_tech_tickets) AS BIGINT) AS ticket_density FROM
 # --- billing ----------------------------------------------------------------
 OFP = f"""
 fin AS (
-  SELECT *, date_diff('day', oldest_unpaid_bill_final, dt) AS fi_outst_age_final FROM (
+  SELECT *, CAST(date_diff('day', oldest_unpaid_bill_final, dt) AS INTEGER) AS fi_outst_age_final FROM (
     SELECT snap.*, CASE WHEN {wk('lst_pymt_dt')} = {wk('dt')} THEN NULL
                         ELSE CAST({wk('lst_pymt_dt')} + 7 AS DATE) END AS oldest_unpaid_bill_final FROM snap)
 )
@@ -895,7 +895,8 @@ ou2 AS (SELECT *, CASE
     WHEN bill_date <= period_end AND (first_payment IS NULL OR first_payment > period_end) THEN bill_date
     WHEN never_paid_bill <= period_end THEN never_paid_bill END AS oldest_unpaid_bill FROM ou)
 """) + """
-SELECT contrato, month, period_end, oldest_unpaid_bill, date_diff('day', oldest_unpaid_bill, period_end) AS overdue_days FROM ou2
+SELECT contrato, month, period_end, oldest_unpaid_bill,
+       CAST(date_diff('day', oldest_unpaid_bill, period_end) AS INTEGER) AS overdue_days FROM ou2
 """
 
 SQL["payment_reconciliation"] = with_(BILLS) + """

@@ -1094,15 +1094,15 @@ sdw0 AS (
     count(CASE WHEN order_type = 'DESINSTALACION' THEN 1 END) AS truck_rolls,
     avg(CASE WHEN order_type = 'DESINSTALACION' THEN date_diff('day', order_start_date, completed_date) END) AS mttr,
     count(CASE WHEN order_type = 'INSTALACION' AND order_status <> 'FINALIZADA' THEN 1 END) * 100.0
-      / count(CASE WHEN order_type = 'INSTALACION' THEN 1 END) AS i_elf_28days,
+      / NULLIF(count(CASE WHEN order_type = 'INSTALACION' THEN 1 END), 0) AS i_elf_28days,
     count(CASE WHEN order_type = 'DESINSTALACION' AND order_status <> 'FINALIZADA' THEN 1 END) * 100.0
-      / count(CASE WHEN order_type = 'DESINSTALACION' THEN 1 END) AS r_elf_28days
+      / NULLIF(count(CASE WHEN order_type = 'DESINSTALACION' THEN 1 END), 0) AS r_elf_28days
   FROM sorders GROUP BY ALL
 ),
 sdw AS (
-  SELECT *, truck_rolls * 1000.0 / total_subscribers AS scr, 'OVERALL' AS network FROM sdw0
+  SELECT *, truck_rolls * 1000.0 / NULLIF(total_subscribers, 0) AS scr, 'OVERALL' AS network FROM sdw0
   UNION ALL
-  SELECT * REPLACE (assisted_installations * 2 AS assisted_installations), truck_rolls * 1000.0 / total_subscribers, 'HFC' FROM sdw0
+  SELECT * REPLACE (assisted_installations * 2 AS assisted_installations), truck_rolls * 1000.0 / NULLIF(total_subscribers, 0), 'HFC' FROM sdw0
 ),
 sdwk AS (
   SELECT CAST(date_trunc('month', end_week_date) AS DATE) AS month, network, end_week_date,

@@ -235,9 +235,11 @@ def service_delivery_weekly(orders: DataFrame) -> DataFrame:
                     F.avg(F.when(inst & done, d)).alias("mtti"),
                     F.count(F.when(unin, 1)).alias("truck_rolls"),
                     F.avg(F.when(unin, d)).alias("mttr"),
-                    (F.count(F.when(inst & ~done, 1)) * 100.0 / F.count(F.when(inst, 1))).alias("i_elf_28days"),
-                    (F.count(F.when(unin & ~done, 1)) * 100.0 / F.count(F.when(unin, 1))).alias("r_elf_28days")))
-    w = w.withColumn("scr", F.col("truck_rolls") * 1000.0 / F.col("total_subscribers"))
+                    F.try_divide(F.count(F.when(inst & ~done, 1)) * 100.0, F.count(F.when(inst, 1)))
+                     .alias("i_elf_28days"),
+                    F.try_divide(F.count(F.when(unin & ~done, 1)) * 100.0, F.count(F.when(unin, 1)))
+                     .alias("r_elf_28days")))
+    w = w.withColumn("scr", F.try_divide(F.col("truck_rolls") * 1000.0, F.col("total_subscribers")))
     overall = w.withColumn("network", F.lit("OVERALL"))
     hfc = w.withColumn("network", F.lit("HFC")).withColumn("assisted_installations", F.col("assisted_installations") * 2)
     return overall.unionByName(hfc)

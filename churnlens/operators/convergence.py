@@ -324,17 +324,17 @@ def fmc_grouped(df: DataFrame, dims) -> DataFrame:
 
 def fmc_packing(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Accounts convergent at closing but not at opening (packing) and the
-    reverse (unpacking), counted per period (D77): two anti-joins of the
-    per-period sets of convergent accounts."""
+    reverse (unpacking), counted per period (D77). One aggregate per
+    (period, account) marks convergence at each end; a second one counts
+    the accounts whose marks differ - no distinct sets, no anti-joins."""
     sn = (L.FMC_SOFT, L.FMC_NEAR)
     key = F.coalesce(col("fixed_account"), col("fmc_account"))
-    b = df.where(_in("b_fmc_type", *sn)).select(col("month"), key.alias("acct")).distinct()
-    e = df.where(_in("e_fmc_type", *sn)).select(col("month"), key.alias("acct")).distinct()
-    packing = e.join(b, ["month", "acct"], "left_anti").groupBy("month").agg(F.count(F.lit(1)).alias("packing"))
-    unpacking = b.join(e, ["month", "acct"], "left_anti").groupBy("month").agg(F.count(F.lit(1)).alias("unpacking"))
-    return packing.join(unpacking, "month", "full").select(
-        "month", F.coalesce("packing", F.lit(0)).cast("long").alias("packing"),
-        F.coalesce("unpacking", F.lit(0)).cast("long").alias("unpacking"))
+    per = df.groupBy(col("month"), key.alias("acct")).agg(
+        F.max(_in("b_fmc_type", *sn).cast("int")).alias("_b"), F.max(_in("e_fmc_type", *sn).cast("int")).alias("_e"))
+    b, e = F.coalesce(col("_b"), F.lit(0)), F.coalesce(col("_e"), F.lit(0))
+    out = per.groupBy("month").agg(F.sum(((e == 1) & (b == 0)).cast("int")).cast("long").alias("packing"),
+                                   F.sum(((b == 1) & (e == 0)).cast("int")).cast("long").alias("unpacking"))
+    return out.where((col("packing") > 0) | (col("unpacking") > 0))
 
 
 def phone_match(fixed: DataFrame, mobile: DataFrame, phone_cols=("act_contact_phone_1", "act_contact_phone_2",

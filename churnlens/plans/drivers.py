@@ -46,8 +46,8 @@ def driver_summary(master: DataFrame) -> DataFrame:
 def contact_master(master: DataFrame, inter: DataFrame, params: Params) -> DataFrame:
     dedup = D.dedupe_interactions(inter)
     calls = D.tiers(D.contacts_in_window(dedup, D.calls(dedup), params), "call")
-    tickets = D.tickets_window(dedup, params) if hasattr(D, "tickets_window") else \
-        D.tiers(D.contacts_in_window(D.tech_tickets(dedup), D.tech_tickets(dedup), params), "ticket")
+    tk = D.tech_tickets(dedup)
+    tickets = D.tiers(D.contacts_in_window(tk, tk, params), "ticket")
     failed = D.failed_visits(dedup, params).withColumn("failed_visit", F.lit(1))
     sets = {}
     for df in (calls, tickets):

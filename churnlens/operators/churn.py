@@ -361,3 +361,22 @@ def _attach_rejoiners(table: DataFrame, active: DataFrame, params: Params) -> Da
                    "left")
     return j.withColumn("fixed_rejoiner", F.when(col("fixed_rejoiner_type").isNotNull(), col("fixed_account"))) \
             .drop("exit_account", "rejoiner_month")
+
+
+def never_paid_by_churn(snap: DataFrame, churners: DataFrame, params: Params = Params(), days: int = 119,
+                        key: str = KEY, churn_col: str = "cst_chrn_dt",
+                        install_col: str = "act_acct_inst_dt") -> DataFrame:
+    """Never-paid sales (D82): involuntary churners whose churn date is at
+    most ``days`` days after their first installation, against all accounts
+    installed in the same period. ``churners`` is ``churn_by_crm`` output;
+    the snapshot is reduced to one row per account first."""
+    g = params.grain
+    per = snap.groupBy(col(key).alias("account")).agg(F.min(install_col).alias("_inst"),
+                                                      F.max(churn_col).alias("_churn"))
+    invol = churners.where(col("churn_type") == "Involuntary").select("account").withColumn("_inv", F.lit(1))
+    j = per.join(invol, "account", "left")
+    never = (col("_inv") == 1) & (F.datediff(col("_churn").cast("date"), col("_inst").cast("date")) <= days)
+    out = j.groupBy(g.trunc(col("_inst").cast("date")).alias("install_month")).agg(
+        F.count(F.lit(1)).alias("sales"), F.sum(never.cast("int")).cast("long").alias("never_paid"))
+    return out.withColumn("never_paid_share",
+                          F.round(F.try_divide(col("never_paid").cast("double"), col("sales").cast("double")), 3))

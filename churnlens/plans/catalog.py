@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from churnlens.operators import movement as M
 from churnlens.operators import snapshot as S
+from churnlens.params import Grain
 from churnlens.plans import fixed as FX
 from churnlens.sources import testdata as T
 from churnlens.sources.io import population
@@ -203,7 +204,8 @@ def _bills(spark, sf):
     return T.bills(T.load(spark, sf, "orders")), T.bill_moves(T.load(spark, sf, "lineitem"))
 
 
-MONTHLY = T.TEST_PARAMS.with_(grain=__import__("churnlens.params", fromlist=["Grain"]).Grain("month"))
+# billing and payments run monthly on the orders tables (1995-2001)
+MONTHLY = T.TEST_PARAMS.with_(grain=Grain("month"))
 
 
 @register("bill_payments")
@@ -388,7 +390,7 @@ def q_active_by_mrc(spark, sf):
 def q_service_delivery(spark, sf):
     from churnlens.operators.kpi import service_delivery
     _, _, orders = _driver_inputs(spark, sf)
-    return service_delivery(T.service_delivery_weekly(orders), P.with_(grain=MONTHLY.grain))
+    return service_delivery(T.service_delivery_weekly(orders), MONTHLY)
 
 
 @register("digital_payment_share")
@@ -477,3 +479,10 @@ def q_scalar_functions(spark, sf):
 def q_waterfall_bigquery(spark, sf):
     from churnlens.operators.convergence import waterfall_bigquery
     return waterfall_bigquery(_fmc(spark, sf)).select("month", "final_account", "waterfall_flag", "waterfall_bq")
+
+
+@register("never_paid_sales")
+def q_never_paid_sales(spark, sf):
+    from churnlens.operators.churn import churn_by_crm, never_paid_by_churn
+    snap = _snap(spark, sf)
+    return never_paid_by_churn(snap, churn_by_crm(snap, P, bb_days=2, other_days=4, early_days=7), P, days=14)

@@ -1291,3 +1291,20 @@ SELECT month, final_account, waterfall_flag, CASE
 END AS waterfall_bq
 FROM fmc_table
 """
+
+SQL["never_paid_sales"] = with_(SNAP, """
+per AS (SELECT act_acct_cd AS account, max(cst_chrn_dt) AS last_churn, min(cst_chrn_dt) AS first_churn, max(dt) AS ls,
+               min(CASE WHEN (fi_outst_age >= 2 AND pd_bb_prod_nm IS NOT NULL)
+                          OR (fi_outst_age >= 4 AND (pd_tv_prod_nm IS NOT NULL OR pd_vo_prod_nm IS NOT NULL))
+                        THEN cst_chrn_dt END) AS ic,
+               min(act_acct_inst_dt) AS inst
+        FROM snap GROUP BY ALL)
+""") + f"""
+SELECT install_month, count(*) AS sales, CAST(sum(np) AS BIGINT) AS never_paid,
+       round(CAST(sum(np) AS DOUBLE) / NULLIF(count(*), 0), 3) AS never_paid_share
+FROM (SELECT {wk('inst')} AS install_month,
+             CASE WHEN {wk('last_churn')} = {wk('ls')} AND first_churn <= last_churn AND ic IS NOT NULL AND ic <= last_churn
+                       AND date_diff('day', inst, last_churn) <= 14 THEN 1 ELSE 0 END AS np
+      FROM per)
+GROUP BY install_month
+"""

@@ -76,30 +76,28 @@ def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
     The fixed side is unique per (account, period), the mobile side is not: a
     contract may hold many lines, and a hot contract could hold a large share
     of them. AQE cannot split skewed partitions of a full outer join, so it
-    is written as the union of ``mobile LEFT JOIN fixed`` (skewed mobile
-    partitions can be split, the fixed row is replicated) and ``fixed LEFT
-    ANTI JOIN distinct mobile keys`` (the mobile side reduced to one row per
-    key first). The fan-out count is a partial aggregate joined back, not a
-    window over the hot key."""
+    is built from joins it can split: the mobile lines are counted per
+    (contract, period) (a partial aggregate), the fixed rows take that count
+    one-to-one, every mobile line then left-joins its fixed row (a hot
+    contract's lines can be split, the fixed row is replicated), and fixed
+    rows without a count are added as fixed-only rows. The count is the
+    fan-out ``contracts_fix``."""
     f = fixed.withColumn("_fk", pad_key("fixed_account", width))
     m = mobile.withColumn("_mk", pad_key("fmc_account", width))
-    cond = (col("_fk") == col("_mk")) & (col("fixed_month") == col("mobile_month"))
-    matched = m.join(f, cond, "left")
-    mkeys = m.select(col("_mk"), col("mobile_month")).distinct()
-    only_fixed = f.join(mkeys, cond, "left_anti")
+    lines = m.groupBy(col("_mk").alias("_ck"), col("mobile_month").alias("_cm")).agg(F.count(F.lit(1)).alias("_n"))
+    f = f.join(lines, (col("_fk") == col("_ck")) & (col("fixed_month") == col("_cm")), "left").drop("_ck", "_cm")
+    matched = m.join(f, (col("_fk") == col("_mk")) & (col("fixed_month") == col("mobile_month")), "left")
+    only_fixed = f.where(col("_n").isNull())
     j = matched.unionByName(only_fixed, allowMissingColumns=True)
     fa, ma = col("fixed_account").isNotNull(), col("mobile_account").isNotNull()
-    j = j.drop("_fk", "_mk").withColumns({
+    return j.drop("_fk", "_mk").withColumns({
         "month": F.when(fa, col("fixed_month")).otherwise(col("mobile_month")),
         "final_account": case_when([(fa & ~ma, col("fixed_account")), (~fa & ma, col("mobile_account")),
                                     (fa & ma, F.concat("fixed_account", "mobile_account"))]),
         "final_bom_active_flag": (_is1("active_bom") | _is1("mobile_active_bom")).cast("int"),
         "final_eom_active_flag": (_is1("active_eom") | _is1("mobile_active_eom")).cast("int"),
-    })
-    counts = (j.where(fa).groupBy(col("month").alias("_cm"), col("fixed_account").alias("_ca"))
-                .agg(F.count(F.lit(1)).alias("_n")))
-    j = j.join(counts, (col("month") == col("_cm")) & (col("fixed_account") == col("_ca")), "left")
-    return j.withColumn("contracts_fix", F.coalesce(col("_n"), F.lit(1).cast("long"))).drop("_cm", "_ca", "_n")
+        "contracts_fix": F.when(fa, F.coalesce(col("_n"), F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long")),
+    }).drop("_n")
 
 
 def fmc_status(df: DataFrame, parity: bool = False) -> DataFrame:

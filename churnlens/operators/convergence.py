@@ -448,3 +448,47 @@ def waterfall_bigquery(df: DataFrame) -> DataFrame:
         (gained & (ab == 0) & (ae == 1) & col("fixed_churner_type").isNotNull(), "Customer Gap"),
     ]
     return df.withColumn("waterfall_bq", case_when(rules))
+
+
+def waterfall_jamaica(df: DataFrame) -> DataFrame:
+    """Waterfall in the Jamaica order (T28): base exceptions first, then gross
+    adds, rejoiners, RGU and MRC movements, churner types. The source's codes
+    are read as this library's: new customer / come back to life are the
+    ``05``/``04`` main movements and ``06.New Customer`` / ``05.Come Back To
+    Life`` mobile movements, a missing main movement is the "null last day"
+    code, a fixed churner is a set ``fixed_churner_type``."""
+    both = (col("final_bom_active_flag") == 1) & (col("final_eom_active_flag") == 1)
+    gained = (col("final_bom_active_flag") == 0) & (col("final_eom_active_flag") == 1)
+    lost = (col("final_bom_active_flag") == 1) & (col("final_eom_active_flag") == 0)
+    mm, mob, rej = col("main_movement"), col("mobile_movement_flag"), col("rejoiner_final_flag")
+    fct = col("fixed_churner_type")
+    br, er = col("b_total_rgus"), col("e_total_rgus")
+    bm, em = col("b_total_mrc"), col("e_total_mrc")
+    not_churner = col("final_churn_flag") != L.CHURN_NONE
+    ctype = col("churn_type_final_flag")
+    rules = [
+        ((both | lost) & (F.coalesce(br, F.lit(0.0)) > F.coalesce(er, F.lit(0.0))) & mm.isNull()
+         & (col("final_churn_flag") == L.CHURN_NONE), "Downsell-Fixed Customer Gap"),
+        (((col("active_bom") == 1) & (col("active_eom") == 1) & (col("e_num_rgus") == 0) & fct.isNull())
+         | ((col("active_bom") == 1) & (col("b_num_rgus") == 0)) | (fct.isNotNull() & _not1("active_bom")),
+         "Fixed Base Exceptions"),
+        (gained & (((mm == L.MM_NEW) & (mob == L.MOB_NEW)) | ((mm == L.MM_NEW) & mob.isNull())
+                   | (mm.isNull() & (mob == L.MOB_NEW))), "Gross Ads"),
+        (gained & ((mm == L.MM_COMEBACK) | (mob == L.MOB_COMEBACK)) & rej.isNull(), "Gross Ads"),
+        (gained & ((rej.isin(L.REJ_FIXED, L.REJ_MOBILE) & _in("e_fmc_type", L.FMC_SOFT, L.FMC_NEAR))
+                   | (rej == L.REJ_FMC)), L.REJ_FMC),
+        (gained & (mm == L.MM_COMEBACK) & (rej == L.REJ_FIXED) & (col("e_fmc_segment") == L.SEG_P1_FIXED), L.REJ_FIXED),
+        (gained & (mob == L.MOB_COMEBACK) & (rej == L.REJ_MOBILE) & (col("e_fmc_segment") == L.SEG_P1_MOBILE),
+         L.REJ_MOBILE),
+        (both & rej.isNotNull(), "Semi-rejoiner"),
+        (both & (br < er), "Upsell"),
+        (both & (br > er), "Downsell"),
+        (both & (br == er) & (bm == em), "Maintain"),
+        (both & (br == er) & (bm < em), "Upspin"),
+        (both & (br == er) & (bm > em) & (em != 0), "Downspin"),
+        (lost & not_churner & (ctype == "Voluntary"), "Voluntary Churners"),
+        (lost & not_churner & (ctype == "Involuntary"), "Involuntary Churners"),
+        (lost & not_churner & (ctype == "Anticipated Involuntary"), "Anticipated Involuntary Churners"),
+        (lost & not_churner & (ctype == "Mixed"), "Mixed Churners"),
+    ]
+    return df.withColumn("waterfall_jm", case_when(rules))

@@ -486,3 +486,11 @@ def q_never_paid_sales(spark, sf):
     from churnlens.operators.churn import churn_by_crm, never_paid_by_churn
     snap = _snap(spark, sf)
     return never_paid_by_churn(snap, churn_by_crm(snap, P, bb_days=2, other_days=4, early_days=7), P, days=14)
+
+
+@register("waterfall_jamaica")
+def q_waterfall_jamaica(spark, sf):
+    from churnlens.operators.convergence import waterfall_jamaica
+    t = waterfall_jamaica(_fmc(spark, sf))
+    return t.groupBy("month", "waterfall_jm").agg(F.count(F.lit(1)).alias("rows"),
+                                                  F.count_distinct("final_account").alias("accounts"))

@@ -1308,3 +1308,45 @@ FROM (SELECT {wk('inst')} AS install_month,
       FROM per)
 GROUP BY install_month
 """
+
+SQL["waterfall_jamaica"] = with_(*FMC_ALL) + """
+SELECT month, waterfall_jm, count(*) AS rows, count(DISTINCT final_account) AS accounts FROM (
+SELECT month, final_account, CASE
+  WHEN ((final_bom_active_flag = 1 AND final_eom_active_flag = 1) OR (final_bom_active_flag = 1 AND final_eom_active_flag = 0))
+       AND coalesce(b_total_rgus, 0.0) > coalesce(e_total_rgus, 0.0) AND main_movement IS NULL
+       AND final_churn_flag = 'Non Churner' THEN 'Downsell-Fixed Customer Gap'
+  WHEN (active_bom = 1 AND active_eom = 1 AND e_num_rgus = 0 AND fixed_churner_type IS NULL)
+       OR (active_bom = 1 AND b_num_rgus = 0)
+       OR (fixed_churner_type IS NOT NULL AND coalesce(active_bom, 0) = 0) THEN 'Fixed Base Exceptions'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1
+       AND ((main_movement = '05. New Customer' AND mobile_movement_flag = '06.New Customer')
+            OR (main_movement = '05. New Customer' AND mobile_movement_flag IS NULL)
+            OR (main_movement IS NULL AND mobile_movement_flag = '06.New Customer')) THEN 'Gross Ads'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1
+       AND (main_movement = '04. Come Back to Life' OR mobile_movement_flag = '05.Come Back To Life')
+       AND rejoiner_final_flag IS NULL THEN 'Gross Ads'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1
+       AND ((rejoiner_final_flag IN ('Fixed Rejoiner', 'Mobile Rejoiner') AND e_fmc_type IN ('Soft FMC', 'Near FMC'))
+            OR rejoiner_final_flag = 'FMC Rejoiner') THEN 'FMC Rejoiner'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1 AND main_movement = '04. Come Back to Life'
+       AND rejoiner_final_flag = 'Fixed Rejoiner' AND e_fmc_segment = 'P1_Fixed' THEN 'Fixed Rejoiner'
+  WHEN final_bom_active_flag = 0 AND final_eom_active_flag = 1 AND mobile_movement_flag = '05.Come Back To Life'
+       AND rejoiner_final_flag = 'Mobile Rejoiner' AND e_fmc_segment = 'P1_Mobile' THEN 'Mobile Rejoiner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND rejoiner_final_flag IS NOT NULL THEN 'Semi-rejoiner'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_total_rgus < e_total_rgus THEN 'Upsell'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_total_rgus > e_total_rgus THEN 'Downsell'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_total_rgus = e_total_rgus AND b_total_mrc = e_total_mrc THEN 'Maintain'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_total_rgus = e_total_rgus AND b_total_mrc < e_total_mrc THEN 'Upspin'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 1 AND b_total_rgus = e_total_rgus AND b_total_mrc > e_total_mrc
+       AND e_total_mrc <> 0 THEN 'Downspin'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 0 AND final_churn_flag <> 'Non Churner'
+       AND churn_type_final_flag = 'Voluntary' THEN 'Voluntary Churners'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 0 AND final_churn_flag <> 'Non Churner'
+       AND churn_type_final_flag = 'Involuntary' THEN 'Involuntary Churners'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 0 AND final_churn_flag <> 'Non Churner'
+       AND churn_type_final_flag = 'Anticipated Involuntary' THEN 'Anticipated Involuntary Churners'
+  WHEN final_bom_active_flag = 1 AND final_eom_active_flag = 0 AND final_churn_flag <> 'Non Churner'
+       AND churn_type_final_flag = 'Mixed' THEN 'Mixed Churners'
+END AS waterfall_jm
+FROM fmc_table) GROUP BY ALL
+"""

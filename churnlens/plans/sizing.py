@@ -16,9 +16,10 @@ DEFAULT_BOUND = 64 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int:
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # pragma: no cover - no estimate available
         return 1 << 62
+    return int(v) if isinstance(v, int) else int(v.toString())
 
 
 def broadcast_if_small(df: DataFrame, bound: int = DEFAULT_BOUND) -> DataFrame:

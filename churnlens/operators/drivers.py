@@ -81,8 +81,10 @@ def first_bill_risk(repaired: DataFrame, params: Params = Params(), key: str = "
     age while the oldest unpaid bill is the account's first bill, keyed by
     the sales period."""
     g = params.grain
-    first_bill = repaired.groupBy(key).agg(F.min("bill_dt_m0").alias("_fb"))
-    j = repaired.join(first_bill, key, "inner").where(
+    # the account's first bill as a window on the repair window's partitioning
+    # (no aggregate-and-join-back of the daily rows)
+    first_bill = F.min("bill_dt_m0").over(Window.partitionBy(key))
+    j = repaired.withColumn("_fb", first_bill).where(
         g.trunc(col("oldest_unpaid_bill_dt")) == g.trunc(col("_fb")))
     m = j.groupBy(col(key).alias("account"), g.trunc(col("act_cust_strt_dt")).alias("month")) \
          .agg(F.max("mora_fix").alias("outstanding_days"))

@@ -277,3 +277,49 @@ def caller_tiers_by_month(events: DataFrame, params: Params = Params()) -> DataF
     return t.groupBy("month").agg(F.sum("one_call").cast("long").alias("one_call"),
                                   F.sum("two_call").cast("long").alias("two_calls"),
                                   F.sum("multiple_call").cast("long").alias("multiple_calls"))
+
+
+def snapshot_driver_sets(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd",
+                         day: str = "dt") -> dict[str, DataFrame]:
+    """The four snapshot-based driver sets (D80, D81, D83/D84 starts, D88)
+    from one pass over the daily data: one hash partitioning by account
+    carries the repair window and the account's first bill, then a single
+    aggregate per (account, period, start period, install period) keeps
+    what each set needs. The sets are small aggregates of that summary, so
+    the daily data is read and shuffled once instead of once per set."""
+    from churnlens.operators.snapshot import repair_overdue
+    g = params.grain
+    d = col(day).cast("date")
+    rep = repair_overdue(snap, params, isolated_null=False, key=key, day=day)
+    rep = rep.withColumn("_fb", F.min("bill_dt_m0").over(Window.partitionBy(key)))
+    active = col("act_cust_typ").isin(list(L.RESIDENTIAL_TYPES)) & (col("act_acct_stat") == "ACTIVO")
+    risk_row = g.trunc(col("oldest_unpaid_bill_dt")) == g.trunc(col("_fb"))
+    fd = F.struct(col("oldest_unpaid_bill_dt").alias("o"), col("bill_dt_m0").alias("b"))
+    summ = rep.groupBy(col(key).alias("account"), g.trunc(d).alias("month"),
+                       g.trunc(col("act_cust_strt_dt")).alias("start_month"),
+                       g.trunc(col("act_acct_inst_dt")).alias("inst_month")).agg(
+        F.min(d).alias("min_dt"), F.max("act_cust_strt_dt").alias("max_start"),
+        F.min(F.when(active, d)).alias("min_active_dt"), F.max(active.cast("int")).alias("any_active"),
+        F.max_by(fd, F.when(d == g.trunc(d), d)).alias("first_day"),
+        F.max(F.when(risk_row, col("mora_fix"))).alias("risk_age"),
+        F.max(risk_row.cast("int")).alias("any_risk"))
+    starts = summ.groupBy("account").agg(F.min("min_dt").alias("first_dna_date"), F.max("max_start").alias("last_start"))
+    first_active = summ.groupBy("account").agg(F.min("min_active_dt").alias("_first"))
+    inst = summ.where(col("any_active") == 1).select("account", col("inst_month").alias("_inst")).distinct()
+    fm = g.trunc(col("_first"))
+    sales_set = (inst.join(first_active.where(col("_first").isNotNull()), "account", "inner")
+                     .select("account", F.when(col("_inst") >= fm, col("_inst")).otherwise(fm).alias("month")).distinct())
+    risk = (summ.where(col("any_risk") == 1).groupBy("account", col("start_month").alias("month"))
+                .agg(F.max("risk_age").alias("outstanding_days"))
+                .select("account", "month",
+                        (col("outstanding_days") >= params.soft_dx_days).cast("int").alias("soft_dx"),
+                        (col("outstanding_days") >= params.never_paid_days).cast("int").alias("never_paid")))
+    fdays = (summ.where(col("first_day").isNotNull()).groupBy("account", "month")
+                 .agg(F.max_by(col("first_day"), col("first_day.b")).alias("fd"))
+                 .select("account", "month", col("fd.o").alias("o"), col("fd.b").alias("b")))
+    prev = fdays.select(col("account").alias("_a"), g.shift(col("month"), 1).alias("_m"), col("o").alias("_o"))
+    mounting = (fdays.where(col("b").isNotNull())
+                     .join(prev, (col("account") == col("_a")) & (col("month") == col("_m")) & (col("o") == col("_o")),
+                           "inner")
+                     .select("account", "month").distinct())
+    return {"starts": starts, "sales": sales_set, "risk": risk, "mounting": mounting}

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators import drivers as D
-from churnlens.operators import snapshot as S
 from churnlens.params import Params
 
 DRIVER_FLAGS = ["monthsale", "soft_dx", "never_paid", "long_install", "early_issue", "tech_call", "bill_claim",
@@ -15,19 +14,19 @@ DRIVER_FLAGS = ["monthsale", "soft_dx", "never_paid", "long_install", "early_iss
 
 
 def driver_flags(snap: DataFrame, inter: DataFrame, orders: DataFrame, params: Params) -> DataFrame:
-    rep = S.repair_overdue(snap, params, isolated_null=False)
-    risk = D.first_bill_risk(rep, params)
+    one = D.snapshot_driver_sets(snap, params)
+    risk = one["risk"]
     dedup = D.dedupe_interactions(inter)
-    starts = D.account_starts(snap)
     sets = {
-        "monthsale": D.sales(snap, params),
+        "monthsale": one["sales"],
         "soft_dx": risk.where("soft_dx = 1"),
         "never_paid": risk.where("never_paid = 1"),
         "long_install": D.long_installs(orders, params),
-        "early_issue": D.early_contact(D.calls(dedup), starts, params.early_contact_days, params),
-        "tech_call": D.early_contact(D.tech_tickets(dedup), starts, params.early_ticket_weeks, params, unit="week"),
+        "early_issue": D.early_contact(D.calls(dedup), one["starts"], params.early_contact_days, params),
+        "tech_call": D.early_contact(D.tech_tickets(dedup), one["starts"], params.early_ticket_weeks, params,
+                                     unit="week"),
         "bill_claim": D.billing_claims(dedup, params),
-        "mounting_bill": D.mounting_bills(snap, params),
+        "mounting_bill": one["mounting"],
     }
     return D.keyed_flags(sets)
 

@@ -48,3 +48,14 @@ def test_monthly_movements_and_churn(spark):
     assert t[("D", jan)].active_bom == 1 and t[("D", jan)].active_eom == 0
     assert t[("D", jan)].fixed_churner_type == L.FIXED_VOL
     assert ("B", feb) not in t or t[("B", feb)].active_bom == 0
+
+
+def test_dedupe_collapses_exact_copies_and_drops_blank_keys(spark):
+    d = dt.date
+    rows = [row("A", d(2022, 1, 1), "vo", None, None, None), row("A", d(2022, 2, 1), "vo", "tv", None, None)]
+    copies = rows + rows + [row("", d(2022, 1, 1), "vo", None, None, None)]
+    clean = {(r.fixed_account, r.fixed_month, r.main_movement)
+             for r in fixed_stages(spark.createDataFrame(rows, COLS), Params()).table.collect()}
+    dup = fixed_stages(spark.createDataFrame(copies, COLS), Params(), dedupe=True).table.collect()
+    assert {(r.fixed_account, r.fixed_month, r.main_movement) for r in dup} == clean
+    assert len(dup) == len(clean)

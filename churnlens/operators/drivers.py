@@ -53,7 +53,9 @@ def billing_calls(dedup: DataFrame) -> DataFrame:
 
 
 def account_starts(snap: DataFrame, key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
-    """Per account: first snapshot day and the latest start date seen."""
+    """Per account: first snapshot day and the latest start date seen.
+    (``snapshot_driver_sets`` computes this with the other snapshot-based
+    sets in one pass; the single-set functions are kept for separate use.)"""
     return snap.groupBy(col(key).alias("account")).agg(
         F.min(day).alias("first_dna_date"), F.max("act_cust_strt_dt").alias("last_start"))
 

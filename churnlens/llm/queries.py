@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnlens.llm import exact_dedup
+from churnlens.llm import exact_dedup, licenses, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -12,6 +12,16 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup,)}
+def op9_secret_scan(spark, sf_dir):
+    prepare(spark)
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark, sf_dir):
+    prepare(spark)
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op9_secret_scan, op10_license_scan)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE}

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from churnlens.llm import exact_dedup, licenses, secrets
+from pyspark.sql import functions as F
+
+from churnlens.llm import exact_dedup, langid, licenses, packing, secrets
 from churnlens.llm.common import documents, prepare
 
 
+def op1_language_id(spark, sf_dir):
+    """Fit on the labelled documents that are not held out, predict all."""
+    prepare(spark)
+    docs = documents(spark, sf_dir)
+    held_out = langid.held_out("doc_id")
+    model = langid.fit(docs.where(~held_out))
+    got = langid.identify(docs, model, into="_lid")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
+                      F.col("_lid.lang").alias("lang_pred"), F.col("_lid.score").alias("score"),
+                      F.col("_lid.rejected").alias("rejected"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     """All documents as one batch against a new, empty index."""
     prepare(spark)
     return exact_dedup.exact_dedup(documents(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    """All documents into sequences of 1024 ids of the public byte-level BPE."""
+    import public_tokenizers
+
+    prepare(spark)
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_secret_scan(spark, sf_dir):
     prepare(spark)
     return secrets.scan_secrets(documents(spark, sf_dir))
@@ -22,6 +44,6 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_best_fit_packing, op9_secret_scan, op10_license_scan)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import exact_dedup, langid, licenses, packing, secrets
+from churnlens.llm import exact_dedup, langid, licenses, mixing, packing, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -26,6 +26,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
 
+def op4_mix_sources(spark, sf_dir):
+    prepare(spark)
+    return mixing.taken_words(mixing.plan_mix(documents(spark, sf_dir)))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     """All documents into sequences of 1024 ids of the public byte-level BPE."""
     import public_tokenizers
@@ -44,6 +49,6 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_best_fit_packing, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_mix_sources, op6_best_fit_packing, op9_secret_scan, op10_license_scan)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import exact_dedup, langid, licenses, mixing, packing, secrets
+from churnlens.llm import exact_dedup, langid, licenses, mixing, ngram_join, packing, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -31,6 +31,12 @@ def op4_mix_sources(spark, sf_dir):
     return mixing.taken_words(mixing.plan_mix(documents(spark, sf_dir)))
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Groups of documents linked by 3-word shingle sets of similarity 0.9 or more."""
+    prepare(spark)
+    return ngram_join.ngram_components(documents(spark, sf_dir), words=3, similarity=(9, 10))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     """All documents into sequences of 1024 ids of the public byte-level BPE."""
     import public_tokenizers
@@ -49,6 +55,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_mix_sources, op6_best_fit_packing, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_mix_sources, op5_ngram_jaccard_join,
+                                  op6_best_fit_packing, op9_secret_scan, op10_license_scan)}
 
-SQL = {"op2_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import exact_dedup, langid, licenses, mixing, ngram_join, packing, secrets
+from churnlens.llm import ann, exact_dedup, langid, licenses, mixing, ngram_join, packing, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -45,6 +45,12 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    """Five nearest of all rows for every row whose id is divisible by 50."""
+    prepare(spark)
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op9_secret_scan(spark, sf_dir):
     prepare(spark)
     return secrets.scan_secrets(documents(spark, sf_dir))
@@ -56,6 +62,6 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_mix_sources, op5_ngram_jaccard_join,
-                                  op6_best_fit_packing, op9_secret_scan, op10_license_scan)}
+                                  op6_best_fit_packing, op8_nearest_neighbours, op9_secret_scan, op10_license_scan)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE}

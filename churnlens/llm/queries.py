@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import ann, exact_dedup, langid, licenses, mixing, ngram_join, packing, secrets
+from churnlens.llm import ann, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -45,6 +45,13 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    """Recurring line templates dropped from all documents."""
+    prepare(spark)
+    got = line_dedup.clean_lines(documents(spark, sf_dir))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op8_nearest_neighbours(spark, sf_dir):
     """Five nearest of all rows for every row whose id is divisible by 50."""
     prepare(spark)
@@ -62,6 +69,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_mix_sources, op5_ngram_jaccard_join,
-                                  op6_best_fit_packing, op8_nearest_neighbours, op9_secret_scan, op10_license_scan)}
+                                  op6_best_fit_packing, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_license_scan)}
 
-SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE}
+SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,
+       "op7_line_dedup": line_dedup.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import ann, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, secrets
+from churnlens.llm import ann, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, pii, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -26,6 +26,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
 
+def op3_find_pii(spark, sf_dir):
+    prepare(spark)
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark, sf_dir):
     prepare(spark)
     return mixing.taken_words(mixing.plan_mix(documents(spark, sf_dir)))
@@ -68,7 +73,7 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_mix_sources, op5_ngram_jaccard_join,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_find_pii, op4_mix_sources, op5_ngram_jaccard_join,
                                   op6_best_fit_packing, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_license_scan)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,

@@ -51,12 +51,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete staged tables whose results have been written (between pipeline stages)."""
+def staged() -> list[str]:
+    """Paths of all tables staged so far, oldest first."""
+    return list(_staged)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing will read again (between pipeline stages)."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _staged:
+            _staged.remove(name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import SPACE, stage, work_path
+from churnlens.llm.common import SPACE, fresh, stage, work_path
 
 
 class DigestIndex:
@@ -86,22 +86,23 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
                       F.lower(F.hex("digest")).alias("text_sha256"), "known")
 
 
-def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose ``kept`` is true, one row for repeated rows."""
-    keep = decisions.where("kept").select(F.col("doc_id").alias("_keep"), "text_sha256")
-    return one_row_each(docs.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", ""), 256)),
-                        keep).drop("_sha")
+def kept_documents(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose ``kept`` is true; repeated rows (same id, equal text) leave one row.
 
-
-def one_row_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Semi-join on (id, digest), then repeated rows of one id collapse (rare, so only theirs are grouped)."""
-    keep = stage(keep.groupBy("_keep", "text_sha256").agg(F.count(F.lit(1)).alias("_n")), "keep")
-    cond = docs["doc_id"].eqNullSafe(F.col("_keep")) & (docs["_sha"] == F.col("text_sha256"))
-    once = docs.join(keep.where("_n = 1"), cond, "left_semi")
-    if keep.where("_n > 1").isEmpty():
-        return once
-    often = docs.join(keep.where("_n > 1"), cond, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return once.unionByName(often)
+    Texts meet the decisions once, by (id, digest). Repeated rows are rare, so
+    only theirs are grouped.
+    """
+    sha, columns = fresh(docs, "_sha"), docs.columns
+    keep = decisions.where("kept").groupBy(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).agg(
+        F.count(F.lit(1)).alias("_keep_n"))
+    keep = stage(keep, "keep")
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", "")
+    docs = docs.withColumn(sha, F.sha2(text, 256))
+    cond = docs[id_col].cast("long").eqNullSafe(F.col("_keep_id")) & (docs[sha] == F.col("_keep_sha"))
+    once = docs.join(keep.where("_keep_n = 1"), cond, "left_semi")
+    if not keep.where("_keep_n > 1").isEmpty():
+        once = once.unionByName(docs.join(keep.where("_keep_n > 1"), cond, "left_semi").dropDuplicates([id_col, sha]))
+    return once.select(*columns)
 
 
 ORACLE = """

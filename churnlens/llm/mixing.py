@@ -22,6 +22,7 @@ documents; no rows give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,3 +185,38 @@ def taken_words(mix: Mix) -> DataFrame:
                                   "source_no int, source_size long, target double")
     return rows.join(F.broadcast(facts), "source_no").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The words of the ranges (first word, number) of a text, with the white space inside a run of ranges."""
+    at = [m.span() for m in WORDS.finditer(text)]
+    runs: list[list[int]] = []
+    for start, n in sorted(ranges):
+        if runs and runs[-1][1] == start:
+            runs[-1][1] += n
+        else:
+            runs.append([start, start + n])
+    if runs == [[0, len(at)]]:
+        return text
+    return "\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
+
+
+def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix as documents: one row per document and pass over its source, with the words that pass takes.
+
+    Documents meet their pieces by id and text, so rows equal in both should
+    have been deduplicated before.
+    """
+    parts = mix.pieces().groupBy("doc_id", "text_hash", "at", "epoch").agg(
+        F.collect_list(F.struct("start", "words")).alias("_ranges"))
+    parts = stage(parts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_ranges"), "parts")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, ranges: pd.Series) -> pd.Series:
+        return pd.Series([cut_text(t, [(r["start"], r["words"]) for r in rs]) for t, rs in zip(text, ranges)], dtype=object)
+
+    met = docs.join(parts, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
+    return met.select(*[cut(docs[c], F.col("_ranges")).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -26,16 +26,22 @@ from churnlens.sources.io import dedupe_latest
 # ---------------------------------------------------------------- events ----
 
 
-def dedupe_interactions(inter: DataFrame, types=L.RESIDENTIAL_TYPES) -> DataFrame:
-    """Residential interactions, latest per account, day and purpose."""
+def dedupe_interactions(inter: DataFrame, types=L.RESIDENTIAL_TYPES, void=()) -> DataFrame:
+    """Residential interactions, latest per account, day and purpose.
+
+    Interactions of a ``void`` status go before the latest is taken (the
+    driver table: a valid call stays when a void one follows it); with none,
+    the latest is taken whatever its status (the contact windows)."""
     i = inter.where(col("account_type").isin(list(types)))
+    if void:
+        i = i.where(~col("interaction_status").isin(list(void)))
     return dedupe_latest(i, ["account_id", F.to_date("interaction_start_time"), "interaction_purpose_descrip"],
                          col("interaction_start_time"), tie_break=["interaction_id"])
 
 
-def calls(dedup: DataFrame) -> DataFrame:
+def calls(dedup: DataFrame, void=("ANULADA",)) -> DataFrame:
     """Customer calls: not voided, not a counter/sales purpose."""
-    return dedup.where((col("interaction_status") != "ANULADA") & (col("interaction_status") != "CANCELADA")
+    return dedup.where(~col("interaction_status").isin(list(void))
                        & ~col("interaction_purpose_descrip").isin(list(L.NON_CALL_PURPOSES)))
 
 
@@ -117,18 +123,22 @@ def long_installs(orders: DataFrame, params: Params = Params()) -> DataFrame:
     return o.select(col("account_name").alias("account"), g.trunc(col("completed_date")).alias("month")).distinct()
 
 
-def mounting_bills(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
-    """Same oldest unpaid bill on the first snapshot of two successive
-    periods, with a current bill in the later one (D88)."""
+def first_day_bills(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
+    """(account, month, o, b): oldest unpaid bill and current bill on a period's first snapshot day."""
     g = params.grain
     d = col(day).cast("date")
-    fd = snap.where(d == g.trunc(d)).select(col(key).alias("account"), g.trunc(d).alias("month"),
-                                           "oldest_unpaid_bill_dt", "bill_dt_m0")
-    a = fd.select(col("account").alias("_a"), g.shift(col("month"), 1).alias("_m"),
-                  col("oldest_unpaid_bill_dt").alias("_o"))
-    j = fd.where(col("bill_dt_m0").isNotNull()).join(
-        a, (col("account") == col("_a")) & (col("month") == col("_m"))
-        & (col("oldest_unpaid_bill_dt") == col("_o")), "inner")
+    return snap.where(d == g.trunc(d)).select(col(key).alias("account"), g.trunc(d).alias("month"),
+                                             col("oldest_unpaid_bill_dt").alias("o"), col("bill_dt_m0").alias("b")).distinct()
+
+
+def mounting_bills(first_days: DataFrame, params: Params = Params(), periods: int = 1) -> DataFrame:
+    """The same oldest unpaid bill on the first days of two periods that lie
+    ``periods`` apart, with a current bill in the later one (D88). Two gives
+    the form over three snapshots, which compares the first with the third."""
+    g = params.grain
+    a = first_days.select(col("account").alias("_a"), g.shift(col("month"), periods).alias("_m"), col("o").alias("_o"))
+    j = first_days.where(col("b").isNotNull()).join(
+        a, (col("account") == col("_a")) & (col("month") == col("_m")) & (col("o") == col("_o")), "inner")
     return j.select("account", "month").distinct()
 
 
@@ -144,7 +154,8 @@ def sales_channel(orders: DataFrame, params: Params = Params(), mapping: DataFra
     out = per.join(first, "account", "inner")
     if mapping is not None:
         from churnlens.plans.sizing import broadcast_if_small
-        out = out.join(broadcast_if_small(mapping), out.sales_channel == mapping.columns[0], "left")
+        groups = broadcast_if_small(mapping.withColumnRenamed(mapping.columns[0], "_channel"))
+        out = out.join(groups, col("sales_channel") == col("_channel"), "left").drop("_channel")
     return out
 
 
@@ -180,30 +191,22 @@ def contacts_in_window(all_events: DataFrame, anchor_events: DataFrame, params:
     """Number of distinct contacts in the ``days`` days up to the last anchor
     contact of each (account, period) (D92, D94).
 
-    Probe rows (the last anchor day of each period) are unioned with the
-    contact rows and a window ordered by day with a ``rangeBetween(-days, 0)``
-    frame counts the contacts around each probe. The window is partitioned by
-    (account, period), not by account alone: each contact is copied into the
-    few periods whose windows can reach it (its own period up to the period
-    of day + ``days``), so a hot account's history is split by period and no
-    task holds a whole account. Linear in contacts, no pairing.
+    Each contact is copied into the few periods whose windows can reach it
+    (its own period up to the period of day + ``days``) and joined to the one
+    anchor day of that (account, period); the distinct ids in range are
+    counted by two-level aggregation, so an id on two days counts once and a
+    hot account is split by period and by id. Linear in contacts.
     """
     g = params.grain
     n = params.contact_window_days if days is None else days
     day = F.to_date("interaction_start_time")
-    epoch = F.lit("1970-01-01").cast("date")
-    contacts = (all_events.select(col("account_id").alias("account"), "interaction_id", day.alias("_day"))
-                          .dropDuplicates(["account", "interaction_id", "_day"])
-                          .select("account", F.datediff("_day", epoch).alias("_d"),
-                                  F.explode(g.periods_covering(col("_day"), F.date_add("_day", n))).alias("_m"),
-                                  F.lit(1).alias("_is_c")))
-    last = (anchor_events.groupBy(col("account_id").alias("account"), g.trunc(day).alias("_m"))
-                         .agg(F.max(F.datediff(day, epoch)).alias("_d"))
-                         .select("account", "_d", "_m", F.lit(0).alias("_is_c")))
-    u = contacts.unionByName(last)
-    w = Window.partitionBy("account", "_m").orderBy("_d").rangeBetween(-n, 0)
-    return (u.withColumn("contacts", F.sum("_is_c").over(w)).where(col("_is_c") == 0)
-             .select("account", col("_m").alias("month"), col("contacts").cast("long").alias("contacts")))
+    contacts = all_events.select(col("account_id").alias("account"), "interaction_id", day.alias("_day")).withColumn(
+        "month", F.explode(g.periods_covering(col("_day"), F.date_add("_day", n))))
+    last = anchor_events.groupBy(col("account_id").alias("account"), g.trunc(day).alias("month")).agg(
+        F.max(day).alias("_last"))
+    near = contacts.join(last, ["account", "month"]).where(col("_day").between(F.date_sub("_last", n), col("_last")))
+    return (near.select("account", "month", "interaction_id").distinct()
+                .groupBy("account", "month").agg(F.count("interaction_id").alias("contacts")))
 
 
 def contacts_in_month(events: DataFrame, params: Params = Params()) -> DataFrame:
@@ -302,7 +305,7 @@ def snapshot_driver_sets(snap: DataFrame, params: Params = Params(), key: str =
                        g.trunc(col("act_acct_inst_dt")).alias("inst_month")).agg(
         F.min(d).alias("min_dt"), F.max("act_cust_strt_dt").alias("max_start"),
         F.min(F.when(active, d)).alias("min_active_dt"), F.max(active.cast("int")).alias("any_active"),
-        F.max_by(fd, F.when(d == g.trunc(d), d)).alias("first_day"),
+        F.collect_set(F.when(d == g.trunc(d), fd)).alias("first_day"),  # rows of one account on one day
         F.max(F.when(risk_row, col("mora_fix"))).alias("risk_age"),
         F.max(risk_row.cast("int")).alias("any_risk"))
     starts = summ.groupBy("account").agg(F.min("min_dt").alias("first_dna_date"), F.max("max_start").alias("last_start"))
@@ -316,12 +319,7 @@ def snapshot_driver_sets(snap: DataFrame, params: Params = Params(), key: str =
                 .select("account", "month",
                         (col("outstanding_days") >= params.soft_dx_days).cast("int").alias("soft_dx"),
                         (col("outstanding_days") >= params.never_paid_days).cast("int").alias("never_paid")))
-    fdays = (summ.where(col("first_day").isNotNull()).groupBy("account", "month")
-                 .agg(F.max_by(col("first_day"), col("first_day.b")).alias("fd"))
-                 .select("account", "month", col("fd.o").alias("o"), col("fd.b").alias("b")))
-    prev = fdays.select(col("account").alias("_a"), g.shift(col("month"), 1).alias("_m"), col("o").alias("_o"))
-    mounting = (fdays.where(col("b").isNotNull())
-                     .join(prev, (col("account") == col("_a")) & (col("month") == col("_m")) & (col("o") == col("_o")),
-                           "inner")
-                     .select("account", "month").distinct())
+    fdays = (summ.select("account", "month", F.explode("first_day").alias("fd"))
+                 .select("account", "month", col("fd.o").alias("o"), col("fd.b").alias("b")).distinct())
+    mounting = mounting_bills(fdays, params)
     return {"starts": starts, "sales": sales_set, "risk": risk, "mounting": mounting}

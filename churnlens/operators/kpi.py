@@ -12,20 +12,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.cache import col
+from churnlens.functions.keys import pad_key
 from churnlens.params import Params
 
 KPI_COLS = ["month", "market", "kpi_name", "measure", "numerator", "denominator", "kpi_delay"]
 
 
-def count_per_period(events: DataFrame, params: Params = Params(), name: str = "n") -> DataFrame:
+def account_calls(events: DataFrame, params: Params = Params(), name: str = "n") -> DataFrame:
+    """Distinct interactions per account and period."""
     g = params.grain
-    return (events.groupBy(g.trunc(F.to_date("interaction_start_time")).alias("month"))
+    return (events.where(col("account_id").isNotNull())
+                  .groupBy(col("account_id").alias("account"), g.trunc(F.to_date("interaction_start_time")).alias("month"))
                   .agg(F.count_distinct("interaction_id").alias(name)))
 
 
-def rgus_per_period(base: DataFrame) -> DataFrame:
-    return (base.where(col("active_eom") == 1).groupBy(col("fixed_month").alias("month"))
-                .agg(F.sum(F.coalesce("e_num_rgus", F.lit(0))).cast("long").alias("rgus")))
+def with_calls(master: DataFrame, calls: DataFrame, account: str = "fixed_account") -> DataFrame:
+    """Left join of per-account counts on the padded account key and the period (one row per account and period)."""
+    names = [c for c in calls.columns if c not in ("account", "month")]
+    c = calls.select(pad_key(col("account")).alias("_ca"), col("month").alias("_cm"), *names)
+    return master.join(c, (pad_key(col(account)) == col("_ca")) & (col("month") == col("_cm")), "left").drop("_ca", "_cm")
+
+
+def master_calls(master: DataFrame, calls: DataFrame, name: str) -> DataFrame:
+    """Calls of the master's accounts per period, each shared by the contract's fan-out (D110)."""
+    j = with_calls(master, calls)
+    return j.groupBy("month").agg(F.sum(col(name) / col("contracts_fix")).alias(name))
+
+
+def rgus_per_period(master: DataFrame) -> DataFrame:
+    """Opening products of the master's accounts per period."""
+    return master.groupBy("month").agg(F.sum("b_num_rgus").cast("double").alias("rgus"))
 
 
 def per_thousand(num: DataFrame, den: DataFrame, num_col: str, den_col: str, kpi: str, market: str,
@@ -47,41 +63,50 @@ def ratio_kpi(df: DataFrame, num_col: str, den_col: str, kpi: str, market: str,
                      F.lit("M-0").alias("kpi_delay"))
 
 
-def calls_per_variation(billing_calls: DataFrame, table: DataFrame) -> DataFrame:
-    """Accounts with a bill variation (a spin) and, among them, those that
-    made billing calls in the period (D111)."""
-    var = (table.where(col("spin_movement") != "3. No Spin")
-                .select(col("fixed_account").alias("account"), col("fixed_month").alias("month")).distinct())
-    calls = billing_calls.select("account", "month").distinct().withColumn("_c", F.lit(1))
-    j = var.join(calls, ["account", "month"], "left")
-    return j.groupBy("month").agg(F.count(col("_c")).alias("callers"), F.count(F.lit(1)).alias("variations"))
+def calls_per_variation(billing_calls: DataFrame, master: DataFrame) -> DataFrame:
+    """Accounts whose bill varies under an unchanged plan (``increase_flag``
+    of the driver table) and the billing calls of those accounts (D111)."""
+    j = with_calls(master.where(col("increase_flag").isNotNull()), billing_calls)
+    return j.groupBy("month").agg(F.sum("num_calls").cast("long").alias("calls"),
+                                  F.count_distinct("increase_flag").alias("variations"))
 
 
-def first_time_resolution(all_calls: DataFrame, billing: DataFrame, params: Params = Params(),
-                          days: int | None = None) -> DataFrame:
-    """Billing calls (one per account and day) with no other call of the
-    account in the next ``days`` days, per period (D112).
+def first_time_resolution(billing: DataFrame, params: Params = Params(), days: int | None = None) -> DataFrame:
+    """Billing calls solved at once, per account and period (D112): columns
+    account, month, resolved, billing_calls (distinct interactions).
 
-    ``lead`` over the account's distinct call days replaces the range
-    self-join. The window is partitioned by (account, period): each call day
-    is also copied into the periods whose billing calls it can follow within
-    ``days`` (from the period of day - ``days`` to its own), so a hot
-    account is split by period while every billing call still sees its next
-    call when that one is close enough to matter."""
+    A call is unsolved when another billing call of the account follows on
+    its day or within ``days`` days. Of a day's unsolved calls only the one
+    with the largest id is removed, and a day counts with one of the calls
+    left, so a day of several calls counts as solved. The calls are reduced to one row per account and
+    day first (``min``/``max`` of the id and the largest id but one), and a
+    range frame looks ahead; the frame is partitioned by (account, period),
+    each day copied into the periods whose calls it can follow, so a hot
+    account is split by period."""
     g = params.grain
     n = params.ftr_days if days is None else days
-    d = F.to_date("interaction_start_time")
-    days_all = all_calls.select(col("account_id").alias("account"), d.alias("day"), F.lit(0).alias("_b"))
-    days_bill = billing.select(col("account_id").alias("account"), d.alias("day"), F.lit(1).alias("_b"))
-    u = days_all.unionByName(days_bill).groupBy("account", "day").agg(F.max("_b").alias("is_billing"))
-    u = u.select("account", "day", "is_billing",
-                 F.explode(g.periods_covering(F.date_sub("day", n), col("day"))).alias("_p"))
-    w = Window.partitionBy("account", "_p").orderBy("day")
-    u = u.withColumn("_next", F.lead("day").over(w))
-    b = u.where((col("is_billing") == 1) & (col("_p") == g.trunc(col("day")))).withColumn(
-        "resolved", (col("_next").isNull() | (F.datediff("_next", "day") > n)).cast("int"))
-    return (b.groupBy(col("_p").alias("month"))
-             .agg(F.sum("resolved").cast("long").alias("resolved"), F.count(F.lit(1)).alias("billing_calls")))
+    ids = billing.where(col("account_id").isNotNull()).select(
+        col("account_id").alias("account"), F.to_date("interaction_start_time").alias("day"), "interaction_id").distinct()
+    per_day = ids.groupBy("account", "day").agg(F.min("interaction_id").alias("lo"), F.max("interaction_id").alias("hi"))
+    others = ids.join(per_day.select("account", "day", "hi"), ["account", "day"]).where(col("interaction_id") < col("hi"))
+    second = others.groupBy("account", "day").agg(F.max("interaction_id").alias("second"))
+    per_day = per_day.join(second, ["account", "day"], "left")
+    u = per_day.withColumn("_p", F.explode(g.periods_covering(F.date_sub("day", n), col("day"))))
+    epoch = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    ahead = Window.partitionBy("account", "_p").orderBy("_d").rangeBetween(1, n)
+    u = u.withColumn("_d", epoch).withColumns({"_lo": F.min("lo").over(ahead), "_hi": F.max("hi").over(ahead)})
+    follows = col("_lo").isNotNull() & ((col("_lo") != col("hi")) | (col("_hi") != col("hi")))
+    solved = F.when(col("second").isNotNull(), col("second")).when(~follows, col("hi"))
+    u = u.where(col("_p") == g.trunc(col("day"))).select("account", col("_p").alias("month"), solved.alias("solved"))
+    done = u.groupBy("account", "month").agg(F.count_distinct("solved").alias("resolved"))
+    return done.join(account_calls(billing, params, "billing_calls"), ["account", "month"])
+
+
+def resolution_per_period(master: DataFrame, ftr: DataFrame) -> DataFrame:
+    """Resolved and all billing calls of the master's accounts, shared by the fan-out; all calls rounded per row."""
+    j = with_calls(master, ftr)
+    return j.groupBy("month").agg(F.sum(col("resolved") / col("contracts_fix")).alias("resolved"),
+                                  F.sum(F.round(col("billing_calls") / col("contracts_fix"), 0)).alias("billing_calls"))
 
 
 def shift_kpi(rows: DataFrame, periods: int, params: Params = Params()) -> DataFrame:

@@ -252,27 +252,38 @@ def _dedup(spark, sf):
     return dedupe_interactions(T.interactions(T.load(spark, sf, "events")))
 
 
+def _raw_billing(spark, sf):
+    """Billing calls as the ticket source holds them (no daily dedupe)."""
+    from churnlens.operators.drivers import billing_calls
+    return billing_calls(T.interactions(T.load(spark, sf, "events")))
+
+
+def _kpi_master(spark, sf):
+    from churnlens.operators.drivers import bill_shock_flags
+    return bill_shock_flags(_fmc(spark, sf), P)
+
+
 @register("first_time_resolution")
 def q_first_time_resolution(spark, sf):
-    from churnlens.operators import drivers as D
-    from churnlens.operators.kpi import first_time_resolution
-    d = _dedup(spark, sf)
-    return first_time_resolution(D.calls(d), D.billing_calls(d), P)
+    from churnlens.operators import kpi as K
+    return K.first_time_resolution(_raw_billing(spark, sf), P)
 
 
 def _kpi_rows(spark, sf):
     from churnlens.operators import drivers as D
     from churnlens.operators import kpi as K
-    d = _dedup(spark, sf)
-    fx = _fixed(spark, sf)
-    rgus = K.rgus_per_period(fx.base)
-    p1 = K.per_thousand(K.count_per_period(D.tech_tickets(d), P, "tickets"), rgus, "tickets", "rgus",
+    inter = T.interactions(T.load(spark, sf, "events"))
+    master, billing = _kpi_master(spark, sf), _raw_billing(spark, sf)
+    rgus = K.rgus_per_period(master)
+    tickets = K.account_calls(D.tech_tickets(inter), P, "tickets")
+    care = K.account_calls(D.calls(inter), P, "calls")
+    p1 = K.per_thousand(K.master_calls(master, tickets, "tickets"), rgus, "tickets", "rgus",
                         "tech_tickets_per_1k_rgu", "TEST")
-    p2 = K.per_thousand(K.count_per_period(D.calls(d), P, "calls"), rgus, "calls", "rgus",
+    p2 = K.per_thousand(K.master_calls(master, care, "calls"), rgus, "calls", "rgus",
                         "care_calls_per_1k_rgu", "TEST")
-    p3 = K.ratio_kpi(K.calls_per_variation(D.billing_claims(d, P), fx.table), "callers", "variations",
+    p3 = K.ratio_kpi(K.calls_per_variation(K.account_calls(billing, P, "num_calls"), master), "calls", "variations",
                      "billing_calls_per_bill_variation", "TEST")
-    p4 = K.ratio_kpi(K.first_time_resolution(D.calls(d), D.billing_calls(d), P), "resolved", "billing_calls",
+    p4 = K.ratio_kpi(K.resolution_per_period(master, K.first_time_resolution(billing, P)), "resolved", "billing_calls",
                      "first_time_resolution", "TEST")
     p5 = K.shift_kpi(p4, 1, P)
     months = p1.select("month").unionByName(p4.select("month")).distinct()
@@ -338,6 +349,24 @@ def q_sales_channel(spark, sf):
     return sales_channel(orders, P)
 
 
+@register("sales_channel_groups")
+def q_sales_channel_groups(spark, sf):
+    """Channels with their group; the catalogue groups a channel by the word before its first blank or hyphen."""
+    from churnlens.operators.drivers import sales_channel
+    _, _, orders = _driver_inputs(spark, sf)
+    group = F.upper(F.regexp_extract("channel_desc", "^[^ _-]+", 0))
+    catalogue = orders.where(F.col("channel_desc").isNotNull()).select("channel_desc", group.alias("channel_group")).distinct()
+    return sales_channel(orders, P, catalogue)
+
+
+@register("mounting_bills")
+def q_mounting_bills(spark, sf):
+    from churnlens.operators.drivers import first_day_bills, mounting_bills
+    days = first_day_bills(_snap(spark, sf), P)
+    two = mounting_bills(days, P).withColumn("snapshots", F.lit(2))
+    return two.unionByName(mounting_bills(days, P, 2).withColumn("snapshots", F.lit(3)))
+
+
 RATE_FLAGS = ["early_issue_flag", "tech_call_flag", "soft_dx_flag", "never_paid_flag", "long_install_flag"]
 
 
@@ -350,7 +379,7 @@ def q_driver_percentages(spark, sf):
 @register("callers_by_month")
 def q_callers_by_month(spark, sf):
     from churnlens.operators import drivers as D
-    return D.caller_tiers_by_month(D.calls(_dedup(spark, sf)), P)
+    return D.caller_tiers_by_month(D.calls(T.interactions(T.load(spark, sf, "events"))), P)
 
 
 @register("ticket_history")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens import labels as L
 from churnlens.operators import drivers as D
 from churnlens.params import Params
 
@@ -16,7 +17,7 @@ DRIVER_FLAGS = ["monthsale", "soft_dx", "never_paid", "long_install", "early_iss
 def driver_flags(snap: DataFrame, inter: DataFrame, orders: DataFrame, params: Params) -> DataFrame:
     one = D.snapshot_driver_sets(snap, params)
     risk = one["risk"]
-    dedup = D.dedupe_interactions(inter)
+    dedup = D.dedupe_interactions(inter, void=L.VOID_STATUSES)
     sets = {
         "monthsale": one["sales"],
         "soft_dx": risk.where("soft_dx = 1"),

@@ -638,13 +638,17 @@ _L = _labels()
 
 INTER = f"""
 inter AS (
-  SELECT CAST(user_id AS VARCHAR) AS account_id, 'RESIDENCIAL' AS account_type, CAST(event_id AS VARCHAR) AS interaction_id,
-    ts AS interaction_start_time,
+  SELECT account_id, account_type, event_id || CASE WHEN copy = 1 THEN 'v' ELSE '' END AS interaction_id,
+    CASE WHEN copy = 1 THEN ts + INTERVAL 1 SECOND WHEN copy = 2 THEN ts + INTERVAL 1 DAY ELSE ts END AS interaction_start_time,
+    interaction_purpose_descrip,
+    CASE WHEN copy = 1 OR (value > 270 AND value <= 300) THEN 'CANCELADA' WHEN value > 300 THEN 'ANULADA' ELSE 'CERRADA' END
+      AS interaction_status
+  FROM (SELECT CAST(user_id AS VARCHAR) AS account_id, 'RESIDENCIAL' AS account_type, CAST(event_id AS VARCHAR) AS event_id, ts, value,
     CASE WHEN event_type = 'error' AND value < 50 THEN 'AVERIAS' WHEN event_type = 'error' THEN 'SIN SERVICIO INTERNET'
          WHEN event_type = 'click' THEN 'FACTURACION/COBROS' WHEN event_type = 'view' THEN 'CONSULTA GENERAL'
          WHEN event_type = 'purchase' THEN 'VENTANILLA' ELSE 'VENTAS' END AS interaction_purpose_descrip,
-    CASE WHEN value > 300 THEN 'ANULADA' ELSE 'CERRADA' END AS interaction_status
-  FROM events
+    unnest(CASE WHEN value BETWEEN 100 AND 120 THEN [0, 1] WHEN value > 120 AND value <= 140 THEN [0, 2] ELSE [0] END) AS copy
+  FROM events)
 ),
 dedup AS (
   SELECT * EXCLUDE (rn) FROM (
@@ -652,8 +656,18 @@ dedup AS (
                                  ORDER BY interaction_start_time DESC, interaction_id DESC) AS rn
     FROM inter WHERE account_type IN ('RESIDENCIAL', 'PROGRAMA HOGARES CONECTADOS')) WHERE rn = 1
 ),
+-- the driver table takes the latest of the interactions that are neither voided nor cancelled
+vdedup AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY account_id, CAST(interaction_start_time AS DATE), interaction_purpose_descrip
+                                 ORDER BY interaction_start_time DESC, interaction_id DESC) AS rn
+    FROM inter WHERE account_type IN ('RESIDENCIAL', 'PROGRAMA HOGARES CONECTADOS')
+      AND interaction_status NOT IN ('ANULADA', 'CANCELADA')) WHERE rn = 1
+),
+vcalls AS (SELECT * FROM vdedup WHERE interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)})),
+vtickets AS (SELECT * FROM vdedup WHERE interaction_purpose_descrip IN ({_sqlist(_L.TECH_TICKET_PURPOSES)})),
 calls AS (
-  SELECT * FROM dedup WHERE interaction_status NOT IN ('ANULADA', 'CANCELADA')
+  SELECT * FROM dedup WHERE interaction_status <> 'ANULADA'
     AND interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)})
 ),
 tickets AS (
@@ -678,11 +692,11 @@ sorders AS (
 DRIVERS = f"""
 starts AS (SELECT act_acct_cd AS account, min(dt) AS first_dna_date, max(act_cust_strt_dt) AS last_start FROM snap GROUP BY ALL),
 f_early AS (
-  SELECT DISTINCT account, {wk('first_dna_date')} AS month FROM calls c JOIN starts s ON s.account = c.account_id
+  SELECT DISTINCT account, {wk('first_dna_date')} AS month FROM vcalls c JOIN starts s ON s.account = c.account_id
   WHERE date_diff('day', last_start, CAST(interaction_start_time AS DATE)) <= 3
 ),
 f_tech AS (
-  SELECT DISTINCT account, {wk('first_dna_date')} AS month FROM tickets c JOIN starts s ON s.account = c.account_id
+  SELECT DISTINCT account, {wk('first_dna_date')} AS month FROM vtickets c JOIN starts s ON s.account = c.account_id
   WHERE floor(date_diff('day', last_start, CAST(interaction_start_time AS DATE)) / 7) <= 1
      OR date_diff('day', last_start, CAST(interaction_start_time AS DATE)) < 0
 ),
@@ -711,7 +725,7 @@ risk AS (
   GROUP BY ALL
 ),
 f_claim AS (
-  SELECT DISTINCT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month FROM dedup
+  SELECT DISTINCT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month FROM vdedup
   WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA'
     AND interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)})
 ),
@@ -929,41 +943,46 @@ SELECT month, mora_fix, count(DISTINCT act_acct_cd) AS accounts FROM rep GROUP B
 """
 
 # --- KPIs -------------------------------------------------------------------
-FTR = """
-fdays AS (
-  SELECT account, day, max(b) AS is_billing FROM (
-    SELECT account_id AS account, CAST(interaction_start_time AS DATE) AS day, 0 AS b FROM calls
-    UNION ALL
-    SELECT account_id, CAST(interaction_start_time AS DATE), 1 FROM dedup
-    WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA' AND interaction_purpose_descrip IN (""" + \
-    _sqlist(_L.BILLING_PURPOSES) + f""")) GROUP BY ALL
-),
-ftr AS (
-  SELECT {wk('day')} AS month, CAST(sum(CASE WHEN nx IS NULL OR date_diff('day', day, nx) > 2 THEN 1 ELSE 0 END) AS BIGINT) AS resolved,
-         count(*) AS billing_calls
-  FROM (SELECT *, lead(day) OVER (PARTITION BY account ORDER BY day) AS nx FROM fdays) WHERE is_billing = 1 GROUP BY ALL
-)
+FTR = f"""
+bill AS (SELECT DISTINCT account_id AS account, CAST(interaction_start_time AS DATE) AS day, interaction_id AS id FROM inter
+         WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA'
+           AND interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)})),
+unsolved AS (SELECT DISTINCT a.account, a.day, a.id FROM bill a JOIN bill b ON a.account = b.account AND a.id <> b.id
+             AND date_diff('day', a.day, b.day) BETWEEN 0 AND 2),
+repeated AS (SELECT account, day, max(id) AS id FROM unsolved GROUP BY ALL),
+solved AS (SELECT a.account, a.day, max(a.id) AS id FROM bill a LEFT JOIN repeated r ON r.account = a.account AND r.id = a.id
+           AND r.day = a.day WHERE r.id IS NULL GROUP BY ALL),
+all_bill AS (SELECT account, {wk('day')} AS month, count(DISTINCT id) AS billing_calls FROM bill GROUP BY ALL),
+ftr AS (SELECT b.account, b.month, coalesce(s.resolved, 0) AS resolved, b.billing_calls FROM all_bill b LEFT JOIN
+        (SELECT account, {wk('day')} AS month, count(DISTINCT id) AS resolved FROM solved GROUP BY ALL) s
+        ON s.account = b.account AND s.month = b.month)
 """
 
-SQL["first_time_resolution"] = with_(INTER, FTR) + "SELECT month, resolved, billing_calls FROM ftr\n"
+SQL["first_time_resolution"] = with_(INTER, FTR) + "SELECT account, month, resolved, billing_calls FROM ftr\n"
 
 KPI = f"""
-rg AS (SELECT fixed_month AS month, CAST(sum(coalesce(e_num_rgus, 0)) AS BIGINT) AS rgus FROM base WHERE active_eom = 1 GROUP BY ALL),
-tk AS (SELECT {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS tickets FROM tickets GROUP BY ALL),
-cl AS (SELECT {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS calls FROM calls GROUP BY ALL),
-bcl AS (SELECT DISTINCT account_id AS account, {wk('CAST(interaction_start_time AS DATE)')} AS month FROM dedup
-        WHERE account_id IS NOT NULL AND interaction_status <> 'ANULADA' AND interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)})),
-var AS (SELECT DISTINCT fixed_account AS account, fixed_month AS month FROM fixed_table WHERE spin_movement <> '3. No Spin'),
-cpv AS (SELECT var.month, count(bcl.account) AS callers, count(*) AS variations FROM var
-        LEFT JOIN bcl ON var.account = bcl.account AND var.month = bcl.month GROUP BY ALL),
-p1 AS (SELECT tk.month, 'TEST' AS market, 'tech_tickets_per_1k_rgu' AS kpi_name, round(tickets * 1000.0 / NULLIF(rgus, 0), 4) AS measure,
-              CAST(tickets AS DOUBLE) AS numerator, CAST(rgus AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM tk JOIN rg ON tk.month = rg.month),
-p2 AS (SELECT cl.month, 'TEST', 'care_calls_per_1k_rgu', round(calls * 1000.0 / NULLIF(rgus, 0), 4),
-              CAST(calls AS DOUBLE), CAST(rgus AS DOUBLE), 'M-0' FROM cl JOIN rg ON cl.month = rg.month),
-p3 AS (SELECT month, 'TEST', 'billing_calls_per_bill_variation', round(CAST(callers AS DOUBLE) / NULLIF(variations, 0), 4),
-              CAST(callers AS DOUBLE), CAST(variations AS DOUBLE), 'M-0' FROM cpv),
+km AS (SELECT *, CASE WHEN abs(mrc_change) > b_total_mrc * 0.05 AND b_plan = e_plan AND b_plan_full = e_plan_full THEN fixed_account END
+         AS increase_flag, right('0000000000' || fixed_account, 10) AS pk FROM fmc_table),
+rg AS (SELECT month, CAST(sum(b_num_rgus) AS DOUBLE) AS rgus FROM km GROUP BY ALL),
+an AS (SELECT right('0000000000' || account_id, 10) AS pk, {wk('CAST(interaction_start_time AS DATE)')} AS month,
+         count(DISTINCT CASE WHEN interaction_purpose_descrip IN ({_sqlist(_L.TECH_TICKET_PURPOSES)}) THEN interaction_id END) AS tickets,
+         count(DISTINCT CASE WHEN interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)}) THEN interaction_id END) AS calls,
+         count(DISTINCT CASE WHEN interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)}) THEN interaction_id END) AS billing
+       FROM inter WHERE interaction_status <> 'ANULADA' GROUP BY ALL),
+kc AS (SELECT km.month, sum(nullif(tickets, 0) / contracts_fix) AS tickets, sum(nullif(calls, 0) / contracts_fix) AS calls
+       FROM km LEFT JOIN an ON an.pk = km.pk AND an.month = km.month GROUP BY ALL),
+cpv AS (SELECT km.month, CAST(sum(nullif(billing, 0)) AS BIGINT) AS calls, count(DISTINCT increase_flag) AS variations
+        FROM km LEFT JOIN an ON an.pk = km.pk AND an.month = km.month WHERE increase_flag IS NOT NULL GROUP BY ALL),
+fp AS (SELECT km.month, sum(resolved / contracts_fix) AS resolved, sum(round(billing_calls / contracts_fix, 0)) AS billing_calls
+       FROM km LEFT JOIN ftr ON right('0000000000' || ftr.account, 10) = km.pk AND ftr.month = km.month GROUP BY ALL),
+p1 AS (SELECT kc.month, 'TEST' AS market, 'tech_tickets_per_1k_rgu' AS kpi_name, round(tickets * 1000.0 / NULLIF(rgus, 0), 4) AS measure,
+              CAST(tickets AS DOUBLE) AS numerator, CAST(rgus AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM kc JOIN rg ON kc.month = rg.month),
+p2 AS (SELECT kc.month, 'TEST', 'care_calls_per_1k_rgu', round(calls * 1000.0 / NULLIF(rgus, 0), 4),
+              CAST(calls AS DOUBLE), CAST(rgus AS DOUBLE), 'M-0' FROM kc JOIN rg ON kc.month = rg.month),
+p3 AS (SELECT month, 'TEST', 'billing_calls_per_bill_variation', round(CAST(calls AS DOUBLE) / NULLIF(variations, 0), 4),
+              CAST(calls AS DOUBLE), CAST(variations AS DOUBLE), 'M-0' FROM cpv),
 p4 AS (SELECT month, 'TEST' AS market, 'first_time_resolution' AS kpi_name, round(CAST(resolved AS DOUBLE) / NULLIF(billing_calls, 0), 4) AS measure,
-              CAST(resolved AS DOUBLE) AS numerator, CAST(billing_calls AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM ftr),
+              CAST(resolved AS DOUBLE) AS numerator, CAST(billing_calls AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM fp),
 p5 AS (SELECT CAST(month + 7 AS DATE), market, kpi_name, measure, numerator, denominator, 'M-1' FROM p4),
 months AS (SELECT month FROM p1 UNION SELECT month FROM p4),
 p6 AS (SELECT month, 'TEST', n, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'M-0'
@@ -972,9 +991,9 @@ kpi_rows AS (SELECT * FROM p1 UNION SELECT * FROM p2 UNION SELECT * FROM p3 UNIO
              UNION SELECT * FROM p5 UNION SELECT * FROM p6)
 """
 
-SQL["kpi_table"] = with_(SNAP, FEAT, BASE, CHURN, INTER, FTR, KPI) + "SELECT * FROM kpi_rows\n"
+SQL["kpi_table"] = with_(*FMC_ALL, INTER, FTR, KPI) + "SELECT * FROM kpi_rows\n"
 
-SQL["kpi_overall"] = with_(SNAP, FEAT, BASE, CHURN, INTER, FTR, KPI) + """
+SQL["kpi_overall"] = with_(*FMC_ALL, INTER, FTR, KPI) + """
 SELECT month, CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month_num, kpi_name,
   round(CASE WHEN count(numerator) = 0 AND count(denominator) = 0 THEN sum(measure)
              WHEN count(numerator) > 0 AND count(denominator) > 0 THEN sum(numerator) / NULLIF(sum(denominator), 0) END, 4) AS overall
@@ -1042,6 +1061,15 @@ SELECT DISTINCT i.account_name AS account, {wk('i.order_start_date')} AS month,
 FROM inst i JOIN fc ON fc.account = i.account_name
 """
 
+SQL["sales_channel_groups"] = "SELECT *, upper(regexp_extract(sales_channel, '^[^ _-]+')) AS channel_group FROM (" + SQL["sales_channel"] + ") q\n"
+
+SQL["mounting_bills"] = with_(SNAP) + f"""
+SELECT DISTINCT b.act_acct_cd AS account, b.dt AS month, k.n AS snapshots
+FROM snap a JOIN snap b ON a.act_acct_cd = b.act_acct_cd AND a.oldest_unpaid_bill_dt = b.oldest_unpaid_bill_dt
+JOIN (VALUES (2), (3)) k(n) ON b.dt = CAST(a.dt + 7 * (k.n - 1) AS DATE)
+WHERE a.dt = {wk('a.dt')} AND b.bill_dt_m0 IS NOT NULL
+"""
+
 _RATES = ["early_issue_flag", "tech_call_flag", "soft_dx_flag", "never_paid_flag", "long_install_flag"]
 
 SQL["driver_percentages"] = "SELECT month, " + ", ".join(
@@ -1053,7 +1081,8 @@ SELECT month, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS one_call
        CAST(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS two_calls,
        CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS multiple_calls
 FROM (SELECT account_id, {wk('CAST(interaction_start_time AS DATE)')} AS month, count(DISTINCT interaction_id) AS n
-      FROM calls GROUP BY ALL) GROUP BY month
+      FROM inter WHERE interaction_status <> 'ANULADA' AND interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)})
+      GROUP BY ALL) GROUP BY month
 """
 
 # --- history ingest, backfill, activity by charge -----------------------------

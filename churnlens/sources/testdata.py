@@ -157,13 +157,20 @@ def interactions(events: DataFrame) -> DataFrame:
                 .when(t == "view", "CONSULTA GENERAL")
                 .when(t == "purchase", "VENTANILLA")
                 .otherwise("VENTAS"))
-    return events.select(
+    # some calls are followed by a void one of their day and purpose, some are reported again a day later
+    copies = (F.when(v.between(100, 120), F.array(F.lit(0), F.lit(1)))
+               .when((v > 120) & (v <= 140), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0))))
+    e = events.withColumn("_copy", F.explode(copies))
+    c, ts = F.col("_copy"), F.col("ts")
+    return e.select(
         F.col("user_id").cast("string").alias("account_id"),
         F.lit("RESIDENCIAL").alias("account_type"),
-        F.col("event_id").cast("string").alias("interaction_id"),
-        F.col("ts").alias("interaction_start_time"),
+        F.concat(F.col("event_id").cast("string"), F.when(c == 1, "v").otherwise("")).alias("interaction_id"),
+        F.when(c == 1, ts + F.expr("INTERVAL 1 SECOND")).when(c == 2, ts + F.expr("INTERVAL 1 DAY")).otherwise(ts)
+         .alias("interaction_start_time"),
         purpose.alias("interaction_purpose_descrip"),
-        F.when(v > 300, "ANULADA").otherwise("CERRADA").alias("interaction_status"),
+        F.when((c == 1) | (v > 270) & (v <= 300), "CANCELADA").when(v > 300, "ANULADA").otherwise("CERRADA")
+         .alias("interaction_status"),
     )
 
 

@@ -120,3 +120,7 @@ CHURN_NONE = "Non Churner"
 REJ_FMC = "FMC Rejoiner"
 REJ_FIXED = "Fixed Rejoiner"
 REJ_MOBILE = "Mobile Rejoiner"
+
+#: Values of the retention file (fixed values).
+LOCATED = "CONTACTO EFECTIVO"
+RETAINED = "RETENIDO"

@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens import labels as L
 from churnlens.functions.cache import col
+from churnlens.functions.keys import pad_key
 from churnlens.functions.rules import case_when
 from churnlens.params import Params
 
@@ -53,22 +55,22 @@ def debt_funnel(snap: DataFrame, params: Params = Params(),
                                     *[F.count(col(s[0])).alias(s[0]) for s in stages])
 
 
-def retention_funnel(requests: DataFrame, master: DataFrame, params: Params = Params()) -> DataFrame:
-    """Disconnection requests -> located -> retained, in accounts and opening
-    products (D103)."""
+def retention_funnel(requests: DataFrame, master: DataFrame, params: Params = Params(), rgus: str = "b_total_rgus") -> DataFrame:
+    """Disconnection requests -> located -> retained, in accounts of the
+    master table and their opening products (D103); keys are padded."""
     g = params.grain
-    r = requests.select(col("contrato").alias("account"), g.trunc(col("request_date").cast("date")).alias("month"),
-                        (col("contactabilidad") == "CONTACTADO").cast("int").alias("_loc"),
-                        (col("solucion") == "RETENIDO").cast("int").alias("_ret"))
-    per = r.groupBy("account", "month").agg(F.max("_loc").alias("_loc"), F.max("_ret").alias("_ret"))
-    m = master.select(col("fixed_account").alias("account"), col("fixed_month").alias("month"),
-                      F.coalesce(col("b_num_rgus"), F.lit(0)).alias("_rgus"))
-    j = per.join(m, ["account", "month"], "left").withColumn("_rgus", F.coalesce("_rgus", F.lit(0)))
+    r = requests.select(pad_key(col("contrato")).alias("_ra"), g.trunc(col("request_date").cast("date")).alias("_rm"),
+                        F.coalesce(col("contactabilidad") == L.LOCATED, F.lit(False)).cast("int").alias("_loc"),
+                        F.coalesce(col("solucion") == L.RETAINED, F.lit(False)).cast("int").alias("_ret"))
+    per = r.groupBy("_ra", "_rm").agg(F.max("_loc").alias("_loc"), F.max("_ret").alias("_ret"))
+    m = master.where(col("fixed_account").isNotNull()).groupBy("month", pad_key(col("fixed_account")).alias("_ra")).agg(
+        F.sum(F.coalesce(col(rgus), F.lit(0.0))).alias("_rgus"))
+    j = m.join(per.withColumnRenamed("_rm", "month"), ["_ra", "month"])
+    total = lambda c: F.round(F.sum(c), 4)
     return j.groupBy("month").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("_loc").cast("long").alias("located"),
-        F.sum("_ret").cast("long").alias("retained"), F.sum("_rgus").cast("long").alias("request_rgus"),
-        F.sum(col("_rgus") * col("_loc")).cast("long").alias("located_rgus"),
-        F.sum(col("_rgus") * col("_ret")).cast("long").alias("retained_rgus"))
+        F.sum("_ret").cast("long").alias("retained"), total(col("_rgus")).alias("request_rgus"),
+        total(col("_rgus") * col("_loc")).alias("located_rgus"), total(col("_rgus") * col("_ret")).alias("retained_rgus"))
 
 
 def bill_payments(bills: DataFrame, moves: DataFrame, params: Params = Params()) -> DataFrame:

@@ -200,13 +200,14 @@ def _uninstalls(orders: DataFrame, exclude_status=()) -> DataFrame:
 
 
 def _order_type(reason) -> "F.Column":
-    return F.when(reason == L.ORDER_REASON_INVOL, F.lit(L.FIXED_INVOL)).otherwise(F.lit(L.FIXED_VOL))
+    return F.when(reason == L.ORDER_REASON_INVOL, F.lit(L.FIXED_INVOL)).when(reason.isNotNull(), F.lit(L.FIXED_VOL))
 
 
 def churn_by_order(orders: DataFrame, snap: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,
                    exclude_status=()) -> DataFrame:
     """Churn from the account's last uninstall order (D35): reason
-    ``MOROSIDAD`` is involuntary, others voluntary; it counts only when the
+    ``MOROSIDAD`` is involuntary, other given reasons voluntary, an account
+    whose order has none is no churner; it counts only when the
     account's last snapshot is at most ``churn_order_periods`` periods after
     the order. Both sides are reduced to one row per account first."""
     g = params.grain
@@ -217,6 +218,7 @@ def churn_by_order(orders: DataFrame, snap: DataFrame, params: Params = Params()
     ls = snap.groupBy(col(key).alias("account")).agg(F.max(day).alias("last_snapshot"))
     j = last.join(ls, "account", "inner").where(
         g.periods_between(col("_o.d"), col("last_snapshot")) <= params.churn_order_periods)
+    j = j.where(col("_o.r").isNotNull())
     return j.select("account", g.trunc(col("_o.d")).alias("churn_month"), _order_type(col("_o.r")).alias("churn_type"))
 
 

@@ -53,7 +53,7 @@ def email_match(register: DataFrame, fixed: DataFrame, dummies=DUMMY_EMAILS,
     r = (register.where(~col("des_segmento_cliente").isin(list(business)) & ~col("nom_email").isin(list(dummies)))
                  .select(strip_dots("id_abonado").alias("near_line"), col("fecha_parque").cast("date").alias("near_file"),
                          col("nom_email").alias("email")))
-    return r.join(fixed, "email", "inner")
+    return r.where(col("near_line") != "").distinct().join(fixed, "email", "inner")
 
 
 def attach_near(mobile: DataFrame, near: DataFrame, params: Params = Params()) -> DataFrame:
@@ -330,25 +330,31 @@ def fmc_packing(df: DataFrame, params: Params = Params()) -> DataFrame:
     per = df.groupBy(col("month"), key.alias("acct")).agg(
         F.max(_in("b_fmc_type", *sn).cast("int")).alias("_b"), F.max(_in("e_fmc_type", *sn).cast("int")).alias("_e"))
     b, e = F.coalesce(col("_b"), F.lit(0)), F.coalesce(col("_e"), F.lit(0))
-    out = per.groupBy("month").agg(F.sum(((e == 1) & (b == 0)).cast("int")).cast("long").alias("packing"),
-                                   F.sum(((b == 1) & (e == 0)).cast("int")).cast("long").alias("unpacking"))
-    return out.where((col("packing") > 0) | (col("unpacking") > 0))
+    return per.groupBy("month").agg(F.sum(((e == 1) & (b == 0)).cast("int")).cast("long").alias("packing"),
+                                    F.sum(((b == 1) & (e == 0)).cast("int")).cast("long").alias("unpacking"))
 
 
 def phone_match(fixed: DataFrame, mobile: DataFrame, phone_cols=("act_contact_phone_1", "act_contact_phone_2",
                                                                   "act_contact_phone_3"),
-                key: str = "act_acct_cd", mobile_phone: str = "num_telefono") -> DataFrame:
+                key: str = "act_acct_cd", mobile_phone: str = "num_telefono", by=()) -> DataFrame:
     """Best of several contact phones that exists in the mobile base.
 
     The phones are unpivoted with their priority (``stack``), joined once to
     the distinct mobile phones and reduced per account with ``min_by`` on the
-    priority: one join instead of a union of one join per phone column."""
+    priority: one join instead of a union of one join per phone column. An
+    account without a match keeps its first phone, with a null priority.
+    ``by`` names columns both sides must agree on (period, opening and closing
+    day)."""
+    by = list(by)
     cols = [c for c in phone_cols if c in fixed.columns]
     pairs = ", ".join(f"{i}, {c}" for i, c in enumerate(cols, 1))
-    long = fixed.selectExpr(key, f"stack({len(cols)}, {pairs}) AS (priority, phone)").where(col("phone").isNotNull())
-    mob = mobile.select(col(mobile_phone).alias("phone")).where(col("phone").isNotNull()).distinct()
-    return (long.join(mob, "phone", "inner").groupBy(key)
-                .agg(F.min_by("phone", "priority").alias("matched_phone"), F.min("priority").alias("phone_priority")))
+    long = fixed.selectExpr(key, *by, f"stack({len(cols)}, {pairs}) AS (priority, phone)").where(col("phone").isNotNull())
+    mob = mobile.select(col(mobile_phone).alias("phone"), *by).where(col("phone").isNotNull()).distinct()
+    best = (long.join(mob, ["phone", *by], "inner").groupBy(key, *by)
+                .agg(F.min_by("phone", "priority").alias("_matched"), F.min("priority").alias("phone_priority")))
+    every = fixed.select(key, *by, col(cols[0]).alias("_own")).distinct()
+    return every.join(best, [key, *by], "left").select(
+        key, *by, F.coalesce("_matched", "_own").alias("matched_phone"), "phone_priority")
 
 
 def household_match(fixed: DataFrame, mobile: DataFrame, household: str = "household_id", day: str = "dt",

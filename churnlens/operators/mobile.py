@@ -19,7 +19,7 @@ def clean_register(reg: DataFrame, params: Params = Params(), file_shift: int =
     """Typed register rows (D03): the file of period p describes the opening
     of p + ``file_shift``; dots stripped from line ids; ``#N/D`` contracts,
     marker amounts and junk activation dates become NULL; business segments
-    are dropped."""
+    and rows without a line id are dropped, and repeated rows are one."""
     g = params.grain
     return (reg.where(~col("des_segmento_cliente").isin(list(L.BUSINESS_SEGMENTS)))
                .select(g.trunc(g.shift(col("fecha_parque").cast("date"), file_shift)).alias("month"),
@@ -27,7 +27,8 @@ def clean_register(reg: DataFrame, params: Params = Params(), file_shift: int =
                        blank_to_null("contrato").alias("fixed_contract"),
                        col("num_telefono"), col("nom_email"),
                        comma_decimal("renta").alias("renta"),
-                       parse_mixed_date("fch_activacion", date_formats, junk=L.ACTIVATION_JUNK).alias("start_date")))
+                       parse_mixed_date("fch_activacion", date_formats, junk=L.ACTIVATION_JUNK).alias("start_date"))
+               .where(F.coalesce(F.trim("id_abonado"), F.lit("")) != "").distinct())
 
 
 def mobile_base(clean: DataFrame, params: Params = Params()) -> DataFrame:

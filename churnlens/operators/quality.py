@@ -12,22 +12,23 @@ from churnlens.params import Params
 
 def all_null_accounts(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt",
                       mrc_cols=("fi_vo_mrc_amt", "fi_tv_mrc_amt", "fi_bb_mrc_amt")) -> DataFrame:
-    """Accounts whose charge is NULL or 0 on every snapshot of the period (D120)."""
+    """Accounts whose charge is NULL or 0 on every day of the period (D120):
+    an account with a day without a snapshot is not one."""
     g = params.grain
     mrc = sum((F.coalesce(col(c), F.lit(0.0)) for c in mrc_cols), F.lit(0.0))
     per = snap.groupBy(col(key).alias("account"), g.trunc(col(day)).alias("month")).agg(
-        F.count(F.lit(1)).alias("days"), F.sum((mrc == 0).cast("int")).alias("null_days"))
-    return per.where(col("days") == col("null_days")).select("month", "account", "days")
+        F.sum((mrc == 0).cast("int")).cast("long").alias("days"))
+    return per.where(col("days") == F.datediff(g.shift(col("month"), 1), col("month"))).select("month", "account", "days")
 
 
 def intermittent(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
-    """Accounts with no products on one snapshot and products on another of
-    the same period, counted per period (D121)."""
+    """Accounts without products on the period's first day and with products
+    on another snapshot of it, counted per period (D121)."""
     g = params.grain
     has = (present("pd_vo_prod_nm") | present("pd_tv_prod_nm") | present("pd_bb_prod_nm")).cast("int")
     per = snap.groupBy(col(key).alias("account"), g.trunc(col(day)).alias("month")).agg(
-        F.max(has).alias("_with"), F.min(has).alias("_without_is_0"))
-    return (per.where((col("_with") == 1) & (col("_without_is_0") == 0)).groupBy("month")
+        F.max(has).alias("_with"), F.max(F.when(col(day).cast("date") == g.trunc(col(day)), has)).alias("_opening"))
+    return (per.where((col("_with") == 1) & (col("_opening") == 0)).groupBy("month")
                .agg(F.count(F.lit(1)).alias("intermittent_accounts")))
 
 

@@ -197,7 +197,7 @@ def q_debt_funnel_bands(spark, sf):
 @register("retention_funnel")
 def q_retention_funnel(spark, sf):
     from churnlens.operators.billing import retention_funnel
-    return retention_funnel(T.retention_requests(T.load(spark, sf, "events")), _fixed(spark, sf).base, P)
+    return retention_funnel(T.retention_requests(T.load(spark, sf, "events")), _fmc(spark, sf), P)
 
 
 def _bills(spark, sf):
@@ -456,6 +456,7 @@ def q_household_match(spark, sf):
     snap = _snap(spark, sf)
     reg, _ = _mobile_inputs(spark, sf)
     fx = T.with_household(snap.where(F.col("dt") == F.trunc("dt", "week")), "act_acct_cd")
+    reg = reg.where(F.col("id_abonado") != "")
     mob = T.with_household(reg.select(F.col("fecha_parque").alias("dt"),
                                       F.replace("id_abonado", F.lit("."), F.lit("")).alias("mobile_account")),
                            "mobile_account", line_prefix=True)

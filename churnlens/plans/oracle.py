@@ -266,17 +266,18 @@ reg_g AS (
   FROM events WHERE event_type = 'signup' GROUP BY ALL
 ),
 reg AS (
-  SELECT fecha_parque, {LINE} AS id_abonado,
+  SELECT fecha_parque, CASE WHEN _copy = 1 THEN '' ELSE {LINE} END AS id_abonado,
     CASE WHEN _n >= 3 THEN CAST(user_id AS VARCHAR) ELSE '#N/D' END AS contrato,
     {PHONE} AS num_telefono, {EMAIL} AS nom_email,
     CASE WHEN _mx >= 300 THEN '#N/D' ELSE replace(CAST(round(_amt, 2) AS VARCHAR), '.', ',') END AS renta,
     CASE WHEN _mx < 10 THEN 'ARTICULO SIN EQUIPO'
          ELSE strftime(min(_first) OVER (PARTITION BY user_id), '%m/%d/%Y') END AS fch_activacion,
     CASE WHEN _amt > 500 THEN 'Empresas - Pymes' ELSE 'Residencial' END AS des_segmento_cliente
-  FROM reg_g
+  FROM (SELECT *, unnest(CASE WHEN user_id % 7 = 0 THEN [0, 0] WHEN user_id % 13 = 0 THEN [0, 1, 1] ELSE [0] END) AS _copy
+        FROM reg_g)
 ),
 mclean AS (
-  SELECT CAST(fecha_parque + 7 AS DATE) AS month, replace(id_abonado, '.', '') AS id_abonado,
+  SELECT DISTINCT CAST(fecha_parque + 7 AS DATE) AS month, replace(id_abonado, '.', '') AS id_abonado,
     CASE WHEN contrato IN ('#N/D', 'nan', 'NULL', '') THEN NULL ELSE contrato END AS fixed_contract,
     num_telefono, nom_email,
     CASE WHEN renta LIKE '%#%' OR renta LIKE '%/%' OR renta LIKE 'NULL' THEN NULL
@@ -284,7 +285,7 @@ mclean AS (
     CASE WHEN fch_activacion IN ('#N/D', 'SAMSUNG GALAXY A03 CORE 32GB NEGRO', 'IPHONE 12 PRO MAX GRAFITO 256GB',
                                  'ARTICULO SIN EQUIPO') THEN NULL
          ELSE CAST(try_strptime(substr(fch_activacion, 1, 10), '%m/%d/%Y') AS DATE) END AS start_date
-  FROM reg WHERE des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes')
+  FROM reg WHERE des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes') AND id_abonado <> ''
 ),
 mb AS (
   SELECT month AS bm, id_abonado AS bl, fixed_contract AS b_fixed_contract, renta AS b_mobile_mrc,
@@ -411,9 +412,9 @@ fx_email AS (
   WHERE act_contact_mail_1 IS NOT NULL AND act_contact_mail_1 NOT IN ({DUMMIES}) GROUP BY ALL
 ),
 near AS (
-  SELECT replace(id_abonado, '.', '') AS near_line, fecha_parque AS near_file, email, contr
+  SELECT DISTINCT replace(id_abonado, '.', '') AS near_line, fecha_parque AS near_file, email, contr
   FROM reg JOIN fx_email ON nom_email = email
-  WHERE des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes') AND nom_email NOT IN ({DUMMIES})
+  WHERE id_abonado <> '' AND des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes') AND nom_email NOT IN ({DUMMIES})
 ),
 mnear AS (
   SELECT mobile_table.*, nb.email AS b_email, nb.contr AS b_contr, ne.email AS e_email, ne.contr AS e_contr
@@ -619,9 +620,8 @@ pe AS (SELECT DISTINCT month, coalesce(fixed_account, fmc_account) AS acct FROM
 pk AS (SELECT month, count(*) AS packing FROM pe WHERE NOT EXISTS (SELECT 1 FROM pb WHERE pb.month = pe.month AND pb.acct = pe.acct) GROUP BY month),
 upk AS (SELECT month, count(*) AS unpacking FROM pb WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pb.month = pe.month AND pb.acct = pe.acct) GROUP BY month)
 """) + """
-SELECT coalesce(pk.month, upk.month) AS month, CAST(coalesce(packing, 0) AS BIGINT) AS packing,
-       CAST(coalesce(unpacking, 0) AS BIGINT) AS unpacking
-FROM pk FULL OUTER JOIN upk ON pk.month = upk.month
+SELECT m.month, CAST(coalesce(packing, 0) AS BIGINT) AS packing, CAST(coalesce(unpacking, 0) AS BIGINT) AS unpacking
+FROM (SELECT DISTINCT month FROM fmc_table) m LEFT JOIN pk ON pk.month = m.month LEFT JOIN upk ON upk.month = m.month
 """
 
 # --- drivers ---------------------------------------------------------------
@@ -681,7 +681,7 @@ sorders AS (
   SELECT event_id AS order_id, CAST(user_id AS VARCHAR) AS account_name,
     CASE WHEN event_type = 'signup' THEN 'INSTALACION' ELSE 'DESINSTALACION' END AS order_type,
     CASE WHEN value >= 300 THEN 'CANCELADA' WHEN value >= 250 THEN 'ANULADA' ELSE 'FINALIZADA' END AS order_status,
-    CASE WHEN event_type = 'signup' THEN NULL WHEN value >= 200 THEN 'MOROSIDAD' ELSE 'VOLUNTARIO' END AS order_reason,
+    CASE WHEN event_type = 'signup' THEN NULL WHEN value >= 200 THEN 'MOROSIDAD' WHEN value >= 190 THEN NULL ELSE 'VOLUNTARIO' END AS order_reason,
     CAST(ts AS DATE) AS order_start_date,
     CAST(CAST(ts AS DATE) + CAST(floor(value) AS INTEGER) % 10 AS DATE) AS completed_date,
     ['TIENDA', 'TELEVENTAS', 'DIGITAL', 'PUERTA A PUERTA'][CAST(floor(value) AS INTEGER) % 4 + 1] AS channel_desc
@@ -863,20 +863,22 @@ FUNNEL_BANDS = (("day_one", 1, 2, "fi_outst_age_final", 0), ("soft_dx_band", 3,
 SQL["debt_funnel"] = _funnel_sql(FUNNEL_STAGES)
 SQL["debt_funnel_bands"] = _funnel_sql(FUNNEL_BANDS)
 
-SQL["retention_funnel"] = with_(SNAP, FEAT, BASE, f"""
-req AS (SELECT CAST(user_id AS VARCHAR) AS contrato, CAST(ts AS DATE) AS request_date,
-               CASE WHEN value >= 100 THEN 'CONTACTADO' ELSE 'NO CONTACTADO' END AS contactabilidad,
+SQL["retention_funnel"] = with_(*FMC_ALL, f"""
+rtreq AS (SELECT CAST(user_id AS VARCHAR) AS contrato, CAST(ts AS DATE) AS request_date,
+               CASE WHEN value >= 100 THEN 'CONTACTO EFECTIVO' ELSE 'NO CONTACTADO' END AS contactabilidad,
                CASE WHEN value >= 200 THEN 'RETENIDO' ELSE 'NO RETENIDO' END AS solucion
         FROM events WHERE event_type = 'error'),
-rper AS (SELECT contrato AS account, {wk('request_date')} AS month,
-                max(CASE WHEN contactabilidad = 'CONTACTADO' THEN 1 ELSE 0 END) AS loc,
-                max(CASE WHEN solucion = 'RETENIDO' THEN 1 ELSE 0 END) AS ret FROM req GROUP BY ALL),
-rj AS (SELECT rper.*, coalesce(b_num_rgus, 0) AS rgus FROM rper LEFT JOIN base ON fixed_account = account AND fixed_month = month)
+rtper AS (SELECT contrato AS account, {wk('request_date')} AS month,
+                max(CASE WHEN contactabilidad = 'CONTACTO EFECTIVO' THEN 1 ELSE 0 END) AS loc,
+                max(CASE WHEN solucion = 'RETENIDO' THEN 1 ELSE 0 END) AS ret FROM rtreq GROUP BY ALL),
+rtj AS (SELECT m.month, loc, ret, rgus FROM (SELECT month, right('0000000000' || fixed_account, 10) AS pk,
+           sum(coalesce(b_total_rgus, 0.0)) AS rgus FROM fmc_table WHERE fixed_account IS NOT NULL GROUP BY ALL) m
+       JOIN rtper ON right('0000000000' || rtper.account, 10) = m.pk AND rtper.month = m.month)
 """) + """
 SELECT month, count(*) AS requests, CAST(sum(loc) AS BIGINT) AS located, CAST(sum(ret) AS BIGINT) AS retained,
-       CAST(sum(rgus) AS BIGINT) AS request_rgus, CAST(sum(rgus * loc) AS BIGINT) AS located_rgus,
-       CAST(sum(rgus * ret) AS BIGINT) AS retained_rgus
-FROM rj GROUP BY month
+       round(sum(rgus), 4) AS request_rgus, round(sum(rgus * loc), 4) AS located_rgus,
+       round(sum(rgus * ret), 4) AS retained_rgus
+FROM rtj GROUP BY month
 """
 
 BILLS = """
@@ -921,11 +923,9 @@ FROM bills b JOIN (SELECT fact_aplica AS factura, round(sum(monto_mov), 2) AS pa
 
 # --- quality ----------------------------------------------------------------
 SQL["all_null_accounts"] = with_(SNAP) + f"""
-SELECT month, account, days FROM (
-  SELECT act_acct_cd AS account, {wk('dt')} AS month, count(*) AS days,
-         sum(CASE WHEN coalesce(fi_vo_mrc_amt, 0.0) + coalesce(fi_tv_mrc_amt, 0.0) + coalesce(fi_bb_mrc_amt, 0.0) = 0
-                  THEN 1 ELSE 0 END) AS null_days
-  FROM snap GROUP BY ALL) WHERE days = null_days
+SELECT {wk('dt')} AS month, act_acct_cd AS account, count(*) AS days FROM snap
+WHERE coalesce(fi_vo_mrc_amt, 0.0) + coalesce(fi_tv_mrc_amt, 0.0) + coalesce(fi_bb_mrc_amt, 0.0) = 0
+GROUP BY ALL HAVING count(*) = 7
 """
 
 SQL["intermittent_products"] = with_(SNAP) + f"""
@@ -933,9 +933,10 @@ SELECT month, count(*) AS intermittent_accounts FROM (
   SELECT act_acct_cd, {wk('dt')} AS month,
     max(CASE WHEN coalesce(pd_vo_prod_nm, '') <> '' OR coalesce(pd_tv_prod_nm, '') <> '' OR coalesce(pd_bb_prod_nm, '') <> ''
              THEN 1 ELSE 0 END) AS w,
-    min(CASE WHEN coalesce(pd_vo_prod_nm, '') <> '' OR coalesce(pd_tv_prod_nm, '') <> '' OR coalesce(pd_bb_prod_nm, '') <> ''
-             THEN 1 ELSE 0 END) AS wo
-  FROM snap GROUP BY ALL) WHERE w = 1 AND wo = 0 GROUP BY month
+    max(CASE WHEN dt <> {wk('dt')} THEN NULL
+             WHEN coalesce(pd_vo_prod_nm, '') <> '' OR coalesce(pd_tv_prod_nm, '') <> '' OR coalesce(pd_bb_prod_nm, '') <> ''
+             THEN 1 ELSE 0 END) AS opening
+  FROM snap GROUP BY ALL) WHERE w = 1 AND opening = 0 GROUP BY month
 """
 
 SQL["overdue_histogram"] = with_(SNAP, FEAT) + """
@@ -1014,12 +1015,12 @@ ls AS (SELECT act_acct_cd, max(dt) AS last_snapshot FROM snap GROUP BY ALL)
 SELECT account_name AS account, {wk('d')} AS churn_month,
        CASE WHEN r = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' ELSE '1. Fixed Voluntary Churner' END AS churn_type
 FROM lo JOIN ls ON act_acct_cd = account_name
-WHERE floor(date_diff('day', {wk('d')}, {wk('last_snapshot')}) / 7) <= 1
+WHERE floor(date_diff('day', {wk('d')}, {wk('last_snapshot')}) / 7) <= 1 AND r IS NOT NULL
 """
 
 SQL["churn_by_first_order"] = with_(SORDERS, UNINST) + f"""
 SELECT account_name AS account, {wk('order_start_date')} AS first_order_month,
-       CASE WHEN order_reason = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' ELSE '1. Fixed Voluntary Churner' END AS churn_type
+       CASE WHEN order_reason = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' WHEN order_reason IS NOT NULL THEN '1. Fixed Voluntary Churner' END AS churn_type
 FROM (SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY order_start_date, order_id) AS rn FROM u) WHERE rn = 1
 """
 
@@ -1170,7 +1171,7 @@ cj AS (SELECT crm.account, churn_date, order_id, order_start_date, order_reason,
        WHERE order_start_date <= churn_date AND order_start_date >= CAST(churn_date - 21 AS DATE))
 """) + """
 SELECT account, churn_date, order_id, order_start_date AS order_date,
-       CASE WHEN order_reason = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' ELSE '1. Fixed Voluntary Churner' END AS churn_type
+       CASE WHEN order_reason = 'MOROSIDAD' THEN '2. Fixed Involuntary Churner' WHEN order_reason IS NOT NULL THEN '1. Fixed Voluntary Churner' END AS churn_type
 FROM cj WHERE rn = 1
 """
 
@@ -1199,15 +1200,17 @@ ph AS (
 ),
 mp AS (SELECT DISTINCT num_telefono AS phone FROM reg WHERE num_telefono IS NOT NULL)
 """) + """
-SELECT act_acct_cd, arg_min(ph.phone, priority) AS matched_phone, min(priority) AS phone_priority
-FROM ph JOIN mp ON ph.phone = mp.phone WHERE ph.phone IS NOT NULL GROUP BY act_acct_cd
+SELECT act_acct_cd, coalesce(arg_min(mp.phone, CASE WHEN mp.phone IS NOT NULL THEN priority END),
+         max(CASE WHEN priority = 1 THEN ph.phone END)) AS matched_phone,
+       min(CASE WHEN mp.phone IS NOT NULL THEN priority END) AS phone_priority
+FROM ph LEFT JOIN mp ON ph.phone = mp.phone GROUP BY act_acct_cd
 """
 
 SQL["household_match"] = with_(SNAP, MOBILE, f"""
 hf AS (SELECT CAST(CAST(act_acct_cd AS BIGINT) // 4 AS BIGINT) AS household_id, dt, min(act_acct_cd) AS fmc_fixed
        FROM snap WHERE dt = {wk('dt')} GROUP BY ALL),
 hm AS (SELECT CAST(CAST(regexp_replace(replace(id_abonado, '.', ''), '^8', '') AS BIGINT) // 4 AS BIGINT) AS household_id,
-              fecha_parque AS dt, min(replace(id_abonado, '.', '')) AS fmc_mobile FROM reg GROUP BY ALL)
+              fecha_parque AS dt, min(replace(id_abonado, '.', '')) AS fmc_mobile FROM reg WHERE id_abonado <> '' GROUP BY ALL)
 """) + "SELECT hf.household_id, hf.dt, fmc_fixed, fmc_mobile FROM hf JOIN hm ON hf.household_id = hm.household_id AND hf.dt = hm.dt\n"
 
 # --- churn by CRM date, FMC list patch ----------------------------------------

@@ -123,9 +123,13 @@ def mobile_register(events: DataFrame) -> DataFrame:
                F.min("d").alias("_first")))
     g = g.withColumn("_first_user", F.min("_first").over(Window.partitionBy("user_id")))
     uid = F.col("user_id")
+    # some rows are repeated, some come twice more without a line id
+    copies = (F.when(uid % 7 == 0, F.array(F.lit(0), F.lit(0))).when(uid % 13 == 0, F.array(F.lit(0), F.lit(1), F.lit(1)))
+               .otherwise(F.array(F.lit(0))))
+    g = g.withColumn("_copy", F.explode(copies))
     return g.select(
         F.col("fecha_parque"),
-        _line_id(uid).alias("id_abonado"),
+        F.when(F.col("_copy") == 1, "").otherwise(_line_id(uid)).alias("id_abonado"),
         F.when(F.col("_n") >= 3, uid.cast("string")).otherwise(F.lit("#N/D")).alias("contrato"),
         _phone(uid).alias("num_telefono"),
         _email(uid).alias("nom_email"),
@@ -186,7 +190,7 @@ def service_orders(events: DataFrame) -> DataFrame:
         F.when(t == "signup", "INSTALACION").otherwise("DESINSTALACION").alias("order_type"),
         F.when(v >= 300, "CANCELADA").when(v >= 250, "ANULADA").otherwise("FINALIZADA").alias("order_status"),
         F.when(t == "signup", F.lit(None).cast("string"))
-         .when(v >= 200, "MOROSIDAD").otherwise("VOLUNTARIO").alias("order_reason"),
+         .when(v >= 200, "MOROSIDAD").when(v >= 190, F.lit(None).cast("string")).otherwise("VOLUNTARIO").alias("order_reason"),
         d.alias("order_start_date"),
         F.date_add(d, fv % 10).alias("completed_date"),
         chan.alias("channel_desc"),
@@ -222,7 +226,7 @@ def retention_requests(events: DataFrame) -> DataFrame:
     return e.select(
         F.col("user_id").cast("string").alias("contrato"),
         F.to_date("ts").alias("request_date"),
-        F.when(v >= 100, "CONTACTADO").otherwise("NO CONTACTADO").alias("contactabilidad"),
+        F.when(v >= 100, "CONTACTO EFECTIVO").otherwise("NO CONTACTADO").alias("contactabilidad"),
         F.when(v >= 200, "RETENIDO").otherwise("NO RETENIDO").alias("solucion"),
     )
 

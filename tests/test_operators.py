@@ -107,7 +107,8 @@ def test_phone_match_prefers_first_phone(spark):
                                "act_contact_phone_3 string")
     mob = spark.createDataFrame([("2",), ("3",), ("3",)], "num_telefono string")
     got = {r.act_acct_cd: (r.matched_phone, r.phone_priority) for r in phone_match(fx, mob).collect()}
-    assert got == {"A": ("2", 2), "B": ("3", 3)}
+    # an account without a match keeps its first phone
+    assert got == {"A": ("2", 2), "B": ("3", 3), "C": ("9", None)}
 
 
 def test_household_match_one_pair_per_household(spark):
@@ -218,7 +219,94 @@ def test_first_time_resolution_across_period_boundary(spark):
     calls = spark.createDataFrame([("A", "1", dt.datetime(2022, 1, 31)), ("A", "2", dt.datetime(2022, 2, 2)),
                                    ("B", "3", dt.datetime(2022, 1, 10)), ("B", "4", dt.datetime(2022, 1, 30))],
                                   "account_id string, interaction_id string, interaction_start_time timestamp")
-    billing = calls.where("interaction_id IN ('1', '3')")
-    got = {r.month: (r.resolved, r.billing_calls) for r in first_time_resolution(calls, billing, p).collect()}
+    got = {(r.account, r.month): (r.resolved, r.billing_calls) for r in first_time_resolution(calls, p).collect()}
     # A's call of 31 Jan is followed 2 days later (in February): not resolved; B's next call is 20 days later
-    assert got == {dt.date(2022, 1, 1): (1, 2)}
+    assert got == {("A", dt.date(2022, 1, 1)): (0, 1), ("A", dt.date(2022, 2, 1)): (1, 1), ("B", dt.date(2022, 1, 1)): (2, 2)}
+
+
+def test_first_time_resolution_same_day_and_same_id(spark):
+    from churnlens.operators.kpi import first_time_resolution
+    calls = spark.createDataFrame([("A", "1", dt.datetime(2022, 1, 5)), ("A", "2", dt.datetime(2022, 1, 5)),
+                                   ("B", "7", dt.datetime(2022, 1, 5)), ("B", "7", dt.datetime(2022, 1, 6)),
+                                   (None, "8", dt.datetime(2022, 1, 6))],
+                                  "account_id string, interaction_id string, interaction_start_time timestamp")
+    got = {r.account: (r.resolved, r.billing_calls) for r in first_time_resolution(calls, Params(ftr_days=14)).collect()}
+    # a day of two calls counts with one of them; the same id on two days is one call and no repeat of itself
+    assert got == {"A": (1, 2), "B": (1, 1)}
+
+
+INTER = "account_id string, account_type string, interaction_id string, interaction_start_time timestamp, " \
+        "interaction_purpose_descrip string, interaction_status string"
+
+
+def test_void_interactions_before_or_after_the_daily_dedupe(spark):
+    ev = spark.createDataFrame([("A", "RESIDENCIAL", "1", dt.datetime(2022, 1, 5, 8), "AVERIAS", "CERRADA"),
+                                ("A", "RESIDENCIAL", "2", dt.datetime(2022, 1, 5, 9), "AVERIAS", "CANCELADA"),
+                                ("B", "EMPRESA", "3", dt.datetime(2022, 1, 5, 9), "AVERIAS", "CERRADA")], INTER)
+    assert [r.interaction_id for r in D.dedupe_interactions(ev).collect()] == ["2"]
+    assert [r.interaction_id for r in D.dedupe_interactions(ev, void=L.VOID_STATUSES).collect()] == ["1"]
+    assert D.calls(D.dedupe_interactions(ev)).count() == 1  # cancelled calls anchor the contact windows
+    assert D.calls(D.dedupe_interactions(ev), void=L.VOID_STATUSES).count() == 0
+
+
+def test_contact_ids_on_two_days_count_once(spark):
+    ev = spark.createDataFrame([("A", "1", dt.datetime(2022, 1, 5)), ("A", "1", dt.datetime(2022, 1, 6)),
+                                ("A", "2", dt.datetime(2022, 1, 7))],
+                               "account_id string, interaction_id string, interaction_start_time timestamp")
+    assert [r.contacts for r in D.contacts_in_window(ev, ev, Params()).collect()] == [2]
+
+
+def test_mounting_bills_without_an_earlier_bill_date(spark):
+    o = dt.date(2021, 12, 1)
+    days = spark.createDataFrame([("A", dt.date(2022, 1, 1), o, None), ("A", dt.date(2022, 2, 1), o, o),
+                                  ("A", dt.date(2022, 3, 1), o, o), ("B", dt.date(2022, 1, 1), o, o),
+                                  ("B", dt.date(2022, 2, 1), o, None)], "account string, month date, o date, b date")
+    assert sorted((r.account, r.month.month) for r in D.mounting_bills(days).collect()) == [("A", 2), ("A", 3)]
+    assert sorted((r.account, r.month.month) for r in D.mounting_bills(days, periods=2).collect()) == [("A", 3)]
+
+
+def test_channel_mapping_attaches_the_group(spark):
+    orders = spark.createDataFrame([("A", "INSTALACION", "FINALIZADA", "WEB", dt.date(2022, 1, 5), 1),
+                                    ("B", "INSTALACION", "FINALIZADA", "OTHER", dt.date(2022, 1, 5), 2)],
+                                   "account_name string, order_type string, order_status string, channel_desc string, "
+                                   "order_start_date date, order_id long")
+    groups = spark.createDataFrame([("WEB", "Digital")], "channel string, channel_group string")
+    got = {r.account: r.channel_group for r in D.sales_channel(orders, mapping=groups).collect()}
+    assert got == {"A": "Digital", "B": None}
+
+
+def test_all_null_needs_every_day_and_intermittent_starts_without_products(spark):
+    from churnlens.operators.quality import all_null_accounts, intermittent
+    rows = [("A", dt.date(2022, 2, d), None, 0.0, 0.0, None if d < 9 else "x") for d in range(1, 29)]
+    rows += [("B", dt.date(2022, 2, d), 0.0, 0.0, 0.0, "x" if d < 9 else None) for d in range(1, 28)]
+    snap = spark.createDataFrame(rows, "act_acct_cd string, dt date, fi_vo_mrc_amt double, fi_tv_mrc_amt double, "
+                                       "fi_bb_mrc_amt double, pd_vo_prod_nm string")
+    snap = snap.withColumn("pd_tv_prod_nm", F.lit(None).cast("string")).withColumn("pd_bb_prod_nm", F.lit(""))
+    assert [(r.account, r.days) for r in all_null_accounts(snap).collect()] == [("A", 28)]
+    assert [r.intermittent_accounts for r in intermittent(snap).collect()] == [1]
+
+
+def test_last_order_without_a_reason_is_no_churn(spark):
+    orders = _orders(spark, [(1, "A", "DESINSTALACION", "FINALIZADA", None, dt.date(2022, 1, 10))])
+    snap = spark.createDataFrame([("A", dt.date(2022, 1, 12))], "act_acct_cd string, dt date")
+    assert C.churn_by_order(orders, snap).count() == 0
+
+
+def test_repeated_and_blank_register_rows(spark):
+    from churnlens.operators.mobile import clean_register
+    row = (dt.date(2022, 1, 1), "8.1", "77", "600", "a@x", "1,5", "01/02/2021", "Residencial")
+    reg = spark.createDataFrame([row, row, (row[0], "", *row[2:]), (row[0], None, *row[2:])],
+                                "fecha_parque date, id_abonado string, contrato string, num_telefono string, nom_email string, "
+                                "renta string, fch_activacion string, des_segmento_cliente string")
+    assert [r.id_abonado for r in clean_register(reg).collect()] == ["81"]
+
+
+def test_retention_funnel_counts_master_accounts_with_padded_keys(spark):
+    from churnlens.operators.billing import retention_funnel
+    req = spark.createDataFrame([("0000000012", dt.date(2022, 1, 5), "CONTACTO EFECTIVO", "RETENIDO"),
+                                 ("99", dt.date(2022, 1, 5), "CONTACTO EFECTIVO", None)],
+                                "contrato string, request_date date, contactabilidad string, solucion string")
+    master = spark.createDataFrame([("12", dt.date(2022, 1, 1), 1.5), ("12", dt.date(2022, 1, 1), 0.5), ("13", dt.date(2022, 1, 1), 1.0)],
+                                   "fixed_account string, month date, b_total_rgus double")
+    r = retention_funnel(req, master).collect()
+    assert [(x.requests, x.located, x.retained, x.request_rgus) for x in r] == [(1, 1, 1, 2.0)]

@@ -36,7 +36,7 @@ def with_calls(master: DataFrame, calls: DataFrame, account: str = "fixed_accoun
 def master_calls(master: DataFrame, calls: DataFrame, name: str) -> DataFrame:
     """Calls of the master's accounts per period, each shared by the contract's fan-out (D110)."""
     j = with_calls(master, calls)
-    return j.groupBy("month").agg(F.sum(col(name) / col("contracts_fix")).alias(name))
+    return j.groupBy("month").agg(F.round(F.sum(col(name) / col("contracts_fix")), 4).alias(name))
 
 
 def rgus_per_period(master: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def first_time_resolution(billing: DataFrame, params: Params = Params(), days: i
 def resolution_per_period(master: DataFrame, ftr: DataFrame) -> DataFrame:
     """Resolved and all billing calls of the master's accounts, shared by the fan-out; all calls rounded per row."""
     j = with_calls(master, ftr)
-    return j.groupBy("month").agg(F.sum(col("resolved") / col("contracts_fix")).alias("resolved"),
+    return j.groupBy("month").agg(F.round(F.sum(col("resolved") / col("contracts_fix")), 4).alias("resolved"),
                                   F.sum(F.round(col("billing_calls") / col("contracts_fix"), 0)).alias("billing_calls"))
 
 

@@ -970,11 +970,11 @@ an AS (SELECT right('0000000000' || account_id, 10) AS pk, {wk('CAST(interaction
          count(DISTINCT CASE WHEN interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)}) THEN interaction_id END) AS calls,
          count(DISTINCT CASE WHEN interaction_purpose_descrip IN ({_sqlist(_L.BILLING_PURPOSES)}) THEN interaction_id END) AS billing
        FROM inter WHERE interaction_status <> 'ANULADA' GROUP BY ALL),
-kc AS (SELECT km.month, sum(nullif(tickets, 0) / contracts_fix) AS tickets, sum(nullif(calls, 0) / contracts_fix) AS calls
+kc AS (SELECT km.month, round(sum(nullif(tickets, 0) / contracts_fix), 4) AS tickets, round(sum(nullif(calls, 0) / contracts_fix), 4) AS calls
        FROM km LEFT JOIN an ON an.pk = km.pk AND an.month = km.month GROUP BY ALL),
 cpv AS (SELECT km.month, CAST(sum(nullif(billing, 0)) AS BIGINT) AS calls, count(DISTINCT increase_flag) AS variations
         FROM km LEFT JOIN an ON an.pk = km.pk AND an.month = km.month WHERE increase_flag IS NOT NULL GROUP BY ALL),
-fp AS (SELECT km.month, sum(resolved / contracts_fix) AS resolved, sum(round(billing_calls / contracts_fix, 0)) AS billing_calls
+fp AS (SELECT km.month, round(sum(resolved / contracts_fix), 4) AS resolved, sum(round(billing_calls / contracts_fix, 0)) AS billing_calls
        FROM km LEFT JOIN ftr ON right('0000000000' || ftr.account, 10) = km.pk AND ftr.month = km.month GROUP BY ALL),
 p1 AS (SELECT kc.month, 'TEST' AS market, 'tech_tickets_per_1k_rgu' AS kpi_name, round(tickets * 1000.0 / NULLIF(rgus, 0), 4) AS measure,
               CAST(tickets AS DOUBLE) AS numerator, CAST(rgus AS DOUBLE) AS denominator, 'M-0' AS kpi_delay FROM kc JOIN rg ON kc.month = rg.month),

@@ -55,10 +55,12 @@ agpl-3 | gnu | gnu affero general public licen[sc]e(?:(?: version| v)? ?3(?: 0)?
 agpl-3 | agpl | agpl ?v?3(?: 0)?
 gfdl | gnu | gnu free documentation licen[sc]e(?: version 1 [123])?
 gfdl | gfdl | gfdl(?: 1 [123])?
-bsd-2-clause | bsd | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?
+bsd-2-clause | bsd | (?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?
+bsd-2-clause | freebsd | freebsd licen[sc]e
 bsd-3-clause | bsd | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?
 bsd-4-clause | bsd | (?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?
-bsd-0-clause | bsd | (?:0bsd|bsd 0 clause|zero clause bsd)(?: licen[sc]e)?
+bsd-0-clause | bsd | (?:bsd 0 clause|zero clause bsd)(?: licen[sc]e)?
+bsd-0-clause | 0bsd | 0bsd(?: licen[sc]e)?
 bsd | bsd | bsd(?: style)? licen[sc]e
 mpl-2 | mozilla | mozilla public licen[sc]e(?: version| v)? ?2(?: 0)?
 mpl-2 | mpl | mpl ?v?2(?: 0)?
@@ -139,7 +141,8 @@ hippocratic | hippocratic | hippocratic licen[sc]e(?: \\d)*
 parity-7 | parity | parity public licen[sc]e(?: 7(?: 0)*)?
 polyform-nc | polyform | polyform noncommercial licen[sc]e(?: 1 0 0)?
 public-domain | domain | (?:released into|placed in|dedicated to|in) the public domain
-openrail | rail | (?:creativeml |bigscience |bigcode )?open ?rail(?: m)?(?: licen[sc]e)?
+openrail | rail | (?:creativeml |bigscience |bigcode )?open rail(?: m)?(?: licen[sc]e)?
+openrail | openrail | (?:creativeml |bigscience |bigcode )?openrail(?: m)?(?: licen[sc]e)?
 llama-community | llama | llama (?:\\d )*community licen[sc]e(?: agreement)?
 """
 
@@ -175,6 +178,16 @@ CONTEXTS = (
     ("title", 60, "{}"),
 )
 SENTENCE_PRIORITY = 85
+#: Per context, the keywords of names that declare a license there without the word (None: of all names).
+SHORT = {"tag": None, "grant": {"freebsd"},
+         "field": {"mit", "expat", "isc", "zlib", "libpng", "x11", "ncsa", "openssl", "postgresql", "bsd", "freebsd"}}
+
+
+def _around(kind: str, around: str, keyword: str, name: str) -> str:
+    """The regex of a name in a context."""
+    if kind in SHORT and (SHORT[kind] is None or keyword in SHORT[kind]):
+        name = name.replace(" licen[sc]e", "(?: licen[sc]e)?")
+    return around.format(f"(?:{name})")
 
 
 @lru_cache(maxsize=None)
@@ -187,7 +200,7 @@ def rules():
             bare = " " not in re.sub(r"\(\?:[^()]*\)\??", "", name).strip()
             if kind == "title" and bare and "licen" not in name:
                 continue  # one bare word is no declaration without a context
-            out.append((label, keyword, priority, around.format(f"(?:{name})")))
+            out.append((label, keyword, priority, _around(kind, around, keyword, name)))
     for line in SENTENCES.strip().splitlines():
         label, keyword, name = [c.strip() for c in line.split(" | ")]
         out.append((label, keyword, SENTENCE_PRIORITY, name))
@@ -198,7 +211,7 @@ def rules():
 
 @lru_cache(maxsize=None)
 def automaton():
-    """Finds every gating keyword that occurs as a word."""
+    """Finds every gating keyword that begins a word; each match of a rule holds its keyword so."""
     import ahocorasick
 
     found = ahocorasick.Automaton()

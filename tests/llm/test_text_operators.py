@@ -242,3 +242,50 @@ def test_license_rules_number_and_order():
     assert len(found) >= 300 and [r[3] for r in found] == sorted((r[3] for r in found), reverse=True)
     for _, label, keyword, _, pattern in found:
         assert keyword in pattern.pattern, (label, pattern.pattern)
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("SPDX-License-Identifier: 0BSD", "bsd-0-clause"), ("FreeBSD license", "bsd-2-clause"), ("OpenRAIL-M license", "openrail"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: Zlib", "zlib"),
+    ("License: MIT", "mit"), ("License: MIT-0", "mit-0"), ("license: BSD 3-Clause", "bsd-3-clause"), ("License: BSD", "bsd"),
+    ("SPDX-License-Identifier: Artistic-2.0", "artistic-2"), ("to license artistic works", ""), ("runs on FreeBSD", ""),
+    ("licensed under FreeBSD", "bsd-2-clause"), ("a professor at MIT", "")])
+def test_license_short_names_and_own_keywords(text, labels):
+    assert licenses.scan(text)[5] == labels
+
+
+def examples(parsed):
+    """Strings that together take every branch of a parsed regex."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            part = [chr(arg)]
+        elif op == "ANY":
+            part = ["q"]
+        elif op == "IN":
+            part = [{"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "7"}[str(arg[0][0])](arg[0][1])]
+        elif op == "BRANCH":
+            part = [e for branch in arg[1] for e in examples(branch)]
+        elif op == "SUBPATTERN":
+            part = examples(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            part = ["".join(e * n) for n in sorted({arg[0], max(arg[0], 1)}) for e in examples(arg[2])]
+        else:
+            assert op == "ASSERT" or op == "ASSERT_NOT", op
+            continue
+        # every part once, with the first choice of the others
+        out = [o + part[0] for o in out] + [out[0] + p for p in part[1:]]
+    return out
+
+
+def test_license_gate_shuts_no_match_out(monkeypatch):
+    cases = [(keyword, e) for *_, keyword, _, pattern in licenses.rules() for e in examples(re._parser.parse(pattern.pattern))
+             if pattern.search(f" {e} ")]
+    assert len(cases) > len(licenses.rules())
+    texts = sorted({e for _, e in cases})
+    gated = [licenses.scan(t) for t in texts]
+    assert [c for c in cases if f" {c[0]}" not in f" {c[1]}"] == []
+    every = {r[2] for r in licenses.rules()}
+    monkeypatch.setattr(licenses, "automaton", lambda: type("All", (), {"iter": lambda self, stream: [(0, k) for k in every]})())
+    assert [licenses.scan(t) for t in texts] == gated

@@ -6,6 +6,8 @@ structurally a credential: DER whose nested lengths agree to the last byte and
 whose fields are those of a private key, an OpenSSH private key container, an
 SSH public key blob, or a signed token whose header is JSON with an algorithm.
 
+A key may start within its run ("key_MIIE..."); it ends where the run ends.
+
 Defined results: a null text counts as empty and gives zero counts and empty
 spans; whole texts are scanned, however long; other columns are ignored;
 repeated rows give repeated results. Offsets count code points, ends exclude.
@@ -34,7 +36,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Line ends (and slashes) may be escaped, as in JSON strings.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt/])++)-----END \1-----")
+PEM_BLANKS = re.compile(r"\s+|\\+[nrt]|\\+(?=/)")
+# Where a key may start within a run: a DER sequence, an OpenSSH container, a type name of 4 to 67 bytes.
+HEADS = re.compile(r"(?=M[A-P]|b3BlbnNzaC1rZXk|AAAA[B-Q])")
+RUN_MIN = 40
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")  # order of kinds at one start
 BASE_KINDS = KINDS[:3]
@@ -114,6 +121,7 @@ def fields(data: bytes, pos: int, count: int | None = None):
 
 
 SSH_TYPES = re.compile(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+")
+SSH_NAME = 64  # bytes of the longest type name the protocol allows
 
 
 def ssh_key(data: bytes) -> str | None:
@@ -126,7 +134,7 @@ def ssh_key(data: bytes) -> str | None:
         keys = int.from_bytes(data[head[1]:head[1] + 4], "big")
         rest = fields(data, head[1] + 4, keys + 1) if 1 <= keys <= 16 else None
         return "openssh-private" if rest and rest[1] == len(data) else None
-    if data[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13"):
+    if len(data) > 4 and 0 < int.from_bytes(data[:4], "big") <= SSH_NAME:
         got = fields(data, 0)
         if got and len(got[0]) >= 2 and SSH_TYPES.fullmatch(got[0][0]):
             return "ssh-public"
@@ -141,6 +149,34 @@ def unbase64(run: str) -> bytes | None:
         return None
 
 
+def _may_start(run: str, at: int) -> bool:
+    """Whether a key can start at ``at``, by its first bytes, so that the rest is decoded only for likely ones."""
+    head = unbase64(run[at:at + 8])
+    if head is None:
+        return False
+    if head[0] == 0x30:
+        n = len(run.rstrip("=")) - at
+        size = n * 3 // 4
+        top = tlv(head, 0, size)
+        return top is not None and top[2] == size
+    if head[0] == 0:
+        size = int.from_bytes(head[:4], "big")
+        name = unbase64(run[at:at + -(-(4 + size) * 4 // 3)]) if size <= SSH_NAME else None
+        return name is not None and bool(SSH_TYPES.fullmatch(name[4:4 + size]))
+    return True
+
+
+def keys_of_run(run: str) -> list[tuple[int, int]]:
+    """(start, index in KINDS) of the first key that fills a base64 run to its end."""
+    limit = len(run.rstrip("=")) - RUN_MIN
+    for at in [0, *(m.start() for m in HEADS.finditer(run) if 0 < m.start() <= limit and _may_start(run, m.start()))]:
+        data = unbase64(run[at:])
+        kinds = [k for k, f in ((4, der_key), (5, ssh_key)) if data and f(data)]
+        if kinds:
+            return [(at, k) for k in kinds]
+    return []
+
+
 def signed_token(run: str) -> bool:
     """A token of three parts: JSON header with an algorithm, JSON payload, a signature unless the algorithm is none."""
     parts = run.split(".")
@@ -172,14 +208,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         out |= {(m.start(), 3, m.end()) for m in JWT.finditer(text) if signed_token(m.group())}
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m.group(2).split()))
-            if data:
-                out |= {(m.start(), k, m.end()) for k, f in ((4, der_key), (5, ssh_key)) if f(data)}
-    for pattern, decode in ((BASE64, unbase64), (ANY_HEX, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            data = decode(m.group())
+            data = unbase64(PEM_BLANKS.sub("", m.group(2)))
             if data:
                 out |= {(m.start(), k, m.end()) for k, f in ((4, der_key), (5, ssh_key)) if f(data)}
+    for m in BASE64.finditer(text):
+        out |= {(m.start() + at, k, m.end()) for at, k in keys_of_run(m.group())}
+    for m in ANY_HEX.finditer(text):
+        data = bytes.fromhex(m.group())
+        out |= {(m.start(), k, m.end()) for k, f in ((4, der_key), (5, ssh_key)) if f(data)}
     return sorted(out)
 
 

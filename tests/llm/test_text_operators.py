@@ -202,6 +202,27 @@ def test_secret_structures():
     assert [(a, secrets.KINDS[k], b) for a, k, b in secrets.confirmed_spans(pem)] [0] == (0, "ssh", len(pem))
 
 
+def test_secret_keys_in_common_writings():
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    rsa = der(0x30, der(2, b"\0"), *[der(2, bytes([1 + i]) * 60) for i in range(8)])
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, rsa))
+    lines = base64.encodebytes(pkcs8).decode()
+    for end in ("\\n", "\\\\n", "\\r\\n"):  # as JSON strings hold them
+        pem = ("-----BEGIN PRIVATE KEY-----\n" + lines + "-----END PRIVATE KEY-----").replace("\n", end).replace("/", "\\/")
+        assert secrets.confirmed_spans(f'{{"private_key": "{pem}"}}')[:1] == [(17, 4, 17 + len(pem))]
+    key = base64.b64encode(pkcs8).decode()
+    short = base64.b64encode(der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, b"\7" * 32)))).decode()
+    ssh = base64.b64encode(s(b"ssh-ed25519") + s(b"\x9a" * 32)).decode()
+    own = base64.b64encode(b"openssh-key-v1\0" + s(b"none") * 2 + s(b"") + (1).to_bytes(4, "big") + s(b"pub") + s(b"priv" * 20)).decode()
+    for body, kind in ((key, 4), (short, 4), (ssh, 5), (own, 5)):
+        for before in ("", "key_", "a/", "--", "n", "xyMM", "AAAAB", "b3Bl"):
+            text = f"x {before}{body} y"
+            assert secrets.confirmed_spans(text) == [(2 + len(before), kind, 2 + len(before) + len(body))], text
+    for name in (b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com", b"ssh-rsa"):
+        assert secrets.ssh_key(s(name) + s(b"k" * 32) + s(b"ssh:")) == "ssh-public"
+    assert secrets.confirmed_spans("key_" + key[:-8] + " MM" + "MIIE" * 99 + " " + "A" * 5000) == []
+
+
 # --- licenses ------------------------------------------------------------------------------------------
 
 def brute_base(text):

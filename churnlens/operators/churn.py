@@ -22,9 +22,9 @@ DAY = "dt"
 
 
 def voluntary_churn(base: DataFrame) -> DataFrame:
-    """Accounts active at opening and absent at closing."""
+    """Accounts active at opening and absent at closing (D30), once each however many plan rows they have."""
     return (base.where((col("active_bom") == 1) & ((col("active_eom") == 0) | col("active_eom").isNull()))
-                .select("fixed_month", "fixed_account", F.lit(L.FIXED_VOL).alias("vol_churner")))
+                .select("fixed_month", "fixed_account").distinct().withColumn("vol_churner", F.lit(L.FIXED_VOL)))
 
 
 def initial_rgus(snap: DataFrame, key: str = KEY, day: str = DAY) -> DataFrame:

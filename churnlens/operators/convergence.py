@@ -13,7 +13,7 @@ Rules follow the intent of the Presto scripts: tests against the label
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import labels as L
@@ -73,19 +73,20 @@ def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
     """Full outer join on the padded contract and the period, with month,
     combined account, active flags and the fixed fan-out (D64, D65).
 
-    The fixed side is unique per (account, period), the mobile side is not: a
-    contract may hold many lines, and a hot contract could hold a large share
-    of them. AQE cannot split skewed partitions of a full outer join, so it
+    The fixed side has one row per (account, period) and plan, few rows; on
+    the mobile side a contract may hold many lines, and a hot contract could
+    hold a large share of them. AQE cannot split skewed partitions of a full outer join, so it
     is built from joins it can split: the mobile lines are counted per
     (contract, period) (a partial aggregate), the fixed rows take that count
-    one-to-one, every mobile line then left-joins its fixed row (a hot
-    contract's lines can be split, the fixed row is replicated), and fixed
-    rows without a count are added as fixed-only rows. The count is the
-    fan-out ``contracts_fix``."""
+    one-to-one, every mobile line then left-joins its fixed rows (a hot
+    contract's lines can be split, the fixed rows are replicated), and fixed
+    rows without a count are added as fixed-only rows. The count, times the
+    account's plan rows, is the fan-out ``contracts_fix``."""
     f = fixed.withColumn("_fk", pad_key("fixed_account", width))
     m = mobile.withColumn("_mk", pad_key("fmc_account", width))
     lines = m.groupBy(col("_mk").alias("_ck"), col("mobile_month").alias("_cm")).agg(F.count(F.lit(1)).alias("_n"))
     f = f.join(lines, (col("_fk") == col("_ck")) & (col("fixed_month") == col("_cm")), "left").drop("_ck", "_cm")
+    f = f.withColumn("_plans", F.count(F.lit(1)).over(Window.partitionBy("_fk", "fixed_month", "fixed_account")))
     matched = m.join(f, (col("_fk") == col("_mk")) & (col("fixed_month") == col("mobile_month")), "left")
     only_fixed = f.where(col("_n").isNull())
     j = matched.unionByName(only_fixed, allowMissingColumns=True)
@@ -96,8 +97,9 @@ def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
                                     (fa & ma, F.concat("fixed_account", "mobile_account"))]),
         "final_bom_active_flag": (_is1("active_bom") | _is1("mobile_active_bom")).cast("int"),
         "final_eom_active_flag": (_is1("active_eom") | _is1("mobile_active_eom")).cast("int"),
-        "contracts_fix": F.when(fa, F.coalesce(col("_n"), F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long")),
-    }).drop("_n")
+        "contracts_fix": F.when(fa, F.coalesce(col("_n"), F.lit(1).cast("long")) * col("_plans")).otherwise(
+            F.lit(1).cast("long")),
+    }).drop("_n", "_plans")
 
 
 def fmc_status(df: DataFrame, parity: bool = False) -> DataFrame:

@@ -153,10 +153,11 @@ def active_by_mrc(df: DataFrame, params: Params = Params(), key: str = KEY, day:
 
 def period_summary(rep: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY) -> DataFrame:
     """One row per (account, period) from the repaired daily rows: the
-    first-day snapshot (a struct of the opening/closing columns and its
-    repaired age), whether some record is below the involuntary limit, the
-    repaired and raw age on the last record, the products seen, the last
-    install, the products on the first record and whether the account is
+    distinct plan rows of the first day (``first_days``, structs of the
+    opening/closing columns and the repaired age; ``first_day`` is one of
+    them), whether some record is below the involuntary limit, the largest
+    repaired and raw age on the last day, the products seen, the last
+    install, the products on the first day and whether the account is
     active for a rejoin (overdue within the limit, or nothing overdue and a
     payment in the period).
 
@@ -169,19 +170,22 @@ def period_summary(rep: DataFrame, params: Params = Params(), key: str = KEY, da
     lim = params.invol_days
     first_day = F.struct(d.alias("date"), col("mora_fix").alias("mora_fix"),
                          *[col(src).alias(dst) for src, dst in _SIDE_COLS])
-    last = F.struct(col("mora_fix").alias("fix"), col("fi_outst_age").alias("raw"), d.alias("d"))
-    first_products = F.struct(col("pd_vo_prod_nm").alias("vo"), col("pd_bb_prod_nm").alias("bb"),
-                              col("pd_tv_prod_nm").alias("tv"))
+    on_first = F.when(d == g.trunc(d), first_day)
+    # rows of one day tie: of the last day the largest ages count, of the first every product of some row
+    at_last = lambda c: F.max(F.struct(d, col(c)))[c]
+    at_first = lambda c: F.min(F.struct(d, col(c).isNull(), col(c)))[c]
     mf = col("mora_fix")
     active = (mf <= lim) | (mf.isNull() & (g.trunc(col("lst_pymt_dt").cast("date")) == col("month")))
     return rep.groupBy(key, "month").agg(
-        F.max_by(first_day, F.when(d == g.trunc(d), d)).alias("first_day"),
+        F.max(on_first).alias("first_day"),
+        F.collect_set(on_first).alias("first_days"),
         F.max((mf < lim).cast("int")).alias("any_below"),
-        F.max_by(last, d).alias("last"),
+        F.struct(at_last("mora_fix").alias("fix"), at_last("fi_outst_age").alias("raw"), F.max(d).alias("d")).alias("last"),
         (F.max(col("pd_vo_prod_nm").isNotNull().cast("int")) + F.max(col("pd_bb_prod_nm").isNotNull().cast("int"))
          + F.max(col("pd_tv_prod_nm").isNotNull().cast("int"))).alias("invol_rgu_churn"),
         F.max("max_inst").alias("max_inst"),
-        F.min_by(first_products, d).alias("first_products"),
+        F.struct(at_first("pd_vo_prod_nm").alias("vo"), at_first("pd_bb_prod_nm").alias("bb"),
+                 at_first("pd_tv_prod_nm").alias("tv")).alias("first_products"),
         F.min(d).alias("first_record"),
         F.max(active.cast("int")).alias("active"),
     )
@@ -189,19 +193,20 @@ def period_summary(rep: DataFrame, params: Params = Params(), key: str = KEY, da
 
 def summary_side(summary: DataFrame, side: str, params: Params = Params(), key: str = KEY) -> DataFrame:
     """Opening (``b``) or closing (``e``) snapshot from the period summary:
-    the first-day row of period p opens p and closes p - 1 (D14, D15), with
-    the same overdue limits as ``snapshot_side``."""
+    the first-day rows of period p open p and close p - 1 (D14, D15), with
+    the same overdue limits as ``snapshot_side``. An account with several
+    distinct plan rows on that day has as many rows; the repaired age, which
+    only the limits use, does not tell rows apart."""
     g = params.grain
-    fd = summary.where(col("first_day").isNotNull())
-    age = col("first_day.mora_fix")
     if side == "b":
         lim, month = params.bom_max_overdue, col("month")
-        keep = None if lim is None else (age <= lim) | age.isNull()
+        keep = lambda x: (x["mora_fix"] <= lim) | x["mora_fix"].isNull()
     else:
         lim, month = params.eom_max_overdue, g.shift(col("month"), -1)
-        keep = None if lim is None else (age < lim) | age.isNull()
-    if keep is not None:
-        fd = fd.where(keep)
-    cols = [month.alias("month"), col(key).alias(f"account_{side}"), col("first_day.date").alias(f"{side}_date")]
-    cols += [col(f"first_day.{dst}").alias(f"{side}_{dst}") for _, dst in _SIDE_COLS]
+        keep = lambda x: (x["mora_fix"] < lim) | x["mora_fix"].isNull()
+    rows = col("first_days") if lim is None else F.filter("first_days", keep)
+    rows = F.array_distinct(F.transform(rows, lambda x: x.dropFields("mora_fix")))
+    fd = summary.select(col(key), month.alias("month"), F.explode(rows).alias("_fd"))
+    cols = ["month", col(key).alias(f"account_{side}"), col("_fd.date").alias(f"{side}_date")]
+    cols += [col(f"_fd.{dst}").alias(f"{side}_{dst}") for _, dst in _SIDE_COLS]
     return fd.select(*cols)

@@ -95,5 +95,5 @@ def select_fixed(table: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """Unique key check helper: (account, period) must not repeat."""
+    """Keys (account, period) with several rows, one for each pair of opening and closing plan rows."""
     return df.groupBy("fixed_month", "fixed_account").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

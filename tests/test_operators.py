@@ -310,3 +310,51 @@ def test_retention_funnel_counts_master_accounts_with_padded_keys(spark):
                                    "fixed_account string, month date, b_total_rgus double")
     r = retention_funnel(req, master).collect()
     assert [(x.requests, x.located, x.retained, x.request_rgus) for x in r] == [(1, 1, 1, 2.0)]
+
+
+def two_plan_snapshot(spark):
+    cols = ("act_acct_cd string, dt date, act_cust_typ string, act_acct_stat string, pd_vo_prod_nm string, pd_tv_prod_nm string, "
+            "pd_bb_prod_nm string, fi_vo_mrc_amt double, fi_tv_mrc_amt double, fi_bb_mrc_amt double, fi_bill_amt_m0 double, "
+            "fi_outst_age int, oldest_unpaid_bill_dt date, lst_pymt_dt date, c_cust_age int, act_cust_strt_dt date, "
+            "act_acct_inst_dt date, act_contact_phone_1 string")
+
+    def row(acct, day, vo=None, tv=None, bb=None, bill=10.0, age=None):
+        return (acct, day, "RESIDENCIAL", "ACTIVO", vo, tv, bb, 1.0, 1.0, 1.0, bill, age, None, None, 3, dt.date(2021, 1, 1),
+                dt.date(2021, 1, 1), "1")
+    jan, feb, mar = (dt.date(2022, m, 1) for m in (1, 2, 3))
+    data = [row("A", jan, vo="v", bill=10.0), row("A", jan, tv="t", bill=20.0), row("A", jan, tv="t", bill=20.0), row("A", feb, bb="b", bill=5.0),
+            row("B", feb, vo="v", bill=1.0), row("B", feb, bb="b", bill=2.0), row("C", jan, vo="v"), row("C", feb, vo="v"),
+            row("C", feb, vo="v", age=5), row("D", mar, vo="v")]
+    return spark.createDataFrame(data, cols)
+
+
+def test_two_plan_rows_of_a_day_are_kept(spark):
+    from churnlens.plans.fixed import fixed_table
+    got = fixed_table(two_plan_snapshot(spark), Params()).collect()
+    at = lambda a, m: sorted((r.b_plan, r.b_bill_amt, r.e_plan, r.e_bill_amt, r.main_movement)
+                             for r in got if r.fixed_account == a and r.fixed_month == dt.date(2022, m, 1))
+    # the exact copy is one row; each opening row meets the closing row
+    assert at("A", 1) == [("-t-", 20.0, "--b", 5.0, L.MM_SAME), ("v--", 10.0, "--b", 5.0, L.MM_SAME)]
+    lost = [r for r in got if r.fixed_account == "B" and r.fixed_month == dt.date(2022, 2, 1)]
+    assert sorted(r.b_plan for r in lost) == ["--b", "v--"]
+    assert {(r.fixed_churner_type, r.max_rgus_count, r.fixed_rgu_churn) for r in lost} == {(L.FIXED_VOL, 2, 2)}
+    assert len([r for r in got if r.fixed_account == "C" and r.fixed_month == dt.date(2022, 1, 1)]) == 2
+
+
+def test_last_day_counts_its_largest_ages(spark):
+    rows = [("A", D0, 1), ("A", dt.date(2022, 1, 20), None), ("A", dt.date(2022, 1, 20), 95), ("A", dt.date(2022, 1, 20), 3)]
+    df = spark.createDataFrame(rows, "act_acct_cd string, dt date, fi_outst_age int").withColumn("mora_fix", F.col("fi_outst_age"))
+    for c in [src for src, _ in S._SIDE_COLS if src not in df.columns] + ["pd_vo_prod_nm", "lst_pymt_dt"]:
+        df = df.withColumn(c, F.lit(None).cast("date" if c in ("min_inst", "max_inst", "lst_pymt_dt") else "string"))
+    got = S.period_summary(df.withColumn("month", F.trunc("dt", "MM")), Params()).first()
+    assert (got.last.fix, got.last.raw, got.last.d) == (95, 95, dt.date(2022, 1, 20))
+
+
+def test_fan_out_counts_lines_times_plan_rows(spark):
+    from churnlens.operators.convergence import fmc_base
+    fixed = spark.createDataFrame([("1", D0, 1, 1, 10), ("1", D0, 1, 1, 20), ("2", D0, 1, 1, 5), ("2", D0, 1, 1, 6)],
+                                  "fixed_account string, fixed_month date, active_bom int, active_eom int, bill int")
+    mobile = spark.createDataFrame([(f"m{i}", D0, 1, 1, "1") for i in range(3)] + [("m9", D0, 1, 1, None)],
+                                   "mobile_account string, mobile_month date, mobile_active_bom int, mobile_active_eom int, fmc_account string")
+    got = sorted((r.fixed_account or "", r.mobile_account or "", r.bill or 0, r.contracts_fix) for r in fmc_base(fixed, mobile).collect())
+    assert got == [("", "m9", 0, 1)] + [("1", f"m{i}", b, 6) for i in range(3) for b in (10, 20)] + [("2", "", 5, 2), ("2", "", 6, 2)]

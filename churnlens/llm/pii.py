@@ -5,8 +5,11 @@ validated). The words around seeds are lexical patterns; other tokens with a
 digit or an @ are candidate instances and have the same kinds of context. The
 graph of patterns and instances is scored in rounds: a pattern's confidence
 for a kind is the mean score of its distinct instances, an instance's score
-combines the confident patterns it occurs in (seeds are 1). Candidates whose
-score reaches ``ACCEPT`` are reported with the kind their patterns have.
+combines the confident patterns it occurs in (seeds are 1). A pattern needs
+``MIN_SEEDS`` distinct instances that are seeds or accepted by then, so accepted
+candidates induce further patterns. Candidates whose score reaches ``ACCEPT``
+are reported with the kind their patterns have. Context words are those around
+a run of neighbouring matches (no letter or digit between them).
 
 Matches carry no position in Spark SQL, so a text is parted by a pattern into
 gaps and matches, and running lengths give the offsets. Only matches are
@@ -41,7 +44,7 @@ PATTERNS = (
 )
 BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CONTEXT = 80  # characters of a gap in which context words are looked for
-MIN_SEEDS = 3  # distinct seeds that make a pattern
+MIN_SEEDS = 3  # distinct seeds or accepted instances that make a pattern
 CONFIDENT = 0.6  # mean instance score of a pattern that spreads
 ACCEPT = 0.8
 ROUNDS = 3
@@ -70,13 +73,14 @@ def valid(kind, text):
             .when(kind == 3, n.between(9, 15)).otherwise(True))
 
 
-PARTS = "array<struct<kind:int,i:int,gap:bigint,before:string,after:string,match:string>>"
+PARTS = "array<struct<kind:int,i:int,gap:bigint,wordless:boolean,before:string,after:string,match:string>>"
 
 
 def _parts(k: int):
     """Gap i stands before match i of pattern k; the gap after the last match closes the list."""
     return F.transform(F.col(f"g{k}"), lambda g, i: F.struct(
         F.lit(k).alias("kind"), i.alias("i"), F.char_length(g).cast("long").alias("gap"),
+        (~g.rlike(r"[\p{L}\p{N}]")).alias("wordless"),
         F.right(g, F.lit(CONTEXT)).alias("before"), F.left(g, F.lit(CONTEXT)).alias("after"),
         F.get(F.col(f"m{k}"), i).alias("match")))
 
@@ -96,7 +100,11 @@ def _matches(docs: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     length = F.char_length("match").cast("long")
     flat = flat.withColumn("end", F.sum("gap").over(so_far) + F.sum(F.coalesce(length, F.lit(0))).over(so_far))
-    flat = flat.withColumn("after", F.lead("after").over(w)).where("match is not null")
+    # a run of neighbours has the text before its first and after its last match (read backwards, so frames only grow)
+    flat = flat.withColumn("before", F.last(F.when((F.col("i") == 0) | ~F.col("wordless"), F.col("before")), True).over(so_far))
+    later = Window.partitionBy("doc_id", "h", "kind").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    flat = flat.withColumn("after", F.coalesce(F.last(F.when(~F.col("wordless"), F.col("after")), True).over(later), F.lit("")))
+    flat = flat.where("match is not null")
     return flat.select("doc_id", "h", "kind", (F.col("end") - length).alias("start"), "end", "match", "before", "after")
 
 
@@ -122,13 +130,11 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
 
     ``found`` has (kind, instance, pattern): kind null for candidates.
     """
-    edges = stage(found.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("times")), "edges")
-    seeded = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    seeded = stage(seeded.where(F.col("seeds") >= min_seeds), "seeded")
+    edges = stage(found.groupBy("pattern", "instance").agg(F.collect_set("kind").alias("kinds")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
-    sizes = stage(sizes.join(stage(seeded.select("pattern").distinct(), "known"), "pattern", "left_semi"), "sizes")
-    # only patterns with enough seeds can ever spread, so the graph is theirs
-    edges = stage(edges.join(sizes, "pattern", "left_semi"), "graph")
+    sizes = stage(sizes.where(F.col("instances") >= min_seeds), "sizes")
+    # a pattern with fewer distinct instances can never spread; any other may, once enough of them are accepted
+    edges = stage(edges.join(sizes, "pattern", "left_semi").select("pattern", "instance", F.explode_outer("kinds").alias("kind")), "graph")
     scores = edges.where("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     scores = stage(scores, "scores")
     seeds = scores
@@ -137,8 +143,9 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
         met = edges.where("kind is null").select("pattern", "instance").join(scores, "instance").select(
             "pattern", "kind", "score").unionByName(edges.where("kind is not null").select(
                 "pattern", "kind", F.lit(1.0).alias("score")))
-        mean = met.groupBy("pattern", "kind").agg(F.sum("score").alias("s")).join(sizes, "pattern")
-        sure = mean.join(seeded, ["pattern", "kind"], "left_semi").withColumn("confidence", F.col("s") / F.col("instances"))
+        mean = met.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count_if(F.col("score") >= accept).alias("n"))
+        mean = mean.where(F.col("n") >= min_seeds).join(sizes, "pattern")
+        sure = mean.withColumn("confidence", F.col("s") / F.col("instances"))
         sure = stage(sure.where(F.col("confidence") >= confident).select("pattern", "kind", "confidence"), "patterns")
         gained = edges.where("kind is null").select("pattern", "instance").join(sure, "pattern").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.95)))))).alias("score"))

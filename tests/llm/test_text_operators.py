@@ -147,6 +147,25 @@ def test_pii_discovers_unseen_identifiers_by_context(llm):
         assert got[i] == ("phone:31:46", 0)
 
 
+def test_pii_accepted_instances_induce_patterns(llm):
+    data = [(i, f"please call helpdesk extension +1 555 010 {2000 + i} for info") for i in range(9)]
+    data += [(20 + i, f"please call helpdesk extension {9000000 + 7 * i} for info") for i in range(4)]
+    data += [(30 + i, f"reach our night desk via {9000000 + 7 * i} any time") for i in range(4)]
+    data += [(40, "reach our night desk via 7700001 any time"), (41, "in the year of 8100000 nothing happened")]
+    data += [(50 + i, f"only the two of {9000000 + 7 * i} are known") for i in range(2)] + [(52, "only the two of 6600001 are known")]
+    got = {r.doc_id: (r.spans, r.n_discovered) for r in pii.find_pii(llm.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[40] == ("phone:25:32", 1) and got[30] == ("phone:25:32", 1)
+    assert got[41] == ("", 0) and got[52] == ("", 0)
+
+
+def test_pii_context_around_neighbouring_matches(llm):
+    data = [(i, f"call me on +1 555 010 {2000 + i}") for i in range(9)]
+    data += [(20, "call me on (555) 123-4567"), (21, "call me on 12 / 765-4321 9"), (22, "call me up (555) 123-9999")]
+    data += [(30 + i, f"+1 555 020 {2000 + i} rings all day") for i in range(9)] + [(40, "8000001 (4) - 5 rings all day")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(llm.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert (got[20], got[21], got[22], got[40]) == ("phone:17:25", "phone:16:24", "", "phone:0:7")
+
+
 def test_pii_plan_is_native(llm, docs):
     plan = pii.find_pii(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

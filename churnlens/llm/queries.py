@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import ann, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, pii, secrets
+from churnlens.llm import ann, bpe, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, pii, secrets
 from churnlens.llm.common import documents, prepare
 
 
@@ -73,8 +73,19 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_bpe_codec(spark, sf_dir):
+    """Ids of all documents by the public word BPE, and their decoded texts, as digests."""
+    import public_tokenizers
+
+    prepare(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_find_pii, op4_mix_sources, op5_ngram_jaccard_join,
-                                  op6_best_fit_packing, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_license_scan)}
+                                  op6_best_fit_packing, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_license_scan, op11_bpe_codec)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,
        "op7_line_dedup": line_dedup.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlens.llm import ann, bpe, conversations, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, pii, secrets
+from churnlens.llm import ann, bpe, conversations, exact_dedup, langid, licenses, line_dedup, mixing, ngram_join, packing, pii, secrets, spelling
 from churnlens.llm.common import documents, prepare
 
 
@@ -91,9 +91,15 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.report(conversations.damaged(rows), rows)
 
 
+def op13_spelling_variants(spark, sf_dir):
+    """Words of all documents with the commoner spelling each is a variant of."""
+    prepare(spark)
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_find_pii, op4_mix_sources, op5_ngram_jaccard_join,
                                   op6_best_fit_packing, op7_line_dedup, op8_nearest_neighbours, op9_secret_scan, op10_license_scan, op11_bpe_codec,
-                                  op12_conversation_repair)}
+                                  op12_conversation_repair, op13_spelling_variants)}
 
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_ngram_jaccard_join": ngram_join.ORACLE,
        "op7_line_dedup": line_dedup.ORACLE}

@@ -33,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.common import cut_text, runs, text_sizes
+
 ENCODED = "doc_id long, n_tokens long, ids binary"
 LATIN = 0x180  # below, NFC changes nothing and lower case stays where letters are listed
 SLICE = 1 << 18  # code points cut into words at once
+BLANK = re.compile("[ \t\r\n](?=[\x00-\u02ff])")  # white space that no mark follows: words and marks end there
 CACHED = 300_000  # distinct words a worker keeps
 SHORT = 32  # symbols of a word that merges in the shared trees
 NONE = np.iinfo(np.int64).max  # no pair
@@ -66,19 +69,6 @@ def latin_words() -> re.Pattern:
     return re.compile(f"'(?:[stmd]|re|ve|ll)|[{letters}]+|[{digits}]|[^{blanks}{letters}{digits}]+")
 
 
-def slices(text: str, size: int | None = None):
-    """Pieces of about ``size`` code points; each but the last ends at white space that no mark follows."""
-    size = SLICE if size is None else size
-    start, blank = 0, re.compile("[ \t\r\n](?=[\x00-˿])")
-    while len(text) - start > size:
-        end = blank.search(text, start + size)
-        if end is None:
-            break
-        yield text[start:end.end()]
-        start = end.end()
-    yield text[start:]
-
-
 class Merges:
     """Merge ranks by pair of symbols, for one pair and for many."""
 
@@ -284,7 +274,7 @@ class Codec:
             held.clear()
 
         for i, text in enumerate(texts):
-            for piece in slices(text):
+            for piece in cut_text(text, SLICE, BLANK):
                 held.append((i, self.words(piece)))
                 size += len(piece)
                 if size >= SLICE:
@@ -305,18 +295,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def runs(sizes: list[int], limit: int):
-    """(start, end) of consecutive rows of about ``limit`` in all."""
-    start, total = 0, 0
-    for k, n in enumerate(sizes):
-        total += n
-        if total >= limit:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row."""
     names = [f.split()[0] for f in ENCODED.split(", ")]
@@ -325,7 +303,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec(path)
         for b in batches:
             texts = b.column(1)
-            for lo, hi in runs([len(t) if (t := x.as_buffer()) else 0 for x in texts], 2 * SLICE):
+            for lo, hi in runs(text_sizes(texts), 2 * SLICE):
                 got = c.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(g) // 4 for g in got], pa.int64()),
                                                   pa.array(got, pa.binary())], names)
@@ -342,7 +320,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for b in batches:
             ids = b.column(2)
-            for lo, hi in runs([len(t) if (t := x.as_buffer()) else 0 for x in ids], 2 * SLICE):
+            for lo, hi in runs(text_sizes(ids), 2 * SLICE):
                 part = b.slice(lo, hi - lo)
                 texts = [None if x is None else c.decode(x) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)

@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from functools import reduce
 
@@ -119,3 +120,31 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: st
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]):
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def runs(sizes: list[int], limit: int):
+    """(start, end) of consecutive rows whose sizes add up to about ``limit``."""
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= limit:
+            yield start, k + 1
+            start, total = k + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_sizes(column) -> list[int]:
+    """Bytes of each value of an Arrow string or binary column (nulls: 0)."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+def cut_text(text: str, size: int, cut: re.Pattern) -> list[str]:
+    """Pieces of about ``size`` code points that part where ``cut`` matches (its end)."""
+    out, start = [], 0
+    while len(text) - start > size and (m := cut.search(text, start + size)):
+        out.append(text[start:m.end()])
+        start = m.end()
+    return [*out, text[start:]]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import stage
+from churnlens.llm.common import runs, stage, text_sizes
 
 CAPACITY = 1024
 END_ID = 2
@@ -53,13 +53,14 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        from churnlens.llm.tokens import encoder
+        from churnlens.llm.tokens import BATCH_CHARS, encoder
 
         enc = encoder(path)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(ids), 2000):
-                rows = list(piece_rows(ids[lo:lo + 2000], enc.encode(texts[lo:lo + 2000]), capacity, end_id))
+            for lo, hi in runs(text_sizes(b.column(1)), BATCH_CHARS):  # texts become Python strings a slice at a time
+                part = b.slice(lo, hi - lo)
+                arrays = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                rows = list(piece_rows(part.column(0).to_pylist(), arrays, capacity, end_id))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -17,12 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 
+from churnlens.llm.common import cut_text
+
 LIMIT = 0x250  # code points the cutter covers
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
-CACHED_WORDS = 1_500_000  # distinct words kept by one worker
+CACHED_WORDS = 250_000  # distinct words kept by one worker
 LONGEST_WORD = 64  # longer ones are encoded on their own, by their text
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 400_000  # about 60 bytes of arrays per code point
+BETWEEN = re.compile(r"(?<=[^\s])(?= [^\s])")  # before a blank that joins the next word: words end there
 
 
 def _class(code: int) -> int:
@@ -79,6 +82,16 @@ class Encoder:
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; long texts are encoded in pieces that part between words."""
+        if all(len(t) <= BATCH_CHARS for t in texts):
+            return self._encode(texts)
+        out = []
+        for t in texts:
+            pieces = [self._encode([p])[0] for p in cut_text(t, BATCH_CHARS, BETWEEN)]
+            out.append(np.concatenate(pieces))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         plain, whole, size = [], [], 0
         for i, t in enumerate(texts):

@@ -16,6 +16,7 @@ __all__ = [
     "strip_dots", "parse_mixed_date", "yyyymm_to_date", "billing_system",
     "months_crossed", "months_full", "weeks_full", "weeks_crossed", "days_between",
     "safe_ratio", "round_half_up", "DEFAULT_MARKERS", "DUMMY_EMAILS",
+    "DUMMY_EMAILS_DATED",
 ]
 
 # Placeholder markers the source registers use for "no value".
@@ -34,6 +35,13 @@ DUMMY_EMAILS = (
     "NO@GMAIL.COM",
 )
 
+# The shorter list of the dated (BigQuery) match, in its spelling.
+DUMMY_EMAILS_DATED = (
+    "NOTIENE@GMAIL.COM",
+    "NOREPORTA@CABLETICA.COM",
+    "NOREPORTACORREO@CABLETICA.COM",
+)
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

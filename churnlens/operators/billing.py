@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import labels as L
@@ -76,41 +76,69 @@ def retention_funnel(requests: DataFrame, master: DataFrame, params: Params = Pa
 def bill_payments(bills: DataFrame, moves: DataFrame, params: Params = Params()) -> DataFrame:
     """First bill per account and period with its first payment (D104).
     Payments are reduced per bill first (partial aggregation), then joined
-    one-to-one to the bills."""
+    one-to-one to the bills by their ids padded to ten digits."""
     g = params.grain
-    pay = moves.groupBy(col("fact_aplica").alias("factura")).agg(F.min("fecha_mov").alias("first_payment"))
-    b = bills.join(pay, "factura", "left").withColumn("month", g.trunc(col("fecha_fact")))
-    first = F.min_by(F.struct("fecha_fact", "factura", "first_payment"), F.struct("fecha_fact", "factura"))
+    pay = moves.groupBy(pad_key("fact_aplica", 10).alias("_paid")).agg(F.min("fecha_mov").alias("first_payment"))
+    b = bills.join(pay, pad_key("factura", 10) == col("_paid"), "left").withColumn("month", g.trunc(col("fecha_fact")))
+    first = F.min_by(F.struct("fecha_fact", "factura", "first_payment"), F.struct(col("fecha_fact"), pad_key("factura", 10)))
     return (b.groupBy("contrato", "month").agg(first.alias("_f"))
              .select("contrato", "month", col("_f.factura").alias("first_bill"),
                      col("_f.fecha_fact").alias("bill_date"), col("_f.first_payment").alias("first_payment")))
 
 
-def oldest_unpaid(first_bills: DataFrame, bills: DataFrame, moves: DataFrame, params: Params = Params()) -> DataFrame:
-    """Oldest unpaid bill at the end of each billed period (D105).
+def bill_standing(first_bills: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """What the unpaid-bill rules need of an account's first bills (D105):
+    per (account, period) the bill and, where it was dated exactly one period
+    before, the previous one, each with its payment; and per account its oldest
+    unpaid bill and the first and the last bill that was paid.
 
-    Candidates are one-to-one per (account, period): the previous period's
-    first bill, the current first bill and the account's oldest bill that was
-    never paid. First match wins: previous unpaid at the period end, current
-    unpaid at the period end, oldest never-paid bill issued by then."""
+    An account has one first bill per period, so the window and the aggregate
+    hold no more rows per account than there are periods."""
     g = params.grain
-    end = F.date_sub(g.shift(col("month"), 1), 1)
-    prev = first_bills.select(col("contrato").alias("_pc"), g.shift(col("month"), 1).alias("_pm"),
-                              col("bill_date").alias("prev_bill"), col("first_payment").alias("prev_paid"))
-    paid_bills = moves.select(col("fact_aplica").alias("factura")).distinct()
-    never = (bills.join(paid_bills, "factura", "left_anti").groupBy(col("contrato").alias("_nc"))
-                  .agg(F.min("fecha_fact").alias("never_paid_bill")))
-    j = (first_bills.join(prev, (col("contrato") == col("_pc")) & (col("month") == col("_pm")), "left")
-                    .join(never, col("contrato") == col("_nc"), "left")
-                    .withColumn("period_end", end))
-    pe = col("period_end")
+    before = Window.partitionBy("contrato").orderBy("month")
+    prev = F.lag(F.struct("bill_date", "first_payment")).over(before)
+    follows = g.shift(col("_prev.bill_date"), 1) == col("bill_date")
+    bills = first_bills.withColumn("_prev", prev).select(
+        col("contrato").alias("_bc"), col("month").alias("_bm"), "bill_date", "first_payment",
+        F.when(follows, col("_prev.bill_date")).alias("prev_bill"), F.when(follows, col("_prev.first_payment")).alias("prev_payment"))
+    paid = col("first_payment").isNotNull()
+    order = F.when(paid, F.struct("first_payment", "month"))
+    accounts = first_bills.groupBy(col("contrato").alias("_ac")).agg(
+        F.min(F.when(~paid, col("bill_date"))).alias("unpaid_bill"), F.min(order).alias("_first"), F.max(order).alias("_last"))
+    return bills, accounts
+
+
+def oldest_unpaid(days: DataFrame, first_bills: DataFrame, params: Params = Params(), account: str = "act_acct_cd",
+                  day: str = "dt") -> DataFrame:
+    """Oldest unpaid bill on every snapshot day of an account and its age in
+    days (D105). Eight rules in order: the account's first paid bill while it
+    was open; nothing once the period's bill is paid; the period's bill or the
+    previous one while open, by which of them was paid when; the oldest bill
+    never paid, when the period has a bill; the last paid bill while it was
+    open. Bills paid the same day count in order of their period.
+
+    Days meet the standing of their account by two joins on the account (the
+    second also on the period); a hot account's days can be split, the other
+    side has a row per account and period."""
+    bills, accounts = bill_standing(first_bills, params)
+    d = days.select(col(account).alias("contrato"), col(day).cast("date").alias("day")).distinct()
+    d = d.join(accounts, col("contrato") == col("_ac"), "left")
+    d = d.join(bills, (col("contrato") == col("_bc")) & (params.grain.trunc(col("day")) == col("_bm")), "left")
+    t, bill, paid = col("day"), col("bill_date"), col("first_payment")
+    prev, prev_paid, never = col("prev_bill"), col("prev_payment"), col("unpaid_bill")
+    first, last = col("_first.month"), col("_last.month")
     oldest = case_when([
-        (col("prev_bill").isNotNull() & (col("prev_paid").isNull() | (col("prev_paid") > pe)), col("prev_bill")),
-        ((col("bill_date") <= pe) & (col("first_payment").isNull() | (col("first_payment") > pe)), col("bill_date")),
-        (col("never_paid_bill") <= pe, col("never_paid_bill")),
+        ((t < col("_first.first_payment")) & (t >= first), first),
+        (t >= paid, F.lit(None).cast("date")),
+        ((paid > t) & prev_paid.isNull() & prev.isNull() & (t >= bill), bill),
+        ((t < paid) & (t < prev_paid) & (t >= prev), prev),
+        ((t >= prev_paid) & (t <= paid) & (t >= bill), bill),
+        (paid.isNull() & prev_paid.isNotNull() & (t < prev_paid) & (t >= prev), prev),
+        (bill.isNotNull() & (t >= never), never),
+        ((t < col("_last.first_payment")) & (t >= last), last),
     ])
-    return j.select("contrato", "month", "period_end", oldest.alias("oldest_unpaid_bill"),
-                    F.datediff(pe, oldest).alias("overdue_days"))
+    return d.select("contrato", "day", bill.alias("current_bill"), oldest.alias("oldest_unpaid_bill"),
+                    F.datediff(t, oldest).alias("overdue_days"))
 
 
 def reconcile(bills: DataFrame, moves: DataFrame) -> DataFrame:

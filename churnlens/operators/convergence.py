@@ -37,23 +37,37 @@ def _in(c: str, *vals) -> Column:
 
 
 def fixed_emails(snap: DataFrame, email: str = "act_contact_mail_1", key: str = "act_acct_cd",
-                 dummies=DUMMY_EMAILS) -> DataFrame:
-    """One row per usable e-mail of the fixed snapshots with the smallest
-    account that carries it. Reducing the fixed side to one row per e-mail
-    first keeps the match linear: a mobile line meets at most one row, even
-    when thousands of accounts share an address (D60)."""
-    return (snap.where(col(email).isNotNull() & ~col(email).isin(list(dummies)))
-                .groupBy(col(email).alias("email")).agg(F.min(key).alias("contr")))
+                 dummies=DUMMY_EMAILS, day: str | None = None) -> DataFrame:
+    """Distinct (e-mail, account) of the fixed snapshots without dummy
+    addresses; with ``day`` also the snapshot day (D60)."""
+    keep = [col(email).alias("email"), col(key).alias("contr")] + ([col(day).cast("date").alias("email_day")] if day else [])
+    return snap.where(col(email).isNotNull() & ~col(email).isin(list(dummies))).select(*keep).distinct()
 
 
 def email_match(register: DataFrame, fixed: DataFrame, dummies=DUMMY_EMAILS,
-                business=L.BUSINESS_SEGMENTS) -> DataFrame:
-    """Near-FMC candidates: register lines whose e-mail is also a fixed
-    account's e-mail; one row per (line, register file) (D60)."""
+                business=L.BUSINESS_SEGMENTS, salt: int = 1) -> DataFrame:
+    """Near-FMC candidates: every fixed account whose e-mail is a register
+    line's, one row per (line, register file, account) (D60).
+
+    When ``fixed`` carries ``email_day`` (the dated form) the register file
+    must be of that day. An address many accounts share multiplies rows on
+    purpose: each account keeps its match. Both sides are distinct before they
+    meet; ``salt`` deals the accounts of an address over so many tasks (the
+    register side is repeated per salt) where adaptive skew handling is off.
+    """
     r = (register.where(~col("des_segmento_cliente").isin(list(business)) & ~col("nom_email").isin(list(dummies)))
                  .select(strip_dots("id_abonado").alias("near_line"), col("fecha_parque").cast("date").alias("near_file"),
                          col("nom_email").alias("email")))
-    return r.where(col("near_line") != "").distinct().join(fixed, "email", "inner")
+    r = r.where(col("near_line") != "").distinct()
+    keys = ["email"]
+    if "email_day" in fixed.columns:
+        fixed = fixed.withColumnRenamed("email_day", "near_file")
+        keys.append("near_file")
+    if salt > 1:
+        fixed = fixed.withColumn("_salt", F.pmod(F.xxhash64("contr"), F.lit(salt)))
+        r = r.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salt)])))
+        keys.append("_salt")
+    return r.join(fixed, keys, "inner").select("near_line", "near_file", "email", "contr")
 
 
 def attach_near(mobile: DataFrame, near: DataFrame, params: Params = Params()) -> DataFrame:
@@ -69,6 +83,67 @@ def attach_near(mobile: DataFrame, near: DataFrame, params: Params = Params()) -
     return m.drop("_bl", "_bf", "_el", "_ef")
 
 
+def resolve_contract(mobile: DataFrame) -> DataFrame:
+    """Contract of each mobile row from dated sources in order: the opening
+    file, the opening e-mail match, the closing file, the closing e-mail match
+    (D61); ``fixed_count`` counts the rows that then share it in a period (D65).
+
+    ``mobile`` comes from ``attach_near``, so a line whose address several
+    accounts share has a row per account; the count is a partial aggregate
+    joined back from the left, so a hot contract's rows can be split."""
+    m = mobile.withColumns({
+        "b_contract_adj": F.coalesce("b_fixed_contract", "b_contr"),
+        "e_contract_adj": F.coalesce("e_fixed_contract", "e_contr"),
+    }).withColumn("contract_adj", F.coalesce("b_contract_adj", "e_contract_adj"))
+    count = m.where(col("contract_adj").isNotNull()).groupBy(
+        col("contract_adj").alias("_cc"), col("mobile_month").alias("_cm")).agg(F.count(F.lit(1)).alias("fixed_count"))
+    return m.join(count, (col("contract_adj") == col("_cc")) & (col("mobile_month") == col("_cm")), "left").drop("_cc", "_cm")
+
+
+def fmc_base_resolved(fixed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Fixed-mobile rows by the resolved contract (D64-D67, BigQuery form):
+    the final account is the fixed one where there is one, the fan-out is
+    ``fixed_count``, and charges are rounded after the division (D66).
+
+    Rows that differ only in the e-mail match are one row, as there; the full
+    join is a left join plus fixed rows whose (account, period) no line has."""
+    m = resolved.withColumn("mobile_month", col("mobile_month").cast("date"))
+    matched = m.join(fixed, (col("fixed_account") == col("contract_adj")) & (col("fixed_month") == col("mobile_month")), "left")
+    met = m.where(col("contract_adj").isNotNull()).select(
+        col("contract_adj").alias("_mc"), col("mobile_month").alias("_mm")).distinct()
+    only_fixed = fixed.join(met, (col("fixed_account") == col("_mc")) & (col("fixed_month") == col("_mm")), "left_anti")
+    j = matched.unionByName(only_fixed, allowMissingColumns=True)
+    fa, ma = col("fixed_account").isNotNull(), col("mobile_account").isNotNull()
+    n = F.coalesce(col("fixed_count"), F.lit(1).cast("long"))
+
+    def status(active, mobile_active, email, contract, near_needs_active, lost):
+        near = col(email).isNotNull() & col(contract).isNull()
+        return case_when([
+            (fa & ma & _is1(active) & _is1(mobile_active) & col(contract).isNotNull(), L.FMC_SOFT),
+            ((near & _is1(active) if near_needs_active else near) | (_is1(active) & _is1(mobile_active)), L.FMC_NEAR),
+            (fa & _is1(active) & _not1(mobile_active), L.FMC_FIXED_ONLY),
+            (ma & _is1(mobile_active) & _not1(active) & lost, L.FMC_MOBILE_ONLY),
+        ])
+
+    def total(fixed_charge, mobile_charge):
+        share = F.round(F.coalesce(col(fixed_charge) / n, F.lit(0.0)), 0)
+        return F.round(share + F.coalesce(col(mobile_charge), F.lit(0.0)), 0)
+
+    out = j.withColumns({
+        "month": F.when(fa, col("fixed_month")).otherwise(col("mobile_month")),
+        "final_account": F.coalesce("fixed_account", "mobile_account"),
+        "final_bom_active_flag": (_is1("active_bom") | _is1("mobile_active_bom")).cast("int"),
+        "final_eom_active_flag": (_is1("active_eom") | _is1("mobile_active_eom")).cast("int"),
+        "contracts_fix": n,
+        "b_fmc_status": status("active_bom", "mobile_active_bom", "b_email", "b_fixed_contract", True, F.lit(True)),
+        "e_fmc_status": status("active_eom", "mobile_active_eom", "e_email", "e_fixed_contract", False,
+                               col("mobile_churn_type").isNull()),
+        "b_total_mrc": total("b_bill_amt", "b_mobile_mrc"), "e_total_mrc": total("e_bill_amt", "e_mobile_mrc"),
+    })
+    return out.drop("b_email", "e_email", "b_contr", "e_contr", "b_contract_adj", "e_contract_adj", "contract_adj",
+                    "fixed_count").distinct()
+
+
 def fmc_base(fixed: DataFrame, mobile: DataFrame, width: int = 10) -> DataFrame:
     """Full outer join on the padded contract and the period, with month,
     combined account, active flags and the fixed fan-out (D64, D65).
@@ -208,6 +283,11 @@ def fmc_segment(df: DataFrame) -> DataFrame:
     return df.withColumns({"b_fmc_segment": case_when(b), "e_fmc_segment": case_when(e)})
 
 
+def whole(c: str) -> Column:
+    """A charge in whole units, 0 when absent: the Presto form casts charges to integers before it adds them."""
+    return F.coalesce(F.round(col(c), 0), F.lit(0.0))
+
+
 def final_churn(df: DataFrame) -> DataFrame:
     """Full / fixed / mobile / previous / non churner (D71) and totals."""
     fct, mct = col("fixed_churner_type"), col("mobile_churn_type")
@@ -222,8 +302,8 @@ def final_churn(df: DataFrame) -> DataFrame:
             (fct.isNull() & mct.isNotNull(), L.CHURN_MOBILE),
             ((fct.isNotNull() & _not1("active_bom")) | (mct.isNotNull() & _not1("mobile_active_bom")), L.CHURN_PREVIOUS),
         ], L.CHURN_NONE),
-        "b_total_mrc": F.coalesce(col("b_bill_amt"), F.lit(0.0)) / n + F.coalesce(col("b_mobile_mrc"), F.lit(0.0)),
-        "e_total_mrc": F.coalesce(col("e_bill_amt"), F.lit(0.0)) / n + F.coalesce(col("e_mobile_mrc"), F.lit(0.0)),
+        "b_total_mrc": whole("b_bill_amt") / n + whole("b_mobile_mrc"),
+        "e_total_mrc": whole("e_bill_amt") / n + whole("e_mobile_mrc"),
         "b_total_rgus": (F.coalesce(col("b_num_rgus"), F.lit(0)) + col("b_mobile_rgus")) / n,
         "e_total_rgus": (F.coalesce(col("e_num_rgus"), F.lit(0)) + col("e_mobile_rgus")) / n,
         "total_rgu_churn": F.coalesce(col("fixed_rgu_churn"), F.lit(0)) / n
@@ -359,15 +439,37 @@ def phone_match(fixed: DataFrame, mobile: DataFrame, phone_cols=("act_contact_ph
         key, *by, F.coalesce("_matched", "_own").alias("matched_phone"), "phone_priority")
 
 
-def household_match(fixed: DataFrame, mobile: DataFrame, household: str = "household_id", day: str = "dt",
-                    key: str = "act_acct_cd", line: str = "mobile_account") -> DataFrame:
-    """Real FMC (D62): a fixed account and a mobile line of the same household
-    on the same day, kept when both bases have the pair. Each side is reduced
-    to one row per (household, day) — the smallest account/line — so a large
-    household yields one pair, not all combinations."""
-    f = fixed.groupBy(household, day).agg(F.min(key).alias("fmc_fixed"))
-    m = mobile.groupBy(household, day).agg(F.min(line).alias("fmc_mobile"))
-    return f.join(m, [household, day], "inner")
+def household_match(fixed: DataFrame, mobile: DataFrame, fixed_base: DataFrame, mobile_base: DataFrame,
+                    household: str = "household_id", day: str = "dt", key: str = "act_acct_cd",
+                    line: str = "mobile_account", params: Params = Params()) -> DataFrame:
+    """Real FMC (D62): fixed accounts and mobile lines that share a household
+    on a day, each present in the base of its period.
+
+    One row per member (``side`` 'fixed' or 'mobile') of a household-day that
+    has both sides, with the household's representative pair (smallest account,
+    smallest line) and the size of each side: an account and a line match
+    exactly when they are members of one household-day, so no member and no
+    link is lost and the rows stay linear however large a household is.
+    ``fixed_base`` (fixed_account, fixed_month) and ``mobile_base``
+    (mobile_account, mobile_month) decide presence."""
+    g = params.grain
+
+    def members(df, member, base, account, month):
+        m = df.where(col(household).isNotNull()).select(
+            col(household).alias("household_id"), col(day).cast("date").alias("dt"), col(member).alias("member")).distinct()
+        present = base.select(col(account).alias("_pa"), col(month).alias("_pm")).distinct()
+        return m.join(present, (col("member") == col("_pa")) & (g.trunc(col("dt")) == col("_pm")), "left_semi")
+
+    f = members(fixed, key, fixed_base, "fixed_account", "fixed_month")
+    m = members(mobile, line, mobile_base, "mobile_account", "mobile_month")
+    both = f.withColumn("side", F.lit("fixed")).unionByName(m.withColumn("side", F.lit("mobile")))
+    is_fixed = col("side") == "fixed"
+    pair = both.groupBy("household_id", "dt").agg(
+        F.min(F.when(is_fixed, col("member"))).alias("fmc_fixed"), F.min(F.when(~is_fixed, col("member"))).alias("fmc_mobile"),
+        F.count(F.when(is_fixed, 1)).alias("n_fixed"), F.count(F.when(~is_fixed, 1)).alias("n_mobile"),
+    ).where((col("n_fixed") > 0) & (col("n_mobile") > 0))
+    return both.join(pair, ["household_id", "dt"], "inner").select(
+        "household_id", "dt", "side", "member", "fmc_fixed", "fmc_mobile", "n_fixed", "n_mobile")
 
 
 def fmc_list_periods(fmc_list: DataFrame, params: Params = Params(), business_unit: str | None = None,

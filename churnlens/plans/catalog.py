@@ -131,6 +131,40 @@ def q_email_match(spark, sf):
     return _near(spark, sf).select("near_line", "near_file", "email", "contr")
 
 
+def _near_dated(spark, sf):
+    from churnlens.functions.keys import DUMMY_EMAILS_DATED
+    from churnlens.operators import convergence as V
+    ev = T.load(spark, sf, "events")
+    fixed = V.fixed_emails(T.fixed_snapshot(ev), dummies=DUMMY_EMAILS_DATED, day="dt")
+    return V.email_match(T.mobile_register(ev), fixed, dummies=DUMMY_EMAILS_DATED)
+
+
+def _resolved(spark, sf):
+    from churnlens.operators import convergence as V
+    from churnlens.operators.mobile import mobile_table
+    reg, moves = _mobile_inputs(spark, sf)
+    return V.resolve_contract(V.attach_near(mobile_table(reg, moves, P), _near_dated(spark, sf), P))
+
+
+@register("email_match_dated")
+def q_email_match_dated(spark, sf):
+    return _near_dated(spark, sf)
+
+
+@register("contract_resolution")
+def q_contract_resolution(spark, sf):
+    return _resolved(spark, sf).select("mobile_month", "mobile_account", "b_contr", "e_contr", "b_contract_adj",
+                                       "e_contract_adj", "contract_adj", "fixed_count")
+
+
+@register("fmc_base_resolved")
+def q_fmc_base_resolved(spark, sf):
+    from churnlens.operators.convergence import fmc_base_resolved
+    return fmc_base_resolved(_fixed(spark, sf).table, _resolved(spark, sf)).select(
+        "month", "final_account", "fixed_account", "mobile_account", "final_bom_active_flag", "final_eom_active_flag",
+        "b_fmc_status", "e_fmc_status", "contracts_fix", "b_total_mrc", "e_total_mrc")
+
+
 @register("fmc_table")
 def q_fmc_table(spark, sf):
     t = _fmc(spark, sf)
@@ -218,8 +252,9 @@ def q_bill_payments(spark, sf):
 @register("oldest_unpaid_bill")
 def q_oldest_unpaid_bill(spark, sf):
     from churnlens.operators.billing import bill_payments, oldest_unpaid
-    b, m = _bills(spark, sf)
-    return oldest_unpaid(bill_payments(b, m, MONTHLY), b, m, MONTHLY)
+    orders = T.load(spark, sf, "orders")
+    first = bill_payments(T.cycle_bills(orders), T.cycle_moves(orders), MONTHLY)
+    return oldest_unpaid(T.crm_days(orders), first, MONTHLY)
 
 
 @register("payment_reconciliation")
@@ -453,14 +488,13 @@ def q_phone_match(spark, sf):
 @register("household_match")
 def q_household_match(spark, sf):
     from churnlens.operators.convergence import household_match
+    from churnlens.operators.mobile import clean_register, mobile_base
     snap = _snap(spark, sf)
     reg, _ = _mobile_inputs(spark, sf)
-    fx = T.with_household(snap.where(F.col("dt") == F.trunc("dt", "week")), "act_acct_cd")
-    reg = reg.where(F.col("id_abonado") != "")
-    mob = T.with_household(reg.select(F.col("fecha_parque").alias("dt"),
-                                      F.replace("id_abonado", F.lit("."), F.lit("")).alias("mobile_account")),
-                           "mobile_account", line_prefix=True)
-    return household_match(fx, mob)
+    lines = reg.where(F.col("id_abonado") != "").select(
+        F.col("fecha_parque").alias("dt"), F.replace("id_abonado", F.lit("."), F.lit("")).alias("mobile_account"))
+    return household_match(T.with_household(snap, "act_acct_cd"), T.with_household(lines, "mobile_account", line_prefix=True),
+                           _fixed(spark, sf).base, mobile_base(clean_register(reg, P), P), params=P)
 
 
 @register("churn_by_crm")

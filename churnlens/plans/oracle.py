@@ -64,7 +64,7 @@ snap AS (
     CAST(date_diff('day', _start, dt) AS INTEGER) AS c_cust_age,
     _start AS act_cust_strt_dt, _start AS act_acct_inst_dt, _churn AS cst_chrn_dt,
     CASE WHEN user_id % 25 = 0 THEN 'NOTIENE@GMAIL.COM'
-         ELSE 'user' || CAST(user_id % 50 AS VARCHAR) || '@mail.test' END AS act_contact_mail_1,
+         ELSE 'user' || CAST(user_id // 3 AS VARCHAR) || '@mail.test' END AS act_contact_mail_1,
     '6' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS act_contact_phone_1
   FROM snap_w
 )
@@ -255,7 +255,7 @@ FROM fixed_table WHERE fixed_churner_type IS NOT NULL GROUP BY fixed_month, fixe
 
 # --- mobile register adapter, mobile table ----------------------------------
 EMAIL = ("CASE WHEN user_id % 25 = 0 THEN 'NOTIENE@GMAIL.COM' "
-         "ELSE 'user' || CAST(user_id % 50 AS VARCHAR) || '@mail.test' END")
+         "ELSE 'user' || CAST(user_id // 3 AS VARCHAR) || '@mail.test' END")
 LINE = "'8.' || lpad(CAST(user_id AS VARCHAR), 6, '0')"
 PHONE = "'6' || lpad(CAST(user_id AS VARCHAR), 7, '0')"
 
@@ -267,7 +267,7 @@ reg_g AS (
 ),
 reg AS (
   SELECT fecha_parque, CASE WHEN _copy = 1 THEN '' ELSE {LINE} END AS id_abonado,
-    CASE WHEN _n >= 3 THEN CAST(user_id AS VARCHAR) ELSE '#N/D' END AS contrato,
+    CASE WHEN _n >= 2 THEN CAST(user_id - user_id % 2 AS VARCHAR) ELSE '#N/D' END AS contrato,
     {PHONE} AS num_telefono, {EMAIL} AS nom_email,
     CASE WHEN _mx >= 300 THEN '#N/D' ELSE replace(CAST(round(_amt, 2) AS VARCHAR), '.', ',') END AS renta,
     CASE WHEN _mx < 10 THEN 'ARTICULO SIN EQUIPO'
@@ -402,14 +402,15 @@ GROUP BY p.month
 """
 
 # --- convergence ------------------------------------------------------------
+# Dummy addresses.
 DUMMIES = ("'NOTIENE@GMAIL.COM', 'NorEPorTA@CABLETICA.COM', 'NorEPorTACorREO@CABLETICA.COM', "
            "'NorEPorTA.@CABLETICA.COM', 'NOTIENE@CABLETICA.COM', 'NA@GMAIL.COM', 'NOTIENE@NOTIENE.COM', "
            "'NorEPorTA@LIBERTY.COM', 'NO@GMAIL.COM'")
 
 NEAR = f"""
 fx_email AS (
-  SELECT act_contact_mail_1 AS email, min(act_acct_cd) AS contr FROM snap
-  WHERE act_contact_mail_1 IS NOT NULL AND act_contact_mail_1 NOT IN ({DUMMIES}) GROUP BY ALL
+  SELECT DISTINCT act_contact_mail_1 AS email, act_acct_cd AS contr FROM snap
+  WHERE act_contact_mail_1 IS NOT NULL AND act_contact_mail_1 NOT IN ({DUMMIES})
 ),
 near AS (
   SELECT DISTINCT replace(id_abonado, '.', '') AS near_line, fecha_parque AS near_file, email, contr
@@ -538,8 +539,8 @@ fg AS (
         OR (mobile_churn_type IS NOT NULL AND coalesce(mobile_active_bom, 0) = 0) THEN 'Previous churner'
       ELSE 'Non Churner'
     END AS final_churn_flag,
-    coalesce(b_bill_amt, 0.0) / contracts_fix + coalesce(b_mobile_mrc, 0.0) AS b_total_mrc,
-    coalesce(e_bill_amt, 0.0) / contracts_fix + coalesce(e_mobile_mrc, 0.0) AS e_total_mrc,
+    coalesce(round(b_bill_amt, 0), 0.0) / contracts_fix + coalesce(round(b_mobile_mrc, 0), 0.0) AS b_total_mrc,
+    coalesce(round(e_bill_amt, 0), 0.0) / contracts_fix + coalesce(round(e_mobile_mrc, 0), 0.0) AS e_total_mrc,
     (coalesce(b_num_rgus, 0) + b_mobile_rgus) / contracts_fix AS b_total_rgus,
     (coalesce(e_num_rgus, 0) + e_mobile_rgus) / contracts_fix AS e_total_rgus,
     coalesce(fixed_rgu_churn, 0) / contracts_fix + coalesce(mobile_rgu_churn, 0) AS total_rgu_churn,
@@ -605,6 +606,70 @@ FMC_ALL = (SNAP, FEAT, BASE, CHURN, MOBILE, NEAR, FMC)
 
 SQL["fmc_table"] = with_(*FMC_ALL) + f"SELECT {FMC_COLS} FROM fmc_table\n"
 
+# Dummy addresses of the dated match.
+DUMMIES_DATED = "'NOTIENE@GMAIL.COM', 'NOREPORTA@CABLETICA.COM', 'NOREPORTACORREO@CABLETICA.COM'"
+
+RESOLVED = f"""
+nearday AS (
+  SELECT DISTINCT replace(id_abonado, '.', '') AS near_line, fecha_parque AS near_file, nom_email AS email, act_acct_cd AS contr
+  FROM reg JOIN snap ON nom_email = act_contact_mail_1 AND dt = fecha_parque
+  WHERE id_abonado <> '' AND des_segmento_cliente NOT IN ('Empresas - Empresas', 'Empresas - Pymes')
+    AND nom_email NOT IN ({DUMMIES_DATED})
+),
+adj AS (
+  SELECT mobile_table.*, nb.email AS b_email, nb.contr AS b_contr, ne.email AS e_email, ne.contr AS e_contr,
+    CASE WHEN b_fixed_contract IS NOT NULL THEN b_fixed_contract ELSE nb.contr END AS b_contract_adj,
+    CASE WHEN e_fixed_contract IS NOT NULL THEN e_fixed_contract ELSE ne.contr END AS e_contract_adj
+  FROM mobile_table
+  LEFT JOIN nearday nb ON mobile_account = nb.near_line AND mobile_month = nb.near_file
+  LEFT JOIN nearday ne ON mobile_account = ne.near_line AND mobile_month = CAST(ne.near_file - 7 AS DATE)
+),
+prel AS (SELECT *, CASE WHEN b_contract_adj IS NOT NULL THEN b_contract_adj ELSE e_contract_adj END AS contract_adj FROM adj),
+accfix AS (SELECT contract_adj AS ca, mobile_month AS cm, count(*) AS fixed_count FROM prel GROUP BY ALL),
+resolved AS (SELECT prel.*, fixed_count FROM prel LEFT JOIN accfix ON contract_adj = ca AND mobile_month = cm)
+"""
+
+SQL["email_match_dated"] = with_(SNAP, MOBILE, RESOLVED) + "SELECT near_line, near_file, email, contr FROM nearday\n"
+
+SQL["contract_resolution"] = with_(SNAP, MOBILE, RESOLVED) + """
+SELECT mobile_month, mobile_account, b_contr, e_contr, b_contract_adj, e_contract_adj, contract_adj, fixed_count FROM resolved
+"""
+
+SQL["fmc_base_resolved"] = with_(SNAP, FEAT, BASE, CHURN, MOBILE, RESOLVED, """
+rsj AS (
+  SELECT f.*, m.*, CASE WHEN fixed_account IS NOT NULL THEN fixed_month ELSE mobile_month END AS month,
+    CASE WHEN fixed_account IS NOT NULL THEN fixed_account ELSE mobile_account END AS final_account,
+    CASE WHEN active_bom = 1 OR mobile_active_bom = 1 THEN 1 ELSE 0 END AS final_bom_active_flag,
+    CASE WHEN active_eom = 1 OR mobile_active_eom = 1 THEN 1 ELSE 0 END AS final_eom_active_flag,
+    CASE WHEN fixed_count IS NULL THEN 1 ELSE fixed_count END AS contracts_fix
+  FROM fixed_table f FULL OUTER JOIN resolved m ON fixed_account = contract_adj AND fixed_month = mobile_month
+),
+rsd AS (
+  SELECT DISTINCT * EXCLUDE (b_email, e_email, b_contr, e_contr, b_contract_adj, e_contract_adj, contract_adj, fixed_count) FROM (
+    SELECT *,
+      CASE
+        WHEN fixed_account IS NOT NULL AND mobile_account IS NOT NULL AND active_bom = 1 AND mobile_active_bom = 1
+             AND b_fixed_contract IS NOT NULL THEN 'Soft FMC'
+        WHEN (b_email IS NOT NULL AND b_fixed_contract IS NULL AND active_bom = 1) OR (active_bom = 1 AND mobile_active_bom = 1) THEN 'Near FMC'
+        WHEN fixed_account IS NOT NULL AND active_bom = 1 AND coalesce(mobile_active_bom, 0) = 0 THEN 'Fixed Only'
+        WHEN mobile_account IS NOT NULL AND mobile_active_bom = 1 AND coalesce(active_bom, 0) = 0 THEN 'Mobile Only'
+      END AS b_fmc_status,
+      CASE
+        WHEN fixed_account IS NOT NULL AND mobile_account IS NOT NULL AND active_eom = 1 AND mobile_active_eom = 1
+             AND e_fixed_contract IS NOT NULL THEN 'Soft FMC'
+        WHEN (e_email IS NOT NULL AND e_fixed_contract IS NULL) OR (active_eom = 1 AND mobile_active_eom = 1) THEN 'Near FMC'
+        WHEN fixed_account IS NOT NULL AND active_eom = 1 AND coalesce(mobile_active_eom, 0) = 0 THEN 'Fixed Only'
+        WHEN mobile_account IS NOT NULL AND mobile_active_eom = 1 AND coalesce(active_eom, 0) = 0
+             AND mobile_churn_type IS NULL THEN 'Mobile Only'
+      END AS e_fmc_status,
+      round(round(coalesce(b_bill_amt / contracts_fix, 0), 0) + coalesce(b_mobile_mrc, 0), 0) AS b_total_mrc,
+      round(round(coalesce(e_bill_amt / contracts_fix, 0), 0) + coalesce(e_mobile_mrc, 0), 0) AS e_total_mrc
+    FROM rsj))
+""") + """
+SELECT month, final_account, fixed_account, mobile_account, final_bom_active_flag, final_eom_active_flag,
+       b_fmc_status, e_fmc_status, contracts_fix, b_total_mrc, e_total_mrc FROM rsd
+"""
+
 SQL["email_match"] = with_(SNAP, MOBILE, NEAR) + "SELECT near_line, near_file, email, contr FROM near\n"
 
 SQL["fmc_grouped"] = with_(*FMC_ALL) + """
@@ -891,28 +956,48 @@ pay AS (SELECT fact_aplica AS factura, min(fecha_mov) AS first_payment FROM move
 bp AS (
   SELECT contrato, month, factura AS first_bill, fecha_fact AS bill_date, first_payment FROM (
     SELECT b.*, p.first_payment AS first_payment, CAST(date_trunc('month', fecha_fact) AS DATE) AS month,
-           row_number() OVER (PARTITION BY b.contrato, date_trunc('month', b.fecha_fact) ORDER BY b.fecha_fact, b.factura) AS rn
+           row_number() OVER (PARTITION BY b.contrato, date_trunc('month', b.fecha_fact) ORDER BY b.fecha_fact, right('0000000000' || b.factura, 10)) AS rn
     FROM bills b LEFT JOIN pay p ON b.factura = p.factura) WHERE rn = 1
 )
 """
 
 SQL["bill_payments"] = with_(BILLS) + "SELECT contrato, month, first_bill, bill_date, first_payment FROM bp\n"
 
-SQL["oldest_unpaid_bill"] = with_(BILLS, """
-prev AS (SELECT contrato AS pc, CAST(month + INTERVAL 1 MONTH AS DATE) AS pm, bill_date AS prev_bill,
-                first_payment AS prev_paid FROM bp),
-never AS (SELECT contrato AS nc, min(fecha_fact) AS never_paid_bill FROM bills
-          WHERE factura NOT IN (SELECT fact_aplica FROM moves) GROUP BY ALL),
-ou AS (SELECT bp.*, prev_bill, prev_paid, never_paid_bill,
-              CAST(month + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS period_end
-       FROM bp LEFT JOIN prev ON contrato = pc AND month = pm LEFT JOIN never ON contrato = nc),
-ou2 AS (SELECT *, CASE
-    WHEN prev_bill IS NOT NULL AND (prev_paid IS NULL OR prev_paid > period_end) THEN prev_bill
-    WHEN bill_date <= period_end AND (first_payment IS NULL OR first_payment > period_end) THEN bill_date
-    WHEN never_paid_bill <= period_end THEN never_paid_bill END AS oldest_unpaid_bill FROM ou)
+SQL["oldest_unpaid_bill"] = with_("""
+cyc AS (SELECT o_custkey, o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_custkey % 28 AS INTEGER) AS d FROM orders),
+cbills AS (SELECT DISTINCT d AS fechafactura, CAST(o_custkey AS VARCHAR) AS contrato,
+                  right('0000000000' || CAST(o_orderkey AS VARCHAR), 10) AS factura FROM cyc),
+cmoves AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS fact_aplica, min(d + CAST(o_orderkey * 7 % 80 AS INTEGER)) AS fechapago
+           FROM cyc WHERE o_orderkey % 5 <> 0 GROUP BY ALL),
+crm AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS acct, d + n AS dt FROM cyc, unnest([-2, 0, 9, 24, 40, 65]) t(n)),
+firstbill AS (SELECT contrato, CAST(date_trunc('month', fechafactura) AS DATE) AS mesfactura, arg_min(factura, (fechafactura, factura)) AS pf
+              FROM cbills GROUP BY ALL),
+complete AS (SELECT fb.*, fechafactura, fechapago FROM firstbill fb JOIN cbills ON pf = factura LEFT JOIN cmoves ON pf = fact_aplica),
+cur AS (SELECT crm.*, t.fechafactura AS bill, t.fechapago AS bill_pay FROM crm LEFT JOIN complete t
+        ON t.contrato = acct AND date_trunc('month', t.fechafactura) = date_trunc('month', dt)),
+prv AS (SELECT cur.*, t.fechafactura AS prev_bill, t.fechapago AS prev_pay FROM cur LEFT JOIN complete t
+        ON t.contrato = acct AND bill = CAST(t.fechafactura + INTERVAL 1 MONTH AS DATE)),
+nopay AS (SELECT contrato, min(fechafactura) AS no_pay FROM complete WHERE fechapago IS NULL GROUP BY ALL),
+paidb AS (SELECT DISTINCT contrato,
+    first_value(mesfactura) OVER (PARTITION BY contrato ORDER BY fechapago, mesfactura) AS m_first,
+    first_value(fechapago) OVER (PARTITION BY contrato ORDER BY fechapago, mesfactura) AS p_first,
+    first_value(mesfactura) OVER (PARTITION BY contrato ORDER BY fechapago DESC, mesfactura DESC) AS m_last,
+    first_value(fechapago) OVER (PARTITION BY contrato ORDER BY fechapago DESC, mesfactura DESC) AS p_last
+  FROM complete WHERE fechapago IS NOT NULL),
+stepone AS (SELECT prv.*, CASE
+    WHEN dt < p_first AND dt >= m_first THEN m_first
+    WHEN dt >= bill_pay THEN NULL
+    WHEN bill_pay > dt AND prev_pay IS NULL AND prev_bill IS NULL AND dt >= bill THEN bill
+    WHEN dt < bill_pay AND dt < prev_pay AND dt >= prev_bill THEN prev_bill
+    WHEN dt >= prev_pay AND dt <= bill_pay AND dt >= bill THEN bill
+    WHEN bill_pay IS NULL AND prev_pay IS NOT NULL AND dt < prev_pay AND dt >= prev_bill THEN prev_bill
+    WHEN bill IS NOT NULL AND dt >= no_pay THEN no_pay
+    WHEN dt < p_last AND dt >= m_last THEN m_last
+    ELSE NULL END AS oldest
+  FROM prv LEFT JOIN nopay ON nopay.contrato = acct LEFT JOIN paidb ON paidb.contrato = acct)
 """) + """
-SELECT contrato, month, period_end, oldest_unpaid_bill,
-       CAST(date_diff('day', oldest_unpaid_bill, period_end) AS INTEGER) AS overdue_days FROM ou2
+SELECT acct AS contrato, dt AS day, bill AS current_bill, oldest AS oldest_unpaid_bill,
+       CAST(date_diff('day', oldest, dt) AS INTEGER) AS overdue_days FROM stepone
 """
 
 SQL["payment_reconciliation"] = with_(BILLS) + """
@@ -1206,12 +1291,23 @@ SELECT act_acct_cd, coalesce(arg_min(mp.phone, CASE WHEN mp.phone IS NOT NULL TH
 FROM ph LEFT JOIN mp ON ph.phone = mp.phone GROUP BY act_acct_cd
 """
 
-SQL["household_match"] = with_(SNAP, MOBILE, f"""
-hf AS (SELECT CAST(CAST(act_acct_cd AS BIGINT) // 4 AS BIGINT) AS household_id, dt, min(act_acct_cd) AS fmc_fixed
-       FROM snap WHERE dt = {wk('dt')} GROUP BY ALL),
-hm AS (SELECT CAST(CAST(regexp_replace(replace(id_abonado, '.', ''), '^8', '') AS BIGINT) // 4 AS BIGINT) AS household_id,
-              fecha_parque AS dt, min(replace(id_abonado, '.', '')) AS fmc_mobile FROM reg WHERE id_abonado <> '' GROUP BY ALL)
-""") + "SELECT hf.household_id, hf.dt, fmc_fixed, fmc_mobile FROM hf JOIN hm ON hf.household_id = hm.household_id AND hf.dt = hm.dt\n"
+SQL["household_match"] = with_(SNAP, FEAT, BASE, MOBILE, f"""
+hf AS (SELECT DISTINCT CAST(CAST(act_acct_cd AS BIGINT) // 4 AS BIGINT) AS household_id, dt, act_acct_cd AS member
+       FROM snap WHERE EXISTS (SELECT 1 FROM base WHERE fixed_account = act_acct_cd AND fixed_month = {wk('dt')})),
+hm AS (SELECT DISTINCT CAST(CAST(regexp_replace(line, '^8', '') AS BIGINT) // 4 AS BIGINT) AS household_id, dt, line AS member
+       FROM (SELECT replace(id_abonado, '.', '') AS line, fecha_parque AS dt FROM reg WHERE id_abonado <> '') r
+       WHERE EXISTS (SELECT 1 FROM mbase0 WHERE mobile_account = line AND mobile_month = {wk('dt')})),
+links AS (SELECT hf.household_id, hf.dt, hf.member AS account, hm.member AS line
+          FROM hf JOIN hm ON hf.household_id = hm.household_id AND hf.dt = hm.dt),
+pr AS (SELECT household_id, dt, min(account) AS fmc_fixed, min(line) AS fmc_mobile, count(DISTINCT account) AS n_fixed,
+              count(DISTINCT line) AS n_mobile FROM links GROUP BY ALL)
+""") + """
+SELECT household_id, dt, 'fixed' AS side, account AS member, fmc_fixed, fmc_mobile, n_fixed, n_mobile
+FROM (SELECT DISTINCT household_id, dt, account FROM links) JOIN pr USING (household_id, dt)
+UNION ALL
+SELECT household_id, dt, 'mobile', line, fmc_fixed, fmc_mobile, n_fixed, n_mobile
+FROM (SELECT DISTINCT household_id, dt, line FROM links) JOIN pr USING (household_id, dt)
+"""
 
 # --- churn by CRM date, FMC list patch ----------------------------------------
 SQL["churn_by_crm"] = with_(SNAP, """

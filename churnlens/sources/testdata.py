@@ -44,8 +44,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _email(uid):
+    # three users share an address
     return (F.when(uid % 25 == 0, F.lit("NOTIENE@GMAIL.COM"))
-             .otherwise(F.concat(F.lit("user"), (uid % 50).cast("string"), F.lit("@mail.test"))))
+             .otherwise(F.concat(F.lit("user"), F.floor(uid / 3).cast("string"), F.lit("@mail.test"))))
 
 
 def _phone(uid):
@@ -130,7 +131,8 @@ def mobile_register(events: DataFrame) -> DataFrame:
     return g.select(
         F.col("fecha_parque"),
         F.when(F.col("_copy") == 1, "").otherwise(_line_id(uid)).alias("id_abonado"),
-        F.when(F.col("_n") >= 3, uid.cast("string")).otherwise(F.lit("#N/D")).alias("contrato"),
+        # the lines of two users share the even one's contract
+        F.when(F.col("_n") >= 2, (uid - uid % 2).cast("string")).otherwise(F.lit("#N/D")).alias("contrato"),
         _phone(uid).alias("num_telefono"),
         _email(uid).alias("nom_email"),
         F.when(F.col("_mx") >= 300, F.lit("#N/D"))
@@ -207,6 +209,30 @@ def bills(orders: DataFrame) -> DataFrame:
     )
 
 
+def _cycle_day():
+    return F.date_add(F.trunc(F.to_date("o_orderdate"), "MM"), (F.col("o_custkey") % 28).cast("int"))
+
+
+def cycle_bills(orders: DataFrame) -> DataFrame:
+    """Bills dated the customer's own day of the month, as a billing cycle does."""
+    return orders.select(F.col("o_custkey").cast("string").alias("contrato"), F.col("o_orderkey").cast("string").alias("factura"),
+                         _cycle_day().alias("fecha_fact"), F.round("o_totalprice", 2).alias("monto_fact"))
+
+
+def cycle_moves(orders: DataFrame) -> DataFrame:
+    """Payments up to 80 days after a cycle bill; every fifth bill has none, invoice ids come zero-padded."""
+    late = (F.col("o_orderkey") * 7 % 80).cast("int")
+    return orders.where(F.col("o_orderkey") % 5 != 0).select(
+        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("fact_aplica"), F.date_add(_cycle_day(), late).alias("fecha_mov"))
+
+
+def crm_days(orders: DataFrame) -> DataFrame:
+    """Snapshot days of customers around their cycle bills."""
+    offset = F.explode(F.array(*[F.lit(n) for n in (-2, 0, 9, 24, 40, 65)])).alias("_n")
+    return orders.select(F.col("o_custkey").cast("string").alias("act_acct_cd"), _cycle_day().alias("_d"), offset).select(
+        "act_acct_cd", F.date_add("_d", F.col("_n")).alias("dt")).distinct()
+
+
 def bill_moves(lineitem: DataFrame) -> DataFrame:
     """Payment movements: each shipped line pays part of its order's bill."""
     return lineitem.select(

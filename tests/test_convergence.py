@@ -1,6 +1,8 @@
 """FMC rules on hand-made rows: one row per main branch."""
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from churnlens import labels as L
 from churnlens.operators import convergence as V
 
@@ -63,3 +65,49 @@ def test_fan_out_divides_fixed_values(spark):
     assert {r.contracts_fix for r in rows} == {2}
     # each row carries half of the fixed products plus its own line
     assert {r.b_total_rgus for r in rows} == {(2 + 1) / 2}
+
+
+def emails(spark):
+    snap = spark.createDataFrame([("1", M, "a@x"), ("2", M, "a@x"), ("1", dt.date(2022, 2, 1), "a@x"), ("3", M, "NA@GMAIL.COM"),
+                                  ("4", M, None), ("5", M, "b@x")], "act_acct_cd string, dt date, act_contact_mail_1 string")
+    reg = spark.createDataFrame([("8.1", M, "a@x", "Residencial"), ("8.1", M, "a@x", "Residencial"), ("8.2", M, "NA@GMAIL.COM", "Residencial"),
+                                 ("8.3", dt.date(2022, 2, 1), "a@x", "Residencial"), ("", M, "a@x", "Residencial"),
+                                 ("8.4", M, "b@x", "Empresas - Pymes")],
+                                "id_abonado string, fecha_parque date, nom_email string, des_segmento_cliente string")
+    return snap, reg
+
+
+def test_email_match_keeps_every_account_of_an_address(spark):
+    snap, reg = emails(spark)
+    plain = {(r.near_line, r.near_file, r.contr) for r in V.email_match(reg, V.fixed_emails(snap)).collect()}
+    feb = dt.date(2022, 2, 1)
+    assert plain == {("81", M, "1"), ("81", M, "2"), ("83", feb, "1"), ("83", feb, "2")}
+    salted = V.email_match(reg, V.fixed_emails(snap), salt=4).collect()
+    assert len(salted) == len(plain) and {(r.near_line, r.near_file, r.contr) for r in salted} == plain
+    dated = {(r.near_line, r.near_file, r.contr) for r in V.email_match(reg, V.fixed_emails(snap, day="dt")).collect()}
+    assert dated == {("81", M, "1"), ("81", M, "2"), ("83", feb, "1")}
+
+
+def test_contract_resolution_order_and_fan_out(spark):
+    schema = ("mobile_month date, mobile_account string, b_fixed_contract string, e_fixed_contract string, b_contr string, "
+              "e_contr string, b_email string, e_email string, mobile_active_bom int, mobile_active_eom int, "
+              "mobile_churn_type string, b_mobile_mrc double, e_mobile_mrc double")
+    rows = [(M, "L1", "7", "8", "9", "9", "a", "a", 1, 1, None, 10.0, 10.0), (M, "L2", None, "8", "7", None, "a", None, 1, 1, None, 10.4, 10.0),
+            (M, "L3", None, "8", None, "9", None, "a", 1, 1, None, 10.0, 10.0), (M, "L4", None, None, None, "8", None, "a", 0, 1, None, 1.0, 1.0),
+            (M, "L5", None, None, None, None, None, None, 1, 1, None, 1.0, 1.0)]
+    resolved = V.resolve_contract(spark.createDataFrame(rows, schema))
+    got = {r.mobile_account: (r.b_contract_adj, r.e_contract_adj, r.contract_adj, r.fixed_count) for r in resolved.collect()}
+    assert got == {"L1": ("7", "8", "7", 2), "L2": ("7", "8", "7", 2), "L3": (None, "8", "8", 2), "L4": (None, "8", "8", 2),
+                   "L5": (None, None, None, None)}
+    fixed = spark.createDataFrame([fx("7", 1, 1, "2P", "2P", 2, 2), fx("6", 1, 0, "1P", "1P", 1, 1)], FIXED)
+    base = {(r.final_account, r.mobile_account): r for r in V.fmc_base_resolved(fixed, resolved).collect()}
+    assert {k: (r.contracts_fix, r.b_fmc_status, r.e_fmc_status, r.b_total_mrc) for k, r in base.items()} == {
+        ("7", "L1"): (2, L.FMC_SOFT, L.FMC_SOFT, 35.0), ("7", "L2"): (2, L.FMC_NEAR, L.FMC_SOFT, 35.0),
+        ("L3", "L3"): (2, L.FMC_MOBILE_ONLY, L.FMC_MOBILE_ONLY, 10.0), ("L4", "L4"): (2, None, L.FMC_NEAR, 1.0),
+        ("L5", "L5"): (1, L.FMC_MOBILE_ONLY, L.FMC_MOBILE_ONLY, 1.0), ("6", None): (1, L.FMC_FIXED_ONLY, None, 50.0)}
+
+
+def test_charges_are_whole_before_they_are_shared(spark):
+    fixed = spark.createDataFrame([fx("0000000007", 1, 1, "2P", "2P", 2, 2)], FIXED).withColumn("b_bill_amt", F.lit(50.6))
+    mobile = spark.createDataFrame([mb("A", 1, 1, "7")], MOBILE).withColumn("b_mobile_mrc", F.lit(10.4))
+    assert V.fmc_table(fixed, mobile).first().b_total_mrc == 61.0

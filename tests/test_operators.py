@@ -111,13 +111,19 @@ def test_phone_match_prefers_first_phone(spark):
     assert got == {"A": ("2", 2), "B": ("3", 3), "C": ("9", None)}
 
 
-def test_household_match_one_pair_per_household(spark):
+def test_household_match_keeps_every_member(spark):
     from churnlens.operators.convergence import household_match
-    f = spark.createDataFrame([("H", D0, "F2"), ("H", D0, "F1"), ("G", D0, "F3")],
+    from churnlens.params import Params
+    f = spark.createDataFrame([("H", D0, "F2"), ("H", D0, "F1"), ("H", D0, "gone"), ("G", D0, "F3"), (None, D0, "F4")],
                               "household_id string, dt date, act_acct_cd string")
-    m = spark.createDataFrame([("H", D0, "M1"), ("H", D0, "M0")], "household_id string, dt date, mobile_account string")
-    got = [(r.fmc_fixed, r.fmc_mobile) for r in household_match(f, m).collect()]
-    assert got == [("F1", "M0")]
+    m = spark.createDataFrame([("H", D0, "M1"), ("H", D0, "M0"), ("K", D0, "M2"), (None, D0, "M3")],
+                              "household_id string, dt date, mobile_account string")
+    month = Params().grain.trunc(F.lit(D0).cast("date"))
+    fixed = spark.createDataFrame([("F1",), ("F2",), ("F3",), ("F4",)], "fixed_account string").withColumn("fixed_month", month)
+    mobile = spark.createDataFrame([("M0",), ("M1",), ("M2",), ("M3",)], "mobile_account string").withColumn("mobile_month", month)
+    got = sorted((r.household_id, r.side, r.member, r.fmc_fixed, r.fmc_mobile, r.n_fixed, r.n_mobile)
+                 for r in household_match(f, m, fixed, mobile).collect())
+    assert got == [("H", side, x, "F1", "M0", 2, 2) for side, x in (("fixed", "F1"), ("fixed", "F2"), ("mobile", "M0"), ("mobile", "M1"))]
 
 
 def test_union_history_and_backfill(spark):

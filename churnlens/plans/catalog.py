@@ -304,26 +304,15 @@ def q_first_time_resolution(spark, sf):
     return K.first_time_resolution(_raw_billing(spark, sf), P)
 
 
+def _kpi_sums(spark, sf, master):
+    from churnlens.operators import kpi as K
+    counts = K.account_counts(T.interactions(T.load(spark, sf, "events")), P)
+    return K.kpi_sums(master, counts, K.first_time_resolution(_raw_billing(spark, sf), P))
+
+
 def _kpi_rows(spark, sf):
-    from churnlens.operators import drivers as D
     from churnlens.operators import kpi as K
-    inter = T.interactions(T.load(spark, sf, "events"))
-    master, billing = _kpi_master(spark, sf), _raw_billing(spark, sf)
-    rgus = K.rgus_per_period(master)
-    tickets = K.account_calls(D.tech_tickets(inter), P, "tickets")
-    care = K.account_calls(D.calls(inter), P, "calls")
-    p1 = K.per_thousand(K.master_calls(master, tickets, "tickets"), rgus, "tickets", "rgus",
-                        "tech_tickets_per_1k_rgu", "TEST")
-    p2 = K.per_thousand(K.master_calls(master, care, "calls"), rgus, "calls", "rgus",
-                        "care_calls_per_1k_rgu", "TEST")
-    p3 = K.ratio_kpi(K.calls_per_variation(K.account_calls(billing, P, "num_calls"), master), "calls", "variations",
-                     "billing_calls_per_bill_variation", "TEST")
-    p4 = K.ratio_kpi(K.resolution_per_period(master, K.first_time_resolution(billing, P)), "resolved", "billing_calls",
-                     "first_time_resolution", "TEST")
-    p5 = K.shift_kpi(p4, 1, P)
-    months = p1.select("month").unionByName(p4.select("month")).distinct()
-    p6 = K.kpi_placeholders(months, ["nps_detractors", "digital_payment_share"], "TEST")
-    return K.kpi_long_table([p1, p2, p3, p4, p5, p6])
+    return K.kpi_table(_kpi_sums(spark, sf, _kpi_master(spark, sf)), "TEST", P)
 
 
 @register("kpi_table")
@@ -337,6 +326,35 @@ def q_kpi_overall(spark, sf):
     return kpi_overall(_kpi_rows(spark, sf))
 
 
+CX_MASTER = ["month", "final_account", "fixed_account", "final_churn_flag", "main_movement", "contracts_fix", "b_num_rgus",
+             "b_total_mrc", "mrc_change", "b_plan", "e_plan", "b_plan_full", "e_plan_full"]
+
+
+def _cx_dashboard(spark, sf):
+    from churnlens.operators import kpi as K
+    from churnlens.operators.drivers import bill_shock_flags
+    from churnlens.plans import drivers as DP
+    from churnlens.plans.staging import stage
+    snap, inter, orders = _driver_inputs(spark, sf)
+    master = stage(_fmc(spark, sf).select(*CX_MASTER), "cx-master")
+    drivers = DP.driver_summary(DP.drivers_master(master, snap, inter, orders, P))
+    contacts = DP.contact_summary(DP.contact_master(master, inter, P))
+    sums = _kpi_sums(spark, sf, bill_shock_flags(master, P))
+    service = K.service_delivery(T.service_delivery_weekly(orders), P)
+    return K.cx_dashboard(sums, drivers, contacts, service, "TT", "Test")
+
+
+@register("cx_dashboard")
+def q_cx_dashboard(spark, sf):
+    return _cx_dashboard(spark, sf)
+
+
+@register("cx_dashboard_overall")
+def q_cx_dashboard_overall(spark, sf):
+    from churnlens.operators.kpi import cx_overall
+    return cx_overall(_cx_dashboard(spark, sf))
+
+
 @register("churn_by_order")
 def q_churn_by_order(spark, sf):
     from churnlens.operators.churn import churn_by_order

@@ -1309,6 +1309,93 @@ SELECT household_id, dt, 'mobile', line, fmc_fixed, fmc_mobile, n_fixed, n_mobil
 FROM (SELECT DISTINCT household_id, dt, line FROM links) JOIN pr USING (household_id, dt)
 """
 
+# --- customer-experience dashboard ---------------------------------------------
+def _cx_row(kpi, facet, journey, meas, num, den, source, delay="M-0", size="large"):
+    none = "CAST(NULL AS DOUBLE)"
+    return (f"SELECT month, '{size}' AS market_size, '{facet}' AS facet, '{journey}' AS journey_waypoint, '{kpi}' AS kpi_name, "
+            f"CAST({meas or none} AS DOUBLE) AS kpi_meas, CAST({num or none} AS DOUBLE) AS kpi_num, "
+            f"CAST({den or none} AS DOUBLE) AS kpi_den, '{delay}' AS kpi_delay FROM {source}")
+
+
+def _cx_ratio(kpi, facet, journey, num, den, source, digits=4, factor="", delay="M-0"):
+    return _cx_row(kpi, facet, journey, f"round(CAST({num} AS DOUBLE) {factor} / NULLIF({den}, 0), {digits})", num, den, source, delay)
+
+
+_CX_ROWS = [
+    _cx_row("Gross_Adds", "contact_drivers", "buy", "gross_adds", "0", "0", "cxm"),
+    _cx_row("Active_Base", "contact_drivers", "use", "active_base", "0", "0", "cxm"),
+    _cx_row("Active_Base", "contact_drivers", "support-call", "active_base", "0", "0", "cxm"),
+    _cx_ratio("Tech_Tix_per_100_Acct", "contact_intensity", "use", "ticket_density", "activebase", "cxc"),
+    _cx_ratio("%Customers_w_MRC_Changes_5%+_excl_plan", "contact_drivers", "pay", "increase_flag", "no_plan_change_flag", "cxd"),
+    _cx_ratio("%New_Sales_to_Soft_Dx", "high_risk", "buy", "soft_dx_flag", "monthsale_flag", "cxd", delay="M-1"),
+    _cx_ratio("%New_Customer_Callers_2+calls_21days", "high_risk", "buy", "early_issue_flag", "monthsale_flag", "cxd", delay="M-1"),
+    _cx_ratio("%breech_cases_install_6+days", "high_risk", "get", "long_install_flag", "monthsale_flag", "cxd", delay="M-1"),
+    _cx_ratio("%Early_Tech_Tix_-7weeks", "high_risk", "get", "tech_call_flag", "monthsale_flag", "cxd", delay="M-2"),
+    _cx_ratio("%Repeat_Callers_2+calls", "high_risk", "support-call", "(two_call_flag + multiple_call_flag)", "activebase", "cxc", delay="M-2"),
+    _cx_ratio("tech_calls_per_1k_rgu", "contact_intensity", "support-call", "tickets", "rgus", "cxm", 0, "* 1000"),
+    _cx_ratio("care_calls_per_1k_rgu", "contact_intensity", "support-call", "calls", "rgus", "cxm", 0, "* 1000"),
+    _cx_ratio("Billing Calls per Bill Variation", "contact_intensity", "pay", "bcalls", "variations", "cxm", 3),
+    _cx_ratio("%FTR_Billing", "effectiveness", "pay", "resolved", "billing_calls", "cxm", 6),
+    _cx_row("%Customers_w_Mounting_Bills", "high_risk", "pay", "mounting_bill_flag", None, None, "cxd", size="Large"),
+    *[_cx_row(kpi, facet, journey, c, None, None, "cxs", size="Large") for kpi, facet, journey, c in (
+        ("Installs", "contact_drivers", "get", "install"), ("MTTI", "customer_time", "get", "mtti"),
+        ("%FTR_installs", "effectiveness", "get", "ftr_install"), ("Repairs", "contact_drivers", "support-tech", "repairs"),
+        ("MTTR", "customer_time", "support-tech", "mttr"), ("%FTR_Repair", "effectiveness", "support-tech", "ftr_repair"),
+        ("Repairs_per_1k_rgu", "contact_intensity", "support-tech", "repairs_1k_rgu"))],
+    *[_cx_row(kpi, facet, journey, None, None, None, "cxm", size="Large") for kpi, facet, journey in (
+        ("%eCommerce", "digital_shift", "buy"), ("tBuy", "NPS_Detractorship", "buy"), ("MTTB", "customer_time", "buy"),
+        ("Buying_Calls/GA", "contact_intensity", "buy"), ("tInstall", "NPS_Detractorship", "get"),
+        ("%self_installs", "digital_shift", "get"), ("Install_Calls/Installs", "contact_intensity", "get"),
+        ("MTTBTR", "customer_time", "pay"), ("tpay", "NPS_Detractorship", "pay"), ("tHelp_Care", "NPS_Detractorship", "support-call"),
+        ("%FRC_Care", "effectiveness", "support-call"), ("tHelp_repair", "NPS_Detractorship", "support-tech"),
+        ("%_High_Tech_Call_Nodes_+6%monthly", "high_risk", "use"), ("pNPS", "NPS_Detractorship", "use"),
+        ("%CC_SL_Care", "customer_time", "support-call"), ("%CC_SL_Tech", "customer_time", "support-call"),
+        ("%Chatbot_containment_care", "digital_shift", "support-call"), ("%Chatbot_containment_Tech", "digital_shift", "support-tech"),
+        ("%digital_payments", "digital_shift", "pay"))],
+]
+
+
+CX = f"""
+cxd_acct AS (
+  SELECT month, fixed_account, {", ".join(f"max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END) AS {c}" for c in _DFLAGS)}
+  FROM dmaster WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception')
+    AND fixed_account IS NOT NULL GROUP BY ALL),
+cxd AS (SELECT month, {", ".join(f"sum({c}) AS {c}" for c in _DFLAGS)} FROM cxd_acct GROUP BY month),
+cxc_acct AS (
+  SELECT month, fixed_account, {", ".join(f"max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END) AS {c}" for c in _CFLAGS)}
+  FROM cmaster WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception')
+    AND fixed_account IS NOT NULL GROUP BY ALL),
+cxc AS (SELECT s.*, d.ticket_density FROM (SELECT month, count(*) AS activebase, {", ".join(f"sum({c}) AS {c}" for c in _CFLAGS)} FROM cxc_acct GROUP BY month) s
+  LEFT JOIN (SELECT month, sum(num_tech_tickets) AS ticket_density FROM cmaster
+             WHERE final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception') GROUP BY month) d ON s.month = d.month),
+cxs_week AS (SELECT {wk('end_week_date')} AS month, * EXCLUDE (month) FROM sdwk),
+cxs AS (SELECT month, sum(i) AS install, round(sum(i * t_i) / NULLIF(CAST(sum(i) AS DOUBLE), 0), 2) AS mtti, sum(r) AS repairs,
+    round(sum(r * t_r) / NULLIF(CAST(sum(r) AS DOUBLE), 0), 2) AS mttr, round(sum(scr), 2) AS repairs_1k_rgu,
+    round(sum((100 - ie) * i) / NULLIF(CAST(sum(i) AS DOUBLE), 0) / 100, 4) AS ftr_install,
+    round(sum((100 - re) * r) / NULLIF(CAST(sum(r) AS DOUBLE), 0) / 100, 4) AS ftr_repair FROM cxs_week GROUP BY month),
+cxm AS (SELECT g.*, kc.tickets, kc.calls, rg.rgus, cpv.calls AS bcalls, coalesce(cpv.variations, 0) AS variations, fp.resolved, fp.billing_calls
+  FROM (SELECT month, count(DISTINCT CASE WHEN main_movement = '05. New Customer' THEN fixed_account END) AS gross_adds,
+               count(DISTINCT fixed_account) AS active_base FROM km GROUP BY month) g
+  JOIN kc ON kc.month = g.month JOIN rg ON rg.month = g.month JOIN fp ON fp.month = g.month LEFT JOIN cpv ON cpv.month = g.month),
+cx AS (SELECT DISTINCT month, 'TT' AS opco, 'Test' AS market, 'Fixed' AS product, 'B2C' AS biz_unit, * EXCLUDE (month) FROM (
+  {" UNION ALL ".join(_CX_ROWS)}))
+"""
+
+_CX_ALL = with_(*FMC_ALL, INTER, SORDERS, DRIVERS, CONTACTS, FTR, KPI, SDW, CX)
+
+SQL["cx_dashboard"] = _CX_ALL + """
+SELECT month, opco, market, market_size, product, biz_unit, facet, journey_waypoint, kpi_name, kpi_meas, kpi_num, kpi_den, kpi_delay FROM cx
+"""
+
+SQL["cx_dashboard_overall"] = _CX_ALL + """
+SELECT DISTINCT month, opco, market, market_size, product, biz_unit, facet, journey_waypoint, kpi_name,
+  round(CASE WHEN kpi_num IS NULL AND kpi_den IS NULL THEN sum(kpi_meas)
+             WHEN kpi_num IS NOT NULL AND kpi_den IS NOT NULL THEN sum(kpi_num) / NULLIF(sum(kpi_den), 0) END, 6) AS kpi_meas,
+  coalesce(sum(kpi_num), 0) AS kpi_numm, coalesce(sum(kpi_den), 0) AS kpi_denn, 'Overall' AS network,
+  CAST(year(month) AS INTEGER) AS ref_year, CAST(month(month) AS INTEGER) AS ref_mo
+FROM cx GROUP BY month, opco, market, market_size, product, biz_unit, facet, journey_waypoint, kpi_name, kpi_num, kpi_den
+"""
+
 # --- churn by CRM date, FMC list patch ----------------------------------------
 SQL["churn_by_crm"] = with_(SNAP, """
 per AS (SELECT act_acct_cd AS account, max(cst_chrn_dt) AS last_churn, min(cst_chrn_dt) AS first_churn, max(dt) AS ls,

@@ -32,7 +32,7 @@ def debt_funnel(snap: DataFrame, params: Params = Params(),
                     ("overdue", 21, None, "fi_outst_age_final", 0), ("soft_dx", 27, None, "fi_outst_age_final", 0),
                     ("hard_dx", 90, None, "fi_outst_age_final", 3)),
                 key: str = "act_acct_cd", day: str = "dt") -> DataFrame:
-    """Involuntary funnel (D101) and its banded form (D102).
+    """Involuntary funnel (D101).
 
     The cohort of a period is the accounts billed in it and not yet overdue;
     each stage ``(name, lo, hi, age column, periods back)`` keeps the
@@ -55,6 +55,53 @@ def debt_funnel(snap: DataFrame, params: Params = Params(),
                                     *[F.count(col(s[0])).alias(s[0]) for s in stages])
 
 
+# Bands of the backlog funnel in days: (stage, ((age column, least, most), ...)); all predicates of a stage hold together.
+DEBT_BANDS = (
+    ("day_one", (("fi_outst_age_final", 21, 25),)), ("soft_dx", (("fi_outst_age_final", 27, 32),)),
+    ("backlog", (("fi_outst_age_final", 63, None), ("fi_outst_age", None, 89))), ("hard_dx", (("fi_outst_age", 90, 95),)),
+)
+
+
+def debt_bands(snap: DataFrame, params: Params = Params(), bands=DEBT_BANDS, cohort_max: int = 90,
+               cohort_age: str = "fi_outst_age_final", key: str = "act_acct_cd", day: str = "dt",
+               bill: str = "bill_dt_m0") -> DataFrame:
+    """Involuntary funnel by bands over two age columns (D102): accounts and
+    billed accounts per period and combination of stages.
+
+    An account is billed in the period of its bill date when its age is at
+    most ``cohort_max`` or unknown; it is in a stage of a period when one of
+    its days there meets the stage's predicates. One scan gives each day's
+    marks for its own period and, where the bill lies in another, that one's;
+    one aggregate per (account, period) takes their maximum - no joins."""
+    g = params.grain
+    own, billed_in = g.trunc(col(day).cast("date")), g.trunc(col(bill).cast("date"))
+    cohort = col(bill).isNotNull() & ((col(cohort_age) <= cohort_max) | col(cohort_age).isNull())
+
+    def within(column, least, most):
+        tests = [col(column) >= least] * (least is not None) + [col(column) <= most] * (most is not None)
+        return tests[0] if len(tests) == 1 else tests[0] & tests[1]
+
+    stages = {}
+    for name, predicates in bands:
+        meets = F.lit(True)
+        for p in predicates:
+            meets = meets & within(*p)
+        stages[name] = F.coalesce(meets, F.lit(False)).cast("int")
+
+    def marks(month, seen, billed, flags):
+        return F.struct(month.alias("month"), F.lit(seen).alias("_seen"), billed.alias("_billed"),
+                        *[flags(n).alias(n) for n in stages])
+
+    here = marks(own, 1, (cohort & (billed_in == own)).cast("int"), lambda n: stages[n])
+    there = marks(billed_in, 0, F.lit(1), lambda n: F.lit(0))
+    away = cohort & (billed_in != own)
+    each = snap.where(col(key).isNotNull()).select(col(key).alias("account"), F.inline(F.when(away, F.array(here, there)).otherwise(F.array(here))))
+    per = each.groupBy("account", "month").agg(F.max("_seen").alias("_seen"), F.max(F.coalesce("_billed", F.lit(0))).alias("_billed"),
+                                               *[F.max(n).alias(n) for n in stages])
+    return per.where("_seen = 1").groupBy("month", *stages).agg(
+        F.count(F.lit(1)).alias("accounts"), F.sum("_billed").cast("long").alias("billed"))
+
+
 def retention_funnel(requests: DataFrame, master: DataFrame, params: Params = Params(), rgus: str = "b_total_rgus") -> DataFrame:
     """Disconnection requests -> located -> retained, in accounts of the
     master table and their opening products (D103); keys are padded."""
@@ -141,6 +188,21 @@ def oldest_unpaid(days: DataFrame, first_bills: DataFrame, params: Params = Para
                     F.datediff(t, oldest).alias("overdue_days"))
 
 
+def reconcile_payments(payments: DataFrame, first_bills: DataFrame, moves: DataFrame) -> DataFrame:
+    """Two sources of the same payments (D106): the payment table's total per
+    invoice against the bill movements' total, for first bills of a period
+    that both know. Repeated payment rows are one, invoice ``-1`` is none;
+    totals are reduced per invoice first, then joined one-to-one on ids padded
+    to ten digits."""
+    paid = payments.where(col("invoice_id") != "-1").distinct().groupBy(pad_key("invoice_id", 10).alias("invoice")).agg(
+        F.round(F.sum("payment_amt_local"), 2).alias("payment_total"))
+    moved = moves.groupBy(pad_key("fact_aplica", 10).alias("invoice")).agg(
+        F.min("fecha_mov").alias("first_movement"), F.round(F.sum("monto_fact"), 0).alias("movement_total"))
+    bills = first_bills.select(pad_key("first_bill", 10).alias("invoice"), "contrato", "month", "bill_date")
+    j = paid.join(bills, "invoice").join(moved, "invoice")
+    return j.withColumn("difference", F.round(col("payment_total") - col("movement_total"), 2))
+
+
 def reconcile(bills: DataFrame, moves: DataFrame) -> DataFrame:
     """Billed amount against the sum of payment movements per invoice (D106)."""
     pay = moves.groupBy(col("fact_aplica").alias("factura")).agg(F.round(F.sum("monto_mov"), 2).alias("paid"))

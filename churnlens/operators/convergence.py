@@ -395,10 +395,13 @@ def fmc_table(fixed: DataFrame, mobile_with_near: DataFrame, parity: bool = Fals
 
 
 def fmc_grouped(df: DataFrame, dims) -> DataFrame:
-    """Distinct accounts and charge sums over the report dimensions."""
+    """Distinct combined, fixed and mobile accounts and sums of the rounded
+    charges over the report dimensions (D76)."""
     return (df.groupBy(*dims).agg(F.count_distinct("final_account").alias("accounts"),
-                                  F.round(F.sum("b_total_mrc"), 2).alias("b_mrc"),
-                                  F.round(F.sum("e_total_mrc"), 2).alias("e_mrc"),
+                                  F.count_distinct("fixed_account").alias("fixed_accounts"),
+                                  F.count_distinct("mobile_account").alias("mobile_accounts"),
+                                  F.sum(F.round("b_total_mrc", 0)).cast("long").alias("b_mrc"),
+                                  F.sum(F.round("e_total_mrc", 0)).cast("long").alias("e_mrc"),
                                   F.round(F.sum("total_rgu_churn"), 4).alias("rgu_churn")))
 
 
@@ -490,24 +493,41 @@ def fmc_list_periods(fmc_list: DataFrame, params: Params = Params(), business_un
     return nxt.unionByName(missed).distinct()
 
 
-def patch_fmc(df: DataFrame, listed: DataFrame) -> DataFrame:
-    """Override FMC types and segments of listed accounts."""
+def patch_fmc(df: DataFrame, listed: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """Rewrite FMC types and segments from an external list.
+
+    A row is listed, unlisted in a period the list covers, or of another
+    period. Listed rows become convergent or mobile only; unlisted ones of a
+    covered period lose a type that rests on no fixed product, unless the line
+    is mobile at closing; other rows stay. ``periods`` (column ``month``) are
+    the covered periods, by default those the list names; a row per period, so
+    the join is with a few rows."""
     l = listed.select(col("account").alias("_la"), col("month").alias("_lm"), F.lit(1).alias("_listed"))
+    covered = (listed if periods is None else periods).select(col("month").alias("_pm")).distinct().withColumn("_covered", F.lit(1))
     j = df.join(l, (col("final_account") == col("_la")) & (col("month") == col("_lm")), "left")
-    on = col("_listed") == 1
-    seg_b = [(on & col("b_mix").isNull(), L.SEG_P1_MOBILE)] + \
-        [(on & (col("b_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
-    seg_e = [(on & col("e_mix").isNull() & _is1("mobile_active_eom"), L.SEG_P1_MOBILE)] + \
-        [(on & (col("e_mix") == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
+    j = j.join(covered, col("month") == col("_pm"), "left")
+    on, unlisted = col("_listed").isNotNull(), col("_listed").isNull()
+    in_list = col("_covered").isNotNull()
+    no_b, no_e = col("b_mix").isNull(), col("e_mix").isNull()
+    b_off, e_off = col("mobile_active_bom") != 1, col("mobile_active_eom") != 1
+    none = F.lit(None).cast("string")
+
+    def by_mix(mix):
+        return [(on & (col(mix) == m), L.SEG_BY_MIX[m]) for m in ("1P", "2P", "3P")]
+
     return j.withColumns({
         "fmc_listed": F.coalesce(col("_listed"), F.lit(0)),
-        "b_fmc_type_final": case_when([(on & col("b_mix").isNull(), L.FMC_MOBILE_ONLY), (on, "Soft/Hard FMC")],
+        "b_fmc_type_final": case_when([(on & no_b, L.FMC_MOBILE_ONLY), (on, "Soft/Hard FMC"), (no_b & in_list & b_off, none)],
                                       col("b_fmc_type")),
-        "e_fmc_type_final": case_when([(on & col("e_mix").isNull() & _is1("mobile_active_eom"), L.FMC_MOBILE_ONLY),
-                                       (on & _is1("active_eom"), "Soft/Hard FMC")], col("e_fmc_type")),
-        "b_fmc_segment_final": case_when(seg_b, col("b_fmc_segment")),
-        "e_fmc_segment_final": case_when(seg_e, col("e_fmc_segment")),
-    }).drop("_la", "_lm", "_listed")
+        "e_fmc_type_final": case_when([
+            (unlisted & _is1("mobile_active_eom") & in_list & no_e, L.FMC_MOBILE_ONLY),
+            (on & no_e & _is1("mobile_active_eom"), L.FMC_MOBILE_ONLY), (on & _is1("active_eom"), "Soft/Hard FMC"),
+            (no_e & in_list & b_off, none)], col("e_fmc_type")),
+        "b_fmc_segment_final": case_when([(on & no_b, L.SEG_P1_MOBILE), (no_b & in_list & b_off, none), *by_mix("b_mix")],
+                                         col("b_fmc_segment")),
+        "e_fmc_segment_final": case_when([(on & no_e & _is1("mobile_active_eom"), L.SEG_P1_MOBILE), (no_e & in_list & e_off, none),
+                                          *by_mix("e_mix")], col("e_fmc_segment")),
+    }).drop("_la", "_lm", "_listed", "_pm", "_covered")
 
 
 GA_OR_REJOINER = "Fixed Gross Add or Mobile Gross Add/ Rejoiner"

@@ -259,13 +259,16 @@ def bill_shock_flags(master: DataFrame, params: Params = Params(), account: str
 EXCLUDED_CHURN = ("Fixed Churner", "Customer Gap", "Full Churner", "Churn Exception")
 
 
-def driver_summary(master: DataFrame, flag_cols, account: str = "fixed_account", month: str = "month") -> DataFrame:
+def driver_summary(master: DataFrame, flag_cols, account: str = "fixed_account", month: str = "month", by=()) -> DataFrame:
     """Distinct accounts per flag and period, churners excluded (D90, D97):
-    one row per (period, account) first, then sums."""
+    one row per (period, segment, account) first, then sums, so no distinct
+    count per flag. ``by`` names segment columns; an account counts once in
+    each segment it has rows in."""
+    by = list(by)
     m = master.where(~col("final_churn_flag").isin(list(EXCLUDED_CHURN)) & col(account).isNotNull())
-    per = m.groupBy(month, account).agg(*[F.max(col(c).isNotNull().cast("int")).alias(c) for c in flag_cols])
-    return per.groupBy(month).agg(F.count(F.lit(1)).alias("activebase"),
-                                  *[F.sum(c).cast("long").alias(c) for c in flag_cols])
+    per = m.groupBy(month, *by, account).agg(*[F.max(col(c).isNotNull().cast("int")).alias(c) for c in flag_cols])
+    return per.groupBy(month, *by).agg(F.count(F.lit(1)).alias("activebase"),
+                                       *[F.sum(c).cast("long").alias(c) for c in flag_cols])
 
 
 def flag_rate(summary: DataFrame, flags, base: str, digits: int = 4) -> DataFrame:

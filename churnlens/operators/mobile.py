@@ -108,3 +108,12 @@ def missing_clients(clean: DataFrame, params: Params = Params(), key: str = "fix
               .select(col(key).alias("client"), g.shift(col("month"), -1).alias("month")).distinct())
     return (b.join(e, ["client", "month"], "left_anti").groupBy("month")
              .agg(F.count(F.lit(1)).alias("missing_clients")))
+
+
+def voluntary_flag_count(lines: DataFrame, stopped_after: str, day: str = "dt", unit: str = "B2C") -> DataFrame:
+    """Postpaid lines flagged voluntary per day (D43): consumer lines with a
+    payment date whose stop date is unknown or later than ``stopped_after``
+    (compared as the file writes it, year-day-month text)."""
+    ok = ((col("voluntary_flg") == "1.0") & (col("biz_unit_d") == unit) & (col("inv_paymt_dt") != "nan")
+          & ((col("stopdate_accountno") > stopped_after) | (col("stopdate_accountno") == "nan")))
+    return lines.where(ok).groupBy(day).agg(F.count(F.lit(1)).alias("voluntary_lines"))

@@ -103,18 +103,30 @@ def movement_report(base: DataFrame) -> DataFrame:
 
 
 def gross_adds(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd", day: str = "dt",
-               start: str = "act_cust_strt_dt", revenue: str = "fi_bill_amt_m0") -> DataFrame:
-    """Accounts whose first start date lies in the period they first appear
-    in, with their revenue in that period (D25)."""
+               start: str = "act_cust_strt_dt", age: str = "fi_outst_age", max_age: int = 90,
+               products=(("vo", "pd_vo_prod_nm", "fi_vo_mrc_amt"), ("bb", "pd_bb_prod_nm", "fi_bb_mrc_amt"),
+                         ("tv", "pd_tv_prod_nm", "fi_tv_mrc_amt"))) -> DataFrame:
+    """Accounts on the last day of a period that started in it (D25): plan
+    rows, products and product revenue per period.
+
+    A plan row is an account's distinct combination of products on that day
+    with its mean charges; accounts without a product or overdue beyond
+    ``max_age`` do not count. The day is a filter, so one scan and one
+    aggregate per account suffice."""
     g = params.grain
-    per = snap.withColumn("month", g.trunc(col(day)))
-    first = per.groupBy(key).agg(F.min(start).alias("first_start"), F.min(day).alias("first_seen"))
-    rev = per.groupBy(key, "month").agg(F.sum(revenue).alias("rev"))
-    ga = (first.where(g.trunc(col("first_start")) == g.trunc(col("first_seen")))
-               .withColumn("month", g.trunc(col("first_seen"))))
-    j = ga.join(rev, [key, "month"], "inner")
-    return (j.groupBy("month").agg(F.count_distinct(key).alias("gross_adds"),
-                                   F.round(F.sum("rev"), 2).alias("gross_add_revenue")))
+    d = col(day).cast("date")
+    last = F.date_sub(g.shift(g.trunc(d), 1), 1)
+    has = {n: F.coalesce(col(name) != "", F.lit(False)) for n, name, _ in products}
+    some = F.lit(False)
+    for h in has.values():
+        some = some | h
+    rows = snap.where((d == last) & some & ((col(age) <= max_age) | col(age).isNull()))
+    plans = rows.groupBy(key, g.trunc(d).alias("month"), *[name for _, name, _ in products]).agg(
+        F.min(col(start).cast("date")).alias("_start"), *[F.avg(amt).alias(f"_{n}") for n, _, amt in products])
+    new = plans.where(col("_start") >= col("month"))
+    return new.groupBy("month").agg(
+        F.count(F.lit(1)).alias("gross_adds"), *[F.sum(has[n].cast("int")).cast("long").alias(f"gross_adds_{n}") for n, _, _ in products],
+        *[F.round(F.sum(f"_{n}"), 0).alias(f"revenue_{n}") for n, _, _ in products])
 
 
 def user_base(base: DataFrame, by=("fixed_month", "e_mix", "e_fixed_tenure_segment", "e_tech_flag")) -> DataFrame:

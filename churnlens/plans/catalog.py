@@ -205,8 +205,8 @@ def q_contact_tiers(spark, sf):
 
 FUNNEL_STAGES = (("overdue", 2, None, "fi_outst_age_final", 0), ("soft_dx", 3, None, "fi_outst_age_final", 0),
                  ("hard_dx", 4, None, "fi_outst_age_final", 1))
-FUNNEL_BANDS = (("day_one", 1, 2, "fi_outst_age_final", 0), ("soft_dx_band", 3, 3, "fi_outst_age_final", 0),
-                ("backlog", 4, 5, "fi_outst_age", 0), ("hard_dx_band", 6, 7, "fi_outst_age", 1))
+FUNNEL_BANDS = (("day_one", (("fi_outst_age_final", 1, 2),)), ("soft_dx", (("fi_outst_age_final", 3, 3),)),
+                ("backlog", (("fi_outst_age_final", 2, None), ("fi_outst_age", None, 5))), ("hard_dx", (("fi_outst_age", 6, 7),)))
 
 
 @register("overdue_from_payment")
@@ -224,8 +224,8 @@ def q_debt_funnel(spark, sf):
 
 @register("debt_funnel_bands")
 def q_debt_funnel_bands(spark, sf):
-    from churnlens.operators.billing import debt_funnel, overdue_from_payment
-    return debt_funnel(overdue_from_payment(_snap(spark, sf), P), P, FUNNEL_BANDS)
+    from churnlens.operators.billing import debt_bands, overdue_from_payment
+    return debt_bands(overdue_from_payment(_snap(spark, sf), P), P, FUNNEL_BANDS, cohort_max=6)
 
 
 @register("retention_funnel")
@@ -264,6 +264,37 @@ def q_payment_reconciliation(spark, sf):
     return reconcile(b, m)
 
 
+@register("payment_sources")
+def q_payment_sources(spark, sf):
+    from churnlens.operators.billing import bill_payments, reconcile_payments
+    orders = T.load(spark, sf, "orders")
+    moves = T.cycle_moves(orders)
+    return reconcile_payments(T.cycle_payments(orders), bill_payments(T.cycle_bills(orders), moves, MONTHLY), moves)
+
+
+@register("voluntary_flag_count")
+def q_voluntary_flag_count(spark, sf):
+    from churnlens.operators.mobile import voluntary_flag_count
+    return voluntary_flag_count(T.postpaid_lines(T.load(spark, sf, "events")), "2024-15-01")
+
+
+SEGMENTS = ["e_fmc_segment", "e_fmc_type", "e_final_tech_flag", "e_tenure_final_flag"]
+
+
+@register("driver_segments")
+def q_driver_segments(spark, sf):
+    from churnlens.plans import drivers as DP
+    snap, inter, orders = _driver_inputs(spark, sf)
+    return DP.driver_summary(DP.drivers_master(_fmc(spark, sf), snap, inter, orders, P), by=SEGMENTS)
+
+
+@register("contact_segments")
+def q_contact_segments(spark, sf):
+    from churnlens.plans import drivers as DP
+    _, inter, _ = _driver_inputs(spark, sf)
+    return DP.contact_summary(DP.contact_master(_fmc(spark, sf), inter, P), by=SEGMENTS)
+
+
 @register("all_null_accounts")
 def q_all_null_accounts(spark, sf):
     from churnlens.operators.quality import all_null_accounts

@@ -38,9 +38,9 @@ def drivers_master(master: DataFrame, snap: DataFrame, inter: DataFrame, orders:
     return D.bill_shock_flags(m, params)
 
 
-def driver_summary(master: DataFrame) -> DataFrame:
+def driver_summary(master: DataFrame, by=()) -> DataFrame:
     cols = [f"{n}_flag" for n in DRIVER_FLAGS] + ["increase_flag", "no_plan_change_flag"]
-    return D.driver_summary(master, cols)
+    return D.driver_summary(master, cols, by=by)
 
 
 def contact_master(master: DataFrame, inter: DataFrame, params: Params) -> DataFrame:
@@ -65,8 +65,15 @@ CONTACT_FLAGS = ["one_call_flag", "two_call_flag", "multiple_call_flag", "one_ti
                  "multiple_ticket_flag", "failed_visit_flag"]
 
 
-def contact_summary(master: DataFrame) -> DataFrame:
-    s = D.driver_summary(master, CONTACT_FLAGS)
+def contact_summary(master: DataFrame, by=()) -> DataFrame:
+    """Contact tiers and ticket density per period and segment. Segments may
+    be NULL, so the two sums meet null-safely."""
+    by = list(by)
+    s = D.driver_summary(master, CONTACT_FLAGS, by=by)
     dens = (master.where(~F.col("final_churn_flag").isin(list(D.EXCLUDED_CHURN)))
-                  .groupBy("month").agg(F.sum("num_tech_tickets").cast("long").alias("ticket_density")))
-    return s.join(dens, "month", "left")
+                  .groupBy(F.col("month").alias("_m"), *[F.col(c).alias(f"_{c}") for c in by])
+                  .agg(F.sum("num_tech_tickets").cast("long").alias("ticket_density")))
+    same = F.col("month") == F.col("_m")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return s.join(dens, same, "left").drop("_m", *[f"_{c}" for c in by])

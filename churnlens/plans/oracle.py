@@ -674,8 +674,9 @@ SQL["email_match"] = with_(SNAP, MOBILE, NEAR) + "SELECT near_line, near_file, e
 
 SQL["fmc_grouped"] = with_(*FMC_ALL) + """
 SELECT month, e_fmc_segment, e_fmc_type, e_final_tech_flag, waterfall_flag,
-       count(DISTINCT final_account) AS accounts, round(sum(b_total_mrc), 2) AS b_mrc,
-       round(sum(e_total_mrc), 2) AS e_mrc, round(sum(total_rgu_churn), 4) AS rgu_churn
+       count(DISTINCT final_account) AS accounts, count(DISTINCT fixed_account) AS fixed_accounts,
+       count(DISTINCT mobile_account) AS mobile_accounts, CAST(sum(round(b_total_mrc, 0)) AS BIGINT) AS b_mrc,
+       CAST(sum(round(e_total_mrc, 0)) AS BIGINT) AS e_mrc, round(sum(total_rgu_churn), 4) AS rgu_churn
 FROM fmc_table GROUP BY ALL
 """
 
@@ -922,11 +923,24 @@ def _funnel_sql(stages) -> str:
 
 FUNNEL_STAGES = (("overdue", 2, None, "fi_outst_age_final", 0), ("soft_dx", 3, None, "fi_outst_age_final", 0),
                  ("hard_dx", 4, None, "fi_outst_age_final", 1))
-FUNNEL_BANDS = (("day_one", 1, 2, "fi_outst_age_final", 0), ("soft_dx_band", 3, 3, "fi_outst_age_final", 0),
-                ("backlog", 4, 5, "fi_outst_age", 0), ("hard_dx_band", 6, 7, "fi_outst_age", 1))
-
 SQL["debt_funnel"] = _funnel_sql(FUNNEL_STAGES)
-SQL["debt_funnel_bands"] = _funnel_sql(FUNNEL_BANDS)
+SQL["debt_funnel_bands"] = with_(SNAP, OFP, f"""
+bnd AS (SELECT DISTINCT act_acct_cd AS a, {wk('dt')} AS m FROM fin),
+bil AS (SELECT DISTINCT act_acct_cd AS a, {wk('bill_dt_m0')} AS m FROM fin
+        WHERE bill_dt_m0 IS NOT NULL AND (fi_outst_age_final <= 6 OR fi_outst_age_final IS NULL)),
+st1 AS (SELECT DISTINCT act_acct_cd AS a, {wk('dt')} AS m FROM fin WHERE fi_outst_age_final BETWEEN 1 AND 2),
+st2 AS (SELECT DISTINCT act_acct_cd AS a, {wk('dt')} AS m FROM fin WHERE fi_outst_age_final BETWEEN 3 AND 3),
+st3 AS (SELECT DISTINCT act_acct_cd AS a, {wk('dt')} AS m FROM fin WHERE fi_outst_age_final >= 2 AND fi_outst_age <= 5),
+st4 AS (SELECT DISTINCT act_acct_cd AS a, {wk('dt')} AS m FROM fin WHERE fi_outst_age BETWEEN 6 AND 7)
+""") + """
+SELECT bnd.m AS month, CAST(st1.a IS NOT NULL AS INTEGER) AS day_one, CAST(st2.a IS NOT NULL AS INTEGER) AS soft_dx,
+       CAST(st3.a IS NOT NULL AS INTEGER) AS backlog, CAST(st4.a IS NOT NULL AS INTEGER) AS hard_dx,
+       count(DISTINCT bnd.a) AS accounts, count(DISTINCT bil.a) AS billed
+FROM bnd LEFT JOIN bil ON bil.a = bnd.a AND bil.m = bnd.m LEFT JOIN st1 ON st1.a = bnd.a AND st1.m = bnd.m
+  LEFT JOIN st2 ON st2.a = bnd.a AND st2.m = bnd.m LEFT JOIN st3 ON st3.a = bnd.a AND st3.m = bnd.m
+  LEFT JOIN st4 ON st4.a = bnd.a AND st4.m = bnd.m
+GROUP BY ALL
+"""
 
 SQL["retention_funnel"] = with_(*FMC_ALL, f"""
 rtreq AS (SELECT CAST(user_id AS VARCHAR) AS contrato, CAST(ts AS DATE) AS request_date,
@@ -963,7 +977,7 @@ bp AS (
 
 SQL["bill_payments"] = with_(BILLS) + "SELECT contrato, month, first_bill, bill_date, first_payment FROM bp\n"
 
-SQL["oldest_unpaid_bill"] = with_("""
+CYCLE = """
 cyc AS (SELECT o_custkey, o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_custkey % 28 AS INTEGER) AS d FROM orders),
 cbills AS (SELECT DISTINCT d AS fechafactura, CAST(o_custkey AS VARCHAR) AS contrato,
                   right('0000000000' || CAST(o_orderkey AS VARCHAR), 10) AS factura FROM cyc),
@@ -972,7 +986,10 @@ cmoves AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS fact_aplica, min
 crm AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS acct, d + n AS dt FROM cyc, unnest([-2, 0, 9, 24, 40, 65]) t(n)),
 firstbill AS (SELECT contrato, CAST(date_trunc('month', fechafactura) AS DATE) AS mesfactura, arg_min(factura, (fechafactura, factura)) AS pf
               FROM cbills GROUP BY ALL),
-complete AS (SELECT fb.*, fechafactura, fechapago FROM firstbill fb JOIN cbills ON pf = factura LEFT JOIN cmoves ON pf = fact_aplica),
+complete AS (SELECT fb.*, fechafactura, fechapago FROM firstbill fb JOIN cbills ON pf = factura LEFT JOIN cmoves ON pf = fact_aplica)
+"""
+
+SQL["oldest_unpaid_bill"] = with_(CYCLE, """
 cur AS (SELECT crm.*, t.fechafactura AS bill, t.fechapago AS bill_pay FROM crm LEFT JOIN complete t
         ON t.contrato = acct AND date_trunc('month', t.fechafactura) = date_trunc('month', dt)),
 prv AS (SELECT cur.*, t.fechafactura AS prev_bill, t.fechapago AS prev_pay FROM cur LEFT JOIN complete t
@@ -1000,6 +1017,22 @@ SELECT acct AS contrato, dt AS day, bill AS current_bill, oldest AS oldest_unpai
        CAST(date_diff('day', oldest, dt) AS INTEGER) AS overdue_days FROM stepone
 """
 
+SQL["payment_sources"] = with_(CYCLE, """
+pmt AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS doc,
+          CASE WHEN o_orderkey % 11 = 0 THEN '-1' ELSE CAST(o_orderkey AS VARCHAR) END AS invoice_id,
+          CASE WHEN o_orderkey % 4 = 0 AND k = 1 THEN 1.0 ELSE floor(o_totalprice * 50) / 100 END AS amt
+        FROM orders, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [0, 1, 1] ELSE [0, 1] END) t(k)),
+upay AS (SELECT right('0000000000' || invoice_id, 10) AS invoice, round(sum(amt), 2) AS payment_total FROM pmt
+         WHERE invoice_id <> '-1' GROUP BY ALL),
+umov AS (SELECT lpad(CAST(c.o_orderkey AS VARCHAR), 10, '0') AS invoice, min(d + CAST(c.o_orderkey * 7 % 80 AS INTEGER)) AS first_movement,
+                round(sum(round(o_totalprice, 2)), 0) AS movement_total
+         FROM cyc c JOIN orders o ON o.o_orderkey = c.o_orderkey WHERE c.o_orderkey % 5 <> 0 GROUP BY ALL)
+""") + """
+SELECT upay.invoice, payment_total, contrato, mesfactura AS month, fechafactura AS bill_date, first_movement, movement_total,
+       round(payment_total - movement_total, 2) AS difference
+FROM upay JOIN complete ON pf = upay.invoice JOIN umov ON umov.invoice = upay.invoice
+"""
+
 SQL["payment_reconciliation"] = with_(BILLS) + """
 SELECT b.factura, b.monto_fact AS billed, p.paid, round(b.monto_fact - p.paid, 2) AS difference
 FROM bills b JOIN (SELECT fact_aplica AS factura, round(sum(monto_mov), 2) AS paid FROM moves GROUP BY ALL) p
@@ -1110,12 +1143,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY order_star
 """
 
 SQL["gross_adds"] = with_(SNAP, f"""
-fst AS (SELECT act_acct_cd, min(act_cust_strt_dt) AS fs, min(dt) AS f FROM snap GROUP BY ALL),
-ga AS (SELECT act_acct_cd, {wk('f')} AS month FROM fst WHERE {wk('fs')} = {wk('f')}),
-rev AS (SELECT act_acct_cd, {wk('dt')} AS month, sum(fi_bill_amt_m0) AS rev FROM snap GROUP BY ALL)
+uf AS (SELECT act_acct_cd, dt, act_cust_strt_dt, pd_vo_prod_nm AS vo, pd_bb_prod_nm AS bb, pd_tv_prod_nm AS tv,
+              avg(fi_vo_mrc_amt) AS avgvo, avg(fi_bb_mrc_amt) AS avgbb, avg(fi_tv_mrc_amt) AS avgtv
+       FROM snap WHERE (pd_vo_prod_nm <> '' OR pd_bb_prod_nm <> '' OR pd_tv_prod_nm <> '')
+         AND (fi_outst_age <= 90 OR fi_outst_age IS NULL) GROUP BY ALL),
+gam AS (SELECT act_acct_cd, min(act_cust_strt_dt) AS fs, {wk('dt')} AS month, vo, bb, tv, avgvo, avgbb, avgtv
+        FROM uf WHERE dt = {wk('dt')} + 6 GROUP BY ALL HAVING min(act_cust_strt_dt) >= {wk('dt')})
 """) + """
-SELECT ga.month, count(DISTINCT ga.act_acct_cd) AS gross_adds, round(sum(rev), 2) AS gross_add_revenue
-FROM ga JOIN rev ON ga.act_acct_cd = rev.act_acct_cd AND ga.month = rev.month GROUP BY ga.month
+SELECT month, count(*) AS gross_adds, CAST(sum(CASE WHEN vo <> '' THEN 1 ELSE 0 END) AS BIGINT) AS gross_adds_vo,
+       CAST(sum(CASE WHEN bb <> '' THEN 1 ELSE 0 END) AS BIGINT) AS gross_adds_bb,
+       CAST(sum(CASE WHEN tv <> '' THEN 1 ELSE 0 END) AS BIGINT) AS gross_adds_tv,
+       round(sum(avgvo), 0) AS revenue_vo, round(sum(avgbb), 0) AS revenue_bb, round(sum(avgtv), 0) AS revenue_tv
+FROM gam GROUP BY month
+"""
+
+SQL["voluntary_flag_count"] = """
+SELECT CAST(ts AS DATE) AS dt, count(*) AS voluntary_lines FROM events
+WHERE event_type IN ('error', 'signup') AND value >= 20 AND user_id % 5 <> 0 AND user_id % 7 <> 0
+  AND (user_id % 3 = 0 OR strftime(CAST(ts AS DATE) + CAST(user_id % 20 AS INTEGER), '%Y-%d-%m') > '2024-15-01')
+GROUP BY ALL
+"""
+
+_SEG = "e_fmc_segment, e_fmc_type, e_final_tech_flag, e_tenure_final_flag"
+_KEPT = "final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception')"
+
+SQL["driver_segments"] = with_(*FMC_ALL, INTER, SORDERS, DRIVERS) + f"""
+SELECT month, {_SEG}, count(DISTINCT fixed_account) AS activebase, {", ".join(f"count(DISTINCT {c}) AS {c}" for c in _DFLAGS)}
+FROM dmaster WHERE {_KEPT} AND fixed_account IS NOT NULL GROUP BY month, {_SEG}
+"""
+
+SQL["contact_segments"] = with_(*FMC_ALL, INTER, CONTACTS) + f"""
+SELECT s.*, d.ticket_density FROM (
+  SELECT month, {_SEG}, count(DISTINCT fixed_account) AS activebase, {", ".join(f"count(DISTINCT {c}) AS {c}" for c in _CFLAGS)}
+  FROM cmaster WHERE {_KEPT} AND fixed_account IS NOT NULL GROUP BY month, {_SEG}) s
+LEFT JOIN (SELECT month, {_SEG}, CAST(sum(num_tech_tickets) AS BIGINT) AS ticket_density FROM cmaster WHERE {_KEPT} GROUP BY month, {_SEG}) d
+  ON s.month = d.month AND {" AND ".join(f"s.{c.strip()} IS NOT DISTINCT FROM d.{c.strip()}" for c in _SEG.split(","))}
 """
 
 SQL["user_base_by_mix"] = with_(SNAP, FEAT, BASE, CHURN) + """
@@ -1432,17 +1494,21 @@ listed AS (
 """) + """
 SELECT t.month, final_account, CASE WHEN l.account IS NOT NULL THEN 1 ELSE 0 END AS fmc_listed,
   CASE WHEN l.account IS NOT NULL AND b_mix IS NULL THEN 'Mobile Only' WHEN l.account IS NOT NULL THEN 'Soft/Hard FMC'
-       ELSE b_fmc_type END AS b_fmc_type_final,
-  CASE WHEN l.account IS NOT NULL AND e_mix IS NULL AND coalesce(mobile_active_eom, 0) = 1 THEN 'Mobile Only'
-       WHEN l.account IS NOT NULL AND coalesce(active_eom, 0) = 1 THEN 'Soft/Hard FMC' ELSE e_fmc_type END AS e_fmc_type_final,
-  CASE WHEN l.account IS NOT NULL AND b_mix IS NULL THEN 'P1_Mobile' WHEN l.account IS NOT NULL AND b_mix = '1P' THEN 'P2'
-       WHEN l.account IS NOT NULL AND b_mix = '2P' THEN 'P3' WHEN l.account IS NOT NULL AND b_mix = '3P' THEN 'P4'
-       ELSE b_fmc_segment END AS b_fmc_segment_final,
-  CASE WHEN l.account IS NOT NULL AND e_mix IS NULL AND coalesce(mobile_active_eom, 0) = 1 THEN 'P1_Mobile'
-       WHEN l.account IS NOT NULL AND e_mix = '1P' THEN 'P2'
-       WHEN l.account IS NOT NULL AND e_mix = '2P' THEN 'P3' WHEN l.account IS NOT NULL AND e_mix = '3P' THEN 'P4'
-       ELSE e_fmc_segment END AS e_fmc_segment_final
-FROM fmc_table t LEFT JOIN listed l ON l.account = t.final_account AND l.month = t.month
+       WHEN b_mix IS NULL AND c.month IS NOT NULL AND mobile_active_bom <> 1 THEN NULL ELSE b_fmc_type END AS b_fmc_type_final,
+  CASE WHEN l.account IS NULL AND mobile_active_eom = 1 AND c.month IS NOT NULL AND e_mix IS NULL THEN 'Mobile Only'
+       WHEN l.account IS NOT NULL AND e_mix IS NULL AND mobile_active_eom = 1 THEN 'Mobile Only'
+       WHEN l.account IS NOT NULL AND active_eom = 1 THEN 'Soft/Hard FMC'
+       WHEN e_mix IS NULL AND c.month IS NOT NULL AND mobile_active_bom <> 1 THEN NULL ELSE e_fmc_type END AS e_fmc_type_final,
+  CASE WHEN l.account IS NOT NULL AND b_mix IS NULL THEN 'P1_Mobile'
+       WHEN b_mix IS NULL AND c.month IS NOT NULL AND mobile_active_bom <> 1 THEN NULL
+       WHEN l.account IS NOT NULL AND b_mix = '1P' THEN 'P2' WHEN l.account IS NOT NULL AND b_mix = '2P' THEN 'P3'
+       WHEN l.account IS NOT NULL AND b_mix = '3P' THEN 'P4' ELSE b_fmc_segment END AS b_fmc_segment_final,
+  CASE WHEN l.account IS NOT NULL AND e_mix IS NULL AND mobile_active_eom = 1 THEN 'P1_Mobile'
+       WHEN e_mix IS NULL AND c.month IS NOT NULL AND mobile_active_eom <> 1 THEN NULL
+       WHEN l.account IS NOT NULL AND e_mix = '1P' THEN 'P2' WHEN l.account IS NOT NULL AND e_mix = '2P' THEN 'P3'
+       WHEN l.account IS NOT NULL AND e_mix = '3P' THEN 'P4' ELSE e_fmc_segment END AS e_fmc_segment_final
+FROM fmc_table t LEFT JOIN listed l ON l.account = final_account AND l.month = t.month
+  LEFT JOIN (SELECT DISTINCT month FROM listed) c ON c.month = t.month
 """
 
 SQL["scalar_functions"] = with_(SNAP) + """

@@ -223,7 +223,32 @@ def cycle_moves(orders: DataFrame) -> DataFrame:
     """Payments up to 80 days after a cycle bill; every fifth bill has none, invoice ids come zero-padded."""
     late = (F.col("o_orderkey") * 7 % 80).cast("int")
     return orders.where(F.col("o_orderkey") % 5 != 0).select(
-        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("fact_aplica"), F.date_add(_cycle_day(), late).alias("fecha_mov"))
+        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("fact_aplica"), F.date_add(_cycle_day(), late).alias("fecha_mov"),
+        F.round("o_totalprice", 2).alias("monto_fact"))
+
+
+def cycle_payments(orders: DataFrame) -> DataFrame:
+    """The payment table's view of cycle bills: two documents per invoice, every third row repeated, some without an
+    invoice, some a little short."""
+    key, half = F.col("o_orderkey"), F.floor(F.col("o_totalprice") * 50) / 100
+    copies = F.when(key % 3 == 0, F.array(F.lit(0), F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    o = orders.withColumn("_doc", F.explode(copies))
+    return o.select(
+        F.concat(key.cast("string"), F.lit("-"), F.col("_doc").cast("string")).alias("payment_doc_id"),
+        F.when(key % 11 == 0, "-1").otherwise(key.cast("string")).alias("invoice_id"),
+        F.when((key % 4 == 0) & (F.col("_doc") == 1), F.lit(1.0)).otherwise(half).alias("payment_amt_local"))
+
+
+def postpaid_lines(events: DataFrame) -> DataFrame:
+    """Daily postpaid lines with a voluntary mark, dates as the file's text."""
+    v, uid = F.col("value"), F.col("user_id")
+    e = events.where(F.col("event_type").isin("error", "signup"))
+    return e.select(
+        F.to_date("ts").alias("dt"), F.when(v >= 20, "1.0").otherwise("0.0").alias("voluntary_flg"),
+        F.when(uid % 5 == 0, "B2B").otherwise("B2C").alias("biz_unit_d"),
+        F.when(uid % 7 == 0, "nan").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("inv_paymt_dt"),
+        F.when(uid % 3 == 0, "nan").otherwise(F.date_format(F.date_add(F.to_date("ts"), (uid % 20).cast("int")), "yyyy-dd-MM"))
+         .alias("stopdate_accountno"))
 
 
 def crm_days(orders: DataFrame) -> DataFrame:

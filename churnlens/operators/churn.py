@@ -9,7 +9,7 @@ they are one ``groupBy(account, period)`` with conditional aggregates and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.cache import col
@@ -256,19 +256,23 @@ def voluntary_counts(orders: DataFrame) -> DataFrame:
 def match_churn_order(crm: DataFrame, orders: DataFrame, params: Params = Params(), periods: int = 3,
                       account: str = "account", churn_date: str = "churn_date") -> DataFrame:
     """CRM churn date matched to the latest uninstall order at most
-    ``periods`` periods before it (D37). The CRM side has few churn dates per
-    account, so the equi-join on the account with a range residual stays
-    small; ``max_by`` keeps the latest order per churn."""
+    ``periods`` periods before it (D37).
+
+    As-of match without pairs: orders and churn dates, one row per account and
+    day each, stand in one sequence per account, and a running maximum carries
+    the latest order to each churn date. The cost is one sort of the days,
+    however many orders an account has."""
     g = params.grain
-    u = _uninstalls(orders).select(col("account_name").alias(account), "order_id", "order_start_date", "order_reason")
-    j = crm.select(account, churn_date).join(u, account, "inner").where(
-        (col("order_start_date") <= col(churn_date))
-        & (col("order_start_date") >= g.shift(col(churn_date).cast("date"), -periods)))
-    return j.groupBy(account, churn_date).agg(
-        F.max_by(F.struct("order_id", "order_start_date", "order_reason"),
-                 F.struct("order_start_date", "order_id")).alias("_o")
-    ).select(account, churn_date, col("_o.order_id").alias("order_id"),
-             col("_o.order_start_date").alias("order_date"), _order_type(col("_o.order_reason")).alias("churn_type"))
+    order = F.struct("order_start_date", "order_id", "order_reason")
+    u = _uninstalls(orders).where(col("order_start_date").isNotNull()).groupBy(
+        col("account_name").alias(account), col("order_start_date").cast("date").alias("_day")).agg(F.max(order).alias("_o"))
+    c = crm.select(account, col(churn_date).cast("date").alias("_day"), col(churn_date)).where(col("_day").isNotNull()).distinct()
+    events = u.unionByName(c, allowMissingColumns=True)
+    upto = Window.partitionBy(account).orderBy("_day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    j = events.where(col(account).isNotNull()).withColumn("_last", F.max("_o").over(upto)).where(
+        col(churn_date).isNotNull() & (col("_last.order_start_date") >= g.shift(col("_day"), -periods)))
+    return j.select(account, churn_date, col("_last.order_id").alias("order_id"), col("_last.order_start_date").alias("order_date"),
+                    _order_type(col("_last.order_reason")).alias("churn_type"))
 
 
 def voluntary_by_lines(cancels: DataFrame, snap: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,

@@ -84,6 +84,38 @@ def early_contact(events: DataFrame, starts: DataFrame, days: int, params: Param
     return j.where(ok).select("account", g.trunc(col("first_dna_date")).alias("month")).distinct()
 
 
+def contacts_after_start(events: DataFrame, starts: DataFrame, bands, params: Params = Params(), anchor: str = "start") -> DataFrame:
+    """Contacts of an account by their distance from the last start at or
+    before them (D83, D84 with the lower bound of the older scripts).
+
+    ``bands`` are (name, unit, least, most) with unit 'day' or 'period' (period
+    borders crossed). ``anchor`` 'start' gives a row per (account, start), with
+    zeros where no contact followed, in the period of the start; 'event' gives
+    a row per (account, start, period of the contacts). Contacts before any
+    start are left out.
+
+    Contacts are counted per (account, day) first; starts and days then stand
+    in one sequence per account and the last start is carried forward, so an
+    account costs its days, not starts times contacts."""
+    if anchor not in ("start", "event"):
+        raise ValueError(anchor)
+    g = params.grain
+    n = events.where(col("account_id").isNotNull()).groupBy(
+        col("account_id").alias("account"), F.to_date("interaction_start_time").alias("_day")).agg(
+        F.count_distinct("interaction_id").alias("_n"))
+    s = starts.select("account", col("start").cast("date").alias("_day")).where(col("account").isNotNull() & col("_day").isNotNull()).distinct()
+    both = n.withColumn("_kind", F.lit(1)).unionByName(s.withColumns({"_kind": F.lit(0), "_start": col("_day")}), allowMissingColumns=True)
+    upto = Window.partitionBy("account").orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = both.withColumn("start", F.last("_start", ignorenulls=True).over(upto)).where(col("start").isNotNull())
+    if anchor == "event":
+        j = j.where(col("_kind") == 1)
+    away = {"day": F.datediff(col("_day"), col("start")), "period": g.periods_between(col("start"), col("_day"))}
+    month = g.trunc(col("start") if anchor == "start" else col("_day")).alias("month")
+    return j.groupBy("account", "start", month).agg(*[
+        F.coalesce(F.sum(F.when(away[unit].between(least, most), col("_n"))), F.lit(0)).cast("long").alias(name)
+        for name, unit, least, most in bands])
+
+
 def first_bill_risk(repaired: DataFrame, params: Params = Params(), key: str = "act_acct_cd") -> DataFrame:
     """Soft disconnection and never-paid flags (D81): the highest repaired
     age while the oldest unpaid bill is the account's first bill, keyed by

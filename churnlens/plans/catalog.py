@@ -278,6 +278,27 @@ def q_voluntary_flag_count(spark, sf):
     return voluntary_flag_count(T.postpaid_lines(T.load(spark, sf, "events")), "2024-15-01")
 
 
+EARLY_BANDS = (("calls_early", "day", 0, 2), ("calls_late", "day", 0, 9), ("calls_periods_1_3", "period", 1, 3))
+
+
+def _early_bands(spark, sf, anchor):
+    from churnlens.operators import drivers as D
+    snap = T.fixed_snapshot(T.load(spark, sf, "events"))
+    starts = snap.select(F.col("act_acct_cd").alias("account"), F.col("act_acct_inst_dt").alias("start"))
+    calls = D.calls(T.interactions(T.load(spark, sf, "events")))
+    return D.contacts_after_start(calls, starts, EARLY_BANDS, P, anchor)
+
+
+@register("early_contacts_by_start")
+def q_early_contacts_by_start(spark, sf):
+    return _early_bands(spark, sf, "start")
+
+
+@register("early_contacts_by_event")
+def q_early_contacts_by_event(spark, sf):
+    return _early_bands(spark, sf, "event")
+
+
 SEGMENTS = ["e_fmc_segment", "e_fmc_type", "e_final_tech_flag", "e_tenure_final_flag"]
 
 

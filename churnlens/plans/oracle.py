@@ -1157,6 +1157,25 @@ SELECT month, count(*) AS gross_adds, CAST(sum(CASE WHEN vo <> '' THEN 1 ELSE 0
 FROM gam GROUP BY month
 """
 
+EARLY = f"""
+inst AS (SELECT DISTINCT act_acct_cd AS account, act_acct_inst_dt AS start FROM snap),
+cday AS (SELECT account_id AS account, CAST(interaction_start_time AS DATE) AS day, count(DISTINCT interaction_id) AS n FROM inter
+         WHERE interaction_status <> 'ANULADA' AND interaction_purpose_descrip NOT IN ({_sqlist(_L.NON_CALL_PURPOSES)}) GROUP BY ALL),
+latest AS (SELECT c.account, day, n, max(start) AS start FROM cday c JOIN inst i ON i.account = c.account AND i.start <= c.day GROUP BY ALL)
+"""
+_EARLY_SUMS = f"""CAST(coalesce(sum(CASE WHEN date_diff('day', s.start, day) BETWEEN 0 AND 2 THEN n END), 0) AS BIGINT) AS calls_early,
+  CAST(coalesce(sum(CASE WHEN date_diff('day', s.start, day) BETWEEN 0 AND 9 THEN n END), 0) AS BIGINT) AS calls_late,
+  CAST(coalesce(sum(CASE WHEN date_diff('day', {wk('s.start')}, {wk('day')}) BETWEEN 7 AND 21 THEN n END), 0) AS BIGINT) AS calls_periods_1_3"""
+
+SQL["early_contacts_by_start"] = with_(SNAP, INTER, EARLY) + f"""
+SELECT s.account, s.start, {wk('s.start')} AS month, {_EARLY_SUMS}
+FROM inst s LEFT JOIN latest a ON a.account = s.account AND a.start = s.start GROUP BY s.account, s.start
+"""
+
+SQL["early_contacts_by_event"] = with_(SNAP, INTER, EARLY) + f"""
+SELECT s.account, s.start, {wk('day')} AS month, {_EARLY_SUMS} FROM latest s GROUP BY s.account, s.start, {wk('day')}
+"""
+
 SQL["voluntary_flag_count"] = """
 SELECT CAST(ts AS DATE) AS dt, count(*) AS voluntary_lines FROM events
 WHERE event_type IN ('error', 'signup') AND value >= 20 AND user_id % 5 <> 0 AND user_id % 7 <> 0

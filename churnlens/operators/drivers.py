@@ -12,7 +12,7 @@ for eleven ``count(distinct)``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,6 +271,18 @@ def keyed_flags(sets: Mapping[str, DataFrame]) -> DataFrame:
         *[F.max((col("_flag") == n).cast("int")).alias(n) for n in sets])
 
 
+def keyed_columns(frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames of (account, month, 0/1 columns) as one row per key with every
+    column: a frame that holds several flags is planned once."""
+    u = None
+    for df in frames:
+        names = [c for c in df.columns if c not in ("account", "month")]
+        d = df.select(col("account").cast("string").alias("account"), col("month").cast("date").alias("month"), *names)
+        u = d if u is None else u.unionByName(d, allowMissingColumns=True)
+    flags = [c for c in u.columns if c not in ("account", "month")]
+    return u.groupBy("account", "month").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in flags])
+
+
 def enrich(master: DataFrame, flags: DataFrame, account: str = "fixed_account", month: str = "month") -> DataFrame:
     """One left join of all flags; each flag holds the account key or NULL."""
     names = [c for c in flags.columns if c not in ("account", "month")]
@@ -320,13 +332,14 @@ def caller_tiers_by_month(events: DataFrame, params: Params = Params()) -> DataF
 
 
 def snapshot_driver_sets(snap: DataFrame, params: Params = Params(), key: str = "act_acct_cd",
-                         day: str = "dt") -> dict[str, DataFrame]:
+                         day: str = "dt", stage: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """The four snapshot-based driver sets (D80, D81, D83/D84 starts, D88)
     from one pass over the daily data: one hash partitioning by account
     carries the repair window and the account's first bill, then a single
     aggregate per (account, period, start period, install period) keeps
-    what each set needs. The sets are small aggregates of that summary, so
-    the daily data is read and shuffled once instead of once per set."""
+    what each set needs. The sets are small aggregates of that summary, which
+    ``stage`` writes once, so the daily data is read and shuffled once instead
+    of once per set."""
     from churnlens.operators.snapshot import repair_overdue
     g = params.grain
     d = col(day).cast("date")
@@ -343,6 +356,7 @@ def snapshot_driver_sets(snap: DataFrame, params: Params = Params(), key: str =
         F.collect_set(F.when(d == g.trunc(d), fd)).alias("first_day"),  # rows of one account on one day
         F.max(F.when(risk_row, col("mora_fix"))).alias("risk_age"),
         F.max(risk_row.cast("int")).alias("any_risk"))
+    summ = summ if stage is None else stage(summ, "driver-sets")
     starts = summ.groupBy("account").agg(F.min("min_dt").alias("first_dna_date"), F.max("max_start").alias("last_start"))
     first_active = summ.groupBy("account").agg(F.min("min_active_dt").alias("_first"))
     inst = summ.where(col("any_active") == 1).select("account", col("inst_month").alias("_inst")).distinct()

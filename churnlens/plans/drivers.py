@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 from churnlens import labels as L
 from churnlens.operators import drivers as D
 from churnlens.params import Params
+from churnlens.plans.staging import stage
 
 DRIVER_FLAGS = ["monthsale", "soft_dx", "never_paid", "long_install", "early_issue", "tech_call", "bill_claim",
                 "mounting_bill"]
 
 
+CONTACT_COLUMNS = ["account_id", "interaction_id", "interaction_start_time", "interaction_purpose_descrip", "interaction_status"]
+
+
 def driver_flags(snap: DataFrame, inter: DataFrame, orders: DataFrame, params: Params) -> DataFrame:
-    one = D.snapshot_driver_sets(snap, params)
-    risk = one["risk"]
-    dedup = D.dedupe_interactions(inter, void=L.VOID_STATUSES)
-    sets = {
-        "monthsale": one["sales"],
-        "soft_dx": risk.where("soft_dx = 1"),
-        "never_paid": risk.where("never_paid = 1"),
-        "long_install": D.long_installs(orders, params),
-        "early_issue": D.early_contact(D.calls(dedup), one["starts"], params.early_contact_days, params),
-        "tech_call": D.early_contact(D.tech_tickets(dedup), one["starts"], params.early_ticket_weeks, params,
-                                     unit="week"),
-        "bill_claim": D.billing_claims(dedup, params),
-        "mounting_bill": one["mounting"],
-    }
-    return D.keyed_flags(sets)
+    one = D.snapshot_driver_sets(snap, params, stage=stage)
+    dedup = stage(D.dedupe_interactions(inter, void=L.VOID_STATUSES).select(*CONTACT_COLUMNS), "driver-contacts")
+
+    def flag(df, name):
+        return df.select("account", "month", F.lit(1).alias(name))
+
+    return D.keyed_columns([
+        flag(one["sales"], "monthsale"), one["risk"],
+        flag(D.long_installs(orders, params), "long_install"),
+        flag(D.early_contact(D.calls(dedup), one["starts"], params.early_contact_days, params), "early_issue"),
+        flag(D.early_contact(D.tech_tickets(dedup), one["starts"], params.early_ticket_weeks, params, unit="week"), "tech_call"),
+        flag(D.billing_claims(dedup, params), "bill_claim"),
+        flag(one["mounting"], "mounting_bill"),
+    ])
 
 
 def drivers_master(master: DataFrame, snap: DataFrame, inter: DataFrame, orders: DataFrame,
@@ -44,18 +47,14 @@ def driver_summary(master: DataFrame, by=()) -> DataFrame:
 
 
 def contact_master(master: DataFrame, inter: DataFrame, params: Params) -> DataFrame:
-    dedup = D.dedupe_interactions(inter)
+    """The master with contact tiers and ticket density; the deduplicated
+    contacts are written once and each window is counted once for its tiers."""
+    dedup = stage(D.dedupe_interactions(inter).select(*CONTACT_COLUMNS), "contacts")
     calls = D.tiers(D.contacts_in_window(dedup, D.calls(dedup), params), "call")
     tk = D.tech_tickets(dedup)
     tickets = D.tiers(D.contacts_in_window(tk, tk, params), "ticket")
     failed = D.failed_visits(dedup, params).withColumn("failed_visit", F.lit(1))
-    sets = {}
-    for df in (calls, tickets):
-        for c in df.columns:
-            if c not in ("account", "month"):
-                sets[c] = df.where(F.col(c) == 1).select("account", "month")
-    sets["failed_visit"] = failed.select("account", "month")
-    m = D.enrich(master, D.keyed_flags(sets))
+    m = D.enrich(master, D.keyed_columns([calls, tickets, failed]))
     dens = D.ticket_density(dedup, params).withColumnRenamed("account", "_da").withColumnRenamed("month", "_dm")
     return m.join(dens, (F.col("final_account") == F.col("_da")) & (F.col("month") == F.col("_dm")), "left") \
             .drop("_da", "_dm")
@@ -66,14 +65,15 @@ CONTACT_FLAGS = ["one_call_flag", "two_call_flag", "multiple_call_flag", "one_ti
 
 
 def contact_summary(master: DataFrame, by=()) -> DataFrame:
-    """Contact tiers and ticket density per period and segment. Segments may
-    be NULL, so the two sums meet null-safely."""
+    """Contact tiers and ticket density per period and segment from one
+    evaluation of the master: per (period, segment, account) first, then sums.
+    A segment without a known account has no row."""
     by = list(by)
-    s = D.driver_summary(master, CONTACT_FLAGS, by=by)
-    dens = (master.where(~F.col("final_churn_flag").isin(list(D.EXCLUDED_CHURN)))
-                  .groupBy(F.col("month").alias("_m"), *[F.col(c).alias(f"_{c}") for c in by])
-                  .agg(F.sum("num_tech_tickets").cast("long").alias("ticket_density")))
-    same = F.col("month") == F.col("_m")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return s.join(dens, same, "left").drop("_m", *[f"_{c}" for c in by])
+    m = master.where(~F.col("final_churn_flag").isin(list(D.EXCLUDED_CHURN)))
+    per = m.groupBy("month", *by, "fixed_account").agg(
+        *[F.max(F.col(c).isNotNull().cast("int")).alias(c) for c in CONTACT_FLAGS], F.sum("num_tech_tickets").alias("_n"))
+    known = F.col("fixed_account").isNotNull()
+    out = per.groupBy("month", *by).agg(
+        F.count("fixed_account").alias("activebase"), *[F.sum(F.when(known, F.col(c))).cast("long").alias(c) for c in CONTACT_FLAGS],
+        F.sum("_n").cast("long").alias("ticket_density"))
+    return out.where("activebase > 0")

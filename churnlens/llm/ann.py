@@ -127,7 +127,14 @@ class Router:
         return np.argsort(-z, axis=1, kind="stable")[:, :n]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: cosines stay the same to the last bit,
+    and squares of huge or tiny components neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -171,6 +178,7 @@ def routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise cosine in double precision."""
+    q, x = scaled(q), scaled(x)
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 

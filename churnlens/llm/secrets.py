@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import json
 import re
 
@@ -124,15 +125,18 @@ SSH_TYPES = re.compile(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.
 SSH_NAME = 64  # bytes of the longest type name the protocol allows
 
 
+SSH_MAGIC = b"openssh-key-v1\0"
+SSH_KEYS = 16  # keys of one container; writers put one
+
+
 def ssh_key(data: bytes) -> str | None:
-    """OpenSSH private container or public key blob whose nested lengths agree."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        head = fields(data, len(magic), 3)
+    """OpenSSH private container (of at most SSH_KEYS keys) or public key blob whose nested lengths agree."""
+    if data.startswith(SSH_MAGIC):
+        head = fields(data, len(SSH_MAGIC), 3)
         if head is None or head[1] + 4 > len(data):
             return None
         keys = int.from_bytes(data[head[1]:head[1] + 4], "big")
-        rest = fields(data, head[1] + 4, keys + 1) if 1 <= keys <= 16 else None
+        rest = fields(data, head[1] + 4, keys + 1) if 1 <= keys <= SSH_KEYS else None
         return "openssh-private" if rest and rest[1] == len(data) else None
     if len(data) > 4 and 0 < int.from_bytes(data[:4], "big") <= SSH_NAME:
         got = fields(data, 0)
@@ -149,27 +153,57 @@ def unbase64(run: str) -> bytes | None:
         return None
 
 
-def _may_start(run: str, at: int) -> bool:
+def _part(run: str, at: int, lo: int, hi: int) -> bytes:
+    """Bytes lo to hi of what the run encodes from ``at`` on (empty where it does not decode)."""
+    first = lo // 3
+    data = unbase64(run[at + 4 * first:at - (-hi // 3) * 4])
+    return b"" if data is None else data[lo - 3 * first:hi - 3 * first]
+
+
+def _container_ends(run: str, at: int, size: int) -> bool:
+    """Whether an OpenSSH container starts at ``at`` whose nested lengths end with the run; decodes only the lengths."""
+    pos = len(SSH_MAGIC)
+    if _part(run, at, 0, pos) != SSH_MAGIC:
+        return False
+    left, counted = 3, False  # fields before the number of keys, then the keys and the private part
+    while True:
+        if left == 0:
+            if counted:
+                return pos == size
+            left, counted = int.from_bytes(_part(run, at, pos, pos + 4), "big") + 1, True
+            if not 2 <= left <= SSH_KEYS + 1:
+                return False
+            pos += 4
+            continue
+        pos += 4 + int.from_bytes(_part(run, at, pos, pos + 4), "big")
+        if pos > size:
+            return False
+        left -= 1
+
+
+def _may_start(run: str, at: int, end: int) -> bool:
     """Whether a key can start at ``at``, by its first bytes, so that the rest is decoded only for likely ones."""
     head = unbase64(run[at:at + 8])
     if head is None:
         return False
     if head[0] == 0x30:
-        n = len(run.rstrip("=")) - at
-        size = n * 3 // 4
+        size = (end - at) * 3 // 4
         top = tlv(head, 0, size)
         return top is not None and top[2] == size
     if head[0] == 0:
         size = int.from_bytes(head[:4], "big")
         name = unbase64(run[at:at + -(-(4 + size) * 4 // 3)]) if size <= SSH_NAME else None
         return name is not None and bool(SSH_TYPES.fullmatch(name[4:4 + size]))
+    if head[:6] == SSH_MAGIC[:6]:
+        return _container_ends(run, at, (end - at) * 3 // 4)
     return True
 
 
 def keys_of_run(run: str) -> list[tuple[int, int]]:
     """(start, index in KINDS) of the first key that fills a base64 run to its end."""
-    limit = len(run.rstrip("=")) - RUN_MIN
-    for at in [0, *(m.start() for m in HEADS.finditer(run) if 0 < m.start() <= limit and _may_start(run, m.start()))]:
+    end = len(run.rstrip("="))
+    starts = (m.start() for m in HEADS.finditer(run) if 0 < m.start() <= end - RUN_MIN and _may_start(run, m.start(), end))
+    for at in itertools.chain([0], starts):
         data = unbase64(run[at:])
         kinds = [k for k, f in ((4, der_key), (5, ssh_key)) if data and f(data)]
         if kinds:

@@ -338,3 +338,15 @@ def test_pipeline_on_edges(llm, edges, nothing, tmp_path):
             f(llm, frame, SF).write.parquet(str(tmp_path / f"{k}-{name}"))
             frame = llm.read.parquet(str(tmp_path / f"{k}-{name}"))
         assert (frame.count() > 0) == (k == 0)
+
+
+def test_ann_scores_of_extreme_components(llm):
+    from churnlens.llm import ann
+
+    rows = [(k, [x * s for x in v]) for k, (v, s) in enumerate([([1.0, 2.0, 2.0], 1e200), ([1.0, 2.0, 2.0], 1e-200), ([2.0, 1.0, 2.0], 1.0),
+                                                                ([0.0, 0.0, 0.0], 1.0)])]
+    got = ann.search(llm.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2] and abs(got[0].score - 1) < 1e-15 and abs(got[1].score - 8 / 9) < 1e-15
+    x = np.random.default_rng(1).normal(size=(50, 8))
+    plain = (x * x[::-1]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[::-1] * x[::-1]).sum(axis=1)))
+    assert (ann.cosine(x, x[::-1]) == plain).all()

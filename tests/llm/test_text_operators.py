@@ -64,8 +64,9 @@ def brute_exact(data):
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, t or ""))
     out = []
     for norm, members in groups.items():
-        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        out += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest(), False) for i, _ in members]
+        first = min(range(len(members)), key=lambda k: (-len(members[k][1]), members[k][0] is None, members[k][0] or 0))
+        out += [(i, members[first][0], len(members), k == first, hashlib.sha256(norm.encode()).hexdigest(), False)
+                for k, (i, _) in enumerate(members)]
     return sorted(out, key=lambda r: [(x is None, x) for x in r])
 
 
@@ -92,6 +93,39 @@ def test_digest_index_keeps_batches_apart(llm):
     index.drop()
 
 
+def test_digest_index_outlives_its_session(llm, tmp_path):
+    one = llm.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    two = llm.createDataFrame([(3, "a"), (4, "c")], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(llm, "kept_index", path, buckets=3)
+    exact_dedup.exact_dedup(one, index)
+    index.drop()  # as a session without this catalogue sees it
+    again = exact_dedup.DigestIndex(llm, "reopened_index", path, buckets=7)
+    assert again.buckets == 3 and again.read().count() == 2
+    assert {r.doc_id: r.kept for r in exact_dedup.exact_dedup(two, again).collect()} == {3: False, 4: True}
+    assert again.read().count() == 3
+    small = again.compacted(str(tmp_path / "compacted"))
+    assert sorted(map(tuple, small.read().collect())) == sorted(map(tuple, again.read().collect()))
+    small.drop()
+    again.drop()
+
+
+def test_repeated_batch_gets_its_first_answer(llm):
+    index = exact_dedup.DigestIndex(llm, buckets=2)
+    docs = llm.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    first = rows(exact_dedup.exact_dedup(docs, index, batch="monday"))
+    assert rows(exact_dedup.exact_dedup(docs, index, batch="monday")) == first and index.read().count() == 2
+    assert not any(r.kept for r in exact_dedup.exact_dedup(docs, index, batch="tuesday").collect())
+    index.drop()
+
+
+def test_of_repeated_rows_one_stays(llm):
+    docs = llm.createDataFrame([(3, "a b"), (3, "a  b"), (3, "a  b"), (4, "a b")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs, exact_dedup.DigestIndex(llm))
+    assert sorted(r.kept for r in got.collect()) == [False, False, False, True]
+    assert [(r.doc_id, r.text) for r in exact_dedup.kept_documents(docs, got).collect()] == [(3, "a  b")]
+
+
 # --- personal data -------------------------------------------------------------------------------------
 
 # The contract's patterns as they stand; the operator writes them otherwise.
@@ -329,3 +363,17 @@ def test_license_gate_shuts_no_match_out(monkeypatch):
     every = {r[2] for r in licenses.rules()}
     monkeypatch.setattr(licenses, "automaton", lambda: type("All", (), {"iter": lambda self, stream: [(0, k) for k in every]})())
     assert [licenses.scan(t) for t in texts] == gated
+
+
+def test_openssh_heads_are_scanned_in_linear_time():
+    import time
+
+    run = "b3BlbnNzaC1rZXktdjEA" * 50000
+    began = time.process_time()
+    assert secrets.keys_of_run(run) == []
+    assert time.process_time() - began < 5
+    text = b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+    body = b"openssh-key-v1\0" + text + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 60, b"k" * 90))
+    key = base64.b64encode(body).decode().rstrip("=")
+    assert [at for at, _ in secrets.keys_of_run(key)] == [0]
+    assert [at for at, _ in secrets.keys_of_run("abcd/" + key)] == [5]

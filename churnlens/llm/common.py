@@ -67,6 +67,28 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _staged.remove(name)
 
 
+class Scratch:
+    """Staged tables by name, deleted as soon as their readers have written theirs.
+
+    ``write`` replaces a table of the same name: the new one is complete before
+    the old one goes, so it may be derived from it. ``drop`` is called when
+    everything that read a table is itself on disk; nothing is recomputed from
+    a dropped table, so a lost executor needs none."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        release(self.spark, [self.paths.pop(n) for n in names if n in self.paths])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -27,6 +27,8 @@ MM_COMEBACK = "04. Come Back to Life"
 MM_NEW = "05. New Customer"
 MM_LOSS = "06. Loss"
 MM_MISSING = "07. Missing Customer"
+GAIN_NEW = "Gross-Ads"
+GAIN_COMEBACK = "ComeBackToLife/Rejoiners Gross-Ads"
 
 # Spin labels.
 SPIN_UP = "1. Up-spin"

@@ -74,14 +74,36 @@ def tenure_segments(df: DataFrame, params: Params = Params(), prefix: str = "fix
     })
 
 
-def gain_movement(df: DataFrame) -> DataFrame:
-    """Change per product between opening and closing."""
-    out = {}
+def gain_movement(df: DataFrame, params: Params = Params(), install: str = "e_max_inst") -> DataFrame:
+    """Kind of gain and change per product between opening and closing.
+
+    An account that only closes the period is a gross add when its install
+    (``install``; the sources take the last or the first one) lies in the
+    period and a comeback when it does not. A product's change is 0 for an
+    account that lacks one of the two sides, as in the source."""
+    gained = (col("active_bom") == 0) & (col("active_eom") == 1)
+    period = params.grain.trunc(col(install).cast("date"))
+    out = {"gain_movement": case_when([(gained & (period == col("fixed_month")), L.GAIN_NEW),
+                                       (gained & (period != col("fixed_month")), L.GAIN_COMEBACK)])}
     for p in ("vo", "tv", "bb"):
-        out[f"dif_rgu_{p}"] = F.coalesce(col(f"e_rgu_{p}"), F.lit(0)) - F.coalesce(col(f"b_rgu_{p}"), F.lit(0))
+        out[f"dif_rgu_{p}"] = F.coalesce(col(f"e_rgu_{p}") - col(f"b_rgu_{p}"), F.lit(0))
     return df.withColumns(out)
 
 
+def rgu_movement_report(base: DataFrame, max_overdue: int = 90) -> DataFrame:
+    """Customers, opening and closing products and product changes per
+    period, movement and kind of gain (D20, D24), of ``main_movement`` and
+    ``gain_movement`` output. Accounts that close beyond ``max_overdue`` are
+    left out of the product totals (not of the customers)."""
+    within = (col("e_overdue") <= max_overdue) | col("e_overdue").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(within, col(c))), F.lit(0)).cast("long")
+    per = base.groupBy("fixed_month", "main_movement", "gain_movement")
+    return per.agg(F.count_distinct("fixed_account").alias("customers"),
+                   *[total(f"{s}_rgu_{p}").alias(f"{n}_{p}") for s, n in (("b", "opening"), ("e", "closing")) for p in ("vo", "tv", "bb")],
+                   *[F.sum(f"dif_rgu_{p}").cast("long").alias(f"change_{p}") for p in ("vo", "tv", "bb")],
+                   F.coalesce(F.sum("dif_total_rgu"), F.lit(0)).cast("long").alias("change_total"))
+
+
 def with_plans(df: DataFrame) -> DataFrame:
     """Plan signatures at opening and closing."""
     return df.withColumns({

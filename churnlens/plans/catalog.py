@@ -299,6 +299,28 @@ def q_early_contacts_by_event(spark, sf):
     return _early_bands(spark, sf, "event")
 
 
+TEST_STATUSES, TEST_TYPES = ("ACTIVO", "SUSPENDIDO"), ("RESIDENCIAL",)  # of the test snapshot
+
+
+@register("clean_tickets")
+def q_clean_tickets(spark, sf):
+    from churnlens.operators.tickets import clean_tickets
+    return clean_tickets(T.ticket_register(T.load(spark, sf, "events")))
+
+
+@register("early_tickets_two_systems")
+def q_early_tickets_two_systems(spark, sf):
+    from churnlens.operators.tickets import early_tickets_two_systems
+    ev = T.load(spark, sf, "events")
+    return early_tickets_two_systems(T.ticket_register(ev), T.country_calls(ev), T.fixed_snapshot(ev), P, weeks=1, since="2024-01-02",
+                                     statuses=TEST_STATUSES, types=TEST_TYPES)
+
+
+@register("rgu_movement_report")
+def q_rgu_movement_report(spark, sf):
+    return M.rgu_movement_report(M.gain_movement(_fixed(spark, sf).base, P))
+
+
 SEGMENTS = ["e_fmc_segment", "e_fmc_type", "e_final_tech_flag", "e_tenure_final_flag"]
 
 

@@ -1176,6 +1176,73 @@ SQL["early_contacts_by_event"] = with_(SNAP, INTER, EARLY) + f"""
 SELECT s.account, s.start, {wk('day')} AS month, {_EARLY_SUMS} FROM latest s GROUP BY s.account, s.start, {wk('day')}
 """
 
+TICKETS = """
+register AS (
+  SELECT 'T' || event_id AS ticket_number,
+    CASE WHEN user_id % 5 = 0 THEN substr(lpad(CAST(user_id AS VARCHAR), 12, '0'), 1, 4) || '-' || substr(lpad(CAST(user_id AS VARCHAR), 12, '0'), 5, 8)
+         WHEN user_id % 5 = 1 THEN lpad(CAST(user_id AS VARCHAR), 10, '0') ELSE 'A' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS account_id,
+    CASE WHEN user_id % 7 = 0 THEN 'Business' WHEN user_id % 2 = 0 THEN 'RESIDENTIAL' ELSE 'Residential HFC' END AS cust_type,
+    CASE WHEN value BETWEEN 40 AND 50 THEN 'NETWORK MIGRATION' ELSE 'STREET' END AS found_name,
+    CASE WHEN CAST(floor(value) AS BIGINT) % 4 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS status,
+    CASE WHEN value BETWEEN 60 AND 70 THEN strftime(seen, '/%m/%Y %H:%M') WHEN CAST(floor(value) AS BIGINT) % 3 = 0
+         THEN strftime(seen, '%m/%d/%Y %H:%M') ELSE strftime(seen, '%d/%m/%Y %H:%M') END AS received_time
+  FROM (SELECT *, ts + to_days(unnest(CASE WHEN value < 30 THEN [0, 1] ELSE [0] END)) AS seen FROM events WHERE event_type = 'error')
+),
+parts AS (
+  SELECT *, regexp_replace(account_id, '[^0-9 ]', '', 'g') AS standardacc,
+    regexp_replace(split_part(received_time, '/', 1), '[^0-9 ]', '', 'g') AS p1,
+    regexp_replace(split_part(received_time, '/', 2), '[^0-9 ]', '', 'g') AS p2,
+    regexp_replace(split_part(split_part(received_time, '/', 3), ' ', 1), '[^0-9 ]', '', 'g') AS p3
+  FROM register WHERE lower(cust_type) LIKE '%residential%' AND found_name <> 'NETWORK MIGRATION'
+),
+defs AS (
+  SELECT *,
+    CASE WHEN CAST(p2 AS INT) > 12 AND CAST(p1 AS INT) <= 12 THEN CAST(p1 AS INT) WHEN CAST(p2 AS INT) < 12 THEN CAST(p2 AS INT) END AS month_def,
+    CASE WHEN CAST(p2 AS INT) > 12 AND CAST(p1 AS INT) <= 12 THEN CAST(p2 AS INT)
+         WHEN CAST(p2 AS INT) < 12 AND CAST(p1 AS INT) <= 31 THEN CAST(p1 AS INT) END AS day_def
+  FROM parts WHERE p1 <> '' AND p2 <> '' AND p3 <> ''
+),
+closed_tickets AS (
+  SELECT ticket_number, CAST(CAST(standardacc AS BIGINT) AS VARCHAR) AS account,
+    CASE WHEN length(standardacc) = 8 THEN 'CERILLION' ELSE 'LIBERATE' END AS crm,
+    CAST(strptime(day_def || '-' || month_def || '-' || p3, '%d-%m-%Y') AS DATE) AS received
+  FROM defs WHERE length(standardacc) IN (8, 12) AND status = 'CLOSED'
+)
+"""
+
+SQL["clean_tickets"] = with_(TICKETS) + """
+SELECT * FROM closed_tickets
+UNION ALL SELECT ticket_number, CAST(CAST(standardacc AS BIGINT) AS VARCHAR), CASE WHEN length(standardacc) = 8 THEN 'CERILLION' ELSE 'LIBERATE' END, NULL
+FROM parts WHERE (p1 = '' OR p2 = '' OR p3 = '') AND length(standardacc) IN (8, 12) AND status = 'CLOSED'
+"""
+
+SQL["early_tickets_two_systems"] = with_(SNAP, INTER, TICKETS, f"""
+served AS (SELECT act_acct_cd, min(act_cust_strt_dt) AS start FROM snap WHERE act_acct_stat IN ('ACTIVO', 'SUSPENDIDO')
+           AND act_cust_typ = 'RESIDENCIAL' GROUP BY ALL),
+grouped AS (SELECT ticket_number, account, min(received) AS received FROM closed_tickets WHERE received > DATE '2024-01-02' GROUP BY ALL),
+register_early AS (SELECT account, max(CASE WHEN trunc(date_diff('day', start, received) / 7.0) <= 1 THEN 1 ELSE 0 END) AS early_tickets, start AS sales_month
+          FROM grouped LEFT JOIN served ON account = act_acct_cd GROUP BY account, start),
+jcalls AS (
+  SELECT {wk('interaction_start_time')} AS m, interaction_id, account_id AS account, min(CAST(interaction_start_time AS DATE)) AS day
+  FROM inter WHERE CAST(account_id AS BIGINT) % 3 <> 2 GROUP BY ALL),
+calls_early AS (SELECT account, max(CASE WHEN trunc(date_diff('day', start, day) / 7.0) <= 1 THEN 1 ELSE 0 END) AS early_tickets, {wk('start')} AS sales_month
+          FROM jcalls LEFT JOIN served ON account = act_acct_cd GROUP BY account, {wk('start')})
+""") + """
+SELECT DISTINCT * FROM (SELECT * FROM register_early UNION ALL SELECT * FROM calls_early)
+"""
+
+SQL["rgu_movement_report"] = with_(SNAP, FEAT, BASE) + f"""
+SELECT fixed_month, main_movement, gain_movement, count(DISTINCT fixed_account) AS customers,
+  {", ".join(f"CAST(coalesce(sum({s}_rgu_{p}) FILTER (WHERE e_overdue <= 90 OR e_overdue IS NULL), 0) AS BIGINT) AS {n}_{p}"
+             for s, n in (("b", "opening"), ("e", "closing")) for p in ("vo", "tv", "bb"))},
+  {", ".join(f"CAST(sum(ifnull(e_rgu_{p} - b_rgu_{p}, 0)) AS BIGINT) AS change_{p}" for p in ("vo", "tv", "bb"))},
+  CAST(coalesce(sum(e_num_rgus - b_num_rgus), 0) AS BIGINT) AS change_total
+FROM (SELECT *, CASE WHEN active_bom = 0 AND active_eom = 1 AND {wk('e_max_inst')} = fixed_month THEN 'Gross-Ads'
+                     WHEN active_bom = 0 AND active_eom = 1 AND {wk('e_max_inst')} <> fixed_month THEN 'ComeBackToLife/Rejoiners Gross-Ads' END AS gain_movement
+      FROM base)
+GROUP BY fixed_month, main_movement, gain_movement
+"""
+
 SQL["voluntary_flag_count"] = """
 SELECT CAST(ts AS DATE) AS dt, count(*) AS voluntary_lines FROM events
 WHERE event_type IN ('error', 'signup') AND value >= 20 AND user_id % 5 <> 0 AND user_id % 7 <> 0

@@ -199,6 +199,36 @@ def service_orders(events: DataFrame) -> DataFrame:
     )
 
 
+def ticket_register(events: DataFrame) -> DataFrame:
+    """Text register of the older ticket system: marks between the digits of
+    account ids of 8, 10 or 12, day-first and month-first times, blank parts,
+    tickets reported again a day later."""
+    v, uid = F.col("value"), F.col("user_id")
+    fv = F.floor(v)
+    e = events.where(F.col("event_type") == "error").withColumn(
+        "_copy", F.explode(F.when(v < 30, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    ts = F.col("ts") + F.make_dt_interval(days=F.col("_copy"))
+    digits = lambda n: F.lpad(uid.cast("string"), n, "0")
+    return e.select(
+        F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("ticket_number"),
+        F.when(uid % 5 == 0, F.concat(F.substring(digits(12), 1, 4), F.lit("-"), F.substring(digits(12), 5, 8)))
+         .when(uid % 5 == 1, digits(10)).otherwise(F.concat(F.lit("A"), digits(8))).alias("account_id"),
+        F.when(uid % 7 == 0, "Business").when(uid % 2 == 0, "RESIDENTIAL").otherwise("Residential HFC").alias("cust_type"),
+        F.when(v.between(40, 50), "NETWORK MIGRATION").otherwise("STREET").alias("found_name"),
+        F.when(fv % 4 == 0, "OPEN").otherwise("CLOSED").alias("status"),
+        F.when(v.between(60, 70), F.date_format(ts, "/MM/yyyy HH:mm"))
+         .when(fv % 3 == 0, F.date_format(ts, "MM/dd/yyyy HH:mm")).otherwise(F.date_format(ts, "dd/MM/yyyy HH:mm"))
+         .alias("received_time"))
+
+
+def country_calls(events: DataFrame) -> DataFrame:
+    """Interactions of the newer ticket system with a country and marked account ids."""
+    n = F.col("account_id").cast("long") % 3
+    return interactions(events).withColumns({
+        "org_cntry": F.when(n == 0, "Jamaica").when(n == 1, "JAMAICA").otherwise("Barbados"),
+        "account_id": F.concat(F.lit("J-"), F.col("account_id"))})
+
+
 def bills(orders: DataFrame) -> DataFrame:
     """One bill per order: contract = customer, bill date = order date."""
     return orders.select(

@@ -193,10 +193,16 @@ def test_account_history_and_gain_movement(spark):
     from churnlens.operators.quality import account_history
     snap = spark.createDataFrame([("A", dt.date(2022, 1, 2)), ("B", D0), ("A", D0)], "act_acct_cd string, dt date")
     assert [r.dt for r in account_history(snap, "A").collect()] == [D0, dt.date(2022, 1, 2)]
-    base = spark.createDataFrame([(1, 0, None, 1, 1, 1)], "b_rgu_vo int, b_rgu_tv int, b_rgu_bb int, "
-                                                          "e_rgu_vo int, e_rgu_tv int, e_rgu_bb int")
-    r = gain_movement(base).first()
-    assert (r.dif_rgu_vo, r.dif_rgu_tv, r.dif_rgu_bb) == (0, 1, 1)
+    # a change needs both sides of the product; a gain is new when installed in its period
+    rows = [("kept", 1, 1, D0, 1, 0, None, 1, 1, 1), ("new", 0, 1, D0, None, None, None, 1, 0, 1),
+            ("back", 0, 1, dt.date(2021, 11, 5), None, None, None, 1, 1, 0), ("unknown", 0, 1, None, None, None, None, 1, 1, 0),
+            ("gone", 1, 0, None, 1, 1, 0, None, None, None)]
+    base = spark.createDataFrame(rows, "fixed_account string, active_bom int, active_eom int, e_max_inst date, b_rgu_vo int, b_rgu_tv int, "
+                                       "b_rgu_bb int, e_rgu_vo int, e_rgu_tv int, e_rgu_bb int")
+    base = base.withColumn("fixed_month", F.lit(dt.date(2022, 1, 1)))
+    got = {r.fixed_account: (r.gain_movement, r.dif_rgu_vo, r.dif_rgu_tv, r.dif_rgu_bb) for r in gain_movement(base).collect()}
+    assert got == {"kept": (None, 0, 1, 0), "new": (L.GAIN_NEW, 0, 0, 0), "back": (L.GAIN_COMEBACK, 0, 0, 0),
+                   "unknown": (None, 0, 0, 0), "gone": (None, 0, 0, 0)}
 
 
 def test_period_summary_first_day_and_last_record(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.cache import col
 from churnlens import labels as L
+from churnlens.functions.keys import pad_key
 from churnlens.functions.rules import case_when, tenure_segment
 from churnlens.params import Params
 
@@ -72,6 +73,53 @@ def involuntary_churn(facts: DataFrame, params: Params = Params(), key: str = KE
                          "invol_rgu_churn", "churn_tenure_days"))
 
 
+def involuntary_by_end_records(daily: DataFrame, params: Params = Params(), key: str = KEY, day: str = DAY,
+                               age: str = "fi_outst_age", install: str = "max_inst") -> DataFrame:
+    """Within the limit on the period's first record and at or above it on
+    its last one, by raw ages (D32, first-record form), with the days from the
+    install to the last record. Of several rows on one day the smallest known
+    age of the first day and the largest of the last one decide, as the source
+    asks for any row. One aggregate instead of two joins back to the daily rows."""
+    lim = params.invol_days
+    d = col(day).cast("date")
+    per = daily.where(col(key).isNotNull()).groupBy(key, params.grain.trunc(d).alias("month")).agg(
+        F.min(F.struct(d.alias("d"), col(age).isNull().alias("no"), col(age).alias("age"))).alias("_f"),
+        F.max(F.struct(d.alias("d"), col(age).alias("age"))).alias("_l"), F.max(col(install).cast("date")).alias("_inst"))
+    return per.where((col("_f.age") <= lim) & (col("_l.age") >= lim)).select(
+        "month", col(key).alias("churn_account"), F.lit(L.FIXED_INVOL).alias("churner_type"),
+        F.datediff(col("_l.d"), col("_inst")).alias("churn_tenure_days"))
+
+
+def churn_flags(base: DataFrame, churners: DataFrame, late_after: int = 180) -> DataFrame:
+    """Base rows with churn flag, churn type, days of tenure at churn and its
+    segment (D41); ``churners`` holds (month, churn_account, churner_type,
+    churn_tenure_days). An account with two types has two rows, as in the source."""
+    c = churners.select(col("month").alias("_cm"), col("churn_account").alias("_ca"), "churner_type", "churn_tenure_days").distinct()
+    j = base.join(c, (col("fixed_month") == col("_cm")) & (col("fixed_account") == col("_ca")), "left")
+    found, days = col("_ca").isNotNull(), col("churn_tenure_days")
+    return j.withColumns({
+        "fixed_churn_flag": F.when(found, F.lit("1. Fixed Churner")).otherwise(F.lit("2. Non-churner")),
+        "fixed_churn_type_flag": F.when(found, col("churner_type")).otherwise(F.lit("2.Non-Churners")),
+        "churn_tenure_segment": F.when(days <= late_after, F.lit("0.Early-tenure Churner")).when(
+            days > late_after, F.lit("1.Late-tenure Churner")).otherwise(F.lit("2.Non-Churner"))}).drop("_cm", "_ca", "churner_type")
+
+
+def churners_by_deinstallation(base: DataFrame, orders: DataFrame, invol: DataFrame, params: Params = Params(),
+                               exclude_status=()) -> DataFrame:
+    """Voluntary churners are lost accounts with an uninstall order of at most
+    one period before (or of any later one); they are full-joined to the
+    involuntary ones (month, churn_account) on the order's period, and the
+    voluntary type wins (D34, earlier form). Distinct (month, account, type)."""
+    g = params.grain
+    lost = voluntary_churn(base).select("fixed_month", "fixed_account")
+    o = _uninstalls(orders, exclude_status).select(col("account_name").alias("_oa"), g.trunc(col("order_start_date")).alias("_om")).distinct()
+    v = lost.join(o, (col("fixed_account") == col("_oa")) & (g.periods_between(col("_om"), col("fixed_month")) <= 1))
+    i = invol.select(col("month").alias("_im"), col("churn_account").alias("_ia")).distinct()
+    j = v.join(i, (col("_om") == col("_im")) & (col("_oa") == col("_ia")), "full")
+    return j.select(F.coalesce("fixed_month", "_im").alias("churn_month"), F.coalesce("fixed_account", "_ia").alias("churn_account"),
+                    F.when(col("fixed_account").isNotNull(), F.lit(L.FIXED_VOL)).otherwise(F.lit(L.FIXED_INVOL)).alias("fixed_churner_type")).distinct()
+
+
 def merge_churners(vol: DataFrame, invol: DataFrame, max_rgus: DataFrame, key: str = KEY) -> DataFrame:
     """Full join of voluntary and involuntary churners; involuntary wins."""
     v = (vol.join(max_rgus.withColumnRenamed(key, "fixed_account"), "fixed_account", "left")
@@ -209,14 +257,17 @@ def churn_by_order(orders: DataFrame, snap: DataFrame, params: Params = Params()
     ``MOROSIDAD`` is involuntary, other given reasons voluntary, an account
     whose order has none is no churner; it counts only when the
     account's last snapshot is at most ``churn_order_periods`` periods after
-    the order. Both sides are reduced to one row per account first."""
+    the order. Both sides are reduced to one row per account first and meet on
+    the padded key; ``account`` is the snapshot's, and accounts of one padded
+    key share their last snapshot."""
     g = params.grain
     u = _uninstalls(orders, exclude_status)
-    last = u.groupBy(col("account_name").alias("account")).agg(
+    last = u.groupBy(pad_key("account_name").alias("_key")).agg(
         F.max_by(F.struct(col("order_start_date").alias("d"), col("order_reason").alias("r")),
                  F.struct("order_start_date", "order_id")).alias("_o"))
-    ls = snap.groupBy(col(key).alias("account")).agg(F.max(day).alias("last_snapshot"))
-    j = last.join(ls, "account", "inner").where(
+    ls = snap.groupBy(col(key).alias("account")).agg(F.max(day).alias("last_snapshot")).withColumn("_key", pad_key("account"))
+    ls = ls.withColumn("last_snapshot", F.max("last_snapshot").over(Window.partitionBy("_key")))
+    j = last.join(ls, "_key", "inner").where(
         g.periods_between(col("_o.d"), col("last_snapshot")) <= params.churn_order_periods)
     j = j.where(col("_o.r").isNotNull())
     return j.select("account", g.trunc(col("_o.d")).alias("churn_month"), _order_type(col("_o.r")).alias("churn_type"))

@@ -31,8 +31,9 @@ def clean_register(reg: DataFrame, params: Params = Params(), file_shift: int =
                .where(F.coalesce(F.trim("id_abonado"), F.lit("")) != "").distinct())
 
 
-def mobile_base(clean: DataFrame, params: Params = Params()) -> DataFrame:
-    """Full outer join of opening and closing lines on (line, period)."""
+def mobile_base(clean: DataFrame, params: Params = Params(), variant: str = "bigquery") -> DataFrame:
+    """Full outer join of opening and closing lines on (line, period), with
+    the movement of the given ``variant`` (D22)."""
     g = params.grain
     cols = ["fixed_contract", "renta", "num_telefono", "nom_email", "start_date"]
     names = {"fixed_contract": "fixed_contract", "renta": "mobile_mrc", "num_telefono": "num_telefono",
@@ -56,7 +57,7 @@ def mobile_base(clean: DataFrame, params: Params = Params()) -> DataFrame:
         "e_mobile_tenure_segment": tenure_segment("e_mobile_tenure", params.tenure_early, None, strict=True),
         "fmc_account": F.coalesce("b_fixed_contract", "e_fixed_contract", "mobile_account"),
     })
-    return mobile_movement(out, params, variant="bigquery")
+    return mobile_movement(out, params, variant=variant)
 
 
 def churn_reasons(moves: DataFrame, params: Params = Params(), key: str = "id_abonado",
@@ -94,8 +95,8 @@ def mobile_rejoiners(df: DataFrame, params: Params = Params()) -> DataFrame:
     return j.drop("_ra", "_rm")
 
 
-def mobile_table(register: DataFrame, moves: DataFrame, params: Params = Params()) -> DataFrame:
-    base = mobile_base(clean_register(register, params), params)
+def mobile_table(register: DataFrame, moves: DataFrame, params: Params = Params(), variant: str = "bigquery") -> DataFrame:
+    base = mobile_base(clean_register(register, params), params, variant)
     return mobile_rejoiners(mobile_churn(base, churn_reasons(moves, params)), params)
 
 

@@ -321,6 +321,30 @@ def q_rgu_movement_report(spark, sf):
     return M.rgu_movement_report(M.gain_movement(_fixed(spark, sf).base, P))
 
 
+@register("churn_by_end_records")
+def q_churn_by_end_records(spark, sf):
+    from churnlens.operators.churn import churn_flags, involuntary_by_end_records
+    st = _fixed(spark, sf)
+    return churn_flags(st.base, involuntary_by_end_records(st.repaired, P), late_after=6).select(
+        "fixed_month", "fixed_account", "fixed_churn_flag", "fixed_churn_type_flag", "churn_tenure_days", "churn_tenure_segment")
+
+
+@register("churners_by_deinstallation")
+def q_churners_by_deinstallation(spark, sf):
+    from churnlens.operators.churn import churners_by_deinstallation, facts_from_summary, involuntary_churn
+    st = _fixed(spark, sf)
+    invol = involuntary_churn(facts_from_summary(st.summary), P)
+    return churners_by_deinstallation(st.base, T.service_orders(T.load(spark, sf, "events")), invol, P)
+
+
+@register("mobile_movement_presto")
+def q_mobile_movement_presto(spark, sf):
+    from churnlens.operators.mobile import clean_register, mobile_base
+    reg, _ = _mobile_inputs(spark, sf)
+    return mobile_base(clean_register(reg, P), P, variant="presto").groupBy("mobile_month", "mobile_movement_flag").agg(
+        F.count_distinct("mobile_account").alias("lines"), F.count(F.lit(1)).alias("n_rows"))
+
+
 SEGMENTS = ["e_fmc_segment", "e_fmc_type", "e_final_tech_flag", "e_tenure_final_flag"]
 
 

@@ -1250,6 +1250,41 @@ WHERE event_type IN ('error', 'signup') AND value >= 20 AND user_id % 5 <> 0 AND
 GROUP BY ALL
 """
 
+SQL["churn_by_end_records"] = with_(SNAP, FEAT, BASE, """
+ends AS (SELECT month AS m, act_acct_cd AS a, min(dt) AS f, max(dt) AS l FROM rep GROUP BY ALL),
+ok_first AS (SELECT DISTINCT m, a FROM rep JOIN ends ON a = act_acct_cd AND dt = f AND month = m WHERE fi_outst_age <= 4),
+over_last AS (SELECT DISTINCT m, a, date_diff('day', max_inst, dt) AS days FROM rep JOIN ends ON a = act_acct_cd AND dt = l AND month = m
+              WHERE fi_outst_age >= 4),
+net AS (SELECT m, a, days FROM ok_first JOIN over_last USING (m, a))
+""") + """
+SELECT fixed_month, fixed_account, CASE WHEN a IS NOT NULL THEN '1. Fixed Churner' ELSE '2. Non-churner' END AS fixed_churn_flag,
+  CASE WHEN a IS NOT NULL THEN '2. Fixed Involuntary Churner' ELSE '2.Non-Churners' END AS fixed_churn_type_flag,
+  CAST(days AS INTEGER) AS churn_tenure_days,
+  CASE WHEN days <= 6 THEN '0.Early-tenure Churner' WHEN days > 6 THEN '1.Late-tenure Churner' ELSE '2.Non-Churner' END AS churn_tenure_segment
+FROM base LEFT JOIN net ON fixed_month = m AND fixed_account = a
+"""
+
+SQL["churners_by_deinstallation"] = with_(SNAP, FEAT, BASE, CHURN, SORDERS, UNINST, f"""
+lost AS (SELECT DISTINCT fixed_month, fixed_account FROM base WHERE active_bom = 1 AND (active_eom = 0 OR active_eom IS NULL)),
+dein AS (SELECT DISTINCT {wk('order_start_date')} AS d_month, account_name FROM u),
+voldein AS (SELECT * FROM lost JOIN dein ON account_name = fixed_account AND date_diff('day', d_month, fixed_month) / 7 <= 1)
+""") + """
+SELECT DISTINCT coalesce(fixed_month, i_month) AS churn_month, coalesce(fixed_account, i_acct) AS churn_account,
+  CASE WHEN account_name IS NOT NULL THEN '1. Fixed Voluntary Churner' ELSE invol_churner END AS fixed_churner_type
+FROM voldein FULL OUTER JOIN invol ON d_month = i_month AND i_acct = account_name
+"""
+
+SQL["mobile_movement_presto"] = with_(MOBILE) + """
+SELECT mobile_month, mobile_movement_flag, count(DISTINCT mobile_account) AS lines, count(*) AS n_rows FROM (
+  SELECT mobile_month, mobile_account,
+    CASE WHEN mobile_active_bom = 1 AND mobile_active_eom = 1 AND b_mobile_mrc = e_mobile_mrc THEN '01.Maintain'
+         WHEN mobile_active_bom = 1 AND mobile_active_eom = 1 AND b_mobile_mrc > e_mobile_mrc THEN '02.Downspin'
+         WHEN mobile_active_bom = 1 AND mobile_active_eom = 1 AND b_mobile_mrc < e_mobile_mrc THEN '03.Upspin'
+         WHEN mobile_active_bom = 1 AND mobile_active_eom = 0 THEN '04.Loss'
+         WHEN b_mobile_mrc IS NULL OR e_mobile_mrc IS NULL THEN '07.MRC Gap' END AS mobile_movement_flag
+  FROM mbase0) GROUP BY ALL
+"""
+
 _SEG = "e_fmc_segment, e_fmc_type, e_final_tech_flag, e_tenure_final_flag"
 _KEPT = "final_churn_flag NOT IN ('Fixed Churner', 'Customer Gap', 'Full Churner', 'Churn Exception')"
 

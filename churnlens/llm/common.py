@@ -89,6 +89,31 @@ class Scratch:
         release(self.spark, [self.paths.pop(n) for n in names if n in self.paths])
 
 
+_worker: dict[str, tuple] = {}
+
+
+def worker_holds(owner: str, *clear) -> None:
+    """Called at the start of a task with functions that empty what its operator keeps in the
+    Python worker between tasks: a reused worker drops the tables of other operators, so it
+    holds those of one at a time and gives their memory back."""
+    others = [name for name in _worker if name != owner]
+    for name in others:
+        for f in _worker.pop(name):
+            f()
+    if others:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+    _worker[owner] = clear
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import stage
+from churnlens.llm.common import stage, worker_holds
 
 BITS = 12  # buckets of hashed n-grams: 2**BITS
 FIT_ROWS = 1000  # sample rows per language
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, model: Model, into: str, text_col: str = "text") -
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
+        worker_holds("languages", _letters.cache_clear)
         return model.predict(text.tolist())
 
     return docs.withColumn(into, predict(F.col(text_col)))

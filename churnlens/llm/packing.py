@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import runs, stage, text_sizes
+from churnlens.llm.common import runs, stage, text_sizes, worker_holds
 
 CAPACITY = 1024
 END_ID = 2
@@ -53,8 +53,9 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        from churnlens.llm.tokens import BATCH_CHARS, encoder
+        from churnlens.llm.tokens import BATCH_CHARS, _powers, encoder
 
+        worker_holds("tokens", encoder.cache_clear, _powers.cache_clear)
         enc = encoder(path)
         for b in batches:
             for lo, hi in runs(text_sizes(b.column(1)), BATCH_CHARS):  # texts become Python strings a slice at a time

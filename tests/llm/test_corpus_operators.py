@@ -350,3 +350,13 @@ def test_ann_scores_of_extreme_components(llm):
     x = np.random.default_rng(1).normal(size=(50, 8))
     plain = (x * x[::-1]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[::-1] * x[::-1]).sum(axis=1)))
     assert (ann.cosine(x, x[::-1]) == plain).all()
+
+
+def test_a_worker_holds_the_tables_of_one_operator(monkeypatch):
+    from churnlens.llm import common
+
+    monkeypatch.setattr(common, "_worker", {})
+    gone = []
+    for owner in ("a", "a", "b", "b", "a"):
+        common.worker_holds(owner, lambda owner=owner: gone.append(owner))
+    assert gone == ["a", "b"] and list(common._worker) == ["a"]

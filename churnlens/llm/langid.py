@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import stage, worker_holds
 
+PREDICTED = 100  # texts whose count and weight rows one worker holds at a time
 BITS = 12  # buckets of hashed n-grams: 2**BITS
 FIT_ROWS = 1000  # sample rows per language
 CENTROIDS = 4  # per language
@@ -132,8 +133,8 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         lang, score, rejected = [], [], []
-        for lo in range(0, len(texts), 500):
-            counts, lettered = gram_counts([t or "" for t in texts[lo:lo + 500]], self.bits)
+        for lo in range(0, len(texts), PREDICTED):
+            counts, lettered = gram_counts([t or "" for t in texts[lo:lo + PREDICTED]], self.bits)
             if not self.langs:
                 lang += [UND] * len(lettered)
                 score += [0.0] * len(lettered)

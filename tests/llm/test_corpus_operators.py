@@ -1,6 +1,7 @@
 """Mixing, n-gram join, packing, line dedup, neighbours and the pipeline against brute force."""
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,6 +139,27 @@ def test_ngram_join_defined_results(llm, edges, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
 
 
+def shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for f in disk.getAllFiles().mkString("|").split("|") if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("make", [lambda llm, docs: ngram_join.ngram_components(docs, 3, (9, 10))], ids=["join"])
+def test_ngram_join_leaves_no_shuffle_files(llm, make):
+    """Files of every step stayed until the driver collected its garbage, beside those of later steps."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    frame = llm.createDataFrame([(i, text, "en", "a", len(text)) for i, text in near_copies(3, groups=2, copies=4)],
+                                "doc_id long, text string, lang string, source string, n_chars long")
+    before, held = shuffle_files(llm), llm.conf.get(key, None)
+    out = make(llm, frame)
+    end = time.time() + 20  # files go in the background
+    while (left := shuffle_files(llm) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert llm.conf.get(key, None) == held
+    assert out.count()
+
+
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=14))
 @settings(max_examples=5, deadline=None)
 def test_contraction_finds_components(llm, pairs):

@@ -45,7 +45,8 @@ def near(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"),
                                             -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))))
     groups = ngram_join.ngram_components(named, ngram_join.WORDS, ngram_join.SIMILARITY, id_col=key)
-    keep = common.stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct(), "keep")
+    with common.shuffles_freed(spark):
+        keep = common.stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct(), "keep")
     return named.join(keep, named[key] == F.col("_keep"), "left_semi").select(*docs.columns)
 
 

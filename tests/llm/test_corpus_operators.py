@@ -144,7 +144,8 @@ def shuffle_files(spark):
     return {name for f in disk.getAllFiles().mkString("|").split("|") if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
 
 
-@pytest.mark.parametrize("make", [lambda llm, docs: ngram_join.ngram_components(docs, 3, (9, 10))], ids=["join"])
+@pytest.mark.parametrize("make", [lambda llm, docs: ngram_join.ngram_components(docs, 3, (9, 10)), corpus_pipeline.near],
+                         ids=["join", "near"])
 def test_ngram_join_leaves_no_shuffle_files(llm, make):
     """Files of every step stayed until the driver collected its garbage, beside those of later steps."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

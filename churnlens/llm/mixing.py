@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import prefix_sums, stage, word_count
+from churnlens.llm.common import prefix_sums, stage, word_count, worker_holds
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # passes over a source
@@ -192,16 +193,22 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
     """The words of the ranges (first word, number) of a text, with the white space inside a run of ranges."""
-    at = [m.span() for m in WORDS.finditer(text)]
     runs: list[list[int]] = []
     for start, n in sorted(ranges):
         if runs and runs[-1][1] == start:
             runs[-1][1] += n
         else:
             runs.append([start, start + n])
-    if runs == [[0, len(at)]]:
+    words, at, parts = WORDS.finditer(text), 0, []  # one pass; only the ends of runs are looked at
+    for a, b in runs:
+        first = last = next(islice(words, a - at, None))
+        if b - a > 1:
+            last = next(islice(words, b - a - 2, None))
+        parts.append(text[first.start():last.end()])
+        at = b
+    if [a for a, _ in runs] == [0] and next(words, None) is None:
         return text
-    return "\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
+    return "\n".join(parts)
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,8 +222,9 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     parts = stage(parts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_ranges"), "parts")
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([cut_text(t, [(r["start"], r["words"]) for r in rs]) for t, rs in zip(text, ranges)], dtype=object)
+    def cut(text: pd.Series, starts: pd.Series, words: pd.Series) -> pd.Series:
+        worker_holds("mixing")
+        return pd.Series([cut_text(t, list(zip(a.tolist(), n.tolist()))) for t, a, n in zip(text, starts, words)], dtype=object)
 
     met = docs.join(parts, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
-    return met.select(*[cut(docs[c], F.col("_ranges")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return met.select(*[cut(docs[c], F.col("_ranges.start"), F.col("_ranges.words")).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -66,6 +66,7 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _step(k: int, f):
     def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.prepare(spark)
+        common.small_batches(spark)
         if k:
             common.release(spark, _done)
         before = set(common.staged())

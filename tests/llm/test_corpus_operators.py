@@ -2,6 +2,7 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,15 @@ def test_cut_text_keeps_whole_texts_and_spacing():
     assert mixing.cut_text(text, [(3, 1), (0, 2)]) == "a  b\nd"
 
 
+def test_cut_text_holds_no_list_of_a_long_texts_words():
+    text = "a " * 300_000
+    tracemalloc.start()
+    assert mixing.cut_text(text, [(299_990, 10), (5, 2), (7, 1)]) == "a a a\n" + ("a " * 10).strip()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+
+
 # --- n-gram join -----------------------------------------------------------------------------------------
 
 def brute_components(data, words, p, q):
@@ -363,6 +373,19 @@ def test_pipeline_on_edges(llm, edges, nothing, tmp_path):
         assert (frame.count() > 0) == (k == 0)
 
 
+def test_pipeline_hands_small_batches_to_workers(llm):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    step = corpus_pipeline._step(0, lambda spark, docs: docs.mapInArrow(sizes, "n long"))
+    docs = llm.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = [r.n for r in step(llm, docs, SF).collect()]
+    assert sum(got) > 6000 * 2000 and max(got) < 3 << 20
+
+
 def test_ann_scores_of_extreme_components(llm):
     from churnlens.llm import ann
 

@@ -11,6 +11,7 @@ whole.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -22,7 +23,7 @@ from churnlens.llm.common import cut_text
 LIMIT = 0x250  # code points the cutter covers
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)")
-CACHED_WORDS = 250_000  # distinct words kept by one worker
+CACHED_WORDS = 1_000_000  # distinct words kept by one worker, about 35 bytes each
 LONGEST_WORD = 64  # longer ones are encoded on their own, by their text
 BATCH_CHARS = 400_000  # about 60 bytes of arrays per code point
 BETWEEN = re.compile(r"(?<=[^\s])(?= [^\s])")  # before a blank that joins the next word: words end there
@@ -78,7 +79,7 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.slots: dict[int, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of the words kept, by hash
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -140,18 +141,22 @@ class Encoder:
         ends = np.append(starts[1:], len(codes))
         hashes = segment_hashes(values[codes], starts, ends)
         distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slots) > CACHED_WORDS:
+        if len(self.offsets) > CACHED_WORDS:
             self.clear()
-        known = self.slots
-        slots = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        place = np.searchsorted(self.hashes, distinct)
+        slots = np.full(len(distinct), -1, np.int64)
+        held = np.flatnonzero(place < len(self.hashes))
+        held = held[self.hashes[place[held]] == distinct[held]]
+        slots[held] = self.slots[place[held]]
         long = (ends - starts)[at] > LONGEST_WORD
         slots[long] = -1
         new = np.flatnonzero(slots < 0)
         if len(new):
             words = [joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
             slots[new] = self._add(words)
-            known.update((h, s) for h, s, w in zip(distinct[new].tolist(), slots[new].tolist(), words)
-                         if len(w) <= LONGEST_WORD)
+            kept = new[~long[new]]
+            self.hashes = np.insert(self.hashes, place[kept], distinct[kept])
+            self.slots = np.insert(self.slots, place[kept], slots[kept])
         slot = slots[inverse]
         counts = self.offsets[slot + 1] - self.offsets[slot]
         places = np.concatenate([[0], np.cumsum(counts)])
@@ -191,5 +196,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file, with the words it has met."""
+    """The worker's encoder of a tokenizer file, with the words it has met. A task has one core, so
+    the library is told to start no threads of its own, which also keep memory each."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)

@@ -208,6 +208,26 @@ def test_encoder_on_any_text(text):
     assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_encodes_a_large_vocabulary_once(monkeypatch):
+    enc = tokens.Encoder(TOKENIZER)
+    name = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    texts = [" ".join(name(i) for i in range(lo, lo + 1000)) for lo in range(0, 300_000, 1000)]
+    first = [x.tolist() for x in enc.encode(texts)]
+    assert len(enc.offsets) > 250_000
+    monkeypatch.setattr(enc, "_add", None)  # nothing is new the second time
+    assert [x.tolist() for x in enc.encode(texts)] == first
+    assert first[7] == enc.tokenizer.encode(texts[7], add_special_tokens=False).ids
+
+
+def test_encoder_keeps_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
+    enc = tokens.Encoder(TOKENIZER)
+    for k in range(30):  # long words are kept for a batch too
+        text = " ".join(chr(97 + k % 26) * n for n in range(60, 90))
+        assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(enc.offsets) <= 50 + 31
+
+
 @given(st.lists(st.integers(1, 63), max_size=200))
 @settings(max_examples=60, deadline=None)
 def test_sum_of_squares_places_everything(lengths):

@@ -289,6 +289,17 @@ def test_templates_generalise_fields_and_variable_words(llm):
     assert got[22].clean_text == "alone here\n\nalone again 12" and got[20].n_lines == got[21].n_lines == 1
 
 
+def test_masked_lines_are_made_once(llm):
+    lines = ["", " ", "\t\x0b", "a", " a  b ", "a\tb", "x\r", "v1 two", " 12\t3 x  ", "é1 日本 2", "no\x0cfield", "a\u00a0 b", "\u2003"]
+    want = {t: re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", re.sub(r"[\x20\x09-\x0D]+", " ", t)).strip(" ") or None
+            for t in lines}
+    frame = llm.createDataFrame([(t,) for t in lines], "line string")
+    col = F.col("line")
+    got = frame.select("line", line_dedup.masked(col).alias("mask"), line_dedup.has_token(col).alias("some")).collect()
+    assert {r.line: r.mask for r in got} == want and all(r.some == (r.mask is not None) for r in got)
+    assert str(line_dedup.masked(col)).count("regexp_replace") <= 3  # each value named once; naming a value makes it again
+
+
 def test_line_dedup_on_edges_and_plan(llm, edges, nothing):
     got = line_dedup.clean_lines(edges, min_docs=1).collect()
     assert len(got) == len(EDGES)

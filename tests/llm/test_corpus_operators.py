@@ -140,6 +140,26 @@ def test_components_against_all_pairs(llm, monkeypatch, seed, words, similarity)
     assert len({c for _, c in got.values()}) < len(got) - 10
 
 
+def test_whole_sets_of_near_copies_are_on_disk_in_parts(llm, monkeypatch):
+    """Where most documents have near copies, the sets of all of them were on disk at once, beside their shuffles."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 4)
+    monkeypatch.setattr(ngram_join, "LEAST", 100, raising=False)
+    held, write = [], ngram_join.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "segments":
+            held.append(out.agg(F.sum(F.size("keys"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", counted)
+    data = near_copies(3, groups=3, copies=8)
+    frame = llm.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(frame, 3, (7, 10)).collect()}
+    assert got == brute_components(data, 3, 7, 10)
+    assert max(held) <= sum({t: got[i][0] for i, t in data}.values()) / 2
+
+
 def test_ngram_join_defined_results(llm, edges, nothing):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(edges, 3, (9, 10)).collect()),
                  key=str)
